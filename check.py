@@ -63,7 +63,7 @@ def main(argv):
         try:
             problem, rows, took = compare(spark, con, sf, name)
         except Exception as e:  # keep going, report at the end
-            problem, rows, took = f"{type(e).__name__}: {str(e)[:1500]}", 0, 0.0
+            problem, rows, took = f"{type(e).__name__}: {str(e)[:700]}", 0, 0.0
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name:32s} {rows:7d} rows {took:6.2f}s {problem or ''}", flush=True)
     print(f"{failed} failed")

@@ -118,7 +118,7 @@ def f32(expr: str) -> str:
 SLOPES = f"""
 base AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS y FROM embeddings),
 secants AS (SELECT vec_id, label, y,
-    list_transform(range(1, {BANDS}), i -> (y[i + 1] - y[i]) / 5.0) AS d FROM base),
+    [(y[i + 1] - y[i]) / 5.0 FOR i IN range(1, {BANDS})] AS d FROM base),
 walk(vec_id, i, carry, m) AS (
     SELECT vec_id, 1, d[1], CAST([] AS DOUBLE[]) FROM secants
     UNION ALL

@@ -1,8 +1,9 @@
 """Curve algebra on tables of spectra.
 
-A curve is an ``array<struct<wl,v>>`` column of any length and order. ``values_at`` is the one vectorised
-function: it fits the monotone cubics of an Arrow batch and evaluates them on per-row grids. Grids, products,
-divisions, filters and sums are array expressions around it, so every operator here is a narrow projection.
+A curve is an ``array<struct<wl,v>>`` column of any length and order. ``values_at`` is the vectorised
+function that fits the monotone cubics of an Arrow batch and evaluates them on per-row grids; integrals add their
+trapezoid sums on top. Grids, products, divisions and filters are array expressions around it, so every operator
+here is a narrow projection.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsinlake import constants as C
-from opsinlake.functions.arrays import ragged
+from opsinlake.functions.arrays import lists, ragged
 from opsinlake.functions.monotone import Bundle
 from opsinlake.operators.cubes import quantity
 
 BATCH_CELLS = 4_000_000  # padded knots fitted at once, so one very long curve cannot blow up a batch
+BATCH_ROWS = 4_000
 
 
 def _unpack(points: pa.Array):
@@ -29,29 +32,61 @@ def _unpack(points: pa.Array):
     return wl, v, sizes
 
 
-def _evaluate(points: pa.Array, grid: pa.Array) -> pa.Array:
+def bundles(points: pa.Array):
+    """The curves of a batch as bundles of bounded padded size, with the row range each covers."""
     wl, v, sizes = _unpack(points)
-    ok = np.asarray(points.is_valid()) & np.asarray(grid.is_valid())
-    steps = pc.fill_null(grid.value_lengths(), 0).to_numpy(zero_copy_only=False)
-    xs = grid.flatten().to_numpy(zero_copy_only=False).astype(float)
-    knot_at, x_at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(steps)])
-    out, start = np.empty(len(xs)), 0
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    start = 0
     while start < len(sizes):
         stop, widest = start, 1
-        while stop < len(sizes):
+        while stop < len(sizes) and stop - start < BATCH_ROWS:
             widest = max(widest, int(sizes[stop]))
             if stop > start and widest * (stop + 1 - start) > BATCH_CELLS:
                 break
             stop += 1
-        b = Bundle(wl[knot_at[start]:knot_at[stop]], v[knot_at[start]:knot_at[stop]], sizes[start:stop])
-        sel = slice(x_at[start], x_at[stop])
-        out[sel] = b.at(np.repeat(np.arange(stop - start), steps[start:stop]), xs[sel])
+        cut = slice(at[start], at[stop])
+        yield start, stop, Bundle(wl[cut], v[cut], sizes[start:stop])
         start = stop
-    keep = np.repeat(ok, steps)
-    return ragged(out[keep], np.where(ok, steps, 0), ok)
 
 
-@F.arrow_udf("array<double>")
+def _evaluate(points: pa.Array, grid: pa.Array) -> pa.Array:
+    ok = np.asarray(points.is_valid()) & np.asarray(grid.is_valid())
+    steps = pc.fill_null(grid.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    xs = grid.flatten().to_numpy(zero_copy_only=False).astype(float)
+    x_at, out = np.concatenate([[0], np.cumsum(steps)]), np.empty(len(xs))
+    for a, b, curves in bundles(points):
+        sel = slice(x_at[a], x_at[b])
+        out[sel] = curves.at(np.repeat(np.arange(b - a), steps[a:b]), xs[sel])
+    return ragged(out[np.repeat(ok, steps)], np.where(ok, steps, 0), ok)
+
+
+def _integrals(points: pa.Array, fixed: list[Bundle] | None, step: float) -> pa.Array:
+    """Trapezoid integrals of a batch: of each curve alone, or of its product with each fixed curve."""
+    ok = np.asarray(points.is_valid())
+    out = np.zeros((len(ok), 1 if fixed is None else len(fixed)))
+    for a, b, curves in bundles(points):
+        for r, other in enumerate([None] if fixed is None else fixed):
+            lo, hi = curves.lo, curves.hi
+            if other is not None and other.n[0]:
+                lo, hi = np.fmin(lo, other.lo[0]), np.fmax(hi, other.hi[0])
+            live = np.nonzero(hi > lo)[0]
+            if not len(live):
+                continue
+            lo, hi = lo[live], hi[live]
+            n = np.maximum(np.ceil((hi - lo) / step), 1).astype(np.int64)
+            dx = (hi - lo) / n
+            first = np.cumsum(n + 1) - (n + 1)
+            row = np.repeat(np.arange(len(live)), n + 1)
+            xs = lo[row] + (np.arange(len(row)) - first[row]) * dx[row]
+            v = np.nan_to_num(curves.at(live[row], xs))
+            if other is not None:
+                v = v * np.nan_to_num(other.at(np.zeros(len(xs), dtype=np.int64), xs))
+            ends = (v[first] + v[first + n]) / 2
+            out[a + live, r] = (np.add.reduceat(v, first) - ends) * dx
+    return lists(out[ok], ok, np.float64)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def values_at(points: pa.Array, grid: pa.Array) -> pa.Array:
     """Monotone-cubic values of a curve on a grid of wavelengths; null outside the curve's domain."""
     return _evaluate(points, grid)
@@ -88,47 +123,33 @@ def steps_grid(lo: Column, hi: Column, step: float) -> Column:
     return F.when(hi > lo, grid)
 
 
-def stretched_grid(lo: Column, hi: Column, step: float) -> tuple[Column, Column]:
-    """Grid that ends exactly on ``hi`` (step count rounded up) and its step width."""
-    n = F.greatest(F.ceil((hi - lo) / step), F.lit(1)).cast("int")
-    dx = (hi - lo) / n
-    return F.when(hi > lo, F.transform(F.sequence(F.lit(0), n), lambda i: lo + i * dx)), dx
+def curve_integral(points: Column, step: float = C.STEP_NM) -> Column:
+    """Area under a curve over its own domain; 0 for fewer than two distinct wavelengths."""
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def area(curves: pa.Array) -> pa.Array:
+        return _integrals(curves, None, step)
 
-def trapezoid(values: Column, dx: Column) -> Column:
-    """Trapezoid sum of equally spaced samples, nulls counting as zero."""
-    filled = F.transform(values, lambda v: F.coalesce(v, F.lit(0.0)))
-    total = F.aggregate(filled, F.lit(0.0), lambda s, v: s + v)
-    ends = (F.element_at(filled, 1) + F.element_at(filled, -1)) / 2
-    return (total - ends) * dx
+    return F.coalesce(area(points)[0], F.lit(0.0))
 
 
-def curve_integral(points: Column, step: float = C.STEP_NM) -> Column:
-    """Area under a curve over its own domain; 0 for fewer than two distinct wavelengths."""
-    lo, hi = domain(points)
-    grid, dx = stretched_grid(lo, hi, step)
-    return F.coalesce(trapezoid(values_at(points, grid), dx), F.lit(0.0))
+def product_integrals(points: Column, fixed, step: float = C.STEP_NM) -> Column:
+    """Integrals of a curve column times each fixed curve, every one over the union of the two domains."""
+    others = [Bundle.of(np.asarray(c, dtype=float)) for c in fixed]
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def products(curves: pa.Array) -> pa.Array:
+        return _integrals(curves, others, step)
 
-def product_integral(points: Column, curve, step: float = C.STEP_NM) -> Column:
-    """Integral of a curve column times one fixed curve over the union of their domains."""
-    fixed = Bundle.of(np.asarray(curve, dtype=float))
-    lo, hi = domain(points)
-    if fixed.n[0]:
-        lo = F.least(lo, F.lit(float(fixed.lo[0])))
-        hi = F.greatest(hi, F.lit(float(fixed.hi[0])))
-    grid, dx = stretched_grid(lo, hi, step)
-    both = F.zip_with(values_at(points, grid), literal_values(curve, grid), lambda a, b: a * b)
-    return F.coalesce(trapezoid(both, dx), F.lit(0.0))
+    return products(points)
 
 
 def activations(points: Column, receptors, gains, step: float = C.STEP_NM) -> Column:
     """Gated and capped responses of a receptor list to curve rows, as one array."""
-    out = []
-    for r, g in zip(receptors, gains):
-        q = product_integral(points, r.points, step) * F.lit(float(g))
-        out.append(q if r.saturation is None else F.least(q, F.lit(float(r.saturation))))
-    return F.array(*out)
+    q = product_integrals(points, [r.points for r in receptors], step)
+    caps = F.lit([float("inf") if r.saturation is None else float(r.saturation) for r in receptors])
+    gated = F.zip_with(q, F.lit([float(g) for g in gains]), lambda a, g: a * g)
+    return F.zip_with(gated, caps, lambda a, c: F.when(c < float("inf"), F.least(a, c)).otherwise(a))
 
 
 def _paired(grid: Column, a: Column, b: Column, combine) -> Column:

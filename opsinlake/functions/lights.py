@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake import constants as C
+from opsinlake.functions.bind import let
 
 
 def planck_radiance(wl_nm, temperature_k, exp=F.exp):
@@ -40,17 +41,19 @@ def _count(lo, hi, step) -> int:
 
 def blackbody_points(temperature_k: Column, lo: float, hi: float, step: float, notches=()) -> Column:
     """Black-body light per row as ``array<struct<wl,v>>``: Planck over its own grid peak, times notches."""
-    steps = F.sequence(F.lit(0), F.lit(_count(lo, hi, step)))
-    raw = F.transform(steps, lambda i: planck_radiance(F.lit(lo) + i * F.lit(step), temperature_k))
-    top = F.array_max(raw)
+    wl = np.array([lo + step * i for i in range(_count(lo, hi, step) + 1)])
+    through = np.ones(len(wl)) if not notches else notch_product(wl, notches, np.exp)
+    grid = F.lit([float(w) for w in wl])
+    cells = F.arrays_zip(grid.alias("wl"), F.lit([float(t) for t in through]).alias("t"))
 
-    def point(v, i):
-        wl = F.lit(lo) + i * F.lit(step)
-        rel = F.when(top > 0, v / top).otherwise(F.lit(0.0))
-        t = notch_product(wl, notches)
-        return F.struct(wl.alias("wl"), (rel if t is None else rel * t).alias("v"))
+    def scaled(raw):
+        def curve(top):
+            rel = F.transform(raw, lambda v: F.when(top > 0, v / top).otherwise(F.lit(0.0)))
+            return F.zip_with(cells, rel, lambda c, v: F.struct(c["wl"].alias("wl"), (v * c["t"]).alias("v")))
 
-    return F.transform(raw, point)
+        return let(F.array_max(raw), curve)
+
+    return let(F.transform(grid, lambda w: planck_radiance(w, temperature_k)), scaled)
 
 
 def blackbody_curve(temperature_k, lo, hi, step, notches=()):
@@ -66,18 +69,21 @@ def notch_points(centre_nm: Column, width_nm: Column, depth: Column) -> Column:
     half = F.lit(5.0) * F.greatest(width_nm, F.lit(1e-3))
     step = F.least(F.greatest(width_nm / 4.0, F.lit(0.01)), F.lit(1.0))
     n = F.ceil(half * 2.0 / step).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.struct(
-            (centre_nm - half + i * step).alias("wl"),
-            notch_transmittance(centre_nm - half + i * step, centre_nm, width_nm, depth).alias("v"),
-        ),
-    )
+    shape = {"c": centre_nm, "w": width_nm, "d": depth, "lo": centre_nm - half, "step": step}
+
+    def curve(s):
+        def point(i):
+            wl = s["lo"] + i * s["step"]
+            return F.struct(wl.alias("wl"), notch_transmittance(wl, s["c"], s["w"], s["d"]).alias("v"))
+
+        return F.transform(F.sequence(F.lit(0), n), point)
+
+    return let(F.struct(*[v.alias(k) for k, v in shape.items()]), curve)
 
 
 def scale_points(points: Column, factor: Column) -> Column:
     """Same spectral shape, every value times ``factor``."""
-    return F.transform(points, lambda p: F.struct(p["wl"].alias("wl"), (p["v"] * factor).alias("v")))
+    return let(factor, lambda f: F.transform(points, lambda p: F.struct(p["wl"].alias("wl"), (p["v"] * f).alias("v"))))
 
 
 def power_factor(total: Column, target: Column) -> Column:
@@ -101,3 +107,20 @@ def composite_curve(components, lo, hi, step):
     for (centre, amp, bw), weight in components:
         v = v + weight * gaussian(wl, centre, amp, bw, np.exp)
     return np.column_stack([wl, v])
+
+
+def composite_lights(components: DataFrame, lo: float, hi: float, step: float, key: str = "light") -> DataFrame:
+    """Lights as weighted sums of Gaussian peaks: ``key, wl, v`` from ``key, centre_nm, amplitude, bandwidth_nm,
+    weight``.
+
+    Every grid wavelength is one running sum per light, so a task keeps one row per light however many components
+    it sees and only those rows are shuffled; they are spread to long form afterwards.
+    """
+    grid = [lo + step * i for i in range(_count(lo, hi, step) + 1)]
+    peak = {
+        i: F.col("weight") * gaussian(F.lit(w), F.col("centre_nm"), F.col("amplitude"), F.col("bandwidth_nm"))
+        for i, w in enumerate(grid)
+    }
+    sums = components.groupBy(key).agg(*[F.sum(p).alias(f"v{i}") for i, p in peak.items()])
+    cells = [F.struct(F.lit(w).alias("wl"), F.col(f"v{i}").alias("v")) for i, w in enumerate(grid)]
+    return sums.select(key, F.inline(F.array(*cells)))

@@ -107,7 +107,7 @@ def tangents(x, y, n):
             a, b = m[:, i] / slope, m[:, i + 1] / slope
             r = a * a + b * b
             shrink = live & ~flat & (r > 9)
-            tau = 3 / np.sqrt(r)
-        m[:, i] = np.where(flat, 0.0, np.where(shrink, tau * a * slope, m[:, i]))
-        m[:, i + 1] = np.where(flat, 0.0, np.where(shrink, tau * b * slope, m[:, i + 1]))
+            tau = np.where(shrink, 3 / np.sqrt(r), 1.0)
+        m[:, i] = np.where(flat, 0.0, tau * m[:, i])
+        m[:, i + 1] = np.where(flat, 0.0, tau * m[:, i + 1])
     return m

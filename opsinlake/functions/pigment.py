@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opsinlake import constants as C
+from opsinlake.functions.bind import let
 
 
 def _alpha(a, x, exp):
@@ -48,13 +49,16 @@ def template_peak(chromophore: str, peak_nm: Column) -> Column:
 def template_points(chromophore: str, peak_nm: Column, peak: Column, lo: float, hi: float, step: float) -> Column:
     """Peak-normalised template as ``array<struct<wl,v>>``; ``peak`` is ``template_peak`` of the same row."""
     n = max(int(np.floor((hi - lo) / step + 0.5)), 0)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n)),
-        lambda i: F.struct(
-            (F.lit(lo) + i * F.lit(step)).alias("wl"),
-            (template_raw(chromophore, peak_nm, F.lit(lo) + i * F.lit(step), F.exp) / peak).alias("v"),
-        ),
-    )
+
+    def curve(fixed):
+        def point(i):
+            wl = F.lit(lo) + i * F.lit(step)
+            v = template_raw(chromophore, fixed["at"], wl, F.exp) / fixed["top"]
+            return F.struct(wl.alias("wl"), v.alias("v"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n)), point)
+
+    return let(F.struct(peak_nm.alias("at"), peak.alias("top")), curve)
 
 
 def template_curve(chromophore: str, peak_nm: float, lo=C.TEMPLATE_LO_NM, hi=C.TEMPLATE_HI_NM, step=C.TEMPLATE_STEP_NM):

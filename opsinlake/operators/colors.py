@@ -69,12 +69,13 @@ def gradient_table(wl: np.ndarray) -> np.ndarray:
     return np.where(wl < 380, violet + (1 - violet) * uv, red * (1 - ir))
 
 
-def subjective_spectrum(responses: DataFrame, keys=("system",)) -> DataFrame:
+def subjective_spectrum(responses: DataFrame, keys=("system",), whole: bool = True) -> DataFrame:
     """How a system colours the spectrum: ``keys, wl, r, g, b`` (0..255) from rows of ``keys, wl, response, weight`` and
     the receptor's own colour ``red, green, blue`` (0..255).
 
     Receptor colours are blended by response, then dimmed by the total response over the system's largest total.
-    Both steps are grouped sums with map-side combination; the per-system maximum joins back on the system.
+    ``whole=False``
+    keeps fractions instead of cutting to integers. Both steps are grouped sums with map-side combination; the per-system maximum joins back on the system.
     """
     keys = list(keys)
     strength = F.greatest(F.coalesce("response", F.lit(0.0)), F.lit(0.0)) * F.greatest(F.col("weight"), F.lit(0.0))
@@ -88,6 +89,7 @@ def subjective_spectrum(responses: DataFrame, keys=("system",)) -> DataFrame:
 
     def level(c):
         mixed = F.when(F.col("_t") > 0, F.col(f"_{c}") / F.col("_t")).otherwise(F.lit(0.0))
-        return F.floor(color.clamp(mixed * dim, 0.0, 255.0)).cast("int")
+        level = color.clamp(mixed * dim, 0.0, 255.0)
+        return F.floor(level).cast("int") if whole else level
 
     return lit_up.select(*keys, "wl", *[level(c).alias(n) for n, c in zip("rgb", ("red", "green", "blue"))])

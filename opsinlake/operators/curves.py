@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from opsinlake import constants as C
 from opsinlake.functions.arrays import lists, ragged
+from opsinlake.functions.bind import let
 from opsinlake.functions.monotone import Bundle
 from opsinlake.operators.cubes import quantity
 
@@ -118,9 +119,13 @@ def domain(points: Column) -> tuple[Column, Column]:
 
 def steps_grid(lo: Column, hi: Column, step: float) -> Column:
     """lo, lo+step, ... with the number of steps rounded; null when the interval is empty."""
-    n = F.greatest(_whole((hi - lo) / step), F.lit(1))
-    grid = F.transform(F.sequence(F.lit(0), n), lambda i: lo + i * F.lit(step))
-    return F.when(hi > lo, grid)
+
+    def grid(span):
+        n = F.greatest(_whole((span["hi"] - span["lo"]) / step), F.lit(1))
+        xs = F.transform(F.sequence(F.lit(0), n), lambda i: span["lo"] + i * F.lit(step))
+        return F.when(span["hi"] > span["lo"], xs)
+
+    return let(F.struct(lo.alias("lo"), hi.alias("hi")), grid)
 
 
 def curve_integral(points: Column, step: float = C.STEP_NM) -> Column:
@@ -152,13 +157,6 @@ def activations(points: Column, receptors, gains, step: float = C.STEP_NM) -> Co
     return F.zip_with(gated, caps, lambda a, c: F.when(c < float("inf"), F.least(a, c)).otherwise(a))
 
 
-def _paired(grid: Column, a: Column, b: Column, combine) -> Column:
-    """Points where both curves are defined, combined."""
-    rows = F.transform(F.arrays_zip(grid.alias("wl"), a.alias("a"), b.alias("b")), lambda r: r)
-    kept = F.filter(rows, lambda r: r["a"].isNotNull() & r["b"].isNotNull())
-    return F.transform(kept, lambda r: F.struct(r["wl"].alias("wl"), combine(r["a"], r["b"]).alias("v")))
-
-
 def _overlap_grid(points: Column, fixed: Bundle, step: float) -> Column:
     lo, hi = domain(points)
     return steps_grid(F.greatest(lo, F.lit(float(fixed.lo[0]))), F.least(hi, F.lit(float(fixed.hi[0]))), step)
@@ -185,14 +183,17 @@ def divide_by_light(df: DataFrame, light, points="points", step: float = C.STEP_
     )
 
 
-def multiply_by_light(df: DataFrame, light, points="points", step: float = C.STEP_NM) -> DataFrame:
-    """Reflectance times light on their common domain."""
+def _products() -> Column:
+    """Points of ``_wl`` where ``_a`` and ``_b`` are both defined, multiplied."""
     cells = F.arrays_zip(F.col("_wl").alias("wl"), F.col("_a").alias("a"), F.col("_b").alias("b"))
     kept = F.filter(cells, lambda r: r["a"].isNotNull() & r["b"].isNotNull())
     out = F.transform(kept, lambda r: F.struct(r["wl"].alias("wl"), (r["a"] * r["b"]).alias("v")))
-    return _with_grid(df, points, light, step).withColumn(points, F.coalesce(out, F.expr(_NO_POINTS))).drop(
-        "_wl", "_a", "_b"
-    )
+    return F.coalesce(out, F.expr(_NO_POINTS))
+
+
+def multiply_by_light(df: DataFrame, light, points="points", step: float = C.STEP_NM) -> DataFrame:
+    """Reflectance times light on their common domain."""
+    return _with_grid(df, points, light, step).withColumn(points, _products()).drop("_wl", "_a", "_b")
 
 
 def unit_error(kind: Column, unit: Column, light_kind: str, light_unit: str | None) -> Column:
@@ -262,11 +263,15 @@ def apply_absorption(df: DataFrame, absorber, weight: float, name: str, points="
     """Light times absorber to the power ``weight``, sampled on the regular grid and on every knot of either."""
     fixed = np.asarray(absorber, dtype=float).reshape(-1, 2)
     lo, hi = domain(F.col(points))
-    n = F.floor((hi - lo) / step).cast("int")
-    regular = F.transform(F.sequence(F.lit(0), n), lambda i: lo + i * F.lit(step))
     own = F.transform(points, lambda p: p["wl"])
-    marks = F.filter(F.lit([float(w) for w in fixed[:, 0]]), lambda w: (w >= F.col("_lo")) & (w <= F.col("_hi")))
-    every = F.array_sort(F.concat(regular, F.array(hi), own, marks))
+
+    def union(s):
+        n = F.floor((s["hi"] - s["lo"]) / step).cast("int")
+        regular = F.transform(F.sequence(F.lit(0), n), lambda i: s["lo"] + i * F.lit(step))
+        marks = F.filter(F.lit([float(w) for w in fixed[:, 0]]), lambda w: (w >= s["lo"]) & (w <= s["hi"]))
+        return F.array_sort(F.concat(regular, F.array(s["hi"]), own, marks))
+
+    every = let(F.struct(lo.alias("lo"), hi.alias("hi")), union)
 
     # neighbours closer than 1e-9 collapse onto the first of them
     def thin(kept, w):
@@ -275,7 +280,7 @@ def apply_absorption(df: DataFrame, absorber, weight: float, name: str, points="
         )
 
     grid = F.aggregate(every, F.expr("cast(array() as array<double>)"), thin)
-    ready = df.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_wl", grid)
+    ready = df.withColumn("_wl", grid)
     ready = ready.withColumn("_a", values_at(F.col(points), F.col("_wl"))).withColumn(
         "_t", literal_values(absorber, F.col("_wl"))
     )
@@ -288,19 +293,19 @@ def apply_absorption(df: DataFrame, absorber, weight: float, name: str, points="
             .alias("v"),
         ),
     )
-    result = ready.withColumn(points, F.coalesce(out, F.col(points))).drop("_lo", "_hi", "_wl", "_a", "_t")
+    result = ready.withColumn(points, F.coalesce(out, F.col(points))).drop("_wl", "_a", "_t")
     if "metadata" in df.columns:
         note = F.create_map(F.lit(f"absorption: {name}"), F.lit(f"weight {weight:g}"))
         result = result.withColumn("metadata", F.map_concat(F.coalesce("metadata", F.expr("map()")), note))
     return result
 
 
-def composite_points(opsin: Column, droplet: Column, step: float) -> tuple[Column, Column]:
-    """Common grid of two curve columns and their product as points (opsin behind a filter)."""
-    a0, a1 = domain(opsin)
-    b0, b1 = domain(droplet)
-    grid = steps_grid(F.greatest(a0, b0), F.least(a1, b1), step)
-    return grid, _paired(grid, values_at(opsin, grid), values_at(droplet, grid), lambda a, b: a * b)
+def multiply_curves(df: DataFrame, a: str, b: str, step: float, into: str) -> DataFrame:
+    """Product of two curve columns on their common domain, e.g. a pigment behind its filter."""
+    (a0, a1), (b0, b1) = domain(F.col(a)), domain(F.col(b))
+    both = df.withColumn("_wl", steps_grid(F.greatest(a0, b0), F.least(a1, b1), step))
+    both = both.withColumn("_a", values_at(F.col(a), F.col("_wl"))).withColumn("_b", values_at(F.col(b), F.col("_wl")))
+    return both.withColumn(into, _products()).drop("_wl", "_a", "_b")
 
 
 def out_of_unit_range(kind: Column, points: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake import constants as C
+from opsinlake.functions.bind import let
 from opsinlake.operators.compare import coordinate_rows
 from opsinlake.plans.adaptation import common_grid, sharpen
 from opsinlake.plans.kernel import CurveKernel
@@ -77,15 +78,15 @@ def corpus_contrasts(corpus: DataFrame, kernel: CurveKernel, weight: Column, spe
     return contrasts_from_covariance(cov)
 
 
-def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) -> list[list[Column]]:
-    """Response covariance when reflectances are smooth with correlation ``exp(-|d|/length)``, per row of lengths.
+def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) -> Column:
+    """Response covariance when reflectances are smooth with correlation ``exp(-|d|/length)``, per row of lengths: a
+    struct with a field ``cov<i>_<j>`` per receptor pair.
 
     The exponential kernel is separable, so each row needs one forward pass over the wavelength grid instead of a
     product over all wavelength pairs.
     """
     grid = common_grid([*receptor_curves, light], step)
     t = grid[:-1] * grid[-1]
-    decay = F.exp(F.lit(-step) / length_nm)
     n = len(t)
     state = {f"c{j}": F.lit(0.0) for j in range(n)} | {f"p{i}_{j}": F.lit(0.0) for i in range(n) for j in range(i, n)}
     cells = F.lit([[float(v) for v in col] for col in t.T])
@@ -93,18 +94,24 @@ def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) ->
     def pack(d):
         return F.struct(*[v.alias(k) for k, v in d.items()])
 
-    def walk(s, cell):
-        # c_j carries sum_b<a decay^(a-b) t_j[b]; a pair gains both orders of it plus the diagonal term
-        carry = {f"c{j}": s[f"c{j}"] * decay for j in range(n)}
-        out = {f"c{j}": carry[f"c{j}"] + cell[j] for j in range(n)}
-        for i in range(n):
-            for j in range(i, n):
-                both = cell[i] * carry[f"c{j}"] + cell[j] * carry[f"c{i}"] + cell[i] * cell[j]
-                out[f"p{i}_{j}"] = s[f"p{i}_{j}"] + both
-        return pack(out)
-
-    sums = F.aggregate(cells, pack(state), walk)
-    return [[sums[f"p{min(i, j)}_{max(i, j)}"] * F.lit(step * step) for j in range(n)] for i in range(n)]
+    def walk(decay):
+        def add(s, cell):
+            # c_j carries sum_b<a decay^(a-b) t_j[b]; a pair gains both orders of it plus the diagonal term
+            carry = {f"c{j}": s[f"c{j}"] * decay for j in range(n)}
+            out = {f"c{j}": carry[f"c{j}"] + cell[j] for j in range(n)}
+            for i in range(n):
+                for j in range(i, n):
+                    both = cell[i] * carry[f"c{j}"] + cell[j] * carry[f"c{i}"] + cell[i] * cell[j]
+                    out[f"p{i}_{j}"] = s[f"p{i}_{j}"] + both
+            return pack(out)
+
+        def finish(s):
+            pairs = [(i, j) for i in range(n) for j in range(i, n)]
+            return F.struct(*[(s[f"p{i}_{j}"] * F.lit(step * step)).alias(f"cov{i}_{j}") for i, j in pairs])
+
+        return F.aggregate(cells, pack(state), add, finish)
+
+    return let(F.exp(F.lit(-step) / length_nm), walk)
 
 
 def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:

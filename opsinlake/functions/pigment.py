@@ -61,6 +61,14 @@ def template_points(chromophore: str, peak_nm: Column, peak: Column, lo: float,
     return let(F.struct(peak_nm.alias("at"), peak.alias("top")), curve)
 
 
+def template_values(chromophore: str, peak_nm: Column, peak: Column, grid: Column) -> Column:
+    """Peak-normalised template on an array of wavelengths."""
+    fixed = F.struct(peak_nm.alias("at"), peak.alias("top"))
+    return let(
+        fixed, lambda f: F.transform(grid, lambda wl: template_raw(chromophore, f["at"], wl, F.exp) / f["top"])
+    )
+
+
 def template_curve(chromophore: str, peak_nm: float, lo=C.TEMPLATE_LO_NM, hi=C.TEMPLATE_HI_NM, step=C.TEMPLATE_STEP_NM):
     """Driver-side template of one receptor, as an (n, 2) array."""
     scan = peak_nm - 5.0 + 0.05 * np.arange(201)

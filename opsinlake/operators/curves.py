@@ -88,11 +88,19 @@ def _integrals(points: pa.Array, fixed: list[Bundle] | None, step: float) -> pa.
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def values_at(points: pa.Array, grid: pa.Array) -> pa.Array:
-    """Monotone-cubic values of a curve on a grid of wavelengths; null outside the curve's domain."""
+def _values(points: pa.Array, grid: pa.Array) -> pa.Array:
     return _evaluate(points, grid)
 
 
+def values_at(points: Column, grid: Column) -> Column:
+    """Monotone-cubic values of a curve on a grid of wavelengths; null outside the curve's domain.
+
+    Marked as not repeatable so that the optimizer keeps one evaluation per step of a chain (dividing by a light,
+    then predicting under another) instead of folding one step's result into every use of the next.
+    """
+    return _values.asNondeterministic()(points, grid)
+
+
 def literal_values(curve, grid: Column) -> Column:
     """Values of one fixed curve on per-row grids."""
     fixed = Bundle.of(np.asarray(curve, dtype=float))
@@ -104,7 +112,7 @@ def literal_values(curve, grid: Column) -> Column:
         flat = xs.flatten().to_numpy(zero_copy_only=False).astype(float)
         return ragged(fixed.at(np.zeros(len(flat), dtype=np.int64), flat), steps, ok)
 
-    return lookup(grid)
+    return lookup.asNondeterministic()(grid)
 
 
 def _whole(v: Column) -> Column:
@@ -375,8 +383,8 @@ def native_segments(df: DataFrame, points="points", into="segments") -> DataFram
 
 def native_value(segs: Column, x: Column) -> Column:
     """Value at one wavelength from ``native_segments``; null outside."""
-    s = F.element_at(F.filter(segs, lambda g: (g["x0"] <= x) & (x < g["x1"])), 1)
-    last = F.element_at(segs, -1)
+    s = F.try_element_at(F.filter(segs, lambda g: (g["x0"] <= x) & (x < g["x1"])), F.lit(1))
+    last = F.try_element_at(segs, F.lit(-1))
     h = s["x1"] - s["x0"]
     t = (x - s["x0"]) / h
     inside = (

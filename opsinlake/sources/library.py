@@ -99,7 +99,7 @@ def parse_systems(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def load_library(spark: SparkSession, path: str) -> DataFrame:
     """Every readable system document under a folder, one file per system; ``path`` orders them."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     named = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return parse_systems(named)
 
@@ -140,7 +140,7 @@ def content_hash() -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.trim(F.lit("_"), F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "_")))
+    return F.trim(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "_")), F.lit("_"))
 
 
 def write_library(systems: DataFrame, path: str) -> None:

@@ -37,7 +37,7 @@ def parse_spectra(files: DataFrame, file: str = "file", text: str = "text") -> D
 
 def read_spectra(spark: SparkSession, path: str) -> DataFrame:
     """Text spectra under a path, line by line; one row per file, points in file order."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     rows = parse_spectra(files.select(F.input_file_name().alias("file"), F.col("value").alias("text")))
     packed = F.array_sort(F.collect_list(F.struct("line", "wl", "v")))
     return rows.groupBy("file").agg(

@@ -10,12 +10,13 @@ from opsinlake.functions import color, lights, pigment
 from opsinlake.operators import colors, curves, opponent
 from opsinlake.plans.adaptation import common_grid
 from opsinlake.plans.systems import builtin
+from opsinlake.session import spread
 
 PEAK_SQL = "CAST(340 + 6 * p_size AS DOUBLE)"
 
 
 def _peaks(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     return p.select("p_partkey", "p_size", "p_retailprice", "p_brand", (340.0 + 6.0 * F.col("p_size")).alias("peak"))
 
 
@@ -297,7 +298,7 @@ def _smooth_sql():
 @query(_smooth_sql)
 def smooth_scene_covariance(spark, sf):
     """Covariance of human receptors over smooth random reflectances, one correlation length per part."""
-    p = table(spark, sf, "part").select("p_partkey", (4.0 * F.col("p_size")).alias("l"))
+    p = spread(table(spark, sf, "part")).select("p_partkey", (4.0 * F.col("p_size")).alias("l"))
     cov = opponent.smooth_covariance([r.points for r in builtin("Human").pool], SOLAR, F.col("l"), _SMOOTH_STEP)
     rows = p.withColumn("cov", cov)
     return rows.select(

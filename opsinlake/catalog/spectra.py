@@ -19,6 +19,7 @@ from opsinlake.operators import colors, compare, corpus, curves, opponent
 from opsinlake.operators.cubes import as_points, quantity
 from opsinlake.plans import kernel as K
 from opsinlake.plans.systems import builtin, builtin_systems
+from opsinlake.session import spread
 from opsinlake.sources import text
 
 RED = np.array([(400.0, 0.9), (480.0, 0.2), (560.0, 0.4), (610.0, 1.0), (715.0, 0.7)])  # a lamp with its own knots
@@ -149,7 +150,7 @@ def _matrix_sql(metric):
 
 def _matrix(spark, sf, metric):
     k = [human()]
-    m = compare.difference_matrix(_region_coords(spark, sf, k), k, metric, "region_id")
+    m = compare.difference_matrix(_region_coords(spark, sf, k), k, metric, "region_id", len(images.REGIONS))
     return m.withColumn("distance", rnd("distance"))
 
 
@@ -184,7 +185,7 @@ def _cross_sql():
 @query(_cross_sql)
 def cross_species_summary(spark, sf):
     ks = list(all_kernels())
-    df = compare.cross_species(_region_coords(spark, sf, ks), ks, "region_id")
+    df = compare.cross_species(_region_coords(spark, sf, ks), ks, "region_id", len(images.REGIONS))
     return df.select("a_id", "b_id", *[rnd(F.col(f"`{k.system}`")).alias(f"s{i}") for i, k in enumerate(ks)])
 
 
@@ -242,7 +243,7 @@ def batch_export(spark, sf):
 def curve_table(spark, sf):
     """Embeddings as curves: every third a reflectance, then a radiance, then a radiance in another unit or an
     absorption curve; a batch path per label."""
-    s = spectra(spark, sf)
+    s = spread(spectra(spark, sf))
     m = F.col("vec_id") % 4
     kind = F.when(m == 0, quantity("Reflectance")).when(m == 1, quantity("Radiance", "relative")).when(
         m == 2, quantity("Radiance", "W/m2/nm")).otherwise(quantity("Absorption"))
@@ -530,7 +531,7 @@ def text_files(spark, sf):
         lambda p: F.concat((p["wl"] / unit).cast("string"), F.lit(", "), F.round(p["v"] * 1000).cast("int").cast("string")),
     )
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("prose"))
-    joined = s.join(docs, "vec_id", "left")
+    joined = spread(s).join(docs, "vec_id", "left")
     return joined.select(
         F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("file"),
         F.concat(

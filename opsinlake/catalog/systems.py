@@ -8,6 +8,7 @@ from opsinlake import schema as S
 from opsinlake.catalog.base import query, rnd, rsql, table
 from opsinlake.functions import pigment
 from opsinlake.operators import opponent, validate
+from opsinlake.session import spread
 from opsinlake.sources import library
 
 # ------------------------------------------------------------------ long receptor tables
@@ -113,7 +114,7 @@ def receptor_overlap(spark, sf):
 @query()
 def adaptation_sweep(spark, sf):
     """Sharpening matrix of one trichromat per supplier, its receptor peaks shifted by the supplier's nation and key."""
-    s = table(spark, sf, "supplier")
+    s = spread(table(spark, sf, "supplier"))
     shift = [F.col("s_nationkey") * 1.0, F.col("s_suppkey") % 17 * 1.0, F.col("s_suppkey") % 23 + 15.0]
     grid = F.lit([300.0 + 5.0 * i for i in range(91)])
     peaks = s.select("s_suppkey", *[(F.lit(b) + d).alias(f"p{i}") for i, (b, d) in enumerate(zip((415.0, 515.0, 560.0), shift))])
@@ -121,11 +122,8 @@ def adaptation_sweep(spark, sf):
         peaks = peaks.withColumn(f"t{i}", pigment.template_peak("A1", F.col(f"p{i}")))
     for i in range(3):
         peaks = peaks.withColumn(f"v{i}", pigment.template_values("A1", F.col(f"p{i}"), F.col(f"t{i}"), grid))
-    dots = [F.aggregate(F.zip_with(f"v{i}", f"v{j}", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) * 5.0
-            for i in range(3) for j in range(3)]
-    # few rows, much work per row: spread them over every core
-    solved = peaks.select("s_suppkey", F.array(*dots).alias("gram")).repartition(
-        spark.sparkContext.defaultParallelism, "s_suppkey").withColumn("r", opponent.sharpen_column(F.col("gram")))
+    peaks = peaks.withColumn("gram", opponent.gram_column(F.array("v0", "v1", "v2"), 5.0))
+    solved = peaks.select("s_suppkey", opponent.sharpen_column(F.col("gram")).alias("r"))
     return solved.select("s_suppkey", F.col("r.lambda").alias("strength"), F.col("r.dominant").alias("dominant"),
                          F.inline(F.transform("r.matrix", lambda v, i: F.struct(i.alias("cell"), v.alias("value")))))
 

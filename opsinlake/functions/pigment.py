@@ -7,12 +7,16 @@ The formulas are written once over Python operators, so the same definition buil
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsinlake import constants as C
 from opsinlake.functions.bind import let
 
+_SCAN = -5.0 + 0.05 * np.arange(201)
+
 
 def _alpha(a, x, exp):
     return 1.0 / (exp(69.7 * (a - x)) + exp(28.0 * (0.922 - x)) + exp(-14.9 * (1.104 - x)) + 0.674)
@@ -38,12 +42,17 @@ def template_raw(chromophore: str, peak_nm, wl, exp):
 
 def template_peak(chromophore: str, peak_nm: Column) -> Column:
     """Largest raw template value within 5 nm of the nominal peak, scanned every 0.05 nm."""
-    return F.array_max(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(200)),
-            lambda i: template_raw(chromophore, peak_nm, peak_nm - 5.0 + i * F.lit(0.05), F.exp),
-        )
-    )
+
+    @F.arrow_udf(T.DoubleType())
+    def scan(peaks: pa.Array) -> pa.Array:
+        centre = peaks.to_numpy(zero_copy_only=False).astype(float)
+        top = np.empty(len(centre))
+        for a in range(0, len(centre), 4096):
+            part = centre[a:a + 4096, None]
+            top[a:a + 4096] = template_raw(chromophore, part, part + _SCAN, np.exp).max(axis=1)
+        return pa.array(top, mask=np.asarray(peaks.is_null()))
+
+    return scan.asNondeterministic()(peak_nm)  # evaluated once, also where a curve function builds on it
 
 
 def template_points(chromophore: str, peak_nm: Column, peak: Column, lo: float, hi: float, step: float) -> Column:
@@ -71,8 +80,7 @@ def template_values(chromophore: str, peak_nm: Column, peak: Column, grid: Colum
 
 def template_curve(chromophore: str, peak_nm: float, lo=C.TEMPLATE_LO_NM, hi=C.TEMPLATE_HI_NM, step=C.TEMPLATE_STEP_NM):
     """Driver-side template of one receptor, as an (n, 2) array."""
-    scan = peak_nm - 5.0 + 0.05 * np.arange(201)
-    top = template_raw(chromophore, peak_nm, scan, np.exp).max()
+    top = template_raw(chromophore, peak_nm, peak_nm + _SCAN, np.exp).max()
     wl = lo + step * np.arange(int(np.floor((hi - lo) / step + 0.5)) + 1)
     return np.column_stack([wl, template_raw(chromophore, peak_nm, wl, np.exp) / top])
 

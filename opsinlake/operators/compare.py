@@ -195,13 +195,15 @@ def distance_to_references(coords: DataFrame, references: DataFrame, kernels: li
     return left.select(id_column, "system", "regime", F.col("ref_id"), d.alias("distance"))
 
 
-def difference_matrix(coords: DataFrame, kernels: list[CurveKernel], metric: str, id_column="id") -> DataFrame:
+def difference_matrix(coords: DataFrame, kernels: list[CurveKernel], metric: str, id_column="id",
+                      count: int | None = None) -> DataFrame:
     """Upper triangle (``a_id < b_id``) of the distances within each system, for a hand-picked set of stimuli.
 
     The output is quadratic, so a set above ``MATRIX_LIMIT`` is refused rather than paired;
-    ``distance_to_references`` serves larger sets. The refused size also bounds the broadcast side.
+    ``distance_to_references`` serves larger sets. The refused size also bounds the broadcast side. ``count`` is the
+    number of stimuli when the caller knows it; otherwise they are counted first.
     """
-    many = coords.select(id_column).distinct().limit(MATRIX_LIMIT + 1).count()
+    many = coords.select(id_column).distinct().limit(MATRIX_LIMIT + 1).count() if count is None else count
     if many > MATRIX_LIMIT:
         raise ValueError(f"more than {MATRIX_LIMIT} stimuli in one matrix; compare against references instead")
     a, b = _rename(coords, id_column, "a_"), _rename(coords, id_column, "b_")
@@ -218,9 +220,9 @@ def mirrored(matrix_rows: DataFrame) -> DataFrame:
     return matrix_rows.unionByName(flipped).unionByName(diagonal)
 
 
-def cross_species(coords: DataFrame, kernels: list[CurveKernel], id_column="id") -> DataFrame:
+def cross_species(coords: DataFrame, kernels: list[CurveKernel], id_column="id", count: int | None = None) -> DataFrame:
     """Stimulus pairs by species: receptor-noise distance per species column, null where a species lacks noise."""
-    pairs = difference_matrix(coords, kernels, DELTA_S, id_column)
+    pairs = difference_matrix(coords, kernels, DELTA_S, id_column, count)
     return pairs.groupBy("a_id", "b_id").pivot("system", [k.system for k in kernels]).agg(F.first("distance"))
 
 

@@ -143,7 +143,7 @@ def curve_integral(points: Column, step: float = C.STEP_NM) -> Column:
     def area(curves: pa.Array) -> pa.Array:
         return _integrals(curves, None, step)
 
-    return F.coalesce(area(points)[0], F.lit(0.0))
+    return F.coalesce(area.asNondeterministic()(points)[0], F.lit(0.0))
 
 
 def product_integrals(points: Column, fixed, step: float = C.STEP_NM) -> Column:
@@ -154,7 +154,7 @@ def product_integrals(points: Column, fixed, step: float = C.STEP_NM) -> Column:
     def products(curves: pa.Array) -> pa.Array:
         return _integrals(curves, others, step)
 
-    return products(points)
+    return products.asNondeterministic()(points)
 
 
 def activations(points: Column, receptors, gains, step: float = C.STEP_NM) -> Column:
@@ -277,7 +277,7 @@ def apply_absorption(df: DataFrame, absorber, weight: float, name: str, points="
         n = F.floor((s["hi"] - s["lo"]) / step).cast("int")
         regular = F.transform(F.sequence(F.lit(0), n), lambda i: s["lo"] + i * F.lit(step))
         marks = F.filter(F.lit([float(w) for w in fixed[:, 0]]), lambda w: (w >= s["lo"]) & (w <= s["hi"]))
-        return F.array_sort(F.concat(regular, F.array(s["hi"]), own, marks))
+        return F.sort_array(F.concat(regular, F.array(s["hi"]), own, marks))
 
     every = let(F.struct(lo.alias("lo"), hi.alias("hi")), union)
 
@@ -327,7 +327,7 @@ def out_of_unit_range(kind: Column, points: Column) -> Column:
 def segments(points: Column) -> Column:
     """Hermite segments of a curve: ``array<struct<x0,x1,y0,y1,m0,m1>>``, built without leaving the JVM."""
     placed = F.transform(points, lambda p, i: F.struct(p["wl"].alias("wl"), i.alias("i"), p["v"].alias("v")))
-    ordered = F.array_sort(placed)
+    ordered = F.sort_array(placed)
     knots = F.filter(ordered, lambda p, i: (i == 0) | (p["wl"] != F.element_at(ordered, F.greatest(i, F.lit(1)))["wl"]))
     return knots
 

@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsinlake import constants as C
-from opsinlake.functions.bind import let
+from opsinlake.functions.arrays import ragged
 from opsinlake.operators.compare import coordinate_rows
 from opsinlake.plans.adaptation import common_grid, sharpen
 from opsinlake.plans.kernel import CurveKernel
@@ -82,36 +83,29 @@ def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) ->
     """Response covariance when reflectances are smooth with correlation ``exp(-|d|/length)``, per row of lengths: a
     struct with a field ``cov<i>_<j>`` per receptor pair.
 
-    The exponential kernel is separable, so each row needs one forward pass over the wavelength grid instead of a
-    product over all wavelength pairs.
+    The exponential kernel is separable, so a row needs one forward pass over the wavelength grid instead of a product
+    over all wavelength pairs; the rows of a batch take that pass together.
     """
     grid = common_grid([*receptor_curves, light], step)
     t = grid[:-1] * grid[-1]
     n = len(t)
-    state = {f"c{j}": F.lit(0.0) for j in range(n)} | {f"p{i}_{j}": F.lit(0.0) for i in range(n) for j in range(i, n)}
-    cells = F.lit([[float(v) for v in col] for col in t.T])
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    names = [f"cov{i}_{j}" for i, j in pairs]
 
-    def pack(d):
-        return F.struct(*[v.alias(k) for k, v in d.items()])
+    @F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
+    def covariance(lengths: pa.Array) -> pa.Array:
+        decay = np.exp(-step / lengths.to_numpy(zero_copy_only=False).astype(float))[:, None]
+        carry, total = np.zeros((len(decay), n)), np.zeros((len(decay), len(pairs)))
+        for cell in t.T:
+            # carry_j holds sum_{b<a} decay^(a-b) t_j[b]; a pair gains both orders of it and the diagonal term
+            carry = carry * decay
+            for p, (i, j) in enumerate(pairs):
+                total[:, p] += cell[i] * carry[:, j] + cell[j] * carry[:, i] + cell[i] * cell[j]
+            carry = carry + cell
+        columns = [pa.array(step * step * total[:, p]) for p in range(len(pairs))]
+        return pa.StructArray.from_arrays(columns, names=names)
 
-    def walk(decay):
-        def add(s, cell):
-            # c_j carries sum_b<a decay^(a-b) t_j[b]; a pair gains both orders of it plus the diagonal term
-            carry = {f"c{j}": s[f"c{j}"] * decay for j in range(n)}
-            out = {f"c{j}": carry[f"c{j}"] + cell[j] for j in range(n)}
-            for i in range(n):
-                for j in range(i, n):
-                    both = cell[i] * carry[f"c{j}"] + cell[j] * carry[f"c{i}"] + cell[i] * cell[j]
-                    out[f"p{i}_{j}"] = s[f"p{i}_{j}"] + both
-            return pack(out)
-
-        def finish(s):
-            pairs = [(i, j) for i in range(n) for j in range(i, n)]
-            return F.struct(*[(s[f"p{i}_{j}"] * F.lit(step * step)).alias(f"cov{i}_{j}") for i, j in pairs])
-
-        return F.aggregate(cells, pack(state), add, finish)
-
-    return let(F.exp(F.lit(-step) / length_nm), walk)
+    return covariance(length_nm)
 
 
 def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:
@@ -126,18 +120,41 @@ def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:
         F.raise_error(F.lit(f"a system exceeds the limit of {C.MAX_RECEPTORS} receptors"))
     )
     packed = samples.join(counted, keys).withColumn("values", values).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("receptor", "values"))).alias("_m")
+        F.sort_array(F.collect_list(F.struct("receptor", "values"))).alias("_m")
     )
-    return (
-        packed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_m"))))
-        .withColumn("_j", F.explode(F.sequence(F.col("_i"), F.size("_m"))))
-        .select(*keys, F.element_at("_m", F.col("_i")).alias("_a"), F.element_at("_m", F.col("_j")).alias("_b"))
-        .select(
-            *keys, F.col("_a.receptor").alias("k"), F.col("_b.receptor").alias("l"),
-            (F.aggregate(F.zip_with("_a.values", "_b.values", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-             * F.lit(step)).alias("overlap"),
-        )
+    members = F.transform("_m", lambda m: m["receptor"])
+    gram = gram_column(F.transform("_m", lambda m: m["values"]), step)
+    ready = packed.select(*keys, members.alias("_r"), gram.alias("_g"))
+    # the Gram array is row-major: cell (i, j) of n sits at i * n + j; the upper triangle has each pair once
+    pairs = F.expr(
+        "transform(filter(sequence(0, size(_g) - 1), c -> c % size(_r) >= c div size(_r)), c -> named_struct("
+        "'k', _r[int(c div size(_r))], 'l', _r[c % size(_r)], 'overlap', _g[c]))"
     )
+    return ready.select(*keys, F.inline(pairs))
+
+
+def gram_column(values: Column, step: float) -> Column:
+    """Row-major overlap matrix of a few equally sampled curves per row (``array<array<double>>``).
+
+    Rows of one batch with equally many curves are multiplied together.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def products(rows: pa.Array) -> pa.Array:
+        curves = rows.flatten()
+        count = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        x = curves.flatten().to_numpy(zero_copy_only=False).reshape(len(curves), -1)
+        first = np.cumsum(count) - count
+        out = np.empty(int((count**2).sum()))
+        at = np.cumsum(count**2) - count**2
+        for n in np.unique(count):
+            rows_n = np.nonzero(count == n)[0]
+            stack = x[first[rows_n][:, None] + np.arange(n)]
+            cells = step * (stack @ np.swapaxes(stack, 1, 2)).reshape(len(rows_n), -1)
+            out[at[rows_n][:, None] + np.arange(n * n)] = cells
+        return ragged(out, count**2, np.ones(len(count), dtype=bool))
+
+    return products.asNondeterministic()(values)
 
 
 def sharpen_column(grams: Column) -> Column:
@@ -166,4 +183,4 @@ def sharpen_column(grams: Column) -> Column:
             ("dominant", pa.bool_()),
         ]))
 
-    return solve(grams)
+    return solve.asNondeterministic()(grams)

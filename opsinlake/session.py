@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +21,17 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
-def use_checkpoints(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the one the cluster names, or a fresh one where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context.getCheckpointDir()
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for work that is heavy per row: a table read as fewer partitions than the session has cores is
+    repartitioned. Larger tables are left as they are, so this never shuffles data that is already spread. Meant for plain
+    table reads, whose partitions are known without running anything."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, rows: int | None = None,

@@ -120,7 +120,7 @@ def _curve_document(c: Column) -> Column:
 
 def system_json(marker: bool = True) -> Column:
     """A system row as its document text, with metadata keys in order so equal content gives equal text."""
-    meta = F.array_sort(F.map_entries("metadata"))
+    meta = F.sort_array(F.map_entries("metadata"))
     if not marker:
         meta = F.filter(meta, lambda e: e["key"] != MARKER)
     regimes = F.transform("regimes", lambda r: F.struct(

@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsinlake.functions.bind import let
+
 NO_DATA = 1.0e30
 MICROMETRE_BELOW = 50.0
 
 
-def parse_spectra(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """Whole files to ``file, line, wl, v`` rows.
+def parse_points(text: Column) -> Column:
+    """Points of a text spectrum in file order, as ``array<struct<line,wl,v>>``.
 
-    Blank lines, lines that start with ``#`` or ``!`` and lines whose first two fields are not numbers are skipped,
-    as are non-finite values and values of 1e30 and more. When the largest wavelength of a file lies in (0, 50)
-    the file is in micrometres. That maximum is a grouped aggregate joined back, so a huge file stays split.
+    Blank lines, lines that start with ``#`` or ``!`` and lines whose first two fields are not numbers are skipped, as
+    are non-finite values and values of 1e30 and more. When the largest wavelength lies in (0, 50) the text is in
+    micrometres. A text is one value of one row, so parsing is a projection.
     """
-    lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("line", "_t"))
-    t = F.regexp_replace("_t", r"^\s+|\s+$", "")
-    fields = F.filter(F.split(t, r"[,\s]+"), lambda s: s != "")
-    comment = (t == "") | t.startswith("#") | t.startswith("!")
-    rows = (
-        lines.where(~comment)
-        .withColumn("_f", fields)
-        .select(
-            "file", F.col("line").cast("long").alias("line"),
-            F.expr("try_cast(get(_f, 0) as double)").alias("wl"), F.expr("try_cast(get(_f, 1) as double)").alias("v"),
-        )
+    lines = F.transform(
+        F.split(text, r"\r?\n"), lambda t, i: F.struct(i.cast("long").alias("line"), F.trim(t).alias("t"))
+    )
+    # only lines that begin like a number can hold one; prose drops out before any splitting
+    candidates = F.filter(lines, lambda x: x["t"].rlike(r"^\s*[+\-.0-9iInN]"))
+
+    def number(fields, i):
+        return F.get(fields, F.lit(i)).try_cast("double")
+
+    def parse(x):
+        return let(F.split(F.regexp_replace(x["t"], r"^[,\s]+", ""), r"[,\s]+"), lambda f: F.struct(
+            x["line"].alias("line"), number(f, 0).alias("wl"), number(f, 1).alias("v")))
+
+    good = F.filter(
+        F.transform(candidates, parse), lambda p: (F.abs(p["wl"]) < float("inf")) & (F.abs(p["v"]) < NO_DATA)
     )
-    good = rows.where((F.abs("wl") < float("inf")) & (F.abs("v") < NO_DATA))
-    top = good.groupBy("file").agg(F.max("wl").alias("_top"))
-    micro = (F.col("_top") > 0) & (F.col("_top") < MICROMETRE_BELOW)
-    scaled = F.when(micro, F.col("wl") * 1000.0).otherwise(F.col("wl"))
-    return good.join(top, "file").withColumn("wl", scaled).drop("_top")
+
+    def scaled(points):
+        def by_unit(top):
+            unit = F.when((top > 0) & (top < MICROMETRE_BELOW), F.lit(1000.0)).otherwise(F.lit(1.0))
+            return let(unit, lambda u: F.transform(points, lambda p: F.struct(
+                p["line"].alias("line"), (p["wl"] * u).alias("wl"), p["v"].alias("v"))))
+
+        return let(F.array_max(F.transform(points, lambda p: p["wl"])), by_unit)
+
+    return let(good, scaled)
+
+
+def parse_spectra(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """Whole files to ``file, line, wl, v`` rows."""
+    return files.select(F.col(file).alias("file"), F.inline(parse_points(F.col(text))))
 
 
 def read_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """Text spectra under a path, line by line; one row per file, points in file order."""
-    files = spark.read.text(path, wholetext=True)
-    rows = parse_spectra(files.select(F.input_file_name().alias("file"), F.col("value").alias("text")))
-    packed = F.array_sort(F.collect_list(F.struct("line", "wl", "v")))
-    return rows.groupBy("file").agg(
-        F.transform(packed, lambda p: F.struct(p["wl"].alias("wl"), p["v"].alias("v"))).alias("points")
+    """Text spectra under a path: one row per file, points in file order; files without a point are left out."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    parsed = files.select("file", parse_points(F.col("value")).alias("_p")).where(F.size("_p") > 0)
+    return parsed.select(
+        "file", F.transform("_p", lambda p: F.struct(p["wl"].alias("wl"), p["v"].alias("v"))).alias("points")
     )
 
 

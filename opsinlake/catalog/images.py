@@ -296,7 +296,7 @@ def _gradient_sql():
 @query(_gradient_sql)
 def delta_s_gradient(spark, sf):
     k = human(K.ADAPTED)
-    g = render.delta_s_gradient(render.render(pixels(spark, sf), k), k, block=8)
+    g = render.delta_s_gradient(render.render(pixels(spark, sf), k), k, keys=(), block=8)
     return g.select("vec_id", "line", "sample", rnd("magnitude", 4).alias("magnitude"))
 
 
@@ -330,7 +330,7 @@ def _region_gradient_sql():
 def delta_s_gradient_region(spark, sf):
     k, r = human(K.ADAPTED), REGIONS["diamond"]
     masked = regions.mask_region(pixels(spark, sf), r)
-    g = render.delta_s_gradient(render.render(masked, k), k, inside="in_region", block=8)
+    g = render.delta_s_gradient(render.render(masked, k), k, keys=(), inside="in_region", block=8)
     return g.select("vec_id", "line", "sample", rnd("magnitude", 4).alias("magnitude"))
 
 
@@ -343,8 +343,8 @@ def _gradient_color_sql():
 @query(_gradient_color_sql)
 def gradient_colors(spark, sf):
     k = human(K.ADAPTED)
-    g = render.delta_s_gradient(render.render(pixels(spark, sf), k), k, block=8)
-    span = g.groupBy("cube_id").agg(F.min("magnitude").alias("lo"), F.max("magnitude").alias("hi"))
+    g = render.delta_s_gradient(render.render(pixels(spark, sf), k), k, keys=(), block=8)
+    span = g.agg(F.min("magnitude").alias("lo"), F.max("magnitude").alias("hi"))
     df = display.with_ranges(g, span, cubes=1)
     return _rgb(df, display.gradient_rgb(F.col("magnitude"), F.col("lo"), F.col("hi")))
 

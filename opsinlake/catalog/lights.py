@@ -77,8 +77,7 @@ def _curves_sql():
 @query(_curves_sql)
 def pigment_curves(spark, sf):
     """Whole template curves, 300-750 nm in 5 nm steps."""
-    p = _peaks(spark, sf).withColumn("top", pigment.template_peak("A1", F.col("peak")))
-    c = p.withColumn("points", pigment.template_points("A1", F.col("peak"), F.col("top"), 300.0, 750.0, 5.0))
+    c = _peaks(spark, sf).withColumn("points", pigment.template_points("A1", F.col("peak"), 300.0, 750.0, 5.0))
     v = F.transform("points", lambda q: q["v"])
     return c.select(
         "p_partkey", F.size("points").cast("long").alias("knots"),
@@ -102,14 +101,14 @@ def _droplet_sql():
 @query(_droplet_sql)
 def droplet_effective(spark, sf):
     """Each pigment behind an oil droplet of its own cut-off: two curve columns multiplied on their common domain."""
-    p = _peaks(spark, sf).withColumn("top", pigment.template_peak("A1", F.col("peak")))
+    p = _peaks(spark, sf)
     cut = 200.0 + F.col("p_retailprice") % 400
     grid = F.sequence(F.lit(0), F.lit(90))
     droplet = F.transform(grid, lambda i: F.struct(
         (300.0 + i * F.lit(5.0)).alias("wl"),
         pigment.droplet_transmittance(300.0 + i * F.lit(5.0), cut, F.lit(C.DROPLET_STEEPNESS_NM)).alias("v"),
     ))
-    c = p.withColumn("opsin", pigment.template_points("A1", F.col("peak"), F.col("top"), 300.0, 750.0, 5.0))
+    c = p.withColumn("opsin", pigment.template_points("A1", F.col("peak"), 300.0, 750.0, 5.0))
     c = c.withColumn("droplet", droplet)
     both = curves.multiply_curves(c, "opsin", "droplet", 5.0, "points")
     v = F.transform("points", lambda q: q["v"])

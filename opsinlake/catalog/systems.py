@@ -116,12 +116,10 @@ def adaptation_sweep(spark, sf):
     """Sharpening matrix of one trichromat per supplier, its receptor peaks shifted by the supplier's nation and key."""
     s = spread(table(spark, sf, "supplier"))
     shift = [F.col("s_nationkey") * 1.0, F.col("s_suppkey") % 17 * 1.0, F.col("s_suppkey") % 23 + 15.0]
-    grid = F.lit([300.0 + 5.0 * i for i in range(91)])
     peaks = s.select("s_suppkey", *[(F.lit(b) + d).alias(f"p{i}") for i, (b, d) in enumerate(zip((415.0, 515.0, 560.0), shift))])
+    grid = [300.0 + 5.0 * i for i in range(91)]
     for i in range(3):
-        peaks = peaks.withColumn(f"t{i}", pigment.template_peak("A1", F.col(f"p{i}")))
-    for i in range(3):
-        peaks = peaks.withColumn(f"v{i}", pigment.template_values("A1", F.col(f"p{i}"), F.col(f"t{i}"), grid))
+        peaks = peaks.withColumn(f"v{i}", pigment.template_values("A1", F.col(f"p{i}"), grid))
     peaks = peaks.withColumn("gram", opponent.gram_column(F.array("v0", "v1", "v2"), 5.0))
     solved = peaks.select("s_suppkey", opponent.sharpen_column(F.col("gram")).alias("r"))
     return solved.select("s_suppkey", F.col("r.lambda").alias("strength"), F.col("r.dominant").alias("dominant"),

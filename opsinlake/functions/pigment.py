@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsinlake import constants as C
-from opsinlake.functions.bind import let
+from opsinlake.functions.arrays import lists
 
 _SCAN = -5.0 + 0.05 * np.arange(201)
 
@@ -55,27 +55,29 @@ def template_peak(chromophore: str, peak_nm: Column) -> Column:
     return scan.asNondeterministic()(peak_nm)  # evaluated once, also where a curve function builds on it
 
 
-def template_points(chromophore: str, peak_nm: Column, peak: Column, lo: float, hi: float, step: float) -> Column:
-    """Peak-normalised template as ``array<struct<wl,v>>``; ``peak`` is ``template_peak`` of the same row."""
-    n = max(int(np.floor((hi - lo) / step + 0.5)), 0)
+def template_values(chromophore: str, peak_nm: Column, wavelengths) -> Column:
+    """Peak-normalised template of each row's pigment on a fixed list of wavelengths."""
+    wl = np.asarray(wavelengths, dtype=float)[None, :]
 
-    def curve(fixed):
-        def point(i):
-            wl = F.lit(lo) + i * F.lit(step)
-            v = template_raw(chromophore, fixed["at"], wl, F.exp) / fixed["top"]
-            return F.struct(wl.alias("wl"), v.alias("v"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(n)), point)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def curve(peaks: pa.Array) -> pa.Array:
+        ok = np.asarray(peaks.is_valid())
+        centre = peaks.to_numpy(zero_copy_only=False).astype(float)[ok, None]
+        out = np.empty((len(centre), wl.shape[1]))
+        for a in range(0, len(centre), 4096):
+            part = centre[a:a + 4096]
+            top = template_raw(chromophore, part, part + _SCAN, np.exp).max(axis=1, keepdims=True)
+            out[a:a + 4096] = template_raw(chromophore, part, wl, np.exp) / top
+        return lists(out, ok, np.float64)
 
-    return let(F.struct(peak_nm.alias("at"), peak.alias("top")), curve)
+    return curve.asNondeterministic()(peak_nm)
 
 
-def template_values(chromophore: str, peak_nm: Column, peak: Column, grid: Column) -> Column:
-    """Peak-normalised template on an array of wavelengths."""
-    fixed = F.struct(peak_nm.alias("at"), peak.alias("top"))
-    return let(
-        fixed, lambda f: F.transform(grid, lambda wl: template_raw(chromophore, f["at"], wl, F.exp) / f["top"])
-    )
+def template_points(chromophore: str, peak_nm: Column, lo: float, hi: float, step: float) -> Column:
+    """Peak-normalised template as ``array<struct<wl,v>>``, both ends included."""
+    wl = [lo + step * i for i in range(max(int(np.floor((hi - lo) / step + 0.5)), 0) + 1)]
+    values = template_values(chromophore, peak_nm, wl)
+    return F.zip_with(F.lit(wl), values, lambda w, v: F.struct(w.alias("wl"), v.alias("v")))
 
 
 def template_curve(chromophore: str, peak_nm: float, lo=C.TEMPLATE_LO_NM, hi=C.TEMPLATE_HI_NM, step=C.TEMPLATE_STEP_NM):

@@ -129,7 +129,8 @@ def sort_bands(pixels: DataFrame, wavelengths, spectrum="spectrum"):
 
 
 def sensor_presets(spark) -> DataFrame:
-    return spark.createDataFrame([(n, list(w)) for n, w in C.SENSORS], "name string, wavelengths_nm array<double>")
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(list(w)).alias("wavelengths_nm")) for n, w in C.SENSORS])
+    return spark.range(1).select(F.inline(rows))
 
 
 def sample_pixels(pixels: DataFrame, stride: int, samples: int, region: Region | None = None) -> DataFrame:

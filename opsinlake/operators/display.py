@@ -12,7 +12,14 @@ BAND_SPAN_FLOOR = 1e-6
 
 
 def with_ranges(rendered: DataFrame, ranges: DataFrame, keys=("cube_id",), cubes: int | None = None) -> DataFrame:
-    """Add the per-cube ``lo``/``hi`` arrays. ``cubes`` is the number of cubes when the caller knows it."""
+    """Add the per-cube ``lo``/``hi`` arrays.
+
+    ``cubes`` is the number of cubes when the caller knows it. The range of a single image is a scalar subquery, so
+    its pixels are neither joined nor moved; otherwise see ``session.attach``.
+    """
+    if cubes == 1:
+        limits = ranges.select(F.struct("lo", "hi")).scalar()
+        return rendered.withColumn("_r", limits).select(*rendered.columns, "_r.lo", "_r.hi")
     return attach(rendered, ranges, list(keys), F.struct("line", F.expr("sample div 256")), rows=cubes)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsinlake.functions.arrays import lists, matrix
@@ -108,7 +108,8 @@ def noise_distance(a: Column, b: Column, noise) -> Column:
 
 def delta_s_gradient(rendered: DataFrame, kernel: Kernel, keys=("cube_id",), ch="ch", inside: str | None = None,
                      block: int = 128) -> DataFrame | None:
-    """Edge strength against the right and the lower neighbour, in units of receptor noise.
+    """Edge strength against the right and the lower neighbour, in units of receptor noise. ``keys`` tell images apart
+    (none for a table that holds a single image).
 
     Pixels are grouped into square blocks; the first line and column of a block are copied to the block before,
     so one shuffle serves both directions and no task ever holds more than a block. Pixels without a neighbour,
@@ -117,8 +118,6 @@ def delta_s_gradient(rendered: DataFrame, kernel: Kernel, keys=("cube_id",), ch=
     """
     if kernel.stage != ADAPTED or kernel.noise is None or len(kernel.noise) != kernel.channels:
         return None
-    from pyspark.sql import Window
-
     keys = list(keys)
     member = F.col(inside) if inside else F.lit(True)
     by, bx = F.expr(f"line div {block}"), F.expr(f"sample div {block}")

@@ -14,6 +14,7 @@ from opsinlake.catalog.base import (
 from opsinlake.operators import cubes, display, regions, render
 from opsinlake.plans import kernel as K
 from opsinlake.plans.systems import VisualSystem, builtin
+from opsinlake.sources import presets
 
 KEEP = "vec_id, line, sample"
 
@@ -497,11 +498,11 @@ def band_slice(spark, sf):
 
 @query(
     lambda: f"SELECT vec_id, 'embeddings — pixel (' || line || ',' || sample || ')' AS name, 'Radiance' AS kind, "
-    f"'relative' AS unit, 'embeddings/whole image' AS batch, {len(AXIS)} AS knots, 400.0 AS first_nm, "
+    f"'relative' AS unit, 'embeddings/whole image' AS batch, CAST({len(AXIS)} AS BIGINT) AS knots, 400.0 AS first_nm, "
     f"{rsql('px[1]')} AS first_value FROM ({PIXELS})"
 )
 def pixel_curves(spark, sf):
-    c = cubes.pixel_curves(pixels(spark, sf), AXIS, "embeddings", "embeddings/whole image")
+    c = cubes.import_pixels(pixels(spark, sf), AXIS, "embeddings", SAMPLES)
     return c.select(
         "vec_id", "name", F.col("quantity.kind").alias("kind"), F.col("quantity.unit").alias("unit"),
         F.element_at("metadata", "batch").alias("batch"), F.size("points").cast("long").alias("knots"),
@@ -604,7 +605,7 @@ def sensor_axes(spark, sf):
     bands = F.when(s.s_nationkey % 3 == 0, 9).when(s.s_nationkey % 3 == 1, 13).otherwise(7)
     c = s.select("s_suppkey", bands.alias("bands"), F.lit(None).cast("array<double>").alias("wavelengths"))
     preset = F.when(F.col("s_suppkey") % 2 == 0, C.SENSORS[0][0]).otherwise(C.SENSORS[1][0])
-    done = cubes.assign_wavelengths(c, cubes.sensor_presets(spark), preset)
+    done = cubes.assign_wavelengths(c, presets.sensors(spark), preset)
     wl = F.col("wavelengths")
     label = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     return done.select(

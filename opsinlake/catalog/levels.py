@@ -81,13 +81,13 @@ def dominant_regime_log(spark, sf):
 
 
 @query(
-    lambda: "SELECT date_trunc('hour', ts) AS hour_start, dominant_regime, count(*) AS n FROM "
+    lambda: "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_start, dominant_regime, count(*) AS n FROM "
     f"({_regimes_sql('events', LIGHT_FACTOR, 'event_id, ts')}) GROUP BY ALL"
 )
 def hourly_dominance(spark, sf):
     log = light_levels.with_regimes(_log(spark, sf), FROG, UNIFORM, light_factor(F.col("value")))
     n = light_levels.hourly_dominance(log)
-    return n.select(F.col("window.start").cast("timestamp_ntz").alias("hour_start"), "dominant_regime", "n")
+    return n.select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("hour_start"), "dominant_regime", "n")
 
 
 def _sweep_sql():

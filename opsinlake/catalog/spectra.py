@@ -77,7 +77,7 @@ def _all_sql():
         n = k.chroma
         parts.append(
             f"SELECT vec_id, '{k.system}' AS system, '{k.regime}' AS regime, {rsql('c[1]')} AS luminance, "
-            f"{rsql(_saturation('c', n))} AS saturation, {n} AS axes, {rsql('q[1]')} AS first_receptor "
+            f"{rsql(_saturation('c', n))} AS saturation, CAST({n} AS BIGINT) AS axes, {rsql('q[1]')} AS first_receptor "
             f"FROM ({curve_kernel_sql(k, 'cubic', 'vec_id')})"
         )
     return _cubic(" UNION ALL ".join(parts))

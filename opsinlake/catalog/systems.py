@@ -193,8 +193,8 @@ def documents(spark, sf):
     return current.select("s_suppkey", pick.alias("text"))
 
 
-@query(lambda: """SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 6 ELSE 3 END AS curves,
-    CASE WHEN s_suppkey % 3 <> 0 THEN 2 WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS regimes,
+@query(lambda: """SELECT s_suppkey, s_name AS name, CAST(CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 6 ELSE 3 END AS BIGINT) AS curves,
+    CAST(CASE WHEN s_suppkey % 3 <> 0 THEN 2 WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS regimes,
     CASE WHEN s_suppkey % 3 <> 0 THEN 'day' WHEN s_suppkey % 2 = 0 THEN 'Colorspace' END AS first_regime,
     CASE WHEN s_suppkey % 3 <> 0 THEN 3.0 WHEN s_suppkey % 2 = 0 THEN 3.0 END::DOUBLE AS slots,
     CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'o' END AS first_contrast,
@@ -234,7 +234,7 @@ def library_reconcile(spark, sf):
     return out.select("s_suppkey", F.col("updated").cast("long").alias("updated"), F.get("curves", 0)["eta"].alias("eta"))
 
 
-@query(lambda: """SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END AS marked, CASE WHEN s_suppkey % 5 = 1 THEN NULL
+@query(lambda: """SELECT s_name AS name, CAST(s_suppkey % 2 AS BIGINT) AS marked, CASE WHEN s_suppkey % 5 = 1 THEN NULL
     WHEN s_suppkey % 2 = 0 THEN 2.0 ELSE 3.0 END AS eta FROM supplier WHERE s_suppkey % 2 = 1 OR s_suppkey % 3 <> 0""")
 def library_restore(spark, sf):
     """Defaults (odd suppliers) restored over a library that misses some and has others edited."""
@@ -245,7 +245,7 @@ def library_restore(spark, sf):
     return out.select("name", marked.alias("marked"), F.get("curves", 1)["eta"].alias("eta"))
 
 
-@query(lambda: """SELECT s_suppkey, s_name || ' variant' AS name, CASE WHEN s_suppkey % 4 = 3 THEN 3 ELSE 2 END AS curves,
+@query(lambda: """SELECT s_suppkey, s_name || ' variant' AS name, CAST(CASE WHEN s_suppkey % 4 = 3 THEN 3 ELSE 2 END AS BIGINT) AS curves,
     CASE s_suppkey % 4 WHEN 0 THEN '0,1' WHEN 1 THEN '0,1' WHEN 2 THEN '0,1' ELSE '0,1,2' END AS day,
     CASE s_suppkey % 4 WHEN 0 THEN '0,4,1' WHEN 1 THEN '4,1' WHEN 2 THEN '1,4' ELSE '1,5,2' END AS night,
     CASE WHEN s_suppkey % 2 = 1 THEN NULL WHEN s_suppkey % 4 = 0 THEN '0.3,0.5' ELSE '0.2,0.3' END AS day_weights,

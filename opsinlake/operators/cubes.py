@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsinlake import constants as C
 from opsinlake.operators.regions import Region, select_region
 
 LINE_BLOCK = 4096
@@ -128,11 +127,6 @@ def sort_bands(pixels: DataFrame, wavelengths, spectrum="spectrum"):
     return [float(wavelengths[i]) for i in order], pixels.withColumn(spectrum, picked)
 
 
-def sensor_presets(spark) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(list(w)).alias("wavelengths_nm")) for n, w in C.SENSORS])
-    return spark.range(1).select(F.inline(rows))
-
-
 def sample_pixels(pixels: DataFrame, stride: int, samples: int, region: Region | None = None) -> DataFrame:
     """Every ``stride``-th pixel in raster order, of the whole image or of a region.
 
@@ -203,3 +197,10 @@ def region_curves(means: DataFrame, wavelengths, source: str, label: Column, as_
             F.lit("source"), F.concat(F.lit(f'Extracted from "{source}", region '), label)
         ).alias("metadata"),
     )
+
+
+def import_pixels(pixels: DataFrame, wavelengths, source: str, samples: int, stride: int = 1,
+                  region: Region | None = None) -> DataFrame:
+    """Every ``stride``-th pixel of an image or region as a curve in the batch ``<source>/<region>``."""
+    label = "whole image" if region is None else region.label
+    return pixel_curves(sample_pixels(pixels, stride, samples, region), wavelengths, source, f"{source}/{label}")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from opsinlake import constants as C
 from opsinlake.functions.arrays import ragged
+from opsinlake.operators import curves
 from opsinlake.operators.compare import coordinate_rows
 from opsinlake.plans.adaptation import common_grid, sharpen
 from opsinlake.plans.kernel import CurveKernel
@@ -136,27 +137,63 @@ def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:
 def gram_column(values: Column, step: float) -> Column:
     """Row-major overlap matrix of a few equally sampled curves per row (``array<array<double>>``).
 
-    Rows of one batch with equally many curves are multiplied together.
+    The curves of a row share one grid; rows of a batch with equal counts and grids are multiplied together.
     """
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def products(rows: pa.Array) -> pa.Array:
-        curves = rows.flatten()
+        members = rows.flatten()
         count = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        x = curves.flatten().to_numpy(zero_copy_only=False).reshape(len(curves), -1)
+        samples = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = members.flatten().to_numpy(zero_copy_only=False)
         first = np.cumsum(count) - count
+        width = np.where(count > 0, samples[np.minimum(first, len(samples) - 1)], 0) if len(samples) else count * 0
+        start = (np.cumsum(samples) - samples)[np.minimum(first, len(samples) - 1)] if len(samples) else count * 0
         out = np.empty(int((count**2).sum()))
         at = np.cumsum(count**2) - count**2
-        for n in np.unique(count):
-            rows_n = np.nonzero(count == n)[0]
-            stack = x[first[rows_n][:, None] + np.arange(n)]
-            cells = step * (stack @ np.swapaxes(stack, 1, 2)).reshape(len(rows_n), -1)
-            out[at[rows_n][:, None] + np.arange(n * n)] = cells
+        for n, w in {(int(n), int(w)) for n, w in zip(count, width) if n}:
+            same = np.nonzero((count == n) & (width == w))[0]
+            stack = flat[start[same][:, None] + np.arange(n * w)].reshape(len(same), n, w)
+            cells = step * (stack @ np.swapaxes(stack, 1, 2)).reshape(len(same), -1)
+            out[at[same][:, None] + np.arange(n * n)] = cells
         return ragged(out, count**2, np.ones(len(count), dtype=bool))
 
     return products.asNondeterministic()(values)
 
 
+def sample_members(members: DataFrame, step: float = C.STEP_NM) -> DataFrame:
+    """Receptors of every regime on their regime's common grid: ``system, regime, slot, values``.
+
+    The grid runs from the lowest to the highest wavelength of the regime in fixed steps; a receptor is zero outside
+    its own domain.
+    """
+    lo, hi = curves.domain(F.col("points"))
+    span = members.groupBy("system", "regime").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
+    grid = curves.steps_grid(F.col("_lo"), F.col("_hi"), step)
+    placed = members.select("system", "regime", "slot", "points").join(span, ["system", "regime"]).withColumn("_x", grid)
+    values = curves.values_at(F.col("points"), F.col("_x"))
+    return placed.select(
+        "system", "regime", "slot", F.transform(values, lambda v: F.coalesce(v, F.lit(0.0))).alias("values")
+    )
+
+
+def sharpen_systems(members: DataFrame, step: float = C.STEP_NM) -> DataFrame:
+    """Sharpening matrix of every regime of a library: ``system, regime, matrix, inverse, lambda, dominant``.
+
+    ``members`` are the rows of ``validate.member_rows``. A regime above the receptor limit is an error, raised before
+    its curves are brought together.
+    """
+    keys = ["system", "regime"]
+    counted = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    checked = members.join(counted, keys).withColumn("points", F.when(
+        F.col("_n") <= C.MAX_RECEPTORS, F.col("points")).otherwise(F.raise_error(F.lit("too many receptors"))))
+    packed = sample_members(checked, step).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("slot", "values"))).alias("_m")
+    )
+    grams = packed.withColumn("_g", gram_column(F.transform("_m", lambda m: m["values"]), step))
+    return grams.withColumn("_s", sharpen_column(F.col("_g"))).select(*keys, "_s.*")
+
+
 def sharpen_column(grams: Column) -> Column:
     """Sharpening matrix per row of row-major Gram arrays: ``matrix, inverse, lambda, dominant``.
 

@@ -6,10 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsinlake.operators import compare, light_levels, validate
+from opsinlake import constants as C
+from opsinlake.functions import lights
+from opsinlake.operators import compare, light_levels, opponent, validate
+from opsinlake.plans import adaptation as A
 from opsinlake.plans import kernel as K
 from opsinlake.plans.systems import Receptor, Regime, VisualSystem, builtin, builtin_systems
-from opsinlake.sources import envi, library, text
+from opsinlake.sources import envi, library, presets, text
 from opsinlake.streaming import live
 
 
@@ -142,6 +145,45 @@ def test_shipped_flags(spark):
     assert bands == {"Scotopic": (1e-6, 3e-2, False), "Mesopic": (1e-2, 3e-2, False), "Photopic": (1e-2, None, False)}
 
 
+def test_sharpening_of_a_library_matches_the_driver(spark):
+    members = validate.member_rows(library.shipped_systems(spark))
+    got = {(r["system"], r["regime"]): r for r in opponent.sharpen_systems(members).collect()}
+    assert len(got) == 12
+    for name in ("Dog", "Honeybee", "Pigeon", "Swallowtail"):
+        s = builtin(name)
+        m, inv, lam, dominant = A.sharpen(A.gram([s.pool[i].points for i in s.regimes[0].members])[None])
+        r = got[s.name, s.regimes[0].name]
+        assert list(r["matrix"]) == pytest.approx(m[0].ravel().tolist(), abs=1e-9)
+        assert list(r["inverse"]) == pytest.approx(inv[0].ravel().tolist(), abs=1e-9)
+        assert r["lambda"] == lam[0] and r["dominant"] == dominant[0]
+
+
+def test_presets(spark):
+    assert [presets.sensors(spark).count(), presets.notches(spark).count(), presets.light_sources(spark).count()] == [2, 11, 12]
+    names = [r["name"] for r in presets.seed_stimuli(spark).collect()]
+    assert names == ["Reddish", "Greenish", "Blueish"]
+    sun = presets.seed_lights(spark).where("name like 'Daytime%'").first()
+    assert len(sun["points"]) == 1111 and sun["quantity"]["unit"] == "relative"
+    led = lights.composite_lights(presets.light_sources(spark), 300.0, 750.0, 1.0, key="name")
+    at = {(r["name"], r["wl"]): r["v"] for r in led.where("wl in (450.0, 546.0)").collect()}
+    want = lights.composite_curve([(c, 1.0) for c in C.SOURCES[3][1]], 300.0, 750.0, 1.0)
+    assert at["Cool white LED", 450.0] == pytest.approx(want[150, 1], rel=1e-12)
+
+
+def test_corpus_contrasts_are_orthonormal(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([([float(v) for v in rng.random(64)], float(w)) for w in range(1, 40)], "spectrum array<double>, w double")
+    k = opponent.ungated(K.compile_curves(builtin("Human"), 0, [400.0 + 5 * i for i in range(64)], [(300.0, 1.0), (750.0, 1.0)]))
+    rows = opponent.corpus_contrasts(df, k, F.col("w"))
+    axes = np.array([r[1] for r in rows])
+    assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9)
+    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+    assert all(max(a, key=abs) > 0 for a in axes.tolist())
+    assert opponent.corpus_contrasts(df.limit(1), k, F.col("w")) is None
+    assert opponent.corpus_contrasts(df, k, F.lit(0.0)) is None
+    assert opponent.contrasts_from_covariance([[2.0]])[0][:2] == ("Natural-scene PC1", [1.0])
+
+
 def test_fork_without_middle_cone(spark):
     frog = library.shipped_systems(spark).where("name like 'Frog%'")
     v = frog.select("name", F.lit("Frog 2").alias("new_name"), F.lit(3).alias("drop_position"))

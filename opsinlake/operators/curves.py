@@ -127,13 +127,9 @@ def domain(points: Column) -> tuple[Column, Column]:
 
 def steps_grid(lo: Column, hi: Column, step: float) -> Column:
     """lo, lo+step, ... with the number of steps rounded; null when the interval is empty."""
-
-    def grid(span):
-        n = F.greatest(_whole((span["hi"] - span["lo"]) / step), F.lit(1))
-        xs = F.transform(F.sequence(F.lit(0), n), lambda i: span["lo"] + i * F.lit(step))
-        return F.when(span["hi"] > span["lo"], xs)
-
-    return let(F.struct(lo.alias("lo"), hi.alias("hi")), grid)
+    n = F.greatest(_whole((hi - lo) / step), F.lit(1))
+    xs = F.zip_with(F.sequence(F.lit(0), n), F.array_repeat(lo, n + 1), lambda i, a: a + i * F.lit(step))
+    return F.when(hi > lo, xs)
 
 
 def curve_integral(points: Column, step: float = C.STEP_NM) -> Column:

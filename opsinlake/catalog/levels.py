@@ -56,8 +56,8 @@ def _gain_log_sql():
 
 @query(_gain_log_sql)
 def operating_gain_log(spark, sf):
-    gains = light_levels.receptor_gains(FROG, UNIFORM, light_factor(F.col("value")))
-    return _log(spark, sf).select("event_id", *[rnd(g, 9).alias(f"g{i}") for i, g in enumerate(gains)])
+    gains = light_levels.receptor_gains(FROG, UNIFORM, "f")
+    return _log(spark, sf).withColumn("f", light_factor(F.col("value"))).select("event_id", *[rnd(g, 9).alias(f"g{i}") for i, g in enumerate(gains)])
 
 
 def _dominant_sql():

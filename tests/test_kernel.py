@@ -214,3 +214,27 @@ def test_override_of_wrong_length_is_ignored():
     rr = resolve(s, r)
     assert len(rr.members) == 2 and rr.weights.sum() == pytest.approx(1.0)
     assert rr.candidates.tolist() == [[1.0, -1.0], [-1.0, 1.0]]
+
+
+def test_level_columns_match_single_gains(spark):
+    from opsinlake.operators import light_levels
+
+    windows = [(None, None, None), (1e-2, None, 0.5), (None, 1e-2, 0.25), (1.0, 1e-3, None), (-1.0, 5.0, 0.0), (1e-3, 1e1, None)]
+    base = trichromat().pool[0]
+    pool = tuple(replace(base, illumination_min=a, illumination_max=b, illumination_softness=c) for a, b, c in windows)
+    for defaults in ({}, {"illumination_min": 0.1, "illumination_softness": 0.75}):
+        s = VisualSystem("w", pool, (Regime("a b", (0, 1)), Regime("c", (2, 3, 4, 5))), **defaults)
+        levels = [0.0, 1e-9, 1e-4, 0.01, 1.0, math.nan, math.inf, -1.0]
+        df = spark.createDataFrame([(v,) for v in levels], "f double")
+        e = K.seen_irradiance(pool, FLAT)
+        d = (s.illumination_min, s.illumination_max, s.illumination_softness)
+        for r in df.select("f", *light_levels.receptor_gains(s, FLAT, "f")).collect():
+            want = K.window_gains(pool, e * r["f"] if not math.isnan(r["f"]) else e * math.nan, d)
+            assert list(r)[1:] == pytest.approx(want.tolist(), abs=1e-12)
+        both = light_levels.with_regimes(df, s, FLAT, F.col("f"))
+        for r in both.where("not isnan(f)").collect():
+            g = K.window_gains(pool, e * r["f"], d)
+            a, c = g[0] * g[1], g[2] * g[3] * g[4] * g[5]
+            assert (r["a b"], r["c"]) == pytest.approx((a, c), abs=1e-12)
+            assert r["dominant_regime"] == ("c" if c >= a else "a b")
+            assert r["active"] == bool((g[2:] > 0.1).any() if c >= a else (g[:2] > 0.1).any())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsinlake.llm import minhash
+from opsinlake.llm import decontaminate, lines, minhash, rules, substrings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -23,6 +23,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register("op1_quality_rules")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op2_substring_dedup", substrings.sql())
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@register("op8_line_dedup", lines.sql())
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf, "documents"))
+
+
+@register("op10_decontamination", decontaminate.sql())
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.flag_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

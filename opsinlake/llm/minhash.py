@@ -5,18 +5,20 @@ Each shingle of a document sends arrivals of a Poisson process whose rate is its
 Jaccard similarity of their weights. A shingle stops as soon as its next arrival is later than the latest register, so
 long documents cost about one arrival per shingle.
 
-Candidates share a band of registers. Only links that can change a group are verified: first every member of a band
-bucket against the bucket's hub, then members of buckets that still touch several groups. Verified means that the
-distinct 5-word shingles of the two texts have a Jaccard similarity of ``threshold`` or more.
+Candidates share a band of registers and agree in enough registers (four bits of each are kept for that). Only links
+that can change a group are verified: first every member of a band bucket against the bucket's hub, then, in buckets that
+still touch several groups, the members outside the largest group against the others. Verified means that the distinct
+5-word shingles of the two texts have a Jaccard similarity of ``threshold`` or more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake.llm.graph import components
@@ -25,9 +27,10 @@ from opsinlake.llm.words import blocks, mix, shingles, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
-REGISTERS = 100
-BAND = 4  # registers of a band; a pair at 0.8 shares none of the 25 bands with probability 2e-6
-SMALL_BUCKET = 128  # buckets up to this size compare what is left in one round
+REGISTERS = 160
+BAND = 4  # registers of a band
+BANDS = 25  # a pair at 0.8 shares none of them with probability 2e-6
+SLACK = 4.0  # candidates agree in the registers expected at the threshold, less this many standard deviations
 
 _U = np.uint64
 _STEP = _U(0xD1B54A32D192ED03)
@@ -66,27 +69,52 @@ def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m
     return winner.reshape(n, m)
 
 
-def bands(winner: np.ndarray, r: int = BAND) -> np.ndarray:
-    """``n`` x (m / r) band hashes."""
-    n, m = winner.shape
-    out = np.zeros((n, m // r), np.uint64)
-    parts = winner.reshape(n, m // r, r)
+def bands(winner: np.ndarray, r: int = BAND, count: int = BANDS) -> np.ndarray:
+    """``n`` x ``count`` hashes of ``r`` registers each."""
+    n = len(winner)
+    out = np.zeros((n, count), np.uint64)
+    parts = winner[:, : count * r].reshape(n, count, r)
     for j in range(r):
         out = out * _STEP + parts[:, :, j]
-    return mix(out + np.arange(m // r, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15))
+    return mix(out + np.arange(count, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15))
+
+
+def nibbles(winner: np.ndarray) -> np.ndarray:
+    """Four bits of every register, 16 registers to a 64-bit number."""
+    n, m = winner.shape
+    four = (mix(winner) & _U(15)).reshape(n, m // 16, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64)
+
+
+def enough(threshold: float, m: int = REGISTERS) -> int:
+    """Agreeing four-bit registers that a pair at ``threshold`` has but for 3 cases in 100,000."""
+    p = threshold + (1 - threshold) / 16
+    return max(0, math.ceil(m * p - SLACK * math.sqrt(m * p * (1 - p))))
+
 
+def agreeing(a: str, b: str, m: int = REGISTERS) -> Column:
+    """Number of registers whose four bits are equal, by bit operations on the packed numbers."""
+    out = F.lit(m)
+    for i in range(m // 16):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        out = out - F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
 
-def _sign(k: int, m: int, r: int):
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.view(np.int64).ravel()))
+
+
+def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                n = part.num_rows
                 row, value, weight = weighted(utf8(part.column("text")), k)
-                b = bands(signatures(row, value, weight, n, m), r).view(np.int64)
-                has = np.bincount(row, minlength=n) > 0
-                lists = pa.ListArray.from_arrays(np.arange(has.sum() + 1, dtype=np.int32) * b.shape[1], pa.array(b[has].ravel()))
+                has = np.bincount(row, minlength=part.num_rows) > 0
+                winner = signatures(row, value, weight, part.num_rows)[has]
                 kept = part.select(["doc_id", "copy_key"]).filter(pa.array(has))
-                yield pa.RecordBatch.from_arrays([*kept.columns, lists], ["doc_id", "copy_key", "bands"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, _lists(bands(winner)), _lists(nibbles(winner))], ["doc_id", "copy_key", "bands", "bits"])
 
     return run
 
@@ -127,55 +155,41 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = SHIN
     return sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, threshold), "a bigint, b bigint")
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
+def _hub_pairs(members: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """(a, b) with ``a`` the hub of a shared bucket: the member that shares most buckets with most others."""
     hub = members.groupBy("band").agg(F.max(F.struct("score", F.negative("node").alias("minus"))).alias("h"))
-    return members.join(hub.select("band", F.negative("h.minus").alias("a")), "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-
+    pairs = members.join(hub.select("band", F.negative("h.minus").alias("a")), "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    for x in ("b", "a"):
+        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+    return pairs.where(agreeing("bits_a", "bits_b") >= least).select("a", "b")
+
+
+def _cross_pairs(members: DataFrame, known: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """(a, b) of different groups that share a bucket, each pair once (in the first bucket it shares). In a bucket the
+    members outside its largest group meet all members of other groups; nothing is paired inside a group."""
+    at = cut(members.join(groups, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root")))
+    sizes = at.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    at = cut(at.join(mixed.select("band", F.col("top.root").alias("top")), "band"))
+    at = cut(at.join(known, "node"))
+    side = lambda x: (F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("bands").alias(f"bands_{x}"))
+    outer = at.where("root <> top").select("band", *side("a"))
+    both = outer.join(at.select("band", "top", *side("b")), "band")
+    apart = both.where("root_a <> root_b and (a < b or root_b = top)").where(agreeing("bits_a", "bits_b") >= least)
+    return apart.where(F.array_intersect("bands_a", "bands_b")[0] == F.col("band")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _groups(members: DataFrame, known: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node, root) of everything the candidates connect. The hub round settles most groups with one pair per member; the
+    pairs of the second round are all that could still join two groups."""
+    least = enough(threshold)
+    links = cut(verified(_hub_pairs(members, known, least), texts, threshold, k))
+    groups = components(links)
+    more = cut(verified(_cross_pairs(members, known, groups, least), texts, threshold, k))
+    return groups if more.isEmpty() else components(links.unionByName(more))
 
-def _links(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Verified links that connect everything the candidate buckets can connect.
 
-    Round 1 takes every bucket's hub. Later rounds look only at buckets whose members lie in several groups, and only at
-    pairs across groups: all of them in buckets of up to ``SMALL_BUCKET``, one further centre a round in larger ones, by
-    falling score, until no such bucket has a centre left. No pair that could join two groups is passed over.
-    """
-    links = cut(verified(_hub_pairs(members), texts, threshold, k))
-    groups = components(links)
-    last, tested = None, cut(_hub_pairs(members))
-    while True:
-        at = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-        at = cut(at.select("node", "band", "root", "score").join(mixed, "band"))
-        small = at.where(F.col("n") <= SMALL_BUCKET)
-        pairs = (
-            small.select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-            .join(small.select("band", F.col("node").alias("b"), F.col("root").alias("rb")), "band")
-            .where("a < b and ra <> rb").select("a", "b")
-        )
-        large = at.where(F.col("n") > SMALL_BUCKET).withColumn("rank", F.struct("score", F.negative("node").alias("minus")))
-        ahead = large if last is None else large.join(last, "band", "left").where("last is null or rank < last")
-        centre = cut(ahead.groupBy("band").agg(F.max("rank").alias("last")))
-        by_centre = (
-            large.join(centre, "band").withColumn("c", F.negative("last.minus"))
-            .join(at.select(F.col("node").alias("c"), "band", F.col("root").alias("rc")), ["band", "c"])
-            .where("node <> c and root <> rc").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-        )
-        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.unionByName(by_centre).distinct().join(seen, ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and centre.isEmpty():
-            return groups
-        found = cut(verified(pairs, texts, threshold, k))
-        tested = tested.unionByName(pairs)
-        last = centre
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = components(links)
-        elif centre.isEmpty():
-            return groups
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, registers: int = REGISTERS, band: int = BAND) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id, copies_of) for every row of ``docs(doc_id, text, ...)``.
 
     class_id is the smallest doc_id of the group, groups being the components of exact copies and verified near copies;
@@ -189,16 +203,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text")
-    signed = keyed.mapInArrow(_sign(k, registers, band), "doc_id bigint, copy_key binary, bands array<bigint>")
-    distinct = cut(signed.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    signed = keyed.mapInArrow(_sign(k), "doc_id bigint, copy_key binary, bands array<bigint>, bits array<bigint>")
+    distinct = cut(signed.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
     entries = distinct.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(entries.join(shared, "band"))
-    score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    members = members.drop("n").join(score, "node")
-    firsts = distinct.join(score.select("node"), "node", "left_semi").select("copy_key", "node")
-    texts = cut(keyed.join(firsts.withColumnRenamed("node", "doc_id"), ["doc_id", "copy_key"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min_by("text", "copy_key").alias("text")))
-    groups = _links(cut(members), texts, threshold, k)
+    found = cut(entries.join(shared, "band"))
+    scored = found.groupBy("node").agg(F.sum("n").alias("score"))
+    members = cut(found.drop("n").join(scored, "node"))
+    known = cut(distinct.join(scored.select("node"), "node"))  # texts that share a bucket with another
+    firsts = known.select(F.col("node").alias("doc_id"), "copy_key")
+    texts = cut(keyed.join(firsts, ["doc_id", "copy_key"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min_by("text", "copy_key").alias("text")))
+    groups = _groups(members, known.select("node", "bands", "bits"), texts, threshold, k)
     classes = distinct.join(groups, "node", "left").select("copy_key", F.coalesce("root", "node").alias("class_id"), F.col("node").alias("copies_of"))
     keys = docs.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"))
     out = keys.join(classes, "copy_key", "left")

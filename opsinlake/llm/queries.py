@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsinlake.llm import decontaminate, lines, minhash, rules, substrings
+from opsinlake.llm import decontaminate, lines, minhash, mixing, preferences, rules, substrings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
+#: Target weights of the production mix; every other source weighs 1.
+MIX = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
+
 
 def register(name: str, sql: str | None = None):
     def wrap(fn):
@@ -34,6 +37,16 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@register("op3_preference_format", preferences.sql())
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return preferences.format_pairs(preferences.swapped_replies(table(spark, sf, "conversations")))
+
+
+@register("op4_poisson_mixing", mixing.sql(MIX))
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf, "documents"), MIX)
+
+
 @register("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))

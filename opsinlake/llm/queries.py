@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsinlake.llm import decontaminate, lines, minhash, mixing, preferences, rules, substrings
+from opsinlake.llm import decontaminate, lines, minhash, mixing, pii, preferences, rules, substrings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -57,6 +57,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf, "documents"))
 
 
+@register("op9_personal_data")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf, "documents")).drop("base_spans")
+
+
 @register("op10_decontamination", decontaminate.sql())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.flag_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

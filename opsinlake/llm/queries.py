@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsinlake.llm import decontaminate, lines, minhash, mixing, pii, preferences, rules, substrings
+from opsinlake.llm import decontaminate, language, lines, minhash, mixing, pii, preferences, quality, rules, substrings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -52,6 +52,16 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@register("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
+@register("op7_quality_classifier")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @register("op8_line_dedup", lines.sql())
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf, "documents"))

@@ -102,17 +102,31 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Null texts stay null and have no lines; empty texts stay empty. A row with a null doc_id takes no part. Rows with one doc_id
     are ordered by a hash of their texts; identical rows count once. An empty table gives no rows. Other columns are ignored.
     """
+    rows = _stripped(docs.select("doc_id", "text"), min_words)
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.size("lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.col("new_text").alias("text"),
+    )
+
+
+def edited(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, and their texts as ``dedup_lines`` leaves them. Rows that lose every
+    line go."""
+    rows = _stripped(docs, min_words).where("removed is null or new_text <> ''")
+    return rows.select(*(F.col("new_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _stripped(docs: DataFrame, min_words: int) -> DataFrame:
+    """row, doc_id, lines, removed and new_text of every row of ``docs``."""
     levels = max(min_words, 1).bit_length() - 1
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    rows = suffix_levels(line_table(docs.where("doc_id is not null and text is not null")), levels)
-    removed = later_copies(rows, levels, min_words)
-    out = docs.join(removed, DOC, "left").withColumn("lines", F.coalesce(solid_lines(), F.array().cast("array<string>")))
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.xxhash64("row.text").alias("text_key"))
+    table = line_table(keyed.where("doc_id is not null and row.text is not null").select(*DOC, "row.text"))
+    removed = later_copies(suffix_levels(table, levels), levels, min_words)
+    out = keyed.join(removed, DOC, "left").withColumn("text", F.col("row.text"))
+    out = out.withColumn("lines", F.coalesce(solid_lines(), F.array().cast("array<string>")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     text = F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n")
-    return out.select(
-        "doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(text).alias("text"),
-    )
+    return out.withColumn("new_text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(text)).drop("text")
 
 
 def sql(min_words: int = MIN_WORDS) -> str:

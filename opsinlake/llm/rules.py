@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsinlake.llm.words import blocks, mix, offsets, split_words, utf8
 
@@ -27,7 +28,6 @@ RATIOS = {
     "chars_per_word": ("word_chars", "n_words"), "distinct_share": ("n_distinct_words", "n_words"), "upper_share": ("n_upper", "n_letters"),
     "letter_share": ("n_letters", "word_chars"), "words_per_line": ("n_words", "n_lines"),
 }
-SCHEMA = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -111,17 +111,19 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in blocks(batch):
+        texts = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row").field("text")], ["row", "text"])
+        for part in blocks(texts):
             counts = [pa.array(c, pa.int64()) for c in measure(utf8(part.column("text")))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([part.column("row"), *counts], ["row", *COUNTS])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``COUNTS`` and ``RATIOS`` of every row. A ratio over nothing is 0."""
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measure, SCHEMA)
+    """``row`` (all columns of ``docs``), ``COUNTS`` and ``RATIOS`` of every row. A ratio over nothing is 0."""
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
     ratios = {name: F.when(F.col(b) > 0, F.expr(f"(1000 * {a}) div {b}")).otherwise(F.lit(0)) for name, (a, b) in RATIOS.items()}
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumns(ratios).withColumn("base_failed", base)
+    return rows.mapInArrow(_measure, schema).withColumns(ratios).withColumn("base_failed", base)
 
 
 class Condition(NamedTuple):
@@ -208,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> lis
     rules are left out: they need no further rule."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = statistics(texts.select("doc_id", "text")).where("not base_failed").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", *RATIOS).toPandas().sort_values("doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = statistics(texts).where("not base_failed").select("row.doc_id", "row.quality", *RATIOS).toPandas().sort_values(["doc_id", *RATIOS])
     return learn({name: rows[name].to_numpy(np.int64) for name in RATIOS}, rows["quality"].to_numpy() == 0)
 
 
@@ -221,5 +223,11 @@ def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     labels of a document the worst counts, and without labels of both kinds nothing is learned and the base rules alone
     decide. Every input row gives one row; a null doc_id is kept. Other columns are ignored.
     """
-    rules = fit(docs, labels, train_rows)
-    return statistics(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    judged = statistics(rows).withColumn("kept", ~F.col("base_failed") & verdict(fit(docs, labels, train_rows)))
+    return judged.select("row.doc_id", *COUNTS, *RATIOS, "base_failed", "kept")
+
+
+def kept_rows(docs: DataFrame, rules: list[tuple[Condition, ...]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that neither the base rules nor a learned rule rejects."""
+    return statistics(docs).where(~F.col("base_failed")).where(verdict(rules)).select("row.*")

@@ -5,8 +5,10 @@ lines: the pairs (rank at p, rank at p + 2^(k-1)) are counted, sorted over range
 sums. A set of suffixes that agree in their first lines is an interval of the suffix array; its first member in document
 order stays, and the lines it shares are deleted at all others.
 
-A run qualifies with ``min_words`` words or more. The shortest qualifying prefix of a suffix has at most ``min_words``
-lines (blank lines are left out), and every longer repeated run is a union of such prefixes, so levels deeper than
+A run qualifies with ``min_words`` words or more. Call a qualifying run tight if it no longer qualifies without its first
+or without its last line. Every line of a repeated run lies in a tight run inside it (the one that starts at the line if
+enough words follow, else the one that ends there if enough stand before, else the one that starts with the run), so only
+tight runs are compared. They have at most ``min_words`` lines (blank lines are left out): levels deeper than
 log2(min_words) would not delete another line. A line that occurs once ends every run, so only repeated lines are ranked,
 and a level only ranks suffixes that were still shared on the level before.
 """
@@ -68,24 +70,26 @@ def suffix_levels(lines: DataFrame, levels: int) -> DataFrame:
     return rows
 
 
-def later_copies(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
-    """(doc_id, text_key, removed): numbers of the lines that belong to a later copy of a run."""
-    ahead = Window.partitionBy(*DOC).orderBy("line")
-    prefix = rows.withColumn("run", F.collect_list(F.struct("line", "words")).over(ahead.rangeBetween(0, min_words - 1)))
-    for k in range(levels + 1):
-        prefix = prefix.withColumn(f"a{k}", F.collect_list(F.struct("line", F.col(f"r{k}").alias("r"))).over(ahead.rangeBetween(0, 2**k - 1)))
-    reach = F.expr(
-        "aggregate(run, named_struct('words', 0L, 'lines', 0), (a, x) -> "
-        f"if(a.words >= {min_words} or x.line <> line + a.lines, a, named_struct('words', a.words + x.words, 'lines', a.lines + 1)))"
-    )
-    prefix = prefix.withColumn("reach", reach).where(F.col("reach.words") >= min_words).withColumn("lines", F.col("reach.lines"))
+def tight_runs(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
+    """(doc_id, text_key, line, lines, head, tail): the tight runs that start at each line, and the ranks that name them. A
+    run of 2^k to 2^(k+1) - 1 lines is two overlapping blocks of 2^k lines, ranked on level k."""
+    ahead = Window.partitionBy(*DOC).orderBy("line").rangeBetween(0, min_words - 1)
+    ranks = [f"r{k}" for k in range(levels + 1)]
+    near = rows.select(*DOC, "line", F.collect_list(F.struct("line", "words", *ranks)).over(ahead).alias("run"))
+    total = "aggregate(slice(run, 1, l), 0L, (a, x) -> a + x.words)"
+    tight = f"run[l - 1].line = line + l - 1 and {total} >= {min_words} and {total} - greatest(run[0].words, run[l - 1].words) < {min_words}"
+    each = near.select(*DOC, "line", "run", F.explode(F.expr(f"filter(sequence(1, size(run)), l -> {tight})")).alias("lines"))
     head, tail = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
-    for k in range(levels + 1):  # a run of 2^k to 2^(k+1) - 1 lines is two overlapping blocks of 2^k lines
+    for k in range(levels + 1):
         at = (F.col("lines") >= 2**k) & (F.col("lines") < 2 ** (k + 1))
-        last = F.try_element_at(F.col(f"a{k}"), F.col("lines") - 2**k + 1)
-        head = F.when(at, F.col(f"r{k}")).otherwise(head)
-        tail = F.when(at & (last["line"] == F.col("line") + F.col("lines") - 2**k), last["r"]).otherwise(tail)
-    starts = cut(prefix.select(*DOC, "line", "lines", head.alias("head"), tail.alias("tail")).where("head is not null and tail is not null"))
+        head = F.when(at, F.col("run")[0][f"r{k}"]).otherwise(head)
+        tail = F.when(at, F.get("run", F.col("lines") - 2**k)[f"r{k}"]).otherwise(tail)
+    return each.select(*DOC, "line", "lines", head.alias("head"), tail.alias("tail")).where("head is not null and tail is not null")
+
+
+def later_copies(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
+    """(doc_id, text_key, removed): numbers of the lines that belong to a later copy of a run."""
+    starts = cut(tight_runs(rows, levels, min_words))
     interval = ["lines", "head", "tail"]
     first = starts.groupBy(*interval).agg(F.min(F.struct(*DOC, "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = starts.join(first, interval).where(F.struct(*DOC, "line") > F.col("first"))
@@ -137,8 +141,9 @@ def sql(min_words: int = MIN_WORDS) -> str:
     w AS (SELECT doc_id, n, list(line) OVER f AS ls,
             list(len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+'))) OVER f AS ws FROM l
           WINDOW f AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)),
-    b AS (SELECT doc_id, n, ls, list_min([k FOR k IN range(1, {min_words + 1}) IF k <= len(ws) AND list_sum(ws[1:k]) >= {min_words}]) AS k FROM w),
-    c AS (SELECT doc_id, n, k, row_number() OVER (PARTITION BY ls[1:k] ORDER BY doc_id, n) AS nth FROM b WHERE k IS NOT NULL),
+    b AS (SELECT doc_id, n, ls, ws, unnest(range(1, len(ws) + 1)) AS k, list_sum(ws[1:k]) AS words FROM w),
+    c AS (SELECT doc_id, n, k, row_number() OVER (PARTITION BY ls[1:k] ORDER BY doc_id, n) AS nth FROM b
+          WHERE words >= {min_words} AND words - greatest(ws[1], ws[k]) < {min_words}),
     gone AS (SELECT doc_id, list(DISTINCT g) AS gs FROM (SELECT doc_id, unnest(range(n, n + k)) AS g FROM c WHERE nth > 1) GROUP BY doc_id)
     SELECT s.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gs), 0) AS BIGINT) AS n_removed,
         CASE WHEN gs IS NULL THEN text ELSE array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT list_contains(gs, i)], chr(10)) END AS text

@@ -62,17 +62,16 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default:
     table = cut(table.select(F.col("source").alias("mix_source"), "parts", _table(F.col("rate") / F.col("parts")).alias("cdf")))
     table = table.select("mix_source", F.struct("parts", "cdf").alias("mix_draw"))
     table = F.broadcast(table) if table.limit(SOURCE_ROWS + 1).count() <= SOURCE_ROWS else table
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    name = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("mix_draw.parts")), F.lit(0),
         lambda acc, i: acc + F.size(F.filter("mix_draw.cdf", lambda c: c <= uniform(F.lit(seed), name, i))),
     )
-    columns = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
-    rows = docs.select(*columns).join(table, F.col("source").eqNullSafe(F.col("mix_source")))
-    rows = rows.withColumn("mix_n", drawn).where("mix_n > 0")
-    rows = rows.select(*columns, F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)).alias("mix_copy"))
+    rows = docs.select(F.struct("*").alias("row")).join(table, F.col("row.source").eqNullSafe(F.col("mix_source")))
+    rows = rows.select("row", drawn.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), name, F.col("mix_copy").cast("string")))
-    return rows.withColumn("mix_key", key).orderBy("mix_key", "doc_id", "mix_copy")
+    placed = rows.withColumn("mix_key", key).orderBy("mix_key", "row.doc_id", "mix_copy")
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_copy", "mix_key")), "mix_copy", "mix_key")
 
 
 def sql(weights: dict[str, float] | None = None, default: float = 1.0, seed: str = SEED) -> str:

@@ -42,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     found = cut(decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")))
-    same = (F.col("doc_id") == F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_key"))
-    return docs.join(found, same, "left_anti")
+    same = (F.col("row.doc_id") == F.col("leak_id")) & (F.xxhash64("row.text") == F.col("leak_key"))
+    return docs.select(F.struct("*").alias("row")).join(found, same, "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

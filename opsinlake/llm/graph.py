@@ -20,17 +20,19 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct().select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a root to a node that is no root and has no other."""
+    twice = edges.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.isEmpty() and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge other than to itself; root is the smallest node of its component.
 
     ``edges`` has columns ``a`` and ``b``. Rounds follow the logarithm of the longest chain; each is written to the
-    shared folder, and only a count and a checksum come to the driver.
+    shared folder, and only the answer whether it was the last comes to the driver.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(mark) == seen or mark[0] == 0:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        seen = tuple(mark)
+    while not _settled(edges):
         edges = cut(_stars(edges))
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

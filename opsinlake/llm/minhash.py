@@ -6,9 +6,10 @@ Jaccard similarity of their weights. A shingle stops as soon as its next arrival
 long documents cost about one arrival per shingle.
 
 Candidates share a band of registers and agree in enough registers (four bits of each are kept for that). Only links
-that can change a group are verified: first every member of a band bucket against the bucket's hub, then, in buckets that
-still touch several groups, the members outside the largest group against the others. Verified means that the distinct
-5-word shingles of the two texts have a Jaccard similarity of ``threshold`` or more.
+that can change a group are verified: first every member of a band bucket against the bucket's hub; then, where the
+members around a hub still lie in several groups, the members of different groups, in cells of bounded size that give
+back links only. Verified means that the distinct 5-word shingles of the two texts have a Jaccard similarity of
+``threshold`` or more.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ THRESHOLD = 0.8
 REGISTERS = 160
 BAND = 4  # registers of a band
 BANDS = 25  # a pair at 0.8 shares none of them with probability 2e-6
+CELL = 256  # members of a side of a cell
 SLACK = 4.0  # candidates agree in the registers expected at the threshold, less this many standard deviations
 
 _U = np.uint64
@@ -155,38 +157,87 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = SHIN
     return sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, threshold), "a bigint, b bigint")
 
 
-def _hub_pairs(members: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """(a, b) with ``a`` the hub of a shared bucket: the member that shares most buckets with most others."""
-    hub = members.groupBy("band").agg(F.max(F.struct("score", F.negative("node").alias("minus"))).alias("h"))
-    pairs = members.join(hub.select("band", F.negative("h.minus").alias("a")), "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    for x in ("b", "a"):
-        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
-    return pairs.where(agreeing("bits_a", "bits_b") >= least).select("a", "b")
-
-
-def _cross_pairs(members: DataFrame, known: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """(a, b) of different groups that share a bucket, each pair once (in the first bucket it shares). In a bucket the
-    members outside its largest group meet all members of other groups; nothing is paired inside a group."""
-    at = cut(members.join(groups, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root")))
-    sizes = at.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    at = cut(at.join(mixed.select("band", F.col("top.root").alias("top")), "band"))
-    at = cut(at.join(known, "node"))
-    side = lambda x: (F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("bands").alias(f"bands_{x}"))
-    outer = at.where("root <> top").select("band", *side("a"))
-    both = outer.join(at.select("band", "top", *side("b")), "band")
-    apart = both.where("root_a <> root_b and (a < b or root_b = top)").where(agreeing("bits_a", "bits_b") >= least)
-    return apart.where(F.array_intersect("bands_a", "bands_b")[0] == F.col("band")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _groups(members: DataFrame, known: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(node, root) of everything the candidates connect. The hub round settles most groups with one pair per member; the
-    pairs of the second round are all that could still join two groups."""
+def _around_hubs(members: DataFrame) -> DataFrame:
+    """(hub, hub_bits, node, bits): the members of every bucket under its hub, the member that shares most buckets with
+    most others."""
+    hub = members.groupBy("band").agg(F.max(F.struct("score", F.negative("node").alias("minus"), F.col("bits").alias("bits"))).alias("h"))
+    return members.join(hub.select("band", F.negative("h.minus").alias("hub"), F.col("h.bits").alias("hub_bits")), "band").select("hub", "hub_bits", "node", "bits")
+
+
+def _cells(least: int, k: int, threshold: float):
+    """Links between groups inside cells (hub, i, j), which arrive together and in order."""
+
+    def links(cell: pa.Table) -> pa.Table:
+        node, root, side = (cell.column(c).to_numpy() for c in ("node", "root", "side"))
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        names, size = np.unique(root, return_counts=True)
+        outer = np.flatnonzero(root != names[size.argmax()])
+        found: set[tuple[int, int]] = set()
+        if len(outer):
+            bits = np.array(cell.column("bits").to_pylist(), np.int64).view(np.uint64)
+            row, value = shingles(utf8(cell.column("text")), k)
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            edge = np.searchsorted(row, np.arange(len(node) + 1))
+            own = [np.unique(value[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+            for a in outer.tolist():
+                x = bits ^ bits[a]
+                x |= (x >> _U(1)) | (x >> _U(2)) | (x >> _U(3))
+                agree = REGISTERS - np.bitwise_count(x & _U(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+                near = (agree >= least) & (root != root[a]) & ((side != side[a]) | (i == j))
+                for b in np.flatnonzero(near).tolist():
+                    both = len(np.intersect1d(own[a], own[b], assume_unique=True))
+                    if both and both / (len(own[a]) + len(own[b]) - both) >= threshold:
+                        found.add((int(min(root[a], root[b])), int(max(root[a], root[b]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = np.stack([table.column(c).to_numpy() for c in ("hub", "i", "j")])
+            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            for begin, end in zip(starts, [*starts[1:], len(table)]):
+                if held and tuple(held[-1].column(c)[0].as_py() for c in ("hub", "i", "j")) != tuple(key[:, begin].tolist()):
+                    yield from links(pa.concat_tables(held)).to_batches()
+                    held = []
+                if end > begin:
+                    held.append(table.slice(begin, end - begin))
+        if held:
+            yield from links(pa.concat_tables(held)).to_batches()
+
+    return run
+
+
+def _cross_links(around: DataFrame, texts: DataFrame, groups: DataFrame, least: int, threshold: float, k: int) -> DataFrame:
+    """(a, b): roots of groups that a pair of members around one hub links.
+
+    Members around a hub are dealt into sides of about ``CELL`` members; every two sides meet in one cell, so a task holds
+    two sides however many members there are, and no pair becomes a row unless it is a link."""
+    at = cut(around.select("hub", "node").distinct().join(groups, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root")))
+    mixed = at.groupBy("hub").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    sides = at.join(mixed.select("hub", F.ceil(F.col("n") / CELL).alias("sides")), "hub")
+    sides = sides.select("hub", "node", "root", "sides", F.pmod(F.xxhash64("node"), F.col("sides")).alias("side"))
+    rows = cut(sides.join(texts, "node"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.select("hub", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root", "bits", "text")
+    placed = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return placed.mapInArrow(_cells(least, k, threshold), "a bigint, b bigint").distinct()
+
+
+def _classes(members: DataFrame, texts: DataFrame, distinct: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(copy_key, node, class_id) of every distinct text. The hub round settles most groups with one pair per member;
+    the second round compares all that could still join two groups."""
     least = enough(threshold)
-    links = cut(verified(_hub_pairs(members, known, least), texts, threshold, k))
-    groups = components(links)
-    more = cut(verified(_cross_pairs(members, known, groups, least), texts, threshold, k))
-    return groups if more.isEmpty() else components(links.unionByName(more))
+    around = cut(_around_hubs(members))
+    pairs = around.where("node <> hub").where(agreeing("bits", "hub_bits") >= least).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    groups = cut(components(verified(pairs, texts, threshold, k)))
+    more = cut(_cross_links(around, texts, groups, least, threshold, k))
+    out = distinct.select("copy_key", "node").join(groups, "node", "left").select("copy_key", "node", F.coalesce("root", "node").alias("class_id"))
+    if more.isEmpty():
+        return out
+    joined = components(more).select(F.col("node").alias("class_id"), "root")
+    return out.join(joined, "class_id", "left").select("copy_key", "node", F.coalesce("root", "class_id").alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
@@ -208,13 +259,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     entries = distinct.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     found = cut(entries.join(shared, "band"))
-    scored = found.groupBy("node").agg(F.sum("n").alias("score"))
-    members = cut(found.drop("n").join(scored, "node"))
-    known = cut(distinct.join(scored.select("node"), "node"))  # texts that share a bucket with another
-    firsts = known.select(F.col("node").alias("doc_id"), "copy_key")
-    texts = cut(keyed.join(firsts, ["doc_id", "copy_key"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min_by("text", "copy_key").alias("text")))
-    groups = _groups(members, known.select("node", "bands", "bits"), texts, threshold, k)
-    classes = distinct.join(groups, "node", "left").select("copy_key", F.coalesce("root", "node").alias("class_id"), F.col("node").alias("copies_of"))
+    score = found.groupBy("node").agg(F.sum("n").alias("score"))
+    known = cut(distinct.select("node", "copy_key", "bits").join(score, "node"))  # texts that share a bucket with another
+    members = found.select("node", "band").join(known.select("node", "score", "bits"), "node")
+    firsts = known.select(F.col("node").alias("doc_id"), F.col("copy_key").alias("known_key"), "bits")
+    texts = keyed.join(firsts, "doc_id").where("copy_key = known_key").groupBy(F.col("doc_id").alias("node"))
+    texts = cut(texts.agg(F.min_by(F.struct("text", "bits"), "copy_key").alias("of")).select("node", "of.text", "of.bits"))
+    classes = _classes(members, texts, distinct, threshold, k).withColumnRenamed("node", "copies_of")
     keys = docs.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"))
     out = keys.join(classes, "copy_key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies_of", "doc_id").alias("copies_of"))

@@ -1,0 +1,171 @@
+"""Byte networks and the personal-data field: gradients, held-out accuracy, plain regexes and full search."""
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from opsinlake.llm import bytecnn, language, pii, quality
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_windows_cover_every_byte():
+    texts = ["", "a", "x" * 10, "y" * 11, "é" * 40, "z" * 7]
+    row, x = bytecnn.windows(pa.array(texts, pa.large_string()), 10, 6)
+    for i, t in enumerate(texts):
+        raw, own = t.encode(), x[row == i]
+        if not raw:
+            assert not len(own)
+        elif len(raw) <= 10:
+            assert own.tolist() == [list(raw.ljust(10, b"\0"))]
+        else:
+            begins = [min(k * 6, len(raw) - 10) for k in range(len(own))]
+            assert [bytes(w.tolist()) for w in own] == [raw[b : b + 10] for b in begins] and begins[-1] == len(raw) - 10
+            assert all(b - a <= 6 for a, b in zip(begins, begins[1:]))
+
+
+def test_pair_tables_give_the_same_maxima():
+    x = np.random.default_rng(1).integers(0, 256, (70, 40)).astype(np.uint8)
+    f = bytecnn.Filters(widths=(1, 2, 3, 5), each=4)
+    assert np.allclose(f.pooled(x)[0], f.infer(x, step=16), atol=1e-5)
+
+
+def test_gradient_of_the_filters():
+    rng = np.random.default_rng(2)
+    x, f = rng.integers(0, 6, (5, 12)).astype(np.uint8), bytecnn.Filters(widths=(2, 3), each=3)
+    g = rng.normal(size=(5, 6)).astype(np.float32)
+    found = f.gradients(x, f.pooled(x)[1], g)
+    for t, grad in zip(f.tables, found):
+        for at in ((0, 1, 0), (1, 3, 2), (1, 0, 1)):
+            old = t[at]
+            t[at] = old + 1e-3
+            up = float((f.pooled(x)[0] * g).sum())
+            t[at] = old - 1e-3
+            down = float((f.pooled(x)[0] * g).sum())
+            t[at] = old
+            assert grad[at] == pytest.approx((up - down) / 2e-3, abs=2e-2)
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang == r.lang_pred for r in rows if r.held_out]) > 0.95
+
+
+def test_language_messy(messy):
+    got = {(r.doc_id, r.lang_pred == "und") for r in language.identify(messy).collect()}
+    assert {(3, True), (4, True), (5, True), (10, True), (1, False), (6, False), (None, False), (None, True)} <= got
+    assert language.identify(messy.limit(0)).count() == 0
+    assert language.train([], []) is None
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
+
+
+def test_quality_messy(spark, messy):
+    none = spark.createDataFrame([(1, None)], "doc_id long, quality int")
+    got = quality.score(messy, none).collect()
+    assert len(got) == 14 and {r.score for r in got} == {0.5}
+    both = quality.score(messy, spark.createDataFrame([(1, 1), (1, 0), (8, 1), (9, 1), (2, 1), (None, 0)], "doc_id long, quality int")).collect()
+    assert len(both) == 14 and all(0 <= r.score <= 1 for r in both)
+    assert quality.score(messy.limit(0), none).count() == 0
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def test_patterns_against_plain_regexes():
+    rng = random.Random(1)
+    for alphabet in ("a@.b_-1", "12.5", "0123456789 -", "+12()-. 3", "a@b.1+2 "):
+        for _ in range(3000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+            want = [(k, m.start(), m.end()) for k in pii.KINDS for m in re.finditer(PLAIN[k], text) if pii._valid(k, m.group())]
+            assert pii.base_spans(text) == want
+
+
+def test_long_runs_take_no_square_time():
+    for text in ("1" * 300_000 + " a@b", "a" * 300_000 + " @ 1", "1." * 100_000, "+1" + "(" * 300_000):
+        pii.base_spans(text)
+
+
+def test_luhn():
+    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    lengths = [1, 4, 3, 1, 5]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    scores, moves = rng.normal(size=(starts[-1], 3)), rng.normal(size=(3, 3))
+    got = pii.viterbi(scores, starts, moves)
+    for a, b in zip(starts[:-1], starts[1:]):
+        best = max(itertools.product(range(3), repeat=b - a), key=lambda p: sum(scores[a + i, t] for i, t in enumerate(p)) + sum(moves[x, y] for x, y in zip(p, p[1:])))
+        assert tuple(got[a:b]) == best
+    assert len(pii.viterbi(np.zeros((0, 3)), np.zeros(1, np.int64), moves)) == 0
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(pii.examples())
+
+
+def test_field_on_new_lines(field):
+    lines = pii.examples(pii.LABELLED_LINES + 200)[pii.LABELLED_LINES :]
+    right = total = false = 0
+    for words, tags in lines:
+        text = " ".join(words)
+        found = pii.field_spans(pa.array([text], pa.large_string()), field).get(0, [])
+        at = 0
+        for w, t in zip(words, tags):
+            hit = any(s <= at and at + len(w.strip(".,")) <= e and k == pii.TAGS[t] for k, s, e in found)
+            core = w.strip("\"'.,;:!?()[]{}<>")
+            if t and core:
+                right, total = right + any(s < at + len(w) and at < e and k == pii.TAGS[t] for k, s, e in found), total + 1
+            elif core and not t:
+                false += any(s < at + len(w) and at < e for _, s, e in found)
+            at += len(w) + 1
+            assert hit in (True, False)
+    assert right / total > 0.93 and false < 40
+
+
+def test_codes_score_like_words(field):
+    """Words of letters share a code; their scores must be those of the word itself."""
+    words = [b"abc", b"Abcd", b"ABC", b"aBcD", "éé".encode(), b"token", b"Token", b"x1", b"ab-cd", b"a" * 90, b"A" + b"b" * 70]
+    w = pii.split_words(pa.array([b" ".join(words).decode()], pa.large_string()))
+    code, spelled = pii.codes(w)
+    for i, word in enumerate(words):
+        assert pii.features(*pii.form(spelled[code[i]])) == pii.features(*pii.form(word)), word
+
+
+def test_merge_keeps_base_spans():
+    base = [("ip", 10, 20), ("card", 30, 46)]
+    assert pii.merge(base, [("phone", 15, 22), ("secret", 20, 25), ("card", 25, 60), ("email", 0, 10)]) == [("email", 0, 10), ("ip", 10, 20), ("secret", 20, 25), ("card", 30, 46)]
+
+
+def test_personal_data_messy(messy, field):
+    got = pii.find_personal_data(messy, field).collect()
+    assert len(got) == 14 and sum(r.doc_id is None for r in got) == 2
+    empty = next(r for r in got if r.doc_id == 3)
+    assert (empty.n_email, empty.n_added, empty.spans, empty.base_sha256) == (0, 0, "", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
+    assert pii.find_personal_data(messy.limit(0), field).count() == 0
+
+
+def test_spans_count_characters(spark, field):
+    text = "é ☃ mail: jo.12@mail1.example.com und\npassword=3da3a2ce706927ddf6 4.3.2.1 été"
+    r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first()
+    spans = [s.split(":") for s in r.spans.split(",")]
+    assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == [("email", "jo.12@mail1.example.com"), ("secret", "password=3da3a2ce706927ddf6"), ("ip", "4.3.2.1")]
+    assert r.base_spans == "email:10:33,ip:65:72"

@@ -153,7 +153,7 @@ def channel_ranges(spark, sf):
 def _ranged(spark, sf, stage=K.PERCEPTUAL):
     k = human(stage)
     ch = render.render(pixels(spark, sf), k)
-    return display.with_ranges(ch, render.channel_ranges(ch, k.channels), cubes=1), k
+    return display.with_ranges(ch, render.channel_ranges(ch, k.channels)), k
 
 
 def _unit_sql(i):
@@ -264,7 +264,7 @@ def _preview_sql():
 
 @query(_preview_sql)
 def band_preview(spark, sf):
-    df = display.band_preview(pixels(spark, sf), 12, cubes=1)
+    df = display.band_preview(pixels(spark, sf), 12)
     return df.select("line", "sample", F.col("gray").cast("long").alias("gray"))
 
 
@@ -346,7 +346,7 @@ def gradient_colors(spark, sf):
     k = human(K.ADAPTED)
     g = render.delta_s_gradient(render.render(pixels(spark, sf), k), k, keys=(), block=8)
     span = g.agg(F.min("magnitude").alias("lo"), F.max("magnitude").alias("hi"))
-    df = display.with_ranges(g, span, cubes=1)
+    df = display.with_ranges(g, span)
     return _rgb(df, display.gradient_rgb(F.col("magnitude"), F.col("lo"), F.col("hi")))
 
 

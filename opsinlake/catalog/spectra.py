@@ -150,7 +150,7 @@ def _matrix_sql(metric):
 
 def _matrix(spark, sf, metric):
     k = [human()]
-    m = compare.difference_matrix(_region_coords(spark, sf, k), k, metric, "region_id", len(images.REGIONS))
+    m = compare.difference_matrix(_region_coords(spark, sf, k), k, metric, "region_id")
     return m.withColumn("distance", rnd("distance"))
 
 
@@ -185,7 +185,7 @@ def _cross_sql():
 @query(_cross_sql)
 def cross_species_summary(spark, sf):
     ks = list(all_kernels())
-    df = compare.cross_species(_region_coords(spark, sf, ks), ks, "region_id", len(images.REGIONS))
+    df = compare.cross_species(_region_coords(spark, sf, ks), ks, "region_id")
     return df.select("a_id", "b_id", *[rnd(F.col(f"`{k.system}`")).alias(f"s{i}") for i, k in enumerate(ks)])
 
 
@@ -206,7 +206,7 @@ def distance_to_references(spark, sf):
     first = s.groupBy("label").agg(F.min_by("spectrum", "vec_id").alias("spectrum"), F.min("vec_id").alias("vec_id"))
     refs = compare.coordinates(first.select("vec_id", "spectrum"), k)
     near = compare.distance_to_references(
-        compare.coordinates(s.select("vec_id", "spectrum"), k), refs, k, compare.DELTA_S, "vec_id", count=10
+        compare.coordinates(s.select("vec_id", "spectrum"), k), refs, k, compare.DELTA_S, "vec_id"
     )
     return near.select("vec_id", "ref_id", rnd("distance").alias("distance"))
 
@@ -237,6 +237,40 @@ def batch_export(spark, sf):
     return df.select(F.col("Stimulus").alias("stimulus"), *[rnd(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(names)])
 
 
+@lru_cache(maxsize=None)
+def radiance_kernels() -> tuple:
+    return tuple(K.compile_curves(s, "dominant", AXIS, UNIFORM, K.RADIANCE) for s in builtin_systems().values() if s.regimes)
+
+
+def _mixed_sql():
+    ctes, cols, n = [], [], 0
+    for i, (lit, raw) in enumerate(zip(all_kernels(), radiance_kernels())):
+        ctes.append(f"t{i} AS ({curve_kernel_sql(lit, '(SELECT * FROM cubic WHERE vec_id % 4 IN (0, 3))', 'vec_id')}"
+                    f" UNION ALL {curve_kernel_sql(raw, '(SELECT * FROM cubic WHERE vec_id % 4 = 1)', 'vec_id')})")
+        for e in [f"t{i}.c[{j + 1}]" for j in range(lit.chroma + 1)] + [_saturation(f"t{i}.c", lit.chroma)]:
+            cols.append(f"{rsql(e)} AS v{n}")
+            n += 1
+        cols.append(f"{rsql(_metric_sql(compare.EUCLIDEAN, lit, f't{i}', f'r{i}'))} AS v{n}")
+        n += 1
+    joins = " ".join(f"JOIN t{i} USING (vec_id)" for i in range(1, len(ctes)))
+    refs = ", ".join(f"(SELECT * FROM t{i} WHERE vec_id = 0) r{i}" for i in range(len(ctes)))
+    return _cubic(
+        f", {', '.join(ctes)} SELECT 'stimulus ' || t0.vec_id AS stimulus, {', '.join(cols)} FROM t0 {joins}, {refs}"
+    ).replace(f"{SLOPES} ,", f"{SLOPES},")
+
+
+@query(_mixed_sql)
+def batch_export_mixed(spark, sf):
+    """The wide export of reflectances (lit), radiances (as they are), absorption curves (left out) and curves without a
+    kind (lit)."""
+    m = F.col("vec_id") % 4
+    kind = F.when(m == 0, "Reflectance").when(m == 1, "Radiance").when(m == 2, "Absorption").otherwise("Unspecified")
+    s = spectra(spark, sf).withColumns({"name": F.concat(F.lit("stimulus "), F.col("vec_id").cast("string")), "kind": kind})
+    df = compare.batch_export(s, list(all_kernels()), reference=s.where("vec_id = 0"), kind="kind", radiance=list(radiance_kernels()))
+    names = df.columns[1:]
+    return df.select(F.col("Stimulus").alias("stimulus"), *[rnd(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(names)])
+
+
 # ------------------------------------------------------------------ curve algebra
 
 
@@ -521,8 +555,8 @@ def corpus_contrasts(spark, sf):
 
 
 def text_files(spark, sf):
-    """One text per stimulus: comments, a header, sentinels, blank lines; every fourth in micrometres; every file also
-    carries a document's prose, which holds no numbers to speak of."""
+    """One text per stimulus: comments, a header, sentinels, blank lines, a field with a suffix, a line with a leading
+    comma; every fourth in micrometres."""
     s = spectra(spark, sf)
     micro = F.col("vec_id") % 4 == 0
     unit = F.when(micro, F.lit(1000.0)).otherwise(F.lit(1.0))
@@ -530,27 +564,47 @@ def text_files(spark, sf):
         as_points(AXIS, F.col("spectrum")),
         lambda p: F.concat((p["wl"] / unit).cast("string"), F.lit(", "), F.round(p["v"] * 1000).cast("int").cast("string")),
     )
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("prose"))
-    joined = spread(s).join(docs, "vec_id", "left")
-    return joined.select(
+    return spread(s).select(
         F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("file"),
         F.concat(
             F.lit("# measured\n! note\nwavelength value\n"), F.array_join(body, "\n"),
-            F.lit("\n\n  720   -1.23e34\nnan 3\n7 inf\n9\n"), F.regexp_replace(F.coalesce("prose", F.lit("")), "[0-9]", "x"),
+            F.lit("\n\n  720   -1.23e34\nnan 3\n7 inf\n9\n5d 3\n,"), (F.lit(410.0) / unit).cast("string"), F.lit(",2\n"),
         ).alias("text"),
     )
 
 
 @query(
-    lambda: "SELECT 'f' || vec_id AS file, i + 3 AS line, CASE WHEN vec_id % 4 = 0 THEN "
-    "round((400.0 + 5 * i) / 1000.0 * 1000.0, 6) ELSE 400.0 + 5 * i END AS wl, "
-    f"{rsql('round(CAST(embedding[i + 1] AS DOUBLE) * 1000)', 3)} AS v FROM embeddings, range({BANDS}) t(i)"
+    lambda: "WITH p AS (SELECT 'f' || vec_id AS file, i + 3 AS line, 400.0 + 5 * i AS wl, "
+    f"round(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS v FROM embeddings, range({BANDS}) t(i) "
+    f"UNION ALL SELECT 'f' || vec_id, {BANDS + 9}, 410.0, 2.0 FROM embeddings) "
+    f"SELECT file, CAST(line AS BIGINT) AS line, round(wl, 6) AS wl, {rsql('v', 3)} AS v FROM p"
 )
 def text_spectra(spark, sf):
     rows = text.parse_spectra(text_files(spark, sf))
     return rows.select("file", "line", rnd("wl").alias("wl"), rnd("v", 3).alias("v"))
 
 
+_LINE_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+@query(
+    lambda: f"""WITH l AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS line
+        FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents)),
+    f AS (SELECT doc_id, line, regexp_split_to_array(regexp_replace(trim(t, ' '), '^[,\\s]+', ''), '[,\\s]+') AS x FROM l),
+    p AS (SELECT doc_id, line, CAST(x[1] AS DOUBLE) AS wl, CAST(x[2] AS DOUBLE) AS v FROM f
+        WHERE regexp_full_match(x[1], '{_LINE_NUMBER}') AND regexp_full_match(x[2], '{_LINE_NUMBER}')),
+    g AS (SELECT *, max(wl) OVER (PARTITION BY doc_id) AS top FROM p WHERE abs(v) < 1e30),
+    n AS (SELECT doc_id, count(*) AS points, {rsql('sum(wl * CASE WHEN top > 0 AND top < 50 THEN 1000.0 ELSE 1.0 END)')} AS wl FROM g GROUP BY doc_id)
+    SELECT doc_id, coalesce(points, 0) AS points, wl FROM documents LEFT JOIN n USING (doc_id)"""
+)
+def document_points(spark, sf):
+    """Every document read as a text spectrum, as it is: its number of points (lines whose first two fields are numbers) and
+    the sum of their wavelengths. Prose has none."""
+    rows = table(spark, sf, "documents").select("doc_id", text.parse_points(F.col("text")).alias("p"))
+    total = F.aggregate(F.transform("p", lambda p: p["wl"]), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("p").cast("long").alias("points"), F.when(F.size("p") > 0, rnd(total)).alias("wl"))
+
+
 @query(lambda: f"SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(i AS BIGINT) AS pos, 400.0 + 5 * i AS wavelength_nm, {rsql('embedding[i + 1]')} AS value "
        f"FROM embeddings, range({BANDS}) t(i)")
 def curve_rows(spark, sf):

@@ -16,9 +16,9 @@ from opsinlake.functions.arrays import lists, matrix
 from opsinlake.functions.monotone import tangents
 from opsinlake.operators import curves
 from opsinlake.plans.kernel import CurveKernel, RegimeState
+from opsinlake.session import attach, block_pairs
 
 EUCLIDEAN, CHROMA_ONLY, DELTA_S = "euclidean", "chroma_only", "delta_s"
-MATRIX_LIMIT = 512  # stimuli in one all-pairs matrix; larger sets use distances to references
 
 
 def coordinate_rows(spectrum: Column, kernels: list[CurveKernel]) -> Column:
@@ -182,32 +182,22 @@ def _rename(coords: DataFrame, id_column: str, prefix: str) -> DataFrame:
 
 
 def distance_to_references(coords: DataFrame, references: DataFrame, kernels: list[CurveKernel], metric: str,
-                           id_column="id", count: int | None = None) -> DataFrame:
-    """Every stimulus against a few reference stimuli of the same system, linear in the number of stimuli.
-
-    ``count`` is the known number of reference rows; only a known small count is broadcast.
-    """
-    refs = _rename(references, id_column, "ref_")
-    side = F.broadcast(refs) if count is not None and count <= 10_000 else refs
-    left = coords.join(side, "system")
+                           id_column="id") -> DataFrame:
+    """Every stimulus against a few reference stimuli of the same system, linear in the number of stimuli. The join is
+    salted by the stimulus, as a species is one key for all of them."""
+    left = attach(coords, _rename(references, id_column, "ref_"), ["system"], F.col(id_column))
     here = {c: F.col(c) for c in ("luminance", "chroma", "adapted")}
     d = distance(here, _side("ref_"), metric, noise_column(kernels, F.col("system")))
     return left.select(id_column, "system", "regime", F.col("ref_id"), d.alias("distance"))
 
 
-def difference_matrix(coords: DataFrame, kernels: list[CurveKernel], metric: str, id_column="id",
-                      count: int | None = None) -> DataFrame:
-    """Upper triangle (``a_id < b_id``) of the distances within each system, for a hand-picked set of stimuli.
+def difference_matrix(coords: DataFrame, kernels: list[CurveKernel], metric: str, id_column="id") -> DataFrame:
+    """Upper triangle (``a_id < b_id``) of the distances within each system, for a chosen set of stimuli.
 
-    The output is quadratic, so a set above ``MATRIX_LIMIT`` is refused rather than paired;
-    ``distance_to_references`` serves larger sets. The refused size also bounds the broadcast side. ``count`` is the
-    number of stimuli when the caller knows it; otherwise they are counted first.
+    The output is quadratic, so callers choose the stimuli (``distance_to_references`` is the linear form); pairs are
+    dealt out by blocks of stimuli, whatever their number.
     """
-    many = coords.select(id_column).distinct().limit(MATRIX_LIMIT + 1).count() if count is None else count
-    if many > MATRIX_LIMIT:
-        raise ValueError(f"more than {MATRIX_LIMIT} stimuli in one matrix; compare against references instead")
-    a, b = _rename(coords, id_column, "a_"), _rename(coords, id_column, "b_")
-    pairs = a.join(F.broadcast(b), (a["system"] == b["system"]) & (a["a_id"] < b["b_id"])).drop(b["system"])
+    pairs = block_pairs(_rename(coords, id_column, "a_"), _rename(coords, id_column, "b_"), ["system"], "a_id", "b_id")
     d = distance(_side("a_"), _side("b_"), metric, noise_column(kernels, F.col("system")))
     return pairs.select("system", "a_id", "b_id", d.alias("distance"))
 
@@ -220,9 +210,9 @@ def mirrored(matrix_rows: DataFrame) -> DataFrame:
     return matrix_rows.unionByName(flipped).unionByName(diagonal)
 
 
-def cross_species(coords: DataFrame, kernels: list[CurveKernel], id_column="id", count: int | None = None) -> DataFrame:
+def cross_species(coords: DataFrame, kernels: list[CurveKernel], id_column="id") -> DataFrame:
     """Stimulus pairs by species: receptor-noise distance per species column, null where a species lacks noise."""
-    pairs = difference_matrix(coords, kernels, DELTA_S, id_column, count)
+    pairs = difference_matrix(coords, kernels, DELTA_S, id_column)
     return pairs.groupBy("a_id", "b_id").pivot("system", [k.system for k in kernels]).agg(F.first("distance"))
 
 
@@ -242,23 +232,43 @@ def export_columns(kernels: list[CurveKernel], references: np.ndarray | None = N
     return out
 
 
+def _lit(stimuli: DataFrame, kernels, spectrum, kind: str | None, radiance) -> DataFrame:
+    """Stimuli with their coordinates ``_r``. With ``kind`` (a column of kind names) absorption curves leave, radiances
+    go through the ``radiance`` kernels, which know no light, and all else is lit as a reflectance."""
+    if kind is None:
+        return stimuli.withColumn("_r", coordinate_rows(F.col(spectrum), kernels))
+    if radiance is None or [k.system for k in radiance] != [k.system for k in kernels]:
+        raise ValueError("stimuli of several kinds need a radiance kernel for every kernel")
+    shown = stimuli.where(F.coalesce(F.col(kind), F.lit("")) != "Absorption")
+    emits = F.coalesce(F.col(kind), F.lit("")) == "Radiance"
+    # a null spectrum costs its kernel nothing, so each row is multiplied once
+    both = shown.withColumns({
+        "_e": coordinate_rows(F.when(emits, F.col(spectrum)), radiance), "_l": coordinate_rows(F.when(~emits, F.col(spectrum)), kernels),
+    })
+    return both.withColumn("_r", F.coalesce("_e", "_l")).drop("_e", "_l")
+
+
 def batch_export(stimuli: DataFrame, kernels: list[CurveKernel], name="name", spectrum="spectrum",
-                 reference: DataFrame | None = None, metric: str = EUCLIDEAN) -> DataFrame:
+                 reference: DataFrame | None = None, metric: str = EUCLIDEAN, kind: str | None = None,
+                 radiance: list[CurveKernel] | None = None) -> DataFrame:
     """One wide row per stimulus: a block of coordinates per species, and optionally its distance to one reference.
 
     ``kernels`` are the dominant-regime kernels; pool kernels contribute nothing. ``reference`` is a one-row table
-    with the same spectrum column; it is read on the driver (one spectrum) and becomes part of the plan.
+    with the same columns; it joins as a scalar and stays lazy. ``kind`` names a column with each stimulus's quantity:
+    absorption curves are not exported, radiances are not lit (``radiance``: the same systems compiled for radiance).
     """
+    if radiance is not None:
+        radiance = [r for k, r in zip(kernels, radiance) if k.opponent is not None]
     kernels = [k for k in kernels if k.opponent is not None]
     if not kernels:
         raise ValueError("none of the selected systems has a colour space to export")
-    packed = stimuli.withColumn("_r", coordinate_rows(F.col(spectrum), kernels))
+    packed = _lit(stimuli, kernels, spectrum, kind, radiance)
     ref = None
     if reference is not None:
-        found = reference.select(coordinate_rows(F.col(spectrum), kernels).alias("r")).limit(2).collect()
-        if len(found) != 1 or found[0]["r"] is None:
-            raise ValueError("pick exactly one reference stimulus for the distance column")
-        ref = found[0]["r"]
+        one = _lit(reference, kernels, spectrum, kind, radiance).agg(F.count("_r").alias("n"), F.first("_r", ignorenulls=True).alias("r"))
+        problem = F.raise_error(F.lit("pick exactly one reference stimulus for the distance column")).cast("array<double>")
+        packed = packed.withColumn("_ref", one.select(F.when(F.col("n") == 1, F.col("r")).otherwise(problem)).scalar())
+        ref = F.col("_ref")
     cols = [F.col(name).alias("Stimulus")]
     r = F.col("_r")
     for k, at in _layout(kernels):
@@ -276,10 +286,10 @@ def _reference_distance(r: Column, ref, k: CurveKernel, at: int, metric: str) ->
     if metric == DELTA_S:
         if k.noise is None:
             return F.lit(None).cast("double")
-        terms = [(r[at + 2 + n + i] - F.lit(float(ref[at + 2 + n + i]))) / F.lit(float(e)) for i, e in enumerate(k.noise)]
+        terms = [(r[at + 2 + n + i] - ref[at + 2 + n + i]) / F.lit(float(e)) for i, e in enumerate(k.noise)]
     else:
         first = 0 if metric == EUCLIDEAN else 1
-        terms = [r[at + i] - F.lit(float(ref[at + i])) for i in range(first, n + 1)]
+        terms = [r[at + i] - ref[at + i] for i in range(first, n + 1)]
     total = F.lit(0.0)
     for t in terms:
         total = total + t * t

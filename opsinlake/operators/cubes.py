@@ -168,8 +168,8 @@ def quantity(kind: str, unit: str | None = None) -> Column:
 
 def pixel_curves(pixels: DataFrame, wavelengths, source: str, batch: str) -> DataFrame:
     """Pixels as radiance curves, named after their place and tagged with a batch path."""
-    if wavelengths is None:
-        return pixels.limit(0)
+    if wavelengths is None:  # no axis, no curves; the columns stay those of a curve
+        return pixel_curves(pixels.where(F.lit(False)), (), source, batch)
     name = F.concat(
         F.lit(f"{source} — pixel ("), F.col("line").cast("string"), F.lit(","),
         F.col("sample").cast("string"), F.lit(")"),

@@ -11,16 +11,9 @@ from opsinlake.session import attach
 BAND_SPAN_FLOOR = 1e-6
 
 
-def with_ranges(rendered: DataFrame, ranges: DataFrame, keys=("cube_id",), cubes: int | None = None) -> DataFrame:
-    """Add the per-cube ``lo``/``hi`` arrays.
-
-    ``cubes`` is the number of cubes when the caller knows it. The range of a single image is a scalar subquery, so
-    its pixels are neither joined nor moved; otherwise see ``session.attach``.
-    """
-    if cubes == 1:
-        limits = ranges.select(F.struct("lo", "hi")).scalar()
-        return rendered.withColumn("_r", limits).select(*rendered.columns, "_r.lo", "_r.hi")
-    return attach(rendered, ranges, list(keys), F.struct("line", F.expr("sample div 256")), rows=cubes)
+def with_ranges(rendered: DataFrame, ranges: DataFrame, keys=("cube_id",)) -> DataFrame:
+    """Rows with the ranges of their image; see ``session.attach`` for images that own most pixels."""
+    return attach(rendered, ranges, list(keys), F.struct("line", F.expr("sample div 256")))
 
 
 def _inside(inside: str | None) -> Column:
@@ -69,8 +62,7 @@ def gradient_rgb(magnitude: Column, lo: Column, hi: Column, colormap: str = "vir
     return color.COLORMAPS[colormap](color.normalize_unit(magnitude, lo, hi))
 
 
-def band_preview(pixels: DataFrame, band: int, spectrum="spectrum", rounding="round",
-                 cubes: int | None = None) -> DataFrame:
+def band_preview(pixels: DataFrame, band: int, spectrum="spectrum", rounding="round") -> DataFrame:
     """One band as gray levels over its own range; ``rounding`` is "round" or "truncate"."""
     v = F.col(spectrum)[band].cast("float")
     one = pixels.select("cube_id", "line", "sample", v.alias("v"))
@@ -79,4 +71,4 @@ def band_preview(pixels: DataFrame, band: int, spectrum="spectrum", rounding="ro
     t = ((F.col("v") - F.col("lo")).cast("float") / span).cast("float")
     scaled = (t * F.lit(255.0).cast("float")).cast("float")
     gray = color.to_byte(t) if rounding == "round" else F.floor(color.clamp(scaled, 0.0, 255.0)).cast("int")
-    return with_ranges(one, ranges, cubes=cubes).select("cube_id", "line", "sample", gray.alias("gray"))
+    return with_ranges(one, ranges).select("cube_id", "line", "sample", gray.alias("gray"))

@@ -14,6 +14,7 @@ from opsinlake.operators import curves
 from opsinlake.operators.compare import coordinate_rows
 from opsinlake.plans.adaptation import common_grid, sharpen
 from opsinlake.plans.kernel import CurveKernel
+from opsinlake.session import block_pairs
 
 
 def contrasts_from_covariance(cov) -> list[tuple[str, list[float], float]]:
@@ -110,28 +111,29 @@ def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) ->
 
 
 def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:
-    """Overlap of receptors on a shared grid from ``system, receptor, values`` rows: one row per pair.
-
-    Receptors of a system meet through an array of at most 64 members, so the pairing happens inside a row and a
-    system with too many receptors is an error instead of a blow-up.
-    """
+    """Overlap of receptors on a shared grid from ``system, receptor, values`` rows: one row per pair, each receptor
+    with itself included. Receptors of a system meet by blocks, so a system may have any number of them."""
     keys = list(keys)
-    counted = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    values = F.when(F.col("_n") <= C.MAX_RECEPTORS, F.col("values")).otherwise(
-        F.raise_error(F.lit(f"a system exceeds the limit of {C.MAX_RECEPTORS} receptors"))
-    )
-    packed = samples.join(counted, keys).withColumn("values", values).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("receptor", "values"))).alias("_m")
-    )
-    members = F.transform("_m", lambda m: m["receptor"])
-    gram = gram_column(F.transform("_m", lambda m: m["values"]), step)
-    ready = packed.select(*keys, members.alias("_r"), gram.alias("_g"))
-    # the Gram array is row-major: cell (i, j) of n sits at i * n + j; the upper triangle has each pair once
-    pairs = F.expr(
-        "transform(filter(sequence(0, size(_g) - 1), c -> c % size(_r) >= c div size(_r)), c -> named_struct("
-        "'k', _r[int(c div size(_r))], 'l', _r[c % size(_r)], 'overlap', _g[c]))"
-    )
-    return ready.select(*keys, F.inline(pairs))
+    left = samples.select(*keys, F.col("receptor").alias("k"), F.col("values").alias("_x"))
+    right = samples.select(*keys, F.col("receptor").alias("l"), F.col("values").alias("_y"))
+    own = left.select(*keys, "k", F.col("k").alias("l"), "_x", F.col("_x").alias("_y"))
+    pairs = block_pairs(left, right, keys, "k", "l", blocks=4).select(own.columns).unionByName(own)
+    return pairs.select(*keys, "k", "l", (_product(F.col("_x"), F.col("_y")) * step).alias("overlap"))
+
+
+def _product(x: Column, y: Column) -> Column:
+    """Scalar product of two equally long lists per row."""
+
+    @F.arrow_udf("double")
+    def product(x: pa.Array, y: pa.Array) -> pa.Array:
+        size = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cells = x.flatten().to_numpy(zero_copy_only=False) * y.flatten().to_numpy(zero_copy_only=False)
+        out, some = np.zeros(len(size)), np.nonzero(size)[0]
+        if len(some):
+            out[some] = np.add.reduceat(cells, (np.cumsum(size) - size)[some])
+        return pa.array(out)
+
+    return product(x, y)
 
 
 def gram_column(values: Column, step: float) -> Column:
@@ -180,14 +182,10 @@ def sample_members(members: DataFrame, step: float = C.STEP_NM) -> DataFrame:
 def sharpen_systems(members: DataFrame, step: float = C.STEP_NM) -> DataFrame:
     """Sharpening matrix of every regime of a library: ``system, regime, matrix, inverse, lambda, dominant``.
 
-    ``members`` are the rows of ``validate.member_rows``. A regime above the receptor limit is an error, raised before
-    its curves are brought together.
+    ``members`` are the rows of ``validate.member_rows``. A regime of any size is solved; its matrix is one row.
     """
     keys = ["system", "regime"]
-    counted = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    checked = members.join(counted, keys).withColumn("points", F.when(
-        F.col("_n") <= C.MAX_RECEPTORS, F.col("points")).otherwise(F.raise_error(F.lit("too many receptors"))))
-    packed = sample_members(checked, step).groupBy(*keys).agg(
+    packed = sample_members(members, step).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("slot", "values"))).alias("_m")
     )
     grams = packed.withColumn("_g", gram_column(F.transform("_m", lambda m: m["values"]), step))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side may be broadcast only when it is known to hold at most this many rows.
-BROADCAST_ROWS = 10_000
-
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and single-machine runs. A cluster brings its own."""
@@ -34,19 +31,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def attach(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, rows: int | None = None,
-           how: str = "inner", salts: int = 64) -> DataFrame:
-    """Join a one-row-per-key side onto a table that may be concentrated on one key.
+def attach(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join a side of few rows per key onto a table that may be concentrated on one key.
 
-    ``rows`` is the proven number of rows of ``small``; within ``BROADCAST_ROWS`` it is broadcast. Otherwise the
-    keyed side is copied to ``salts`` salt values and the big side is spread over them by ``spread``, so a key
-    that owns most rows is still split over many tasks.
+    The keyed side is copied to ``salts`` salt values and the big side is spread over them by ``spread``, so a key that
+    owns most rows is still split over many tasks. Where Spark's own statistics say that the keyed side is small, it is
+    broadcast and the salt costs nothing.
     """
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
         .join(salted, keys + ["_salt"], how)
         .drop("_salt")
     )
+
+
+def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, blocks: int = 16) -> DataFrame:
+    """Pairs of rows with equal ``keys`` and ``a < b`` (a column of each side), by an equi-join on keys and a pair of
+    blocks: every row lies in one of ``blocks`` hashed blocks and meets each block once, so one key with many rows is
+    dealt to blocks * (blocks + 1) / 2 places. The output is quadratic by its nature; no side is broadcast."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+        both = df.withColumn("_own", own).withColumn("_other", every)
+        return both.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+
+    x = dealt(left, a).withColumnRenamed("_own", "_own_a").drop("_other")
+    y = dealt(right, b).withColumnRenamed("_own", "_own_b").drop("_other")
+    met = x.join(y, [*keys, "_i", "_j"]).where((F.col(a) < F.col(b)) & (F.least("_own_a", "_own_b") == F.col("_i")) & (F.greatest("_own_a", "_own_b") == F.col("_j")))
+    return met.drop("_own_a", "_own_b", "_i", "_j")

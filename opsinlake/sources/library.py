@@ -6,6 +6,8 @@ A document is one JSON object. The current layout has ``curves`` and ``regimes``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,6 @@ from opsinlake import schema as S
 from opsinlake.plans.systems import Receptor, Regime, VisualSystem, builtin_systems
 
 MARKER = "builtin_hash"
-SYSTEM_LIMIT = 10_000  # systems a driver-side compile accepts
 
 _CURVE = (
     "array<struct<name:string,curve_type:string,quantity:string,points:array<array<double>>,"
@@ -27,7 +28,7 @@ _DOCUMENT = (
     f"struct<name:string,curves:{_CURVE},metadata:map<string,string>,"
     f"regimes:array<struct<name:string,curves:array<bigint>,luminance_weights:array<double>,"
     f"opponent_contrasts:{_CONTRAST}>>,colorspace_curves:{_CURVE},isolated_curves:{_CURVE},"
-    f"opponent_contrasts:{_CONTRAST},illumination_min:double,illumination_max:double,illumination_softness:double>"
+    f"opponent_contrasts:{_CONTRAST},illumination_min:double,illumination_max:double,illumination_softness:double,_corrupt:string>"
 )
 # Tagged names in documents (fixed values).
 _KINDS = ("Sensitivity", "Radiance", "Reflectance", "Absorption", "Transmittance", "Unspecified")
@@ -63,7 +64,7 @@ def parse_systems(documents: DataFrame, text: str = "text") -> DataFrame:
     """Documents to system rows; text that is not a system document is skipped. Other columns are kept."""
     none = F.expr(f"cast(array() as {_CURVE})")
     d = F.col("_d")
-    parsed = documents.withColumn("_d", F.from_json(text, _DOCUMENT))
+    parsed = documents.withColumn("_d", F.from_json(text, _DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt"}))
     current = d["curves"].isNotNull()
     space = F.coalesce(d["colorspace_curves"], none)
     curves = F.when(current, d["curves"]).otherwise(F.concat(space, F.coalesce(d["isolated_curves"], none)))
@@ -86,7 +87,8 @@ def parse_systems(documents: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(nothing)
     )
     rest = [c for c in documents.columns if c != text]
-    readable = parsed.where(d.isNotNull() & d["name"].isNotNull() & (current | d["colorspace_curves"].isNotNull()
+    whole = d["_corrupt"].isNull()  # a field of the wrong type makes the document unreadable
+    readable = parsed.where(d.isNotNull() & whole & d["name"].isNotNull() & (current | d["colorspace_curves"].isNotNull()
                                                                     | d["isolated_curves"].isNotNull()))
     return readable.select(
         *rest, d["name"].alias("name"),
@@ -249,11 +251,8 @@ def shipped_systems(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([system_row(s) for s in builtin_systems().values()], S.SYSTEM)
 
 
-def collect_systems(systems: DataFrame, limit: int = SYSTEM_LIMIT) -> list[VisualSystem]:
-    """Library rows as objects for kernel compilation. A library larger than ``limit`` is refused."""
-    rows = systems.select(*S.SYSTEM.fieldNames()).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} systems cannot be compiled on the driver")
+def systems_of(systems: DataFrame) -> Iterator[VisualSystem]:
+    """Library rows as objects for kernel compilation, one partition at a time, so a library of any size can be walked."""
 
     def receptor(c):
         return Receptor(c["name"], tuple((p["wl"], p["v"]) for p in c["points"]), c["omega"], c["eta"],
@@ -266,9 +265,8 @@ def collect_systems(systems: DataFrame, limit: int = SYSTEM_LIMIT) -> list[Visua
         c = None if g["contrasts"] is None else tuple((x["name"], tuple(x["weights"])) for x in g["contrasts"])
         return Regime(g["name"], tuple(g["members"]), w, c)
 
-    return [
-        VisualSystem(r["name"], tuple(receptor(c) for c in r["curves"]), tuple(regime(g) for g in r["regimes"] or ()),
-                     r["illumination_min"], r["illumination_max"], r["illumination_softness"],
-                     tuple(sorted((r["metadata"] or {}).items())))
-        for r in rows
-    ]
+    for r in systems.select(*S.SYSTEM.fieldNames()).toLocalIterator():
+        yield VisualSystem(
+            r["name"], tuple(receptor(c) for c in r["curves"]), tuple(regime(g) for g in r["regimes"] or ()),
+            r["illumination_min"], r["illumination_max"], r["illumination_softness"], tuple(sorted((r["metadata"] or {}).items())),
+        )

@@ -9,30 +9,30 @@ from opsinlake.functions.bind import let
 
 NO_DATA = 1.0e30
 MICROMETRE_BELOW = 50.0
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"  # no type suffixes, which a cast would take
 
 
 def parse_points(text: Column) -> Column:
     """Points of a text spectrum in file order, as ``array<struct<line,wl,v>>``.
 
-    Blank lines, lines that start with ``#`` or ``!`` and lines whose first two fields are not numbers are skipped, as
-    are non-finite values and values of 1e30 and more. When the largest wavelength lies in (0, 50) the text is in
+    Fields are parted by commas and blanks, also ahead of the first. Lines whose first two fields are not plain decimal
+    numbers (so comments and blank lines, too) are skipped, as are values of 1e30 and more. When the largest wavelength lies in (0, 50) the text is in
     micrometres. A text is one value of one row, so parsing is a projection.
     """
     lines = F.transform(
         F.split(text, r"\r?\n"), lambda t, i: F.struct(i.cast("long").alias("line"), F.trim(t).alias("t"))
     )
-    # only lines that begin like a number can hold one; prose drops out before any splitting
-    candidates = F.filter(lines, lambda x: x["t"].rlike(r"^\s*[+\-.0-9iInN]"))
 
     def number(fields, i):
-        return F.get(fields, F.lit(i)).try_cast("double")
+        field = F.get(fields, F.lit(i))
+        return F.when(field.rlike(NUMBER), field.try_cast("double"))
 
     def parse(x):
         return let(F.split(F.regexp_replace(x["t"], r"^[,\s]+", ""), r"[,\s]+"), lambda f: F.struct(
             x["line"].alias("line"), number(f, 0).alias("wl"), number(f, 1).alias("v")))
 
     good = F.filter(
-        F.transform(candidates, parse), lambda p: (F.abs(p["wl"]) < float("inf")) & (F.abs(p["v"]) < NO_DATA)
+        F.transform(lines, parse), lambda p: (F.abs(p["wl"]) < float("inf")) & (F.abs(p["v"]) < NO_DATA)
     )
 
     def scaled(points):

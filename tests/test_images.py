@@ -144,10 +144,9 @@ def test_edges_need_noise_and_adaptation(image):
 def test_ranges_join_spread_over_salts(image):
     ch = image.withColumn("ch", F.col("spectrum"))
     ranges = render.channel_ranges(ch, BANDS)
-    known = display.with_ranges(ch, ranges, cubes=1)
-    unknown = display.with_ranges(ch, ranges)
-    assert known.count() == unknown.count() == LINES * SAMPLES
-    assert unknown.select(F.countDistinct("lo")).first()[0] == 1
+    joined = display.with_ranges(ch, ranges)
+    assert joined.count() == LINES * SAMPLES
+    assert joined.select(F.countDistinct("lo")).first()[0] == 1
 
 
 def test_flat_cube_layouts(spark):
@@ -189,3 +188,17 @@ def test_colours(spark):
     c = [list(r) for r in g.select(*color.wavelength_rgb(F.col("wl"))).collect()]
     assert c[0] == [1.0, 1.0, 1.0] and c[5] == [0.0, 0.0, 0.0]
     assert c[1] == pytest.approx(c[2], abs=1e-4) and c[3] == pytest.approx(c[4], abs=1e-4)
+
+
+def test_regional_means_with_null_and_integer_keys(spark):
+    rows = [(1, None, [1.0, 3.0]), (1, None, [3.0, 5.0]), (2, "a", [4.0, 4.0]), (None, "a", None), (None, None, [7.0, 9.0])]
+    df = spark.createDataFrame(rows, "cube_id int, region_id string, spectrum array<double>")
+    got = {(r.cube_id, r.region_id): (r.spectrum, r.pixels) for r in regions.mean_spectrum(df, 2).collect()}
+    assert got == {(1, None): ([2.0, 4.0], 2), (2, "a"): ([4.0, 4.0], 1), (None, None): ([7.0, 9.0], 1)}
+    empty = df.where("spectrum is null").repartition(1)
+    assert regions.mean_spectrum(empty, 2).count() == 0
+
+
+def test_pixel_curves_without_an_axis(spark, image):
+    none, some = (cubes.pixel_curves(image, wl, "s", "b") for wl in (None, [float(i) for i in range(BANDS)]))
+    assert none.count() == 0 and none.columns == some.columns

@@ -95,7 +95,7 @@ def test_sharpening_gradient_and_batch():
         o = t @ t.T
         return sum(o[i, j] ** 2 for i in range(3) for j in range(i + 1, 3)) + lam * ((m - np.eye(3)) ** 2).sum()
 
-    m = A.descend_one(g, 10.0)
+    m = A.descend(g[None], 10.0)[0]
     best = objective(m, 10.0)
     for i in range(3):
         for j in range(3):
@@ -104,8 +104,9 @@ def test_sharpening_gradient_and_batch():
                     trial = m.copy()
                     trial[i, j] += d
                     assert objective(trial, 10.0) >= best - 1e-9 * best
-    stack = np.stack([g] * (A.SMALL_STACK + 1))
-    assert np.allclose(A.descend(stack, 10.0), m, atol=1e-9)
+    other = A.gram(curves[:2] + curves[:1])
+    both = A.descend(np.stack([g, other, g]), 10.0)
+    assert np.array_equal(both[0], m) and np.array_equal(both[2], m) and np.allclose(both[1], A.descend(other[None], 10.0)[0], atol=1e-12)
 
 
 def test_gain_values(spark):

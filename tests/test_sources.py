@@ -100,7 +100,7 @@ def test_library_round_trip(spark, tmp_path):
     path = str(tmp_path / "lib")
     first = library.open_library(spark, path)
     assert first.count() == 11
-    back = {s.name: s for s in library.collect_systems(first)}
+    back = {s.name: s for s in library.systems_of(first)}
     for name, s in builtin_systems().items():
         b = back[name]
         assert [r.points for r in b.pool] == [r.points for r in s.pool] and b.regimes == s.regimes
@@ -224,8 +224,15 @@ def test_batch_export_rules(spark):
     assert [r[4] for r in out.collect()] == [None, None]
     with pytest.raises(ValueError, match="no|none"):
         compare.batch_export(df, [pool_only])
-    with pytest.raises(ValueError, match="exactly one"):
-        compare.batch_export(df, [dog], reference=df)
+    with pytest.raises(Exception, match="exactly one"):
+        compare.batch_export(df, [dog], reference=df).collect()
+    radiance = K.compile_curves(builtin("Dog"), "dominant", axis, light, K.RADIANCE)
+    kinds = df.withColumn("kind", F.when(F.col("name") == "x", "Absorption").otherwise("Radiance"))
+    mixed = compare.batch_export(kinds, [pool_only, dog], kind="kind", radiance=[pool_only, radiance]).collect()
+    plain = compare.batch_export(df.where("name = 'y'"), [radiance]).collect()
+    assert [tuple(r) for r in mixed] == [tuple(r) for r in plain]
+    with pytest.raises(ValueError, match="radiance kernel"):
+        compare.batch_export(kinds, [dog], kind="kind")
 
 
 def test_streams_match_batches(spark, tmp_path):
@@ -278,3 +285,28 @@ def test_regime_defaults_apply():
     s = VisualSystem("s", (r,), (Regime("g", (0,)),), illumination_min=1e6, illumination_softness=0.25)
     st = K.regime_state(s, s.regimes[0], [(300.0, 1.0), (750.0, 1.0)])
     assert st.gains[0] < 1e-6 and not st.active
+
+
+def test_text_lines_with_separators_and_suffixes(spark):
+    df = spark.createDataFrame([("f", "400 1\n,410,2\n5d 3\n 420\t.5 x\n430f 1\n1e2,-3.\n")], "file string, text string")
+    got = [(r.line, r.wl, r.v) for r in text.parse_spectra(df).orderBy("line").collect()]
+    assert got == [(0, 400.0, 1.0), (1, 410.0, 2.0), (3, 420.0, 0.5), (5, 100.0, -3.0)]
+
+
+def test_ill_typed_documents_are_skipped(spark):
+    good = '{"name": "g", "curves": [{"name": "c", "curve_type": "x", "quantity": "sensitivity", "points": [[1, 2]]}], "regimes": []}'
+    docs = [good, good.replace("[[1, 2]]", '"oops"').replace('"g"', '"bad"'), "[]", "{", good.replace('"g"', "null")]
+    df = spark.createDataFrame([(d,) for d in docs], "text string")
+    assert [r["name"] for r in library.parse_systems(df).collect()] == ["g"]
+
+
+def test_many_receptors_and_stimuli(spark):
+    """No limit on the members of a system or the stimuli of a matrix."""
+    samples = spark.createDataFrame([("s", i, [float(i % 7), 1.0, float(i % 3)]) for i in range(70)], "system string, receptor int, values array<double>")
+    got = opponent.gram_pairs(samples, 2.0).collect()
+    assert len(got) == 70 * 71 // 2
+    for r in got[::97]:
+        assert r["overlap"] == 2.0 * ((r["k"] % 7) * (r["l"] % 7) + 1 + (r["k"] % 3) * (r["l"] % 3)) and r["k"] <= r["l"]
+    coords = spark.range(600).selectExpr("'s' AS system", "id", "0.0D AS luminance", "array(double(id)) AS chroma", "array(0.0D) AS adapted")
+    m = compare.difference_matrix(coords, [], compare.CHROMA_ONLY)
+    assert m.count() == 600 * 599 // 2 and m.where("distance <> b_id - a_id").count() == 0

@@ -173,10 +173,8 @@ def examples(n: int = LABELLED_LINES) -> list[tuple[list[str], list[int]]]:
 
     def item() -> list[tuple[str, str]]:
         kind = draw(16)
-        if kind < 2:
+        if kind < 3:
             return [(f"{plain()}.{number(2)}@{plain()}.example.com", "email")]
-        if kind == 2:
-            return [(plain(), "email"), ("(at)", "email"), (f"{plain()}.example.com", "email")]
         if kind < 5:
             return [(".".join(str(draw(256)) for _ in range(4)), "ip")]
         if kind == 5:

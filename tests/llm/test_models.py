@@ -130,14 +130,12 @@ def test_field_on_new_lines(field):
         found = pii.field_spans(pa.array([text], pa.large_string()), field).get(0, [])
         at = 0
         for w, t in zip(words, tags):
-            hit = any(s <= at and at + len(w.strip(".,")) <= e and k == pii.TAGS[t] for k, s, e in found)
             core = w.strip("\"'.,;:!?()[]{}<>")
             if t and core:
                 right, total = right + any(s < at + len(w) and at < e and k == pii.TAGS[t] for k, s, e in found), total + 1
             elif core and not t:
                 false += any(s < at + len(w) and at < e for _, s, e in found)
             at += len(w) + 1
-            assert hit in (True, False)
     assert right / total > 0.93 and false < 40
 
 
@@ -168,4 +166,4 @@ def test_spans_count_characters(spark, field):
     r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first()
     spans = [s.split(":") for s in r.spans.split(",")]
     assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == [("email", "jo.12@mail1.example.com"), ("secret", "password=3da3a2ce706927ddf6"), ("ip", "4.3.2.1")]
-    assert r.base_spans == "email:10:33,ip:65:72"
+    assert r.base_spans == "email:10:33,ip:66:73"

@@ -52,7 +52,7 @@ def template_peak(chromophore: str, peak_nm: Column) -> Column:
             top[a:a + 4096] = template_raw(chromophore, part, part + _SCAN, np.exp).max(axis=1)
         return pa.array(top, mask=np.asarray(peaks.is_null()))
 
-    return scan.asNondeterministic()(peak_nm)  # evaluated once, also where a curve function builds on it
+    return scan(peak_nm)
 
 
 def template_values(chromophore: str, peak_nm: Column, wavelengths) -> Column:
@@ -70,7 +70,7 @@ def template_values(chromophore: str, peak_nm: Column, wavelengths) -> Column:
             out[a:a + 4096] = template_raw(chromophore, part, wl, np.exp) / top
         return lists(out, ok, np.float64)
 
-    return curve.asNondeterministic()(peak_nm)
+    return curve(peak_nm)
 
 
 def template_points(chromophore: str, peak_nm: Column, lo: float, hi: float, step: float) -> Column:

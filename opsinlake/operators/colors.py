@@ -58,7 +58,7 @@ def with_display_color(df: DataFrame, points: str = "points", into: str = "rgb")
         inner = F.when(s[3] > 0, cie).otherwise(F.lit(0.0))
         outer = F.when(s[7] > 0, far / F.when(s[7] > 0, s[7])).otherwise(F.lit(0.0))
         rgb.append((inner * (1.0 - share) + outer * share).alias(name))
-    summed = df.withColumn("_s", _color_sums.asNondeterministic()(F.col(points)))
+    summed = df.withColumn("_s", _color_sums(F.col(points)))
     return summed.withColumn(into, F.when(total > 0, F.struct(*rgb))).drop("_s")
 
 

@@ -93,12 +93,8 @@ def _values(points: pa.Array, grid: pa.Array) -> pa.Array:
 
 
 def values_at(points: Column, grid: Column) -> Column:
-    """Monotone-cubic values of a curve on a grid of wavelengths; null outside the curve's domain.
-
-    Marked as not repeatable so that the optimizer keeps one evaluation per step of a chain (dividing by a light,
-    then predicting under another) instead of folding one step's result into every use of the next.
-    """
-    return _values.asNondeterministic()(points, grid)
+    """Monotone-cubic values of a curve on a grid of wavelengths; null outside the curve's domain."""
+    return _values(points, grid)
 
 
 def literal_values(curve, grid: Column) -> Column:
@@ -112,7 +108,7 @@ def literal_values(curve, grid: Column) -> Column:
         flat = xs.flatten().to_numpy(zero_copy_only=False).astype(float)
         return ragged(fixed.at(np.zeros(len(flat), dtype=np.int64), flat), steps, ok)
 
-    return lookup.asNondeterministic()(grid)
+    return lookup(grid)
 
 
 def _whole(v: Column) -> Column:
@@ -139,7 +135,7 @@ def curve_integral(points: Column, step: float = C.STEP_NM) -> Column:
     def area(curves: pa.Array) -> pa.Array:
         return _integrals(curves, None, step)
 
-    return F.coalesce(area.asNondeterministic()(points)[0], F.lit(0.0))
+    return F.coalesce(area(points)[0], F.lit(0.0))
 
 
 def product_integrals(points: Column, fixed, step: float = C.STEP_NM) -> Column:
@@ -150,7 +146,7 @@ def product_integrals(points: Column, fixed, step: float = C.STEP_NM) -> Column:
     def products(curves: pa.Array) -> pa.Array:
         return _integrals(curves, others, step)
 
-    return products.asNondeterministic()(points)
+    return products(points)
 
 
 def activations(points: Column, receptors, gains, step: float = C.STEP_NM) -> Column:

@@ -160,7 +160,7 @@ def gram_column(values: Column, step: float) -> Column:
             out[at[same][:, None] + np.arange(n * n)] = cells
         return ragged(out, count**2, np.ones(len(count), dtype=bool))
 
-    return products.asNondeterministic()(values)
+    return products(values)
 
 
 def sample_members(members: DataFrame, step: float = C.STEP_NM) -> DataFrame:
@@ -218,4 +218,4 @@ def sharpen_column(grams: Column) -> Column:
             ("dominant", pa.bool_()),
         ]))
 
-    return solve.asNondeterministic()(grams)
+    return solve(grams)

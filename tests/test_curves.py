@@ -175,3 +175,16 @@ def test_display_color(spark):
     assert c["flat"] is None and c["none"] is None
     # a curve outside the visible range takes the gradient's colour only
     assert c["uv"]["r"] == pytest.approx(np.mean([0.3 + 0.7 * (380 - w) / 180 for w in range(300, 341)]), abs=1e-9)
+
+
+def test_filters_pass_below_curve_functions(spark, tmp_path, capfd):
+    """A filter on another column reaches the scan, so other curves are never fitted."""
+    path = str(tmp_path / "curves")
+    spark.range(10).selectExpr("id", "array(named_struct('wl', 400.0D, 'v', 1.0D), named_struct('wl', 500.0D, 'v', 2.0D)) AS points").write.parquet(path)
+    df = spark.read.parquet(path)
+    grid = F.array(F.lit(450.0), F.lit(470.0))
+    for made in (curves.curve_integral(F.col("points")), curves.values_at(F.col("points"), grid)):
+        plan = df.withColumn("x", made).where("id = 3")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(id,3)" in plan
+    with_area = df.withColumn("x", curves.curve_integral(F.col("points"))).select((F.col("x") + F.col("x")).alias("y"), "x")
+    assert with_area._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

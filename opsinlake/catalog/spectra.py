@@ -8,14 +8,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from opsinlake import constants as C
-from opsinlake.catalog import images
 from opsinlake.catalog.base import (
     AXIS, BANDS, SLOPES, SOLAR, UNIFORM, curve_kernel_sql, curve_value_sql, dot, num, nums, query, rnd, rsql,
     spectra, table,
 )
 from opsinlake.functions import color
 from opsinlake.functions.monotone import Bundle
-from opsinlake.operators import colors, compare, corpus, curves, opponent
+from opsinlake.operators import colors, compare, corpus, curves, opponent, regions
 from opsinlake.operators.cubes import as_points, quantity
 from opsinlake.plans import kernel as K
 from opsinlake.plans.systems import builtin, builtin_systems
@@ -109,22 +108,18 @@ def receptors_without_regime(spark, sf):
 
 
 def _mean_curves_sql() -> str:
-    """``region_id, y, m`` of the regional means, slopes included."""
-    parts = [
-        f"SELECT '{n}' AS region_id, i, avg(px[i + 1]) AS v FROM ({images.PIXELS}), range({BANDS}) t(i) "
-        f"WHERE {images.region_sql(r)} GROUP BY i"
-        for n, r in images.REGIONS.items()
-    ]
-    one = f"SELECT region_id, list(v ORDER BY i) AS y FROM ({' UNION ALL '.join(parts)}) GROUP BY region_id"
-    text_ = SLOPES.replace(
+    """``vec_id`` (the label), ``y``, ``m`` of the mean curve of every label, slopes included."""
+    one = (f"SELECT label, list(v ORDER BY i) AS y FROM (SELECT label, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS v "
+           f"FROM embeddings, range({BANDS}) t(i) GROUP BY label, i) GROUP BY label")
+    return SLOPES.replace(
         "base AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS y FROM embeddings)",
-        f"base AS (SELECT region_id AS vec_id, CAST(0 AS BIGINT) AS label, y FROM ({one}))",
+        f"base AS (SELECT CAST(label AS BIGINT) AS vec_id, CAST(0 AS BIGINT) AS label, y FROM ({one}))",
     )
-    return text_
 
 
-def _region_coords(spark, sf, kernels):
-    means = images.region_means(spark, sf).select("region_id", "spectrum")
+def _label_coords(spark, sf, kernels):
+    """Coordinates of the mean curve of every label, over all rows."""
+    means = regions.mean_spectrum(spectra(spark, sf), BANDS, keys=("label",)).select("label", "spectrum")
     return compare.coordinates(means, list(kernels))
 
 
@@ -150,7 +145,7 @@ def _matrix_sql(metric):
 
 def _matrix(spark, sf, metric):
     k = [human()]
-    m = compare.difference_matrix(_region_coords(spark, sf, k), k, metric, "region_id")
+    m = compare.difference_matrix(_label_coords(spark, sf, k), k, metric, "label")
     return m.withColumn("distance", rnd("distance"))
 
 
@@ -185,7 +180,7 @@ def _cross_sql():
 @query(_cross_sql)
 def cross_species_summary(spark, sf):
     ks = list(all_kernels())
-    df = compare.cross_species(_region_coords(spark, sf, ks), ks, "region_id")
+    df = compare.cross_species(_label_coords(spark, sf, ks), ks, "label")
     return df.select("a_id", "b_id", *[rnd(F.col(f"`{k.system}`")).alias(f"s{i}") for i, k in enumerate(ks)])
 
 
@@ -544,11 +539,39 @@ def corpus_covariance(spark, sf):
     return df.select("n", "weight", *[rnd(c).alias(c) for c in df.columns if c[0] in "mc"])
 
 
-@query()
+def _contrasts_sql():
+    """Eigenvalues of the symmetric 3 x 3 covariance by the trigonometric formula, eigenvectors as the longest cross
+    product of two rows of A - eI."""
+    k = opponent.ungated(human())
+    t = f"SELECT vec_id % 3 + 1 AS w, q FROM ({curve_kernel_sql(k, 'cubic', 'vec_id')})"
+    mean = ", ".join(f"sum(w * q[{i + 1}]) / sum(w) AS m{i}" for i in range(3))
+    cov = ", ".join(f"sum(w * (q[{i + 1}] - m{i}) * (q[{j + 1}] - m{j})) / sum(w) AS a{i}{j}" for i in range(3) for j in range(i, 3))
+    row = lambda i: [f"a{min(i, j)}{max(i, j)}" + (" - e" if i == j else "") for j in range(3)]
+
+    def cross(x, y):
+        return "[" + ", ".join(f"({x[(c + 1) % 3]}) * ({y[(c + 2) % 3]}) - ({x[(c + 2) % 3]}) * ({y[(c + 1) % 3]})" for c in range(3)) + "]"
+
+    crosses = ", ".join(cross(row(i), row(j)) for i, j in ((0, 1), (0, 2), (1, 2)))
+    return _cubic(
+        f""", t AS ({t}), mm AS (SELECT {mean} FROM t), c AS (SELECT {cov} FROM t, mm),
+        p AS (SELECT *, (a00 + a11 + a22) / 3 AS q FROM c),
+        r AS (SELECT *, sqrt(((a00 - q) ** 2 + (a11 - q) ** 2 + (a22 - q) ** 2 + 2 * (a01 ** 2 + a02 ** 2 + a12 ** 2)) / 6) AS s FROM p),
+        f AS (SELECT *, acos(greatest(-1, least(1, (
+            (a00 - q) * ((a11 - q) * (a22 - q) - a12 ** 2) - a01 * (a01 * (a22 - q) - a12 * a02) + a02 * (a01 * a12 - (a11 - q) * a02)
+            ) / (2 * s ** 3)))) / 3 AS phi FROM r),
+        v AS (SELECT *, unnest([1, 2, 3]) AS k, unnest([q + 2 * s * cos(phi), q + 2 * s * cos(phi + 4 * pi() / 3), q + 2 * s * cos(phi + 2 * pi() / 3)]) AS e FROM f),
+        x AS (SELECT k, e, list_sort([[list_inner_product(u, u), u[1], u[2], u[3]] FOR u IN [{crosses}]], 'DESC')[1] AS b FROM v),
+        y AS (SELECT k, e, [z / sqrt(b[1]) FOR z IN b[2:4]] AS u FROM x),
+        z AS (SELECT k, e, [g * CASE WHEN list_max(u) >= -list_min(u) THEN 1 ELSE -1 END FOR g IN u] AS u FROM y)
+        SELECT 'Natural-scene PC' || k AS name, {", ".join(rsql(f"u[{i + 1}]", 4) + f" AS w{i}" for i in range(3))}, {rsql("e", 5)} AS variance FROM z"""
+    ).replace(f"{SLOPES} ,", f"{SLOPES},")
+
+
+@query(_contrasts_sql)
 def corpus_contrasts(spark, sf):
-    """Principal opponent axes of the weighted corpus (an eigen-decomposition of a 3 x 3 matrix on the driver)."""
+    """Principal opponent axes of the weighted corpus."""
     rows = opponent.corpus_contrasts(spectra(spark, sf), opponent.ungated(human()), F.col("vec_id") % 3 + 1)
-    return spark.createDataFrame(rows or [], "name string, weights array<double>, variance double")
+    return rows.select(F.split("name", " \\(")[0].alias("name"), *[rnd(F.col("weights")[i], 4).alias(f"w{i}") for i in range(3)], rnd("variance", 5).alias("variance"))
 
 
 # ------------------------------------------------------------------ text

@@ -34,25 +34,24 @@ def contrasts_from_covariance(cov) -> list[tuple[str, list[float], float]]:
     return out
 
 
-def weighted_moments(rows: DataFrame, values: list[Column], weight: Column, shift=None) -> DataFrame:
-    """Weighted mean and population covariance of a few columns in one aggregate.
+def weighted_moments(rows: DataFrame, values: list[Column], weight: Column) -> DataFrame:
+    """Weighted mean and population covariance of a few columns: the means in a first aggregate, the centred products in
+    a second, so large means do not cancel.
 
-    Only 1 + n + n(n+1)/2 partial sums per task are shuffled. ``shift`` (a typical value per column) keeps the
-    sums well conditioned. Null with fewer than two rows or no positive total weight.
+    Only 1 + n + n(n+1)/2 partial sums per task are shuffled. Null with fewer than two rows or no positive total weight.
     """
     n = len(values)
-    shift = [0.0] * n if shift is None else [float(s) for s in shift]
-    x = [v - F.lit(s) for v, s in zip(values, shift)]
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")]
-    sums += [F.sum(weight * x[i]).alias(f"s{i}") for i in range(n)]
-    sums += [F.sum(weight * x[i] * x[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]
+    total = F.sum(weight)
+    usable = (F.count(F.lit(1)) >= 2) & (total > 0)
+    first = rows.agg(F.array(*[F.when(usable, F.sum(weight * v) / total) for v in values]).alias("m")).scalar()
+    placed = rows.select(weight.alias("_w"), *[v.alias(f"_v{i}") for i, v in enumerate(values)], first.alias("_m"))
+    x = [F.col(f"_v{i}") - F.col("_m")[i] for i in range(n)]
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.first("_m").alias("m")]
+    sums += [F.sum(F.col("_w") * x[i] * x[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]
     w = F.when((F.col("n") >= 2) & (F.col("w") > 0), F.col("w"))
-    means = [(F.col(f"s{i}") / w + F.lit(shift[i])).alias(f"mean{i}") for i in range(n)]
-    covs = [
-        (F.col(f"s{i}_{j}") / w - (F.col(f"s{i}") / w) * (F.col(f"s{j}") / w)).alias(f"cov{i}_{j}")
-        for i in range(n) for j in range(i, n)
-    ]
-    return rows.agg(*sums).select("n", F.col("w").alias("weight"), *means, *covs)
+    means = [F.when(w.isNotNull(), F.col("m")[i]).alias(f"mean{i}") for i in range(n)]
+    covs = [(F.col(f"s{i}_{j}") / w).alias(f"cov{i}_{j}") for i in range(n) for j in range(i, n)]
+    return placed.agg(*sums).select("n", w.alias("weight"), *means, *covs)
 
 
 def corpus_covariance(corpus: DataFrame, kernel: CurveKernel, weight: Column, spectrum="spectrum") -> DataFrame:
@@ -71,14 +70,21 @@ def ungated(kernel: CurveKernel) -> CurveKernel:
                        np.ones(len(kernel.gains)), kernel.caps, None, None, None, 1.0, kernel.receptor_names)
 
 
-def corpus_contrasts(corpus: DataFrame, kernel: CurveKernel, weight: Column, spectrum="spectrum"):
-    """Opponent contrasts of a corpus, or None when it is too small. Only the covariance reaches the driver."""
+def corpus_contrasts(corpus: DataFrame, kernel: CurveKernel, weight: Column, spectrum="spectrum") -> DataFrame:
+    """Opponent contrasts of a corpus: ``name, weights, variance`` per principal axis, no row when it is too small. Lazy:
+    the axes are found in a task, on the one row of the covariance aggregate."""
     n = len(kernel.gains)
-    row = corpus_covariance(corpus, kernel, weight, spectrum).first()
-    if row["cov0_0"] is None:
-        return None
-    cov = np.array([[row[f"cov{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-    return contrasts_from_covariance(cov)
+    cov = corpus_covariance(corpus, kernel, weight, spectrum)
+    cells = F.array(*[F.col(f"cov{min(i, j)}_{max(i, j)}") for i in range(n) for j in range(n)])
+    axes = T.StructType([T.StructField("name", T.StringType()), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("variance", T.DoubleType())])
+
+    @F.arrow_udf(T.ArrayType(axes))
+    def find(matrices: pa.Array) -> pa.Array:
+        found = [contrasts_from_covariance(np.reshape(m, (n, n))) for m in matrices.to_pylist()]
+        rows = [[{"name": a, "weights": w, "variance": v} for a, w, v in one] for one in found]
+        return pa.array(rows, pa.list_(pa.struct([("name", pa.string()), ("weights", pa.list_(pa.float64())), ("variance", pa.float64())])))
+
+    return cov.where("cov0_0 is not null").select(F.inline(find(cells)))
 
 
 def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) -> Column:

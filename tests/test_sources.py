@@ -174,13 +174,16 @@ def test_corpus_contrasts_are_orthonormal(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([([float(v) for v in rng.random(64)], float(w)) for w in range(1, 40)], "spectrum array<double>, w double")
     k = opponent.ungated(K.compile_curves(builtin("Human"), 0, [400.0 + 5 * i for i in range(64)], [(300.0, 1.0), (750.0, 1.0)]))
-    rows = opponent.corpus_contrasts(df, k, F.col("w"))
+    rows = opponent.corpus_contrasts(df, k, F.col("w")).collect()
     axes = np.array([r[1] for r in rows])
     assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9)
     assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
     assert all(max(a, key=abs) > 0 for a in axes.tolist())
-    assert opponent.corpus_contrasts(df.limit(1), k, F.col("w")) is None
-    assert opponent.corpus_contrasts(df, k, F.lit(0.0)) is None
+    assert opponent.corpus_contrasts(df.limit(1), k, F.col("w")).count() == 0
+    assert opponent.corpus_contrasts(df, k, F.lit(0.0)).count() == 0
+    far = df.select(F.transform("spectrum", lambda v: v + 1e7).alias("spectrum"), "w")
+    near, moved = (opponent.corpus_covariance(d, k, F.col("w")).first() for d in (df, far))
+    assert moved["cov0_1"] == pytest.approx(near["cov0_1"], rel=1e-3)
     assert opponent.contrasts_from_covariance([[2.0]])[0][:2] == ("Natural-scene PC1", [1.0])
 
 

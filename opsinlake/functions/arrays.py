@@ -11,7 +11,7 @@ def matrix(a: pa.Array, width: int):
     ok = np.asarray(a.is_valid())
     size = a.value_lengths().to_numpy(zero_copy_only=False)[ok]
     if len(size) and (size != width).any():
-        raise ValueError(f"the kernel was built for {width} bands but the cube has {int(size[size != width][0])}")
+        raise ValueError(f"a spectrum of {int(size[size != width][0])} values meets a kernel for {width}")
     flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(-1, width), ok
 

@@ -157,7 +157,7 @@ def distance(a: dict, b: dict, metric: str, noise: Column | None = None) -> Colu
             d = a["luminance"] - b["luminance"]
             total = total + d * d
         value = F.sqrt(total)
-    message = F.lit("coordinates from different-dimensionality species aren't comparable")
+    message = F.lit("distance between coordinates with unequal numbers of chroma axes")
     return F.when(same, value).otherwise(F.raise_error(message).cast("double"))
 
 

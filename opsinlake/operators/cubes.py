@@ -43,7 +43,7 @@ def from_flat(cubes: DataFrame, layout: str, values="values") -> DataFrame:
             ).alias("spectrum"),
         )
 
-    message = F.lit("flat cube data must be bands*lines*samples long")
+    message = F.lit("a flat cube needs one value for every band, line and sample")
     cells = F.when(
         F.size(values) == lines * samples * bands, F.transform(F.sequence(F.lit(0), lines * samples - 1), cut)
     ).otherwise(F.raise_error(message))

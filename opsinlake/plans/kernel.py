@@ -31,11 +31,11 @@ class KernelError(ValueError):
 def check_wavelengths(wavelengths) -> np.ndarray:
     wl = np.asarray([] if wavelengths is None else wavelengths, dtype=float)
     if not len(wl):
-        raise KernelError("the cube has no wavelength axis assigned")
+        raise KernelError("bands need wavelengths before a kernel can be built")
     bad = np.nonzero(np.diff(wl) <= 0)[0]
     if len(bad):
         i = bad[0]
-        raise KernelError(f"wavelengths must be strictly increasing, but {wl[i]:g} >= {wl[i + 1]:g}")
+        raise KernelError(f"band {i + 1} at {wl[i + 1]:g} nm does not lie above band {i} at {wl[i]:g} nm")
     return wl
 
 
@@ -222,7 +222,7 @@ def compile_regime(system: VisualSystem, regime, wavelengths, light=None, input_
     regime = regime if isinstance(regime, Regime) else system.regime(regime)
     wl = check_wavelengths(wavelengths)
     rr = resolve(system, regime)
-    _check(rr.members, light, input_kind, stage, "the regime has no member receptors")
+    _check(rr.members, light, input_kind, stage, "nothing to compile: no receptor belongs to this regime")
     names = tuple(r.name for r in rr.members)
     n = len(names)
     gains, regime_gain, active, adaptation, opponent = np.ones(n), 1.0, True, None, None
@@ -241,7 +241,7 @@ def compile_regime(system: VisualSystem, regime, wavelengths, light=None, input_
 def compile_pool(system: VisualSystem, wavelengths, light=None, input_kind=REFLECTANCE) -> Kernel:
     """Raw kernel over every receptor of the pool, gated by the receptor's own window."""
     wl = check_wavelengths(wavelengths)
-    _check(system.pool, light, input_kind, RAW, "the set has no receptor curves (empty pool)")
+    _check(system.pool, light, input_kind, RAW, "nothing to compile: the receptor pool is empty")
     n = len(system.pool)
     gains = np.ones(n)
     if light is not None:

@@ -73,11 +73,11 @@ def pair_files(path: str) -> tuple[str, str]:
                 return path, f"{stem}.{e}"
         if os.path.isfile(base):
             return path, base
-        raise EnviError(f"no ENVI data file found alongside header {path}")
+        raise EnviError(f"{path}: header without a data file next to it")
     for header in (f"{base}.hdr", f"{path}.hdr"):
         if os.path.isfile(header):
             return header, path
-    raise EnviError(f"no ENVI header found alongside {path}")
+    raise EnviError(f"{path}: data without a header next to it")
 
 
 def describe(path: str) -> Cube:
@@ -90,25 +90,25 @@ def describe(path: str) -> Cube:
         if field not in h:
             if default is not None:
                 return default
-            raise EnviError(f'header {header} is missing required field "{field}"')
+            raise EnviError(f"{header}: {field} is not given")
         if not re.fullmatch(r"\+?\d+", h[field]):
             if default is not None:
                 return default
-            raise EnviError(f'header {header} field "{field}" = "{h[field]}" isn\'t a valid non-negative integer')
+            raise EnviError(f"{header}: {field} should be a whole number, found {h[field]!r}")
         return int(h[field])
 
     samples, lines, bands = number("samples"), number("lines"), number("bands")
     code = number("data type")
     interleave = h.get("interleave", "").lower()
     if interleave not in ("bsq", "bil", "bip"):
-        raise EnviError(f'header {header} field "interleave" = "{interleave}" isn\'t one of bsq/bil/bip')
+        raise EnviError(f"{header}: unknown order of the cells, {interleave!r}")
     if code not in C.ENVI_TYPES:
-        raise EnviError(f"header {header} declares data type {code}, which this reader doesn't support")
+        raise EnviError(f"{header}: cells of type {code} cannot be read")
     dtype = np.dtype((">" if number("byte order", 0) == 1 else "<") + C.ENVI_TYPES[code])
     offset = number("header offset", 0)
     need, have = offset + samples * lines * bands * dtype.itemsize, os.path.getsize(data)
     if have < need:
-        raise EnviError(f"data file {data} is {have} bytes, too short for the {need}-byte cube the header describes")
+        raise EnviError(f"{data}: {need} bytes expected from the header, {have} found")
     wavelengths = None
     try:
         listed = tuple(float(t) for t in h["wavelength"].split(","))

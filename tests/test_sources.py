@@ -56,16 +56,16 @@ def test_envi_pairs_and_errors(tmp_path):
     write_envi(tmp_path, "both", cube, ext=".img", header=".img.hdr")
     assert envi.describe(str(tmp_path / "plain.hdr")).data.endswith("plain")
     assert envi.describe(str(tmp_path / "both.img")).header.endswith("both.img.hdr")
-    with pytest.raises(envi.EnviError, match="no ENVI header"):
+    with pytest.raises(envi.EnviError, match="without a header"):
         envi.describe(str(tmp_path / "lost.dat"))
     (tmp_path / "alone.hdr").write_text("ENVI\n")
-    with pytest.raises(envi.EnviError, match="no ENVI data file"):
+    with pytest.raises(envi.EnviError, match="without a data file"):
         envi.describe(str(tmp_path / "alone.hdr"))
     (tmp_path / "alone.dat").write_bytes(b"")
-    with pytest.raises(envi.EnviError, match="missing required field"):
+    with pytest.raises(envi.EnviError, match="is not given"):
         envi.describe(str(tmp_path / "alone.hdr"))
     write_envi(tmp_path, "short", cube, cut=1)
-    with pytest.raises(envi.EnviError, match="too short"):
+    with pytest.raises(envi.EnviError, match="bytes expected"):
         envi.describe(str(tmp_path / "short.dat"))
     for field, bad in (("data type = 4", "data type = 6"), ("interleave = BSQ", "interleave = bsx"), ("bands = 5", "bands = five")):
         write_envi(tmp_path, "bad", cube)
@@ -211,7 +211,7 @@ def test_distances(spark):
     full = compare.mirrored(compare.difference_matrix(df, [k], compare.EUCLIDEAN))
     assert full.count() == 9 and full.where("a_id = b_id and distance = 0").count() == 3
     odd = df.union(spark.createDataFrame([(3, "s", 0.0, [1.0], [0.0] * 3, "r")], df.schema))
-    with pytest.raises(Exception, match="aren't comparable"):
+    with pytest.raises(Exception, match="unequal numbers"):
         compare.difference_matrix(odd, [k], compare.EUCLIDEAN).collect()
 
 

@@ -174,9 +174,7 @@ def regime_activity(spark, sf):
     level = F.when(q < 3, F.lit(0.0)).otherwise(q / 500.0)
     g = li.select(F.col("l_orderkey").alias("system"), F.lit("all").alias("regime"),
                   window_gain(level, lo, hi, soft).alias("gain"))
-    act = validate.regime_activity(g)
-    size = g.groupBy("system").agg(F.count(F.lit(1)).alias("receptors"))
-    return act.join(size, "system").select(
+    return validate.regime_activity(g).select(
         F.col("system").alias("l_orderkey"), "receptors", rnd("regime_gain", 9).alias("regime_gain"),
         F.col("active").cast("long").alias("active"),
     )

@@ -51,22 +51,15 @@ def from_flat(cubes: DataFrame, layout: str, values="values") -> DataFrame:
 
 
 def guess_roles(variables: DataFrame) -> DataFrame:
-    """Which array of a file is the cube and which the wavelength axis (``file, name, shape, pos``)."""
-    cube = variables.where(F.size("shape") == 3).groupBy("file").agg(
-        F.min_by(F.struct("name", "shape"), "pos").alias("_c")
-    )
-    bands = F.element_at(F.col("_c.shape"), 3)
-    flat = variables.where(F.size("shape") == 2).select("file", "name", "shape", "pos")
-    matches = flat.join(cube, "file").where(
-        ((F.col("shape")[0] == 1) & (F.col("shape")[1] == bands))
-        | ((F.col("shape")[1] == 1) & (F.col("shape")[0] == bands))
-    )
-    axis = matches.groupBy("file").agg(F.min_by("name", "pos").alias("wavelength_name"))
-    files = variables.select("file").distinct()
-    return (
-        files.join(cube, "file", "left").join(axis, "file", "left")
-        .select("file", F.col("_c.name").alias("cube_name"), "wavelength_name")
+    """Which array of a file is the cube and which the wavelength axis (``file, name, shape, pos``), in one aggregate: a
+    file has few arrays."""
+    entry = F.struct("pos", "name", "shape")
+    found = variables.groupBy("file").agg(
+        F.min(F.when(F.size("shape") == 3, entry)).alias("cube"), F.collect_list(F.when(F.size("shape") == 2, entry)).alias("flat")
     )
+    bands = F.element_at(F.col("cube.shape"), 3)
+    axes = F.filter("flat", lambda v: ((v["shape"][0] == 1) & (v["shape"][1] == bands)) | ((v["shape"][1] == 1) & (v["shape"][0] == bands)))
+    return found.select("file", F.col("cube.name").alias("cube_name"), F.array_min(axes)["name"].alias("wavelength_name"))
 
 
 def source_label(path: Column) -> Column:

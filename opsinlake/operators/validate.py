@@ -7,7 +7,7 @@ map-side combination, or an anti-join; no group is ever collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsinlake import constants as C
@@ -113,30 +113,26 @@ def regime_bands(members: DataFrame) -> DataFrame:
 
 
 def regime_activity(gains: DataFrame, gain: str = "gain") -> DataFrame:
-    """Product of member gains per regime and whether any member operates."""
+    """Product of member gains per regime, whether any member operates, and the number of members."""
     return gains.groupBy("system", "regime").agg(
-        F.product(gain).alias("regime_gain"), F.bool_or(F.col(gain) > C.ACTIVE_GAIN).alias("active")
+        F.count(F.lit(1)).alias("receptors"), F.product(gain).alias("regime_gain"), F.bool_or(F.col(gain) > C.ACTIVE_GAIN).alias("active")
     )
 
 
 def luminance_weights(members: DataFrame, area: str = "area") -> DataFrame:
     """Weight of every member: the override, else its share of the regime's curve areas (not renormalised)."""
-    totals = members.groupBy("system", "regime").agg(F.sum(area).alias("_total"))
+    total = F.sum(area).over(Window.partitionBy("system", "regime"))
     share = F.when(F.col("_total") > 0, F.col(area) / F.col("_total")).otherwise(F.lit(0.0))
-    return members.join(totals, ["system", "regime"]).withColumn(
-        "weight", F.coalesce("luminance_weight", share)
-    ).drop("_total")
+    return members.withColumn("_total", total).withColumn("weight", F.coalesce("luminance_weight", share)).drop("_total")
 
 
 def receptor_noise(members: DataFrame) -> DataFrame:
     """Noise of every member, null for the whole regime when any member lacks data or densities do not add up."""
-    n = F.count(F.lit(1))
-    totals = members.groupBy("system", "regime").agg(
-        F.when((F.count("omega") == n) & (F.count("eta") == n), F.sum("eta")).alias("_eta")
-    )
-    return members.join(totals, ["system", "regime"]).withColumn(
-        "noise", noise_term(F.col("omega"), F.col("eta"), F.col("_eta"))
-    ).drop("_eta")
+    regime = Window.partitionBy("system", "regime")
+    n = F.count(F.lit(1)).over(regime)
+    whole = (F.count("omega").over(regime) == n) & (F.count("eta").over(regime) == n)
+    summed = members.withColumn("_eta", F.when(whole, F.sum("eta").over(regime)))
+    return summed.withColumn("noise", noise_term(F.col("omega"), F.col("eta"), F.col("_eta"))).drop("_eta")
 
 
 def dominant(activity: DataFrame, order: str = "regime") -> DataFrame:

@@ -329,7 +329,7 @@ def field_spans(texts: pa.Array, field: Field) -> dict[int, list[tuple[str, int,
 
 
 def merge(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans and those of the field that overlap none of them, by start."""
+    """Base spans and those of the field that overlap none of them, by kind as listed in ``TAGS``, then start."""
     taken = sorted((s, e) for _, s, e in base)
     added, i = [], 0
     for kind, s, e in sorted(more, key=lambda x: x[1]):
@@ -337,7 +337,7 @@ def merge(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) ->
             i += 1
         if not any(a < e and s < b for a, b in taken[max(0, i - 2) : i + 2]):
             added.append((kind, s, e))
-    return sorted([*base, *added], key=lambda x: (x[1], x[2], x[0]))
+    return sorted([*base, *added], key=lambda x: (TAGS.index(x[0]), x[1], x[2]))
 
 
 def _join(spans) -> str:
@@ -371,7 +371,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     """One row per row of ``docs``: counts of the pattern spans by kind, n_added by the field, base_spans and all spans as
     ``kind:start:end`` (characters, end exclusive) joined by commas, base_sha256 the hash of base_spans.
 
-    base_spans are ordered by kind, then start; spans by start. Null and empty texts have no spans; a null doc_id is kept;
+    Both are ordered by kind, then start, with the kinds that only the field knows last. Null and empty texts have no spans; a null doc_id is kept;
     repeated rows give equal rows; other columns are ignored. Lines are decoded whole, however long.
     """
     field = field or train(examples())

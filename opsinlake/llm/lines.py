@@ -91,7 +91,8 @@ def later_copies(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
     """(doc_id, text_key, removed): numbers of the lines that belong to a later copy of a run."""
     starts = cut(tight_runs(rows, levels, min_words))
     interval = ["lines", "head", "tail"]
-    first = starts.groupBy(*interval).agg(F.min(F.struct(*DOC, "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that both sides of the join are dealt anew and a run in very many documents can be split
+    first = cut(starts.groupBy(*interval).agg(F.min(F.struct(*DOC, "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = starts.join(first, interval).where(F.struct(*DOC, "line") > F.col("first"))
     covered = copies.select(*DOC, F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("gone"))
     return covered.groupBy(*DOC).agg(F.collect_set("gone").alias("removed"))

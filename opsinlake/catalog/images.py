@@ -346,7 +346,7 @@ def gradient_colors(spark, sf):
     k = human(K.ADAPTED)
     g = render.delta_s_gradient(render.render(pixels(spark, sf), k), k, keys=(), block=8)
     span = g.agg(F.min("magnitude").alias("lo"), F.max("magnitude").alias("hi"))
-    df = display.with_ranges(g, span)
+    df = display.with_ranges(g, span, keys=())
     return _rgb(df, display.gradient_rgb(F.col("magnitude"), F.col("lo"), F.col("hi")))
 
 

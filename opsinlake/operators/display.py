@@ -12,7 +12,11 @@ BAND_SPAN_FLOOR = 1e-6
 
 
 def with_ranges(rendered: DataFrame, ranges: DataFrame, keys=("cube_id",)) -> DataFrame:
-    """Rows with the ranges of their image; see ``session.attach`` for images that own most pixels."""
+    """Rows with the ranges of their image; see ``session.attach`` for images that own most pixels. Without keys the
+    ranges are one aggregate over everything, and join as a scalar."""
+    if not keys:
+        limits = ranges.select(F.struct("lo", "hi")).scalar()
+        return rendered.withColumn("_r", limits).select(*rendered.columns, "_r.lo", "_r.hi")
     return attach(rendered, ranges, list(keys), F.struct("line", F.expr("sample div 256")))
 
 

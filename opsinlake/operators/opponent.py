@@ -120,11 +120,13 @@ def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:
     """Overlap of receptors on a shared grid from ``system, receptor, values`` rows: one row per pair, each receptor
     with itself included. Receptors of a system meet by blocks, so a system may have any number of them."""
     keys = list(keys)
-    left = samples.select(*keys, F.col("receptor").alias("k"), F.col("values").alias("_x"))
-    right = samples.select(*keys, F.col("receptor").alias("l"), F.col("values").alias("_y"))
-    own = left.select(*keys, "k", F.col("k").alias("l"), "_x", F.col("_x").alias("_y"))
-    pairs = block_pairs(left, right, keys, "k", "l", blocks=4).select(own.columns).unionByName(own)
-    return pairs.select(*keys, "k", "l", (_product(F.col("_x"), F.col("_y")) * step).alias("overlap"))
+    one = samples.groupBy(*keys, "receptor", "values").agg(F.count(F.lit(1)).alias("n"))  # receptors that repeat pair as often
+    side = lambda x: F.struct("receptor", "values", "n").alias(x)
+    pairs = block_pairs(one.select(*keys, side("x")), one.select(*keys, side("y")), keys, "x", "y", blocks=4).select(*keys, "x", "y")
+    times = F.when(F.col("x") == F.col("y"), F.expr("x.n * (x.n + 1) div 2")).otherwise(F.col("x.n") * F.col("y.n"))
+    met = pairs.unionByName(one.select(*keys, side("x"), side("y"))).withColumn("_again", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    overlap = _product(F.col("x.values"), F.col("y.values")) * step
+    return met.select(*keys, F.col("x.receptor").alias("k"), F.col("y.receptor").alias("l"), overlap.alias("overlap"))
 
 
 def _product(x: Column, y: Column) -> Column:

@@ -25,10 +25,9 @@ from opsinlake.llm.words import Words, blocks, grams, mix, split_words, utf8, wo
 
 WINDOW = 13
 GRAM = 3
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 BUCKETS_PER_PARTITION = 4
 
-_CODEC = "zstd"
 _RANGES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 _PACKED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
 
@@ -70,15 +69,19 @@ def joined(w: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), starts
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=6)
+
+
 def _pack(docs, keys, starts, counts, strings) -> bytes:
     head = struct.pack("<qq", len(docs), sum(map(len, strings)))
     body = b"".join([head, np.array(docs, np.int64).tobytes(), np.array(keys, np.int64).tobytes(), np.array(starts, np.int32).tobytes(), np.array(counts, np.int32).tobytes(), *strings])
-    return struct.pack("<q", len(body)) + pa.compress(body, codec=_CODEC, asbytes=True)
+    return struct.pack("<q", len(body)) + _codec().compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes):
     (size,) = struct.unpack_from("<q", blob)
-    body = pa.decompress(blob[8:], size, codec=_CODEC, asbytes=True)
+    body = _codec().decompress(blob[8:], size, asbytes=True)
     n, text = struct.unpack_from("<qq", body)
     at, out = 16, []
     for kind, width in ((np.int64, 8), (np.int64, 8), (np.int32, 4), (np.int32, 4)):

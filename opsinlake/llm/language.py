@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake.llm.bytecnn import Adam, Filters, windows
+from opsinlake.llm.scratch import hashed_sample
 from opsinlake.llm.words import blocks, utf8
 
 WINDOW = 256
@@ -65,9 +66,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from at most ``train_rows`` rows outside the held-out quarter, taken by a hash of doc_id."""
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)) + 1
-    usable = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''").where(~held_out(F.col("doc_id")))
-    piece = usable.select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(TRAIN_CHARS)).alias("piece"))
-    rows = piece.orderBy(F.xxhash64("doc_id"), "doc_id", "piece").limit(train_rows).collect()
+    usable = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    pieces = usable.where("text is not null and text <> ''").select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(TRAIN_CHARS)).alias("piece"))
+    rows = sorted(hashed_sample(pieces, train_rows, usable.count()).collect(), key=lambda r: (r["doc_id"], r["piece"]))
     return train([r["piece"] for r in rows], [r["lang"] for r in rows])
 
 

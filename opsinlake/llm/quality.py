@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake.llm.bytecnn import Adam, Filters, windows
+from opsinlake.llm.scratch import hashed_sample
 from opsinlake.llm.words import blocks, utf8
 
 CHUNK, STRIDE = 256, 208
@@ -82,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """Learns from at most ``train_rows`` labelled rows outside the held-out fifth, taken by a hash of doc_id. A document
     with both labels counts as 0."""
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sample = marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = hashed_sample(marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")), train_rows)
     rows = docs.where(f"length(text) between 1 and {TRAIN_CHARS}").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [int(r["quality"] == 1) for r in rows])

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsinlake.llm.scratch import hashed_sample
 from opsinlake.llm.words import blocks, mix, offsets, split_words, utf8
 
 TRAIN_ROWS = 20_000  # bound of the labelled sample that comes to the driver: a dozen numbers a row
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> lis
     """Rules from a sample of at most ``train_rows`` labelled rows, taken by a hash of doc_id. Rows that fail the base
     rules are left out: they need no further rule."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = hashed_sample(marked, train_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = statistics(texts).where("not base_failed").select("row.doc_id", "row.quality", *RATIOS).toPandas().sort_values(["doc_id", *RATIOS])
     return learn({name: rows[name].to_numpy(np.int64) for name in RATIOS}, rows["quality"].to_numpy() == 0)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hashed_sample(df: DataFrame, rows: int, known: int | None = None) -> DataFrame:
+    """The ``rows`` rows with the smallest hash of doc_id. Rows are first cut to about twice as many by a threshold on the
+    hash, from the count of the table (``known``), so that tasks do not each send ``rows`` rows to the last sort."""
+    key, top = F.pmod(F.xxhash64("doc_id"), F.lit(2**62)), 2**62
+    threshold = min(top, int(2 * rows / max(df.count() if known is None else known, 1) * top))
+    return df.where(key < F.lit(threshold)).orderBy(key, "doc_id").limit(rows)

@@ -1,9 +1,10 @@
-"""Near-duplicate documents by ProbMinHash: signatures of weighted shingles, banding, verification, components.
+"""Near-duplicate documents by ProbMinHash with equal rates: signatures, banding, verification, components.
 
-Each shingle of a document sends arrivals of a Poisson process whose rate is its weight; every arrival falls into one of
-``registers`` registers and a register keeps its earliest arrival. Two documents agree in a register with the probability
-Jaccard similarity of their weights. A shingle stops as soon as its next arrival is later than the latest register, so
-long documents cost about one arrival per shingle.
+Each distinct shingle of a document sends arrivals of a Poisson process of rate 1, however often it occurs; every arrival
+falls into one of ``registers`` registers and a register keeps its earliest arrival. Two documents agree in a register with
+the Jaccard similarity of their sets of shingles, which is what verification measures, so a passage that one copy repeats
+costs no candidate. A shingle stops as soon as its next arrival is later than the latest register, so long documents cost
+about one arrival per shingle.
 
 Candidates share a band of registers and agree in enough registers (four bits of each are kept for that). Only links
 that can change a group are verified: first every member of a band bucket against the bucket's hub; then, where the
@@ -38,15 +39,11 @@ _U = np.uint64
 _STEP = _U(0xD1B54A32D192ED03)
 
 
-def weighted(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, weight) of the distinct shingles of every row; weight = 1 + log2(occurrences in the text)."""
+def distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of the distinct shingles of every row."""
     row, value = shingles(texts, k)
-    key = mix(value + row.astype(np.uint64) * _STEP)
-    order = np.argsort(key)
-    key = key[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.concatenate([head, [len(key)]])) if len(key) else head
-    return row[order][head], value[order][head], 1.0 + np.log2(np.maximum(count, 1))
+    _, at = np.unique(mix(value + row.astype(np.uint64) * _STEP), return_index=True)
+    return row[at], value[at]
 
 
 def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
@@ -112,9 +109,9 @@ def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                row, value, weight = weighted(utf8(part.column("text")), k)
+                row, value = distinct_shingles(utf8(part.column("text")), k)
                 has = np.bincount(row, minlength=part.num_rows) > 0
-                winner = signatures(row, value, weight, part.num_rows)[has]
+                winner = signatures(row, value, np.ones(len(row)), part.num_rows)[has]
                 kept = part.select(["doc_id", "copy_key"]).filter(pa.array(has))
                 yield pa.RecordBatch.from_arrays([*kept.columns, _lists(bands(winner)), _lists(nibbles(winner))], ["doc_id", "copy_key", "bands", "bits"])
 

@@ -100,6 +100,16 @@ def test_second_round_links_what_the_hub_misses(spark):
     assert {r.class_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("shared,passage,times", [(300, 40, 60), (100, 20, 30)])
+def test_a_passage_repeated_in_one_copy_loses_no_link(spark, shared, passage, times):
+    """Alike as sets of shingles, far apart if a shingle weighed more for every occurrence."""
+    body = [f"w{i}" for i in range(shared + 4)]
+    a, b = " ".join(body), " ".join(body + [f"p{i}" for i in range(passage)] * times)
+    assert jac(a, b) >= 0.8
+    got = minhash.near_duplicates(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+
+
 def test_near_duplicates_messy(messy):
     got = sorted(map(tuple, minhash.near_duplicates(messy).collect()), key=repr)
     assert len(got) == 14

@@ -43,7 +43,7 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in found.split(".")))
     if kind in ("card", "phone"):
         digits = "".join(_DIGIT.findall(found))
         return (16 <= len(digits) <= 19 and luhn(digits)) if kind == "card" else 8 <= len(digits) <= 15
@@ -91,9 +91,9 @@ EPOCHS = 10
 
 
 def form(word: bytes) -> tuple[bytes, bool, bytes]:
-    """All that the features look at: the classes of the first 65 bytes (9, A, a or the byte itself), whether the word is
+    """All that the features look at: the classes of all bytes (9, A, a or the byte itself), whether the word is
     a hexadecimal number, and the word if it is a cue. Words of one form have the same features."""
-    classes = word[:65].translate(_FORM)
+    classes = word.translate(_FORM)
     cue = word.lower() if len(word) <= 8 and word.lower() in _CUES else b""
     return classes, b"9" in classes and _HEX.fullmatch(word) is not None, cue
 
@@ -142,7 +142,7 @@ def codes(w: Words) -> tuple[np.ndarray, list[bytes]]:
     plain = (upper + lower == size) & (size > 0)
     cues = pa.array([c for cue in _CUES for c in (cue, cue.upper(), cue.capitalize())])
     cue = np.isin(word_hashes(w), word_hashes(split_words(cues.cast(pa.string()).cast(pa.large_string()))))
-    plain &= ~cue & (size <= 64)
+    plain &= ~cue
     first = np.zeros(len(size), bool)
     first[size > 0] = _CLASS[w.data[w.start[size > 0]]] == 1
     letter_form = np.where(upper == 0, 0, np.where(lower == 0, 1, np.where(first & (upper == 1), 2, 3)))
@@ -221,10 +221,13 @@ class Field:
             of = form(word)
             if len(self.known) > 100_000:  # only a memory of sums already made
                 self.known.clear()
-            if of not in self.known:
+            sums = self.known.get(of)
+            if sums is None:
                 ids = [self.names[f] for f in features(*of) if f in self.names]
-                self.known[of] = self.weights[:, ids].sum(axis=1)
-            out[:, i] = self.known[of]
+                sums = self.weights[:, ids].sum(axis=1)
+                if len(word) <= 65:  # forms of long words seldom come again
+                    self.known[of] = sums
+            out[:, i] = sums
         return out
 
 

@@ -117,6 +117,20 @@ def test_viterbi_against_all_paths():
     assert len(pii.viterbi(np.zeros((0, 3)), np.zeros(1, np.int64), moves)) == 0
 
 
+def test_an_ip_part_of_many_zeros():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"1.{zeros}.1.{zeros}255 x 1.{zeros}256.1.1") == [("ip", 0, 10008)]
+
+
+def test_features_see_a_long_word_to_its_end():
+    word = b"https://" + b"a" * 80 + b"/x?mail=me@b.example_1"
+    assert {"has@", "has=", "has_", "mixed", "d=1"} <= set(pii.features(*pii.form(word)))
+    assert "hex" in pii.features(*pii.form(b"a" * 70 + b"1"))
+    words = [b"A" + b"a" * 90, b"a" * 90 + b"B", b"b" * 90, b"B" * 90]
+    code, spelled = pii.codes(pii.split_words(pa.array([b" ".join(words).decode()], pa.large_string())))
+    assert [pii.features(*pii.form(spelled[c])) for c in code] == [pii.features(*pii.form(w)) for w in words]
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.train(pii.examples())

@@ -207,12 +207,15 @@ def verdict(rules: list[tuple[Condition, ...]]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[tuple[Condition, ...]]:
-    """Rules from a sample of at most ``train_rows`` labelled rows, taken by a hash of doc_id. Rows that fail the base
-    rules are left out: they need no further rule."""
+    """Rules from a sample of at most ``train_rows`` labelled documents, taken by a hash of doc_id. Rows that fail the base
+    rules are left out: they need no further rule. Of the other rows of a doc_id the one with the smallest text hash counts, so
+    a doc_id with very many rows is one row before anything reaches the driver."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     sample = hashed_sample(marked, train_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = statistics(texts).where("not base_failed").select("row.doc_id", "row.quality", *RATIOS).toPandas().sort_values(["doc_id", *RATIOS])
+    passed = statistics(texts).where("not base_failed").select("row.doc_id", "row.quality", F.xxhash64("row.text").alias("text_key"), *RATIOS)
+    one = passed.groupBy("doc_id").agg(F.min(F.struct("text_key", "quality", *RATIOS)).alias("of"))
+    rows = one.select("doc_id", "of.quality", *(f"of.{name}" for name in RATIOS)).toPandas().sort_values(["doc_id", *RATIOS])
     return learn({name: rows[name].to_numpy(np.int64) for name in RATIOS}, rows["quality"].to_numpy() == 0)
 
 

@@ -77,6 +77,16 @@ def test_rules_on_held_out_rows(spark):
     assert np.mean([r.kept == (r.quality == 1) for r in rows]) > 0.98
 
 
+def test_a_repeated_doc_id_is_one_training_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rules, "learn", lambda x, bad: seen.append((x, bad.tolist())) or [])
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60 + i))
+    rows = [(1, text(i % 40)) for i in range(300)] + [(1, "short"), (2, text(1)), (3, text(2)), (4, "short")]
+    rules.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int"))
+    (x, bad), = seen
+    assert bad == [True, False, True] and {len(v) for v in x.values()} == {3}
+
+
 # ------------------------------------------------------------------ decontamination
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsinlake.llm import decontaminate, language, lines, minhash, mixing, pii, preferences, quality, rules, substrings
+from opsinlake.llm import decontaminate, language, lines, minhash, mixing, pii, preferences, quality, rules, simhash, substrings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -75,3 +75,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @register("op10_decontamination", decontaminate.sql())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.flag_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op13_simhash_near_dedup")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")

@@ -54,9 +54,17 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
         begin = end
 
 
-def split_words(texts: pa.Array) -> Words:
+def ascii_lower(texts: pa.Array) -> pa.Array:
+    """A large_string array without nulls, with only A to Z lower-cased."""
     data, at = offsets(texts)
-    solid = ~BLANK[data]
+    data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+
+
+def split_words(texts: pa.Array, blank: np.ndarray = BLANK) -> Words:
+    """Words of every row; ``blank`` marks the bytes that stand between words."""
+    data, at = offsets(texts)
+    solid = ~blank[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     ends = solid.copy()

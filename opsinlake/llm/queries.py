@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsinlake.llm import codes, decontaminate, language, lines, minhash, mixing, pii, preferences, quality, rules, simhash, substrings
+from opsinlake.llm import codes, decontaminate, language, lines, minhash, mixing, pii, preferences, quality, rules, search, simhash, substrings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -77,6 +77,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.flag_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@register("op11_ranked_search", search.sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @register("op12_vector_codes", codes.sql())
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return codes.compress(table(spark, sf, "embeddings")).drop("label")

@@ -116,14 +116,13 @@ def _assign(books: list[np.ndarray], salts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            position, before, n = (batch.column(c).to_numpy() for c in ("position", "entry", "n"))
-            part = _matrix(batch.column("part")).astype(np.int64) if batch.num_rows else np.zeros((0, 1), np.int64)
-            entry = np.zeros(len(part), np.int64)
-            for p in np.unique(position).tolist():
-                mine = position == p
-                entry[mine] = nearest(part[mine], books[p])[0]
-            out = _members(position, entry, part, n, salts)
-            yield out.append_column("moved", pa.array(entry != before))
+            position = batch.column("position").to_numpy()
+            for p in np.unique(position).tolist():  # parts of one position have one length
+                mine = batch.filter(pa.array(position == p))
+                part = _matrix(mine.column("part")).astype(np.int64)
+                entry = nearest(part, books[p])[0]
+                out = _members(np.full(len(part), p), entry, part, mine.column("n").to_numpy(), salts)
+                yield out.append_column("moved", pa.array(entry != mine.column("entry").to_numpy()))
 
     return run
 

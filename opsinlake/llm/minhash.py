@@ -1,16 +1,21 @@
-"""Near-duplicate documents by ProbMinHash with equal rates: signatures, banding, verification, components.
-
-Each distinct shingle of a document sends arrivals of a Poisson process of rate 1, however often it occurs; every arrival
-falls into one of ``registers`` registers and a register keeps its earliest arrival. Two documents agree in a register with
-the Jaccard similarity of their sets of shingles, which is what verification measures, so a passage that one copy repeats
-costs no candidate. A shingle stops as soon as its next arrival is later than the latest register, so long documents cost
-about one arrival per shingle.
-
-Candidates share a band of registers and agree in enough registers (four bits of each are kept for that). Only links
-that can change a group are verified: first every member of a band bucket against the bucket's hub; then, where the
-members around a hub still lie in several groups, the members of different groups, in cells of bounded size that give
-back links only. Verified means that the distinct 5-word shingles of the two texts have a Jaccard similarity of
-``threshold`` or more.
+"""Near-duplicate documents by ProbMinHash: signatures of weighted shingles, banding, verification, components.
+
+A shingle weighs 1 + log2 of its occurrences in the text. It sends arrivals of a Poisson process whose rate is that
+weight; every arrival falls into one of ``registers`` registers and a register keeps its earliest arrival. Two texts agree in a
+register with the probability Jaccard similarity of their weights. A shingle stops as soon as its next arrival is later
+than the latest register, so long documents cost about one arrival per shingle.
+
+A text has two views, each signed: its weighted shingles, and the same shingles with equal weights, for which the
+probability Jaccard is that of the sets. They differ only where a shingle repeats. Two texts are near copies if either
+view reaches ``threshold``: a passage that one copy repeats does not hide the rest, and what texts repeat counts for
+more than what they say once. Search and verification use exactly this measure: candidates share a band
+of one view and agree in enough registers of one view (four bits of each register are kept for that), and both
+similarities are then computed exactly from the texts.
+
+Only links that can change a group are verified: first every member of a band bucket against the bucket's hub; then,
+where the members around a hub still lie in several groups, the members of different groups. They meet in cells of
+bounded size, at first as register bits only; texts are brought only to the members that have a candidate there. The
+largest group of a hub meets only the sides where others are.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake.llm.graph import components
+from opsinlake.llm.keyed import borders, lookup, whole_groups
 from opsinlake.llm.scratch import cut
 from opsinlake.llm.words import blocks, mix, shingles, utf8
 
@@ -37,13 +43,14 @@ SLACK = 4.0  # candidates agree in the registers expected at the threshold, less
 
 _U = np.uint64
 _STEP = _U(0xD1B54A32D192ED03)
+_WORDS = REGISTERS // 16  # 64-bit numbers that hold four bits of every register
 
 
-def distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of the distinct shingles of every row."""
+def weighted_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, weight) of the distinct shingles of every row."""
     row, value = shingles(texts, k)
-    _, at = np.unique(mix(value + row.astype(np.uint64) * _STEP), return_index=True)
-    return row[at], value[at]
+    _, at, n = np.unique(mix(value + row.astype(np.uint64) * _STEP), return_index=True, return_counts=True)
+    return row[at], value[at], 1.0 + np.log2(n)
 
 
 def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
@@ -92,47 +99,101 @@ def enough(threshold: float, m: int = REGISTERS) -> int:
 
 
 def agreeing(a: str, b: str, m: int = REGISTERS) -> Column:
-    """Number of registers whose four bits are equal, by bit operations on the packed numbers."""
-    out = F.lit(m)
-    for i in range(m // 16):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        out = out - F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
-
-
-def _lists(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.view(np.int64).ravel()))
+    """Number of registers whose four bits are equal, in the view where more are."""
+    views = []
+    for view in range(2):
+        out = F.lit(m)
+        for i in range(view * m // 16, (view + 1) * m // 16):
+            x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+            folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+            out = out - F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
+        views.append(out)
+    return F.greatest(*views)
+
+
+def _agreeing(bits: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The same for one member against rows of ``bits``."""
+    x = bits ^ one
+    x |= (x >> _U(1)) | (x >> _U(2)) | (x >> _U(3))
+    apart = np.bitwise_count(x & _U(0x1111111111111111)).reshape(len(bits), 2, _WORDS).sum(axis=2, dtype=np.int64)
+    return REGISTERS - apart.min(axis=1)
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat.view(np.int64)))
+
+
+def both_views(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winning shingles of the weighted and of the equal view, and which rows repeat a shingle (elsewhere both are one)."""
+    weighted = signatures(row, value, weight, n)
+    equal, repeats = weighted.copy(), np.zeros(n, bool)
+    repeats[row[weight > 1]] = True
+    number = np.cumsum(repeats) - 1
+    again = repeats[row]
+    if again.any():
+        equal[repeats] = signatures(number[row[again]], value[again], np.ones(again.sum()), int(repeats.sum()))
+    return weighted, equal, repeats
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                row, value = distinct_shingles(utf8(part.column("text")), k)
+                row, value, weight = weighted_shingles(utf8(part.column("text")), k)
                 has = np.bincount(row, minlength=part.num_rows) > 0
-                winner = signatures(row, value, np.ones(len(row)), part.num_rows)[has]
+                weighted, equal, repeats = (x[has] for x in both_views(row, value, weight, part.num_rows))
                 kept = part.select(["doc_id", "copy_key"]).filter(pa.array(has))
-                yield pa.RecordBatch.from_arrays([*kept.columns, _lists(bands(winner)), _lists(nibbles(winner))], ["doc_id", "copy_key", "bands", "bits"])
+                named = np.stack([bands(weighted), bands(equal)], axis=1)
+                used = np.stack([np.ones(len(repeats), bool), repeats], axis=1)
+                bits = np.concatenate([nibbles(weighted), nibbles(equal)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, _lists(named[used].ravel(), used.sum(axis=1) * BANDS), _lists(bits.ravel(), np.full(len(bits), 2 * _WORDS))],
+                    ["doc_id", "copy_key", "bands", "bits"],
+                )
 
     return run
 
 
-def jaccard(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
-    """Jaccard similarity of the distinct shingles of two text columns, row by row (0 where neither has any)."""
-    sets = []
-    for texts in (a, b):
-        row, value = shingles(texts, k)
-        key = mix(value + row.astype(np.uint64) * _STEP)
-        _, at = np.unique(key, return_index=True)
-        sets.append((row[at], key[at]))
-    n = len(a)
-    size = sum(np.bincount(row, minlength=n) for row, _ in sets)
-    row, key = (np.concatenate(x) for x in zip(*sets))
-    order = np.argsort(key)
-    key = key[order]
-    both = np.bincount(row[order][:-1][key[1:] == key[:-1]], minlength=n) if len(key) else np.zeros(n, np.int64)
-    return both / np.maximum(size - both, 1)
+def similarities(pair: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The larger of both probability Jaccard similarities of ``n`` pairs of texts, from one entry a pair and shingle with
+    its weights in the two texts (0: not there).
+
+    The probability Jaccard is the sum over shared shingles i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). In order of x_j / y_j
+    the maximum is the second term before i and the first from i on, so running sums give every inner sum."""
+    shared = (x > 0) & (y > 0)
+    union, both = np.bincount(pair, minlength=n), np.bincount(pair[shared], minlength=n)
+    order = np.lexsort((np.divide(x, y, out=np.full(len(x), np.inf), where=y > 0), pair))
+    p, x, y, shared = pair[order], x[order], y[order], shared[order]
+    head = borders([p])
+    count = np.diff(np.append(head, len(p)))
+
+    def before(v: np.ndarray) -> np.ndarray:
+        run = np.cumsum(v) - v
+        return run - np.repeat(run[head], count)
+
+    total = np.repeat(np.add.reduceat(x, head), count) if len(head) else x
+    inner = (total - before(x))[shared] / x[shared] + before(y)[shared] / y[shared]
+    weighted = np.bincount(p[shared], 1 / inner, minlength=n)
+    return np.maximum(weighted, both / np.maximum(union, 1))
+
+
+def _entries(pair: np.ndarray, value: np.ndarray, weight: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of both sides of pairs to one entry a pair and shingle: (pair, weight left, weight right)."""
+    key = mix(value + pair.astype(np.uint64) * _STEP)
+    order = np.argsort(key, kind="stable")
+    key, pair, weight, right = key[order], pair[order], weight[order], right[order]
+    head = borders([key])
+    if not len(head):
+        return pair, weight, weight
+    return pair[head], np.add.reduceat(np.where(right, 0.0, weight), head), np.add.reduceat(np.where(right, weight, 0.0), head)
+
+
+def similarity(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
+    """``similarities`` of two text columns, row by row (0 where neither has a shingle)."""
+    sides = [weighted_shingles(texts, k) for texts in (a, b)]
+    pair, value, weight = (np.concatenate(x) for x in zip(*sides))
+    right = np.repeat([False, True], [len(s[0]) for s in sides])
+    return similarities(*_entries(pair, value, weight, right), len(a))
 
 
 def _verify(k: int, threshold: float):
@@ -140,7 +201,7 @@ def _verify(k: int, threshold: float):
         for batch in batches:
             for outer in blocks(batch, "text_a"):
                 for part in blocks(outer, "text_b"):
-                    ok = jaccard(utf8(part.column("text_a")), utf8(part.column("text_b")), k) >= threshold
+                    ok = similarity(utf8(part.column("text_a")), utf8(part.column("text_b")), k) >= threshold
                     yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -161,108 +222,164 @@ def _around_hubs(members: DataFrame) -> DataFrame:
     return members.join(hub.select("band", F.negative("h.minus").alias("hub"), F.col("h.bits").alias("hub_bits")), "band").select("hub", "hub_bits", "node", "bits")
 
 
-def _cells(least: int, k: int, threshold: float):
-    """Links between groups inside cells (hub, i, j), which arrive together and in order."""
-
-    def links(cell: pa.Table) -> pa.Table:
-        node, root, side = (cell.column(c).to_numpy() for c in ("node", "root", "side"))
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        names, size = np.unique(root, return_counts=True)
-        outer = np.flatnonzero(root != names[size.argmax()])
-        found: set[tuple[int, int]] = set()
-        if len(outer):
-            bits = np.array(cell.column("bits").to_pylist(), np.int64).view(np.uint64)
-            row, value = shingles(utf8(cell.column("text")), k)
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            edge = np.searchsorted(row, np.arange(len(node) + 1))
-            own = [np.unique(value[a:b]) for a, b in zip(edge[:-1], edge[1:])]
-            for a in outer.tolist():
-                x = bits ^ bits[a]
-                x |= (x >> _U(1)) | (x >> _U(2)) | (x >> _U(3))
-                agree = REGISTERS - np.bitwise_count(x & _U(0x1111111111111111)).sum(axis=1, dtype=np.int64)
-                near = (agree >= least) & (root != root[a]) & ((side != side[a]) | (i == j))
-                for b in np.flatnonzero(near).tolist():
-                    both = len(np.intersect1d(own[a], own[b], assume_unique=True))
-                    if both and both / (len(own[a]) + len(own[b]) - both) >= threshold:
-                        found.add((int(min(root[a], root[b])), int(max(root[a], root[b]))))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+_CELL_ROW = "hub bigint, i int, j int, side int, node bigint, root bigint, bits array<bigint>"
+_CELL_KEY = ["hub", "i", "j"]
+
+
+def _members(cell: pa.Table) -> tuple[np.ndarray, ...]:
+    """(root, side, bits, whether pairs of one side count, members outside the largest group) of a cell."""
+    root, side = cell.column("root").to_numpy(), cell.column("side").to_numpy()
+    bits = pa.concat_arrays(cell.column("bits").chunks).flatten().to_numpy().view(np.uint64).reshape(len(root), -1)
+    names, size = np.unique(root, return_counts=True)
+    return root, side, bits, cell.column("i")[0] == cell.column("j")[0], np.flatnonzero(root != names[size.argmax()])
+
+
+def _candidates(root, side, bits, inside, a: int, least: int) -> np.ndarray:
+    return (_agreeing(bits, bits[a]) >= least) & (root != root[a]) & ((side != side[a]) | inside)
+
+
+def _cell_by_cell(handle):
+    """Apply ``handle`` to every cell of sorted batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            key = np.stack([table.column(c).to_numpy() for c in ("hub", "i", "j")])
-            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
-            for begin, end in zip(starts, [*starts[1:], len(table)]):
-                if held and tuple(held[-1].column(c)[0].as_py() for c in ("hub", "i", "j")) != tuple(key[:, begin].tolist()):
-                    yield from links(pa.concat_tables(held)).to_batches()
-                    held = []
-                if end > begin:
-                    held.append(table.slice(begin, end - begin))
-        if held:
-            yield from links(pa.concat_tables(held)).to_batches()
+        for table in whole_groups(batches, _CELL_KEY):
+            head = borders([table.column(c).to_numpy() for c in _CELL_KEY])
+            for a, b in zip(head, [*head[1:], len(table)]):
+                yield from handle(table.slice(a, b - a)).to_batches()
 
     return run
 
 
-def _cross_links(around: DataFrame, texts: DataFrame, groups: DataFrame, least: int, threshold: float, k: int) -> DataFrame:
+def _involved(least: int):
+    """The members of a cell that have a candidate in another group there."""
+
+    def handle(cell: pa.Table) -> pa.Table:
+        root, side, bits, inside, outer = _members(cell)
+        has = np.zeros(len(root), bool)
+        for a in outer.tolist():
+            near = _candidates(root, side, bits, inside, a, least)
+            has |= near
+            has[a] |= near.any()
+        return cell.filter(pa.array(has))
+
+    return _cell_by_cell(handle)
+
+
+def _links(least: int, k: int, threshold: float):
+    """(a, b): roots of groups that a verified pair of a cell links; a pair whose groups are linked already is passed over."""
+
+    def handle(cell: pa.Table) -> pa.Table:
+        root, side, bits, inside, outer = _members(cell)
+        row, value, weight = weighted_shingles(utf8(cell.column("text")), k)
+        order = np.argsort(row, kind="stable")
+        value, weight, edge = value[order], weight[order], np.searchsorted(row[order], np.arange(len(root) + 1))
+        over: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in over:
+                r = over[r]
+            return r
+
+        found = []
+        for a in outer.tolist():
+            for b in np.flatnonzero(_candidates(root, side, bits, inside, a, least)).tolist():
+                x, y = sorted((top(int(root[a])), top(int(root[b]))))
+                if x == y:
+                    continue
+                mine, other = slice(edge[a], edge[a + 1]), slice(edge[b], edge[b + 1])
+                sizes = [mine.stop - mine.start, other.stop - other.start]
+                right = np.repeat([False, True], sizes)
+                entries = _entries(np.zeros(len(right), np.int64), np.concatenate([value[mine], value[other]]), np.concatenate([weight[mine], weight[other]]), right)
+                if similarities(*entries, 1)[0] >= threshold:
+                    over[y] = x
+                    found.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return _cell_by_cell(handle)
+
+
+def _cross_links(around: DataFrame, known: DataFrame, groups: DataFrame, least: int, threshold: float, k: int) -> DataFrame:
     """(a, b): roots of groups that a pair of members around one hub links.
 
-    Members around a hub are dealt into sides of about ``CELL`` members; every two sides meet in one cell, so a task holds
-    two sides however many members there are, and no pair becomes a row unless it is a link."""
+    Members around a hub are dealt into sides of about ``CELL`` members; two sides meet in one cell, so a task holds two
+    sides however many members there are, and no pair becomes a row unless it is a link. Members of the hub's
+    largest group go only to cells where another group is; texts follow where registers agree."""
     at = cut(around.select("hub", "node").distinct().join(groups, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root")))
-    mixed = at.groupBy("hub").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    sides = at.join(mixed.select("hub", F.ceil(F.col("n") / CELL).alias("sides")), "hub")
-    sides = sides.select("hub", "node", "root", "sides", F.pmod(F.xxhash64("node"), F.col("sides")).alias("side"))
-    rows = cut(sides.join(texts, "node"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rows = rows.select("hub", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root", "bits", "text")
-    placed = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return placed.mapInArrow(_cells(least, k, threshold), "a bigint, b bigint").distinct()
-
-
-def _classes(members: DataFrame, texts: DataFrame, distinct: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(copy_key, node, class_id) of every distinct text. The hub round settles most groups with one pair per member;
-    the second round compares all that could still join two groups."""
+    sizes = at.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("hub").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    mixed = cut(mixed.where("groups > 1").select("hub", "n", "main", F.ceil(F.col("n") / CELL).cast("int").alias("sides")))
+    dealt = cut(lookup(at, mixed, ["hub"]).drop("n").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")))
+    outer = dealt.where("root <> main").groupBy("hub").agg(F.collect_set("side").alias("outer"))  # at most ``sides`` numbers
+    outer = cut(outer.join(mixed.select("hub", "n"), "hub"))
+    met = F.when(F.col("root") == F.col("main"), F.col("outer")).otherwise(F.sequence(F.lit(0), F.col("sides") - 1))
+    rows = lookup(dealt, outer, ["hub"]).join(known.select("node", "bits"), "node").withColumn("other", F.explode(met))
+    rows = rows.select("hub", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root", "bits")
+    near = cut(rows.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY).mapInArrow(_involved(least), _CELL_ROW))
+    told = near.join(known.select("node", "text"), "node").select(*_CELL_KEY, "side", "node", "root", "bits", "text")
+    placed = told.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY)
+    return placed.mapInArrow(_links(least, k, threshold), "a bigint, b bigint").distinct()
+
+
+def _groups(members: DataFrame, known: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node, root) of every text that is alike another. The hub round settles most groups with one pair per member; the
+    second round compares all that could still join two groups."""
     least = enough(threshold)
     around = cut(_around_hubs(members))
     pairs = around.where("node <> hub").where(agreeing("bits", "hub_bits") >= least).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    groups = cut(components(verified(pairs, texts, threshold, k)))
-    more = cut(_cross_links(around, texts, groups, least, threshold, k))
-    out = distinct.select("copy_key", "node").join(groups, "node", "left").select("copy_key", "node", F.coalesce("root", "node").alias("class_id"))
+    groups = cut(components(verified(pairs, known, threshold, k)))
+    more = cut(_cross_links(around, known, groups, least, threshold, k))
     if more.isEmpty():
-        return out
-    joined = components(more).select(F.col("node").alias("class_id"), "root")
-    return out.join(joined, "class_id", "left").select("copy_key", "node", F.coalesce("root", "class_id").alias("class_id"))
+        return groups
+    joined = cut(components(more))
+    moved = groups.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    alone = joined.join(groups.select("node"), "node", "left_anti").select("node", "root")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(alone)
+
+
+def _one_document(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``texts`` with the groups of texts that stand under one doc_id joined."""
+    placed = rows.join(texts.select("copy_key", "root"), "copy_key").select("doc_id", "root").distinct()
+    several = placed.groupBy("doc_id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("doc_id", "low")
+    joined = components(placed.join(several, "doc_id").select(F.col("low").alias("a"), F.col("root").alias("b")))
+    return texts.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id, copies_of) for every row of ``docs(doc_id, text, ...)``.
 
-    class_id is the smallest doc_id of the group, groups being the components of exact copies and verified near copies;
-    copies_of is the smallest doc_id with the same text. A row without words (null, empty, blanks only) is a class of
-    its own, as is a row with a null doc_id (class_id null). Texts whose smallest doc_id is the same (a doc_id repeated
-    with several texts) count as one document, compared by the text with the smallest md5. Every input row gives one
-    output row. Other columns are ignored, whatever their names. An empty table gives no rows.
+    class_id is the smallest doc_id of the group, groups being what exact copies and near copies connect. Near copies are
+    texts whose word ``k``-shingles have a probability Jaccard similarity of ``threshold`` or more, either weighted by
+    1 + log2 of their occurrences or all alike (then it is the Jaccard similarity of the sets); copies_of is the smallest
+    doc_id with the same text. A row without words (null, empty, blanks only) is alike to no other; a row with a null doc_id
+    is a class of its own (class_id null). Every distinct text is compared, also where a doc_id has several; rows that share a
+    doc_id are one document, in the group of each of its texts. Every input row gives one output row. Texts are read whole. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
 
     Exact copies meet in a partial aggregate on the md5 of the text before anything else, so a text that fills a third
     of the table is one row from there on.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    keyed = docs.where(worded).select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text")
+    rows = cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), worded.alias("worded")))
+    known = rows.where("worded").select("doc_id", "copy_key")
     signed = keyed.mapInArrow(_sign(k), "doc_id bigint, copy_key binary, bands array<bigint>, bits array<bigint>")
-    distinct = cut(signed.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
-    entries = distinct.select("node", F.explode("bands").alias("band"))
+    distinct = signed.groupBy("copy_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))  # written, so a text has one number from here on
+    entries = distinct.select("node", F.explode(F.array_distinct("bands")).alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     found = cut(entries.join(shared, "band"))
     score = found.groupBy("node").agg(F.sum("n").alias("score"))
-    known = cut(distinct.select("node", "copy_key", "bits").join(score, "node"))  # texts that share a bucket with another
-    members = found.select("node", "band").join(known.select("node", "score", "bits"), "node")
-    firsts = known.select(F.col("node").alias("doc_id"), F.col("copy_key").alias("known_key"), "bits")
-    texts = keyed.join(firsts, "doc_id").where("copy_key = known_key").groupBy(F.col("doc_id").alias("node"))
-    texts = cut(texts.agg(F.min_by(F.struct("text", "bits"), "copy_key").alias("of")).select("node", "of.text", "of.bits"))
-    classes = _classes(members, texts, distinct, threshold, k).withColumnRenamed("node", "copies_of")
-    keys = docs.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"))
-    out = keys.join(classes, "copy_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies_of", "doc_id").alias("copies_of"))
+    near = cut(distinct.select("node", "copy_key", "first_id", "bits").join(score, "node"))  # texts that share a bucket with another
+    members = found.select("node", "band").join(near.select("node", "score", "bits"), "node")
+    wanted = near.select(F.col("first_id").alias("doc_id"), "copy_key", "node", "bits")
+    texts = keyed.join(wanted, ["doc_id", "copy_key"]).groupBy("node").agg(F.first("text").alias("text"), F.first("bits").alias("bits"))
+    groups = _groups(members, cut(texts), threshold, k)
+    grouped = cut(distinct.select("copy_key", "first_id", "n", "node").join(groups, "node", "left").select("copy_key", "first_id", "n", F.coalesce("root", "node").alias("root")))
+    grouped = cut(_one_document(grouped, known))
+    classes = grouped.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n"))
+    named = lookup(grouped.withColumnRenamed("n", "rows"), cut(classes), ["root"])
+    classes = cut(named.select("copy_key", "first_id", "class_id", F.col("rows").alias("n")))
+    out = lookup(known, classes, ["copy_key"]).select("doc_id", "class_id", F.col("first_id").alias("copies_of"))
+    rest = rows.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))
+    return out.unionByName(rest)

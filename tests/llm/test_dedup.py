@@ -1,8 +1,10 @@
 """Near-duplicate, substring and line deduplication against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +71,16 @@ def test_signatures_estimate_jaccard():
     assert (one == pool[0]).all()  # a single shingle fills every register
 
 
-def jac(a, b, k=5):
-    s = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)} for w in (WORD.findall(a), WORD.findall(b))]
-    return len(s[0] & s[1]) / len(s[0] | s[1])
+def jac(a, b, k=5, weigh=None):
+    """Probability Jaccard by its definition; of the sets if every shingle weighs 1."""
+    x, y = (Counter(tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))) for w in (WORD.findall(a), WORD.findall(b)))
+    weigh = weigh or (lambda n: 1.0)
+    x, y = ({s: weigh(n) for s, n in c.items()} for c in (x, y))
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x | y) for i in x if i in y)
+
+
+def alike(a, b):
+    return max(jac(a, b), jac(a, b, weigh=lambda n: 1 + math.log2(n)))
 
 
 def test_near_duplicates_against_all_pairs(spark, make):
@@ -84,7 +93,7 @@ def test_near_duplicates_against_all_pairs(spark, make):
 
     for i, (a, ta) in enumerate(rows):
         for b, tb in rows[:i]:
-            if WORD.search(ta) and WORD.search(tb) and (ta == tb or jac(ta, tb) >= 0.8):
+            if WORD.search(ta) and WORD.search(tb) and (ta == tb or alike(ta, tb) >= 0.8):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     assert got == {d: find(d) for d, _ in rows}
@@ -100,14 +109,54 @@ def test_second_round_links_what_the_hub_misses(spark):
     assert {r.class_id for r in got} == {0}
 
 
-@pytest.mark.parametrize("shared,passage,times", [(300, 40, 60), (100, 20, 30)])
+def pair_classes(spark, a, b):
+    got = minhash.near_duplicates(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")).collect()
+    return {r.class_id for r in got}
+
+
+@pytest.mark.parametrize("shared,passage,times", [(300, 40, 60), (100, 20, 30), (300, 20, 200)])
 def test_a_passage_repeated_in_one_copy_loses_no_link(spark, shared, passage, times):
-    """Alike as sets of shingles, far apart if a shingle weighed more for every occurrence."""
+    """Alike as sets of shingles, apart in the weighted view."""
     body = [f"w{i}" for i in range(shared + 4)]
     a, b = " ".join(body), " ".join(body + [f"p{i}" for i in range(passage)] * times)
-    assert jac(a, b) >= 0.8
-    got = minhash.near_duplicates(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")).collect()
-    assert {r.class_id for r in got} == {0}
+    assert jac(a, b) >= 0.8 > jac(a, b, weigh=lambda n: 1 + math.log2(n))
+    assert pair_classes(spark, a, b) == {0}
+
+
+def test_weights_link_what_sets_do_not(spark):
+    """What both texts repeat weighs more than what each says once; without the repeats they are apart."""
+    passage = [f"p{i}" for i in range(40)] * 60
+    a, b = (" ".join(passage + [f"{c}{i}" for i in range(12)]) for c in "xy")
+    assert jac(a, b) < 0.8 <= jac(a, b, weigh=lambda n: 1 + math.log2(n))
+    assert pair_classes(spark, a, b) == {0}
+    a, b = (" ".join(passage[:40] + [f"{c}{i}" for i in range(12)]) for c in "xy")
+    assert alike(a, b) < 0.8 and pair_classes(spark, a, b) == {0, 1}
+
+
+def test_similarity_against_the_definition():
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 40)))
+    a, b = [text() for _ in range(80)], [text() for _ in range(80)]
+    got = minhash.similarity(pa.array(a, pa.large_string()), pa.array(b, pa.large_string()), 3)
+    want = [max(jac(x, y, 3), jac(x, y, 3, lambda n: 1 + math.log2(n))) if x and y else 0 for x, y in zip(a, b)]
+    assert np.allclose(got, want)
+
+
+def test_every_text_of_a_doc_id_is_compared(spark):
+    """doc 1 has two texts, each with a near copy elsewhere."""
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(1, a), (1, b), (3, a + " more"), (4, b + " more"), (5, b + " other end of it " + " ".join(f"z{i}" for i in range(90)))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (1, 1), (3, 1), (4, 1), (5, 5)]
+
+
+def test_recall_on_documents(spark):
+    """All pairs of the tables' documents whose hash falls into a sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("pmod(xxhash64(source, lang), 3) = 0")
+    texts = [(r.doc_id, set(zip(*(w[i:] for i in range(5))))) for r in docs.collect() if len(w := WORD.findall(r.text or "")) >= 5]
+    of = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    pairs = [(a, b) for i, (a, x) in enumerate(texts) for b, y in texts[:i] if len(x & y) >= 0.8 * len(x | y)]
+    assert len(pairs) > 8 and all(of[a] == of[b] for a, b in pairs)
 
 
 def test_near_duplicates_messy(messy):

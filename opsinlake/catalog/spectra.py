@@ -240,8 +240,8 @@ def radiance_kernels() -> tuple:
 def _mixed_sql():
     ctes, cols, n = [], [], 0
     for i, (lit, raw) in enumerate(zip(all_kernels(), radiance_kernels())):
-        ctes.append(f"t{i} AS ({curve_kernel_sql(lit, '(SELECT * FROM cubic WHERE vec_id % 4 IN (0, 3))', 'vec_id')}"
-                    f" UNION ALL {curve_kernel_sql(raw, '(SELECT * FROM cubic WHERE vec_id % 4 = 1)', 'vec_id')})")
+        ctes.append(f"t{i} AS ({curve_kernel_sql(lit, '(SELECT * FROM cubic WHERE vec_id % 4 = 0)', 'vec_id')}"
+                    f" UNION ALL {curve_kernel_sql(raw, '(SELECT * FROM cubic WHERE vec_id % 4 IN (1, 3))', 'vec_id')})")
         for e in [f"t{i}.c[{j + 1}]" for j in range(lit.chroma + 1)] + [_saturation(f"t{i}.c", lit.chroma)]:
             cols.append(f"{rsql(e)} AS v{n}")
             n += 1
@@ -256,8 +256,8 @@ def _mixed_sql():
 
 @query(_mixed_sql)
 def batch_export_mixed(spark, sf):
-    """The wide export of reflectances (lit), radiances (as they are), absorption curves (left out) and curves without a
-    kind (lit)."""
+    """The wide export of reflectances (lit), radiances and curves without a kind (as they are); absorption curves are
+    left out."""
     m = F.col("vec_id") % 4
     kind = F.when(m == 0, "Reflectance").when(m == 1, "Radiance").when(m == 2, "Absorption").otherwise("Unspecified")
     s = spectra(spark, sf).withColumns({"name": F.concat(F.lit("stimulus "), F.col("vec_id").cast("string")), "kind": kind})

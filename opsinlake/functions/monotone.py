@@ -40,6 +40,22 @@ class Bundle:
         flat = np.concatenate(pts) if pts else np.empty((0, 2))
         return cls(flat[:, 0], flat[:, 1], [len(p) for p in pts])
 
+    @classmethod
+    def on(cls, x, y):
+        """Bundle of curves that share the ascending knots ``x``; ``y`` has a row per curve."""
+        out = cls.__new__(cls)
+        y = np.atleast_2d(np.asarray(y, dtype=float))
+        out.x = np.broadcast_to(np.asarray(x, dtype=float), y.shape)
+        out.y, out.n = y, np.full(len(y), y.shape[1], dtype=np.int64)
+        out.m = tangents(out.x, out.y, out.n)
+        return out
+
+    def take(self, rows):
+        """The curves ``rows`` as a bundle."""
+        out = Bundle.__new__(Bundle)
+        out.x, out.y, out.m, out.n = self.x[rows], self.y[rows], self.m[rows], self.n[rows]
+        return out
+
     @property
     def lo(self):
         return np.where(self.n > 0, self.x[:, 0], np.nan)
@@ -75,6 +91,19 @@ class Bundle:
             inside = (self.n[rows] > 0) & (xs >= self.x[rows, 0]) & ((xs < x1) | (xs == x0)) & ((j > i) | knot)
         return np.where(inside, np.where(knot, y0, out), np.nan)
 
+    def sampled(self, rows, xs):
+        """Curves ``rows`` on one grid, shape (rows, grid), zero outside. Where all of them have the same knots, the
+        segments and weights of the grid are found once for all."""
+        rows = np.asarray(rows)
+        x, n = self.x[rows[0]], self.n[rows[0]]
+        if n < 2 or (self.n[rows] != n).any() or (self.x[rows] != x).any():
+            return np.nan_to_num(self.at(np.repeat(rows, len(xs)), np.tile(xs, len(rows)))).reshape(len(rows), len(xs))
+        i = np.clip(np.searchsorted(x[:n], xs, side="right") - 1, 0, n - 2)
+        h = x[i + 1] - x[i]
+        c = [np.where((xs >= x[0]) & (xs <= x[n - 1]), w, 0.0) for w in hermite_weights((xs - x[i]) / h)]
+        y, m = self.y[rows], self.m[rows]
+        return c[0] * y[:, i] + c[1] * h * m[:, i] + c[2] * y[:, i + 1] + c[3] * h * m[:, i + 1]
+
     def resample(self, xs):
         """Every curve on one grid, shape (curves, grid); NaN outside."""
         k, g = len(self.n), len(xs)

@@ -1,53 +1,91 @@
 """Perceptual coordinates and distances of stimuli.
 
 Stimuli that share a wavelength axis (image pixels, regional means, gridded libraries) go through a compiled
-``CurveKernel``: one Arrow pass computes the coordinates of every requested system. Stimuli with their own points
-go through ``point_coordinates``.
+``CurveKernel``: one Arrow pass computes the coordinates of every requested system. Stimuli with points of their own go
+through a ``Panel`` of observers, which fits every curve once for all systems.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsinlake.functions.arrays import lists, matrix
 from opsinlake.functions.monotone import tangents
 from opsinlake.operators import curves
+from opsinlake.operators.curves import bundles
 from opsinlake.plans.kernel import CurveKernel, RegimeState
+from opsinlake.plans.observers import Panel
 from opsinlake.session import attach, block_pairs
+from opsinlake.sources import text
 
 EUCLIDEAN, CHROMA_ONLY, DELTA_S = "euclidean", "chroma_only", "delta_s"
 
 
+def _coordinates(q: np.ndarray, k) -> list[np.ndarray]:
+    """``[L, C1.., saturation], q`` of gated integrals (raw responses only for a pool kernel)."""
+    q = q * k.gains
+    capped = np.isfinite(k.caps)
+    q[:, capped] = np.fmin(q[:, capped], k.caps[capped])
+    if k.adaptation is not None:
+        q = q @ k.adaptation.T
+    if k.opponent is None:
+        return [q]
+    c = q @ k.opponent.T
+    return [c, np.sqrt((c[:, 1:] ** 2).sum(1, keepdims=True)), q]
+
+
 def coordinate_rows(spectrum: Column, kernels: list[CurveKernel]) -> Column:
-    """``[L, C1.., saturation, q1..]`` per kernel (raw responses only for a pool kernel), concatenated."""
+    """``[L, C1.., saturation, q1..]`` per kernel (raw responses only for a pool kernel), concatenated. Kernels that
+    resample their stimuli under one light do so once."""
     axis = kernels[0].axis
     n = len(axis)
-    parts = [(k.value_weights.T.copy(), k.slope_weights.T.copy(), k.gains, k.caps, k.adaptation, k.opponent)
-             for k in kernels]
+    stages = {k.lit.key: k.lit for k in kernels if k.lit is not None}
+    parts = [(None if k.lit is None else k.lit.key, k.value_weights.T.copy(), k.slope_weights.T.copy(), replace(k, lit=None)) for k in kernels]
 
     @F.arrow_udf("array<double>")
     def rows(spectra: pa.Array) -> pa.Array:
         y, ok = matrix(spectra, n)
         m = tangents(np.broadcast_to(axis, y.shape), y, np.full(len(y), n))
+        shown = {None: (y, m)}
+        for key, stage in stages.items():
+            p = stage.products(y, m)
+            shown[key] = p, tangents(np.broadcast_to(stage.grid, p.shape), p, np.full(len(p), p.shape[1]))
         out = []
-        for value, slope, gains, caps, adaptation, opponent in parts:
-            q = (y @ value + m @ slope) * gains
-            capped = np.isfinite(caps)
-            q[:, capped] = np.fmin(q[:, capped], caps[capped])
-            if adaptation is not None:
-                q = q @ adaptation.T
-            if opponent is not None:
-                c = q @ opponent.T
-                out += [c, np.sqrt((c[:, 1:] ** 2).sum(1, keepdims=True))]
-            out.append(q)
+        for key, value, slope, k in parts:
+            a, b = shown[key]
+            out += _coordinates(a @ value + b @ slope, k)
         return lists(np.hstack(out), ok, np.float64)
 
     return rows(spectrum)
 
 
+def panel_rows(points: Column, reflects: Column, panel: Panel) -> Column:
+    """The same rows for stimuli with points of their own: every curve is fitted once for all observers of the panel.
+    Where ``reflects`` holds, the stimulus is seen under the panel's light."""
+    width = sum(o.width for o in panel.observers)
+
+    @F.arrow_udf("array<double>")
+    def rows(points: pa.Array, lit: pa.Array) -> pa.Array:
+        ok = np.asarray(points.is_valid())
+        flags = pc.fill_null(lit, False).to_numpy(zero_copy_only=False).astype(bool)
+        out = np.empty((len(ok), width))
+        for a, b, fitted in bundles(points):
+            q, at, parts = panel.stack.seen(fitted, flags[a:b]), 0, []
+            for o in panel.observers:
+                parts += _coordinates(q[:, at : at + len(o.gains)], o)
+                at += len(o.gains)
+            out[a:b] = np.hstack(parts)
+        return lists(out[ok], ok, np.float64)
+
+    return rows(points, reflects)
+
+
 def _layout(kernels):
     at = 0
     for k in kernels:
@@ -72,8 +110,18 @@ def hue_angles(chroma: list[Column]) -> list[Column]:
 def coordinates(stimuli: DataFrame, kernels: CurveKernel | list[CurveKernel], spectrum="spectrum") -> DataFrame:
     """Long table: one row per stimulus and system with ``system, regime, luminance, chroma, saturation, adapted``."""
     kernels = [kernels] if isinstance(kernels, CurveKernel) else list(kernels)
-    kept = [c for c in stimuli.columns if c != spectrum]
-    packed = stimuli.withColumn("_r", coordinate_rows(F.col(spectrum), kernels)).drop(spectrum)
+    return _long(stimuli.withColumn("_r", coordinate_rows(F.col(spectrum), kernels)).drop(spectrum), kernels)
+
+
+def panel_coordinates(stimuli: DataFrame, panel: Panel, points="points", kind="quantity.kind") -> DataFrame:
+    """The same long table for stimuli with points of their own, all observers in one pass. Absorption curves leave,
+    reflectances are lit, all other kinds pass as they are."""
+    panel = panel.with_colours()
+    return _long(_shown(stimuli, panel, points, kind).drop(points), panel.observers)
+
+
+def _long(packed: DataFrame, kernels) -> DataFrame:
+    kept = [c for c in packed.columns if c != "_r"]
     cells = []
     for k, at in _layout(kernels):
         n = k.chroma
@@ -88,6 +136,12 @@ def coordinates(stimuli: DataFrame, kernels: CurveKernel | list[CurveKernel], sp
     return packed.withColumn("_c", F.explode(F.array(*cells))).select(*kept, "_c.*")
 
 
+def _shown(stimuli: DataFrame, panel: Panel, points: str, kind: str) -> DataFrame:
+    """Stimuli that can be seen, with ``_r``."""
+    usable = stimuli.where(~F.col(kind).eqNullSafe("Absorption"))
+    return usable.withColumn("_r", panel_rows(F.col(points), F.col(kind).eqNullSafe("Reflectance"), panel))
+
+
 def coordinate_table(stimuli: DataFrame, kernel: CurveKernel, spectrum="spectrum") -> DataFrame:
     """Flat table of one system: L, C1.., and with more than one chroma axis saturation and hue angles."""
     kept = [c for c in stimuli.columns if c != spectrum]
@@ -216,10 +270,16 @@ def cross_species(coords: DataFrame, kernels: list[CurveKernel], id_column="id")
     return pairs.groupBy("a_id", "b_id").pivot("system", [k.system for k in kernels]).agg(F.first("distance"))
 
 
-def noise_flags(spark, kernels: list[CurveKernel]) -> DataFrame:
-    return spark.createDataFrame(
-        [(k.system, k.noise is not None) for k in kernels], "system string, has_complete_noise_data boolean"
-    )
+def species_summary(coords: DataFrame, kernels, id_column="id") -> DataFrame:
+    """(a_id, b_id, system, regime, has_complete_noise_data, delta_s): every stimulus pair by species, each judged in
+    the regime its kernel was compiled for. delta_s is null where a species lacks noise."""
+    complete = [k.system for k in kernels if k.noise is not None]
+    pairs = difference_matrix(coords, kernels, DELTA_S, id_column).withColumnRenamed("distance", "delta_s")
+    regime = F.lit(None).cast("string")
+    for k in kernels:
+        regime = F.when(F.col("system") == k.system, F.lit(k.regime)).otherwise(regime)
+    flag = F.col("system").isin(complete) if complete else F.lit(False)
+    return pairs.select("a_id", "b_id", "system", regime.alias("regime"), flag.alias("has_complete_noise_data"), "delta_s")
 
 
 def export_columns(kernels: list[CurveKernel], references: np.ndarray | None = None) -> list[str]:
@@ -233,34 +293,41 @@ def export_columns(kernels: list[CurveKernel], references: np.ndarray | None = N
 
 
 def _lit(stimuli: DataFrame, kernels, spectrum, kind: str | None, radiance) -> DataFrame:
-    """Stimuli with their coordinates ``_r``. With ``kind`` (a column of kind names) absorption curves leave, radiances
-    go through the ``radiance`` kernels, which know no light, and all else is lit as a reflectance."""
+    """Stimuli with their coordinates ``_r``. With ``kind`` (a column of kind names) absorption curves leave, reflectances
+    are lit, and all else goes through the ``radiance`` kernels, which know no light. Without, all are reflectances."""
+    if isinstance(kernels, Panel):
+        return _shown(stimuli, kernels, spectrum, kind)
     if kind is None:
         return stimuli.withColumn("_r", coordinate_rows(F.col(spectrum), kernels))
     if radiance is None or [k.system for k in radiance] != [k.system for k in kernels]:
         raise ValueError("stimuli of several kinds need a radiance kernel for every kernel")
-    shown = stimuli.where(F.coalesce(F.col(kind), F.lit("")) != "Absorption")
-    emits = F.coalesce(F.col(kind), F.lit("")) == "Radiance"
+    shown = stimuli.where(~F.col(kind).eqNullSafe("Absorption"))
+    reflects = F.col(kind).eqNullSafe("Reflectance")
     # a null spectrum costs its kernel nothing, so each row is multiplied once
     both = shown.withColumns({
-        "_e": coordinate_rows(F.when(emits, F.col(spectrum)), radiance), "_l": coordinate_rows(F.when(~emits, F.col(spectrum)), kernels),
+        "_e": coordinate_rows(F.when(~reflects, F.col(spectrum)), radiance), "_l": coordinate_rows(F.when(reflects, F.col(spectrum)), kernels),
     })
     return both.withColumn("_r", F.coalesce("_e", "_l")).drop("_e", "_l")
 
 
-def batch_export(stimuli: DataFrame, kernels: list[CurveKernel], name="name", spectrum="spectrum",
+def batch_export(stimuli: DataFrame, kernels: list[CurveKernel] | Panel, name="name", spectrum="spectrum",
                  reference: DataFrame | None = None, metric: str = EUCLIDEAN, kind: str | None = None,
                  radiance: list[CurveKernel] | None = None) -> DataFrame:
     """One wide row per stimulus: a block of coordinates per species, and optionally its distance to one reference.
 
-    ``kernels`` are the dominant-regime kernels; pool kernels contribute nothing. ``reference`` is a one-row table
-    with the same columns; it joins as a scalar and stays lazy. ``kind`` names a column with each stimulus's quantity:
-    absorption curves are not exported, radiances are not lit (``radiance``: the same systems compiled for radiance).
+    ``kernels`` are the dominant-regime kernels, or a panel for stimuli with points of their own (column ``spectrum``);
+    pools contribute nothing. ``reference`` is a one-row table with the same columns; it joins as a scalar and stays lazy. ``kind``
+    names a column with each stimulus's quantity (``quantity.kind`` for a panel, if not given): absorption curves are not
+    exported, reflectances are lit, all else is not (``radiance``: the same systems compiled for radiance).
     """
-    if radiance is not None:
-        radiance = [r for k, r in zip(kernels, radiance) if k.opponent is not None]
-    kernels = [k for k in kernels if k.opponent is not None]
-    if not kernels:
+    if isinstance(kernels, Panel):
+        kernels, kind = kernels.with_colours(), kind or "quantity.kind"
+        species = kernels.observers
+    else:
+        if radiance is not None:
+            radiance = [r for k, r in zip(kernels, radiance) if k.opponent is not None]
+        species = kernels = [k for k in kernels if k.opponent is not None]
+    if not species:
         raise ValueError("none of the selected systems has a colour space to export")
     packed = _lit(stimuli, kernels, spectrum, kind, radiance)
     ref = None
@@ -271,7 +338,7 @@ def batch_export(stimuli: DataFrame, kernels: list[CurveKernel], name="name", sp
         ref = F.col("_ref")
     cols = [F.col(name).alias("Stimulus")]
     r = F.col("_r")
-    for k, at in _layout(kernels):
+    for k, at in _layout(species):
         n = k.chroma
         cols.append(r[at].alias(f"{k.system} L"))
         cols += [r[at + i].alias(f"{k.system} C{i}") for i in range(1, n + 1)]
@@ -281,6 +348,23 @@ def batch_export(stimuli: DataFrame, kernels: list[CurveKernel], name="name", sp
     return packed.select(*cols)
 
 
+def write_export(path: str, stimuli: DataFrame, kernels, **options) -> None:
+    """``batch_export`` as CSV, but first what is wrong with the request: no usable stimulus, or not exactly one usable
+    reference. Nothing is written then."""
+    wide = batch_export(stimuli, kernels, **options)
+    kind = options.get("kind") or ("quantity.kind" if isinstance(kernels, Panel) else None)
+
+    def usable(df: DataFrame) -> DataFrame:
+        shown = df if kind is None else df.where(~F.col(kind).eqNullSafe("Absorption"))
+        return shown.where(F.col(options.get("spectrum", "spectrum")).isNotNull())
+
+    if usable(stimuli).isEmpty():
+        raise ValueError("there is no stimulus to export; absorption curves cannot be seen")
+    if options.get("reference") is not None and usable(options["reference"]).limit(2).count() != 1:
+        raise ValueError("pick exactly one reference stimulus for the distance column")
+    text.write_table(wide, path)
+
+
 def _reference_distance(r: Column, ref, k: CurveKernel, at: int, metric: str) -> Column:
     n = k.chroma
     if metric == DELTA_S:

@@ -262,12 +262,32 @@ def compile_all(system: VisualSystem, wavelengths, light=None, input_kind=REFLEC
 # ------------------------------------------------------------------ curves that share one wavelength axis
 
 
+@dataclass(frozen=True)
+class Resampling:
+    """Stimuli times a light on the grid of their common domain, for an axis the receptor grid does not meet at its
+    knots: four weights a grid point. The value and slope weights of the kernel then belong to this grid."""
+
+    axis: np.ndarray
+    index: np.ndarray
+    weights: np.ndarray
+    grid: np.ndarray
+
+    @property
+    def key(self) -> bytes:
+        return self.axis.tobytes() + self.grid.tobytes() + self.weights.tobytes()
+
+    def products(self, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+        i, w = self.index, self.weights
+        return y[:, i] * w[0] + m[:, i] * w[1] + y[:, i + 1] * w[2] + m[:, i + 1] * w[3]
+
+
 @dataclass(frozen=True)
 class CurveKernel:
     """Exact quadrature for stimuli sampled on one axis.
 
     The cubic through a stimulus is linear in its knot values and tangents, so every receptor integral over the
-    1 nm grid is ``value_weights @ values + slope_weights @ tangents``.
+    1 nm grid is ``value_weights @ values + slope_weights @ tangents``. Under a light whose grid does not meet the axis, values
+    and tangents are those of the resampled product ``lit``.
     """
 
     system: str
@@ -282,6 +302,7 @@ class CurveKernel:
     noise: np.ndarray | None
     regime_gain: float
     receptor_names: tuple
+    lit: Resampling | None = None
 
     @property
     def chroma(self) -> int:
@@ -294,16 +315,30 @@ class CurveKernel:
 
 
 def _quadrature(axis, receptors, light, step):
-    """Value and slope weights of ``integral(receptor * stimulus [* light])`` for each receptor."""
-    lit = None if light is None else Bundle.of(light)
-    first, last = axis[0], axis[-1]
-    knots = None
-    if lit is not None:
-        a, b = max(first, lit.lo[0]), min(last, lit.hi[0])
-        n = max(int(math.floor((b - a) / step + 0.5)), 1) if b > a else -1
-        knots = a + step * np.arange(n + 1)
-        knots = knots[(knots <= last) & (knots <= lit.hi[0])]
-        first, last = (knots[0], knots[-1]) if len(knots) else (math.inf, -math.inf)
+    """(resampling or None, value weights, slope weights) of ``integral(receptor * stimulus [* light])`` for each receptor.
+
+    Where every receptor grid meets the knots of the lit stimulus, the light folds into the weights of the axis."""
+    if light is None:
+        return None, *_weights(axis, receptors, None, None, step)
+    lit = Bundle.of(light)
+    a, b = max(axis[0], lit.lo[0]), min(axis[-1], lit.hi[0])
+    n = max(int(math.floor((b - a) / step + 0.5)), 1) if b > a else -1
+    knots = a + step * np.arange(n + 1)
+    knots = knots[(knots <= axis[-1]) & (knots <= lit.hi[0])]
+    folded = _weights(axis, receptors, lit, knots, step)
+    if folded is not None:
+        return None, *folded
+    i = np.clip(np.searchsorted(axis, knots, side="right") - 1, 0, len(axis) - 2)
+    h = axis[i + 1] - axis[i]
+    c = hermite_weights((knots - axis[i]) / h)
+    shine = lit.sampled([0], knots)[0]
+    stage = Resampling(axis, i, np.stack([c[0], c[1] * h, c[2], c[3] * h]) * shine, knots)
+    return stage, *_weights(knots, receptors, None, None, step)
+
+
+def _weights(axis, receptors, lit, knots, step):
+    """Value and slope weights on ``axis``; None if a grid point of a receptor is not one of ``knots``."""
+    first, last = (axis[0], axis[-1]) if knots is None else (knots[0], knots[-1]) if len(knots) else (math.inf, -math.inf)
     value, slope = np.zeros((len(receptors), len(axis))), np.zeros((len(receptors), len(axis)))
     for r, rec in enumerate(receptors):
         s = Bundle.of(rec.points)
@@ -314,10 +349,12 @@ def _quadrature(axis, receptors, light, step):
         inside = (grid >= first) & (grid <= last)
         grid, w = grid[inside], w[inside]
         if lit is not None and len(grid):
-            gap = np.abs(grid[:, None] - knots[None, :]).min(axis=1)
-            if gap.max() > 1e-9:
-                raise KernelError("the axis, the light and the receptor grid do not line up; use point curves")
-            w = w * np.nan_to_num(lit.resample(grid)[0])
+            if np.abs(grid[:, None] - knots[None, :]).min(axis=1).max() > 1e-9:
+                return None
+            w = w * lit.sampled([0], grid)[0]
+        if len(axis) == 1:  # a curve of one knot has a value there only
+            value[r, 0] = w.sum()
+            continue
         i = np.clip(np.searchsorted(axis, grid, side="right") - 1, 0, len(axis) - 2)
         h = axis[i + 1] - axis[i]
         c = hermite_weights((grid - axis[i]) / h)
@@ -343,9 +380,9 @@ def _curve_kernel(system, regime, axis, light, input_kind) -> CurveKernel:
         st = regime_state(system, regime, light)
         receptors, gains, adaptation, opponent = st.resolved.members, st.gains, st.adaptation, st.opponent
         noise, activity = st.resolved.noise, st.regime_gain
-    v, m = _quadrature(wl, receptors, light if input_kind == REFLECTANCE else None, C.STEP_NM)
+    lit, v, m = _quadrature(wl, receptors, light if input_kind == REFLECTANCE else None, C.STEP_NM)
     return CurveKernel(system.name, None if regime is None else regime.name, wl, v, m, gains, caps_of(receptors),
-                       adaptation, opponent, noise, activity, tuple(r.name for r in receptors))
+                       adaptation, opponent, noise, activity, tuple(r.name for r in receptors), lit)
 
 
 def compile_curves(system: VisualSystem, regime, axis, light, input_kind=REFLECTANCE) -> CurveKernel:

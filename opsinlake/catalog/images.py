@@ -11,14 +11,15 @@ from opsinlake import constants as C
 from opsinlake.catalog.base import (
     AXIS, BANDS, PIXELS, SAMPLES, SOLAR, UNIFORM, f32, kernel_sql, num, pixels, query, rnd, rsql, table,
 )
-from opsinlake.operators import cubes, display, regions, render
+from opsinlake.operators import cubes, display, regions, render, spans
 from opsinlake.plans import kernel as K
 from opsinlake.plans.systems import VisualSystem, builtin
 from opsinlake.sources import presets
 
 KEEP = "vec_id, line, sample"
 
-# Named regions in the 25-sample image: ordinary, reversed, off the grid, below a pixel, and polygons.
+# Named regions in the 25-sample image, with lines in twentieths of its height: ordinary, reversed, off the grid, below a
+# pixel, and polygons.
 REGIONS = {
     "centre": regions.rectangle(5, 3, 18, 15),
     "reversed": regions.rectangle(20, 12, 2, 4),
@@ -30,6 +31,24 @@ REGIONS = {
 }
 
 
+HEIGHT = f"(SELECT CAST(max(vec_id) // {SAMPLES} + 1 AS DOUBLE) FROM embeddings)"
+
+
+def height(spark, sf) -> int:
+    """Lines of the image."""
+    return pixels(spark, sf).agg(F.max("line")).first()[0] + 1
+
+
+def stretched(spark, sf) -> dict[str, regions.Region]:
+    """The named regions over the whole height of the image."""
+    h = float(height(spark, sf))
+    return {n: regions.Region(r.kind, tuple((x, y * h / 20) for x, y in r.vertices)) for n, r in REGIONS.items()}
+
+
+def _tall(y: float) -> str:
+    return f"({num(y)} * {HEIGHT} / 20)"
+
+
 @lru_cache(maxsize=None)
 def human(stage: str, light: str = "solar") -> K.Kernel:
     return K.compile_regime(builtin("Human"), 0, AXIS, SOLAR if light == "solar" else UNIFORM, stage=stage)
@@ -302,23 +321,24 @@ def delta_s_gradient(spark, sf):
 
 
 def region_sql(r, x="(sample + 0.5)", y="(line + 0.5)") -> str:
-    """Containment of the pixel centre, edge by edge."""
+    """Containment of the pixel centre in a stretched region, edge by edge."""
     if r.kind == "rectangle":
         x0, y0, x1, y1 = r.bounds
-        return f"({x} >= {num(x0)} AND {x} < {num(x1)} AND {y} >= {num(y0)} AND {y} < {num(y1)})"
+        return f"({x} >= {num(x0)} AND {x} < {num(x1)} AND {y} >= {_tall(y0)} AND {y} < {_tall(y1)})"
     v, terms = r.vertices, []
     for i in range(len(v)):
         (xi, yi), (xj, yj) = v[i], v[i - 1]
         if yi == yj:
             continue
-        cut = f"({num(xj)} - {num(xi)}) * ({y} - {num(yi)}) / ({num(yj)} - {num(yi)}) + {num(xi)}"
-        terms.append(f"CASE WHEN ({num(yi)} > {y}) <> ({num(yj)} > {y}) AND {x} < {cut} THEN 1 ELSE 0 END")
+        cut = f"({num(xj)} - {num(xi)}) * ({y} - {_tall(yi)}) / ({_tall(yj)} - {_tall(yi)}) + {num(xi)}"
+        terms.append(f"CASE WHEN ({_tall(yi)} > {y}) <> ({_tall(yj)} > {y}) AND {x} < {cut} THEN 1 ELSE 0 END")
     return f"(({' + '.join(terms)}) % 2 = 1)"
 
 
 def _window_sql(r) -> str:
-    s0, s1, l0, l1 = regions.pixel_window(r)
-    return f"line BETWEEN {l0} AND {l1 - 1} AND sample BETWEEN {s0} AND {s1 - 1}"
+    x0, y0, x1, y1 = r.bounds
+    edge = [f"floor(greatest({v}, 0.0))" for v in (f"{num(x0)} - 0.5", f"{num(x1)} + 0.5", f"{_tall(y0)} - 0.5", f"{_tall(y1)} + 0.5")]
+    return f"sample >= {edge[0]} AND sample < {edge[1]} AND line >= {edge[2]} AND line < {edge[3]}"
 
 
 def _region_gradient_sql():
@@ -329,7 +349,7 @@ def _region_gradient_sql():
 
 @query(_region_gradient_sql)
 def delta_s_gradient_region(spark, sf):
-    k, r = human(K.ADAPTED), REGIONS["diamond"]
+    k, r = human(K.ADAPTED), stretched(spark, sf)["diamond"]
     masked = regions.mask_region(pixels(spark, sf), r)
     g = render.delta_s_gradient(render.render(masked, k), k, keys=(), inside="in_region", block=8)
     return g.select("vec_id", "line", "sample", rnd("magnitude", 4).alias("magnitude"))
@@ -366,7 +386,7 @@ def _region_means_sql():
 
 def region_means(spark, sf):
     """Mean spectra of the named regions (``region_id, spectrum, pixels``)."""
-    tagged = regions.tag_regions(pixels(spark, sf), REGIONS)
+    tagged = regions.tag_regions(pixels(spark, sf), stretched(spark, sf))
     return regions.mean_spectrum(tagged, BANDS, keys=("region_id",))
 
 
@@ -377,9 +397,9 @@ def region_mean_spectra(spark, sf):
 
 
 def supplier_regions(spark, sf):
-    """One region per supplier, scattered over the first lines of the image: every third a triangle."""
+    """One region per supplier, scattered over all lines of the image: every third a triangle."""
     s = table(spark, sf, "supplier")
-    x, y = (F.col("s_suppkey") * 7) % 20, (F.col("s_suppkey") * 13) % 20
+    x, y = (F.col("s_suppkey") * 7) % 20, (F.col("s_suppkey") * 13) % F.lit(height(spark, sf))
     w, h = 3 + F.col("s_nationkey") % 9, 2 + F.col("s_suppkey") % 11
 
     def v(a, b):
@@ -395,8 +415,8 @@ def supplier_regions(spark, sf):
     )
 
 
-_SUPPLIER_REGIONS = """SELECT s_suppkey AS region_id, s_suppkey % 3 = 0 AS poly,
-    CAST((s_suppkey * 7) % 20 AS DOUBLE) AS x, CAST((s_suppkey * 13) % 20 AS DOUBLE) AS y,
+_SUPPLIER_REGIONS = f"""SELECT s_suppkey AS region_id, s_suppkey % 3 = 0 AS poly,
+    CAST((s_suppkey * 7) % 20 AS DOUBLE) AS x, CAST((s_suppkey * 13) % CAST({HEIGHT} AS BIGINT) AS DOUBLE) AS y,
     CAST(3 + s_nationkey % 9 AS DOUBLE) AS w, CAST(2 + s_suppkey % 11 AS DOUBLE) AS h FROM supplier"""
 
 
@@ -421,11 +441,9 @@ def _join_many_sql():
 
 @query(_join_many_sql)
 def region_join_many(spark, sf):
-    hit = regions.match_regions(pixels(spark, sf), supplier_regions(spark, sf), tile=16)
-    return hit.groupBy("region_id").agg(
-        F.count(F.lit(1)).alias("pixels"), F.min("vec_id").alias("first_pixel"),
-        rnd(F.avg(F.col("spectrum")[32].cast("double"))).alias("mean_560"),
-    )
+    at_560 = pixels(spark, sf).select("cube_id", "vec_id", "line", "sample", F.col("spectrum")[32].cast("double").alias("v"))
+    hit = regions.match_regions(at_560, supplier_regions(spark, sf))
+    return hit.groupBy("region_id").agg(F.count(F.lit(1)).alias("pixels"), F.min("vec_id").alias("first_pixel"), rnd(F.avg("v")).alias("mean_560"))
 
 
 def _region_labels_sql():
@@ -459,7 +477,7 @@ def _mask_sql():
 
 @query(_mask_sql)
 def region_mask(spark, sf):
-    m = regions.mask_region(pixels(spark, sf), REGIONS["notch"])
+    m = regions.mask_region(pixels(spark, sf), stretched(spark, sf)["notch"])
     return m.select("vec_id", "line", "sample", F.col("in_region").cast("long").alias("inside"))
 
 
@@ -488,7 +506,20 @@ def stride_pixels(spark, sf):
     f"WHERE {region_sql(REGIONS['notch'])}) WHERE k % 5 = 0"
 )
 def stride_pixels_region(spark, sf):
-    return cubes.sample_pixels(pixels(spark, sf), 5, SAMPLES, REGIONS["notch"]).select("vec_id", "line", "sample")
+    """Every fifth pixel of a polygon that spans the height of the image."""
+    return cubes.sample_pixels(pixels(spark, sf), 5, SAMPLES, stretched(spark, sf)["notch"]).select("vec_id", "line", "sample")
+
+
+def _places_sql():
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS region_id, vec_id, row_number() OVER (ORDER BY line, sample) - 1 AS place FROM ({PIXELS}) WHERE {region_sql(r)}" for n, r in REGIONS.items())
+
+
+@query(_places_sql)
+def region_places(spark, sf):
+    """Every pixel of every named region with its number inside the region, from runs on image lines."""
+    runs = spans.region_spans(regions.region_table(spark, stretched(spark, sf)), SAMPLES, keys=("region_id",))
+    return spans.on_spans(pixels(spark, sf), runs, ()).select("region_id", "vec_id", "place")
 
 
 @query(lambda: f"SELECT line, sample, {rsql('px[21]')} AS value FROM ({PIXELS})")
@@ -510,10 +541,17 @@ def pixel_curves(spark, sf):
     )
 
 
+def _label_sql(r) -> str:
+    if r.kind != "rectangle":
+        return f"'{r.label}'"
+    (x0, y0), (x1, y1) = r.vertices
+    return f"printf('rect (%.0f,%.0f)-(%.0f,%.0f)', {num(x0)}, {_tall(y0)}, {num(x1)}, {_tall(y1)})"
+
+
 def _region_curves_sql():
     parts = [
-        f"SELECT 'embeddings — {r.label}' AS name, 'Reflectance' AS kind, "
-        f"'Extracted from \"embeddings\", region {r.label}' AS source, {rsql('avg(px[64])')} AS last_value "
+        f"SELECT 'embeddings — ' || {_label_sql(r)} AS name, 'Reflectance' AS kind, "
+        f"'Extracted from \"embeddings\", region ' || {_label_sql(r)} AS source, {rsql('avg(px[64])')} AS last_value "
         f"FROM ({PIXELS}) WHERE {region_sql(r)} HAVING count(*) > 0"
         for r in REGIONS.values()
     ]
@@ -523,7 +561,7 @@ def _region_curves_sql():
 @query(_region_curves_sql)
 def region_curves(spark, sf):
     label = F.lit(None).cast("string")
-    for n, r in REGIONS.items():
+    for n, r in stretched(spark, sf).items():
         label = F.when(F.col("region_id") == n, F.lit(r.label)).otherwise(label)
     c = cubes.region_curves(region_means(spark, sf), AXIS, "embeddings", label)
     return c.select(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import math
 
-from opsinlake.operators.regions import Region, select_region
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-LINE_BLOCK = 4096
+from opsinlake.operators.regions import Region, contains, in_window, region_table
+from opsinlake.operators.spans import on_spans, region_spans
 
 
 def pixel(pixels: DataFrame, line: int, sample: int) -> DataFrame:
@@ -121,30 +122,22 @@ def sort_bands(pixels: DataFrame, wavelengths, spectrum="spectrum"):
 
 
 def sample_pixels(pixels: DataFrame, stride: int, samples: int, region: Region | None = None) -> DataFrame:
-    """Every ``stride``-th pixel in raster order, of the whole image or of a region.
+    """Every ``stride``-th pixel in raster order, of the whole image or of a region. ``samples`` is the width of the image.
 
-    The rank of a pixel is known by arithmetic for a whole image. For a region it is the number of region pixels on
-    earlier lines plus the position on its own line: line totals are summed per block of lines first, so the only
-    serial step sees one row per 4096 lines.
+    The rank of a pixel is known by arithmetic: from its place in the image, in a rectangle, or in the runs of a polygon on its
+    line (``spans.region_spans``), which are a small table that joins by line. Nothing is sorted or counted.
     """
     stride = max(int(stride), 1)
     if region is None:
         return pixels.where((F.col("line") * samples + F.col("sample")) % stride == 0)
-    kept = select_region(pixels, region)
-    block = F.expr(f"line div {LINE_BLOCK}").alias("_b")
-    lines = kept.groupBy("cube_id", "line").agg(F.count(F.lit(1)).alias("_n")).select("*", block)
-    before = (Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("cube_id", "_b").agg(F.sum("_n").alias("_n")).select(
-        "cube_id", "_b",
-        F.coalesce(F.sum("_n").over(Window.partitionBy("cube_id").orderBy("_b").rowsBetween(*before)), F.lit(0))
-        .alias("_base"),
-    )
-    in_block = Window.partitionBy("cube_id", "_b").orderBy("line").rowsBetween(*before)
-    starts = lines.withColumn("_pre", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(blocks, ["cube_id", "_b"])
-    starts = starts.select("cube_id", "line", (F.col("_base") + F.col("_pre")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("cube_id", "line").orderBy("sample")) - 1
-    ranked = kept.withColumn("_place", place).join(starts, ["cube_id", "line"])
-    return ranked.where((F.col("_start") + F.col("_place")) % stride == 0).drop("_place", "_start")
+    near = pixels.where(in_window(region))
+    if region.kind == "rectangle":
+        x0, y0, x1, _ = region.bounds
+        first, last, top = (max(math.ceil(v - 0.5), 0) for v in (x0, x1, y0))
+        place = (F.col("line") - top) * max(min(last, samples) - first, 0) + F.col("sample") - first
+        return near.where(contains(region)).where(place % stride == 0)
+    runs = region_spans(region_table(pixels.sparkSession, {"": region}), samples, keys=("region_id",)).drop("region_id")
+    return on_spans(near, runs, ()).where(F.col("place") % stride == 0).drop("place")
 
 
 def as_points(wavelengths, spectrum: Column) -> Column:

@@ -82,7 +82,6 @@ def test_region_means(image, limit, monkeypatch):
 
 @pytest.mark.parametrize("stride", [0, 1, 4, 5])
 def test_stride(image, stride, monkeypatch):
-    monkeypatch.setattr(cubes, "LINE_BLOCK", 4)
     for r in (REGIONS["f"], REGIONS["b"]):
         got = [(p["line"], p["sample"]) for p in cubes.sample_pixels(image, stride, SAMPLES, r).collect()]
         assert sorted(got) == members(r)[:: max(stride, 1)]

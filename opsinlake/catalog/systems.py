@@ -245,6 +245,27 @@ def library_restore(spark, sf):
     return out.select("name", marked.alias("marked"), F.get("curves", 1)["eta"].alias("eta"))
 
 
+@query(lambda: """WITH old AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 5 <> 1 THEN 2.0 END AS eta FROM supplier),
+    new AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN lower(replace(s_name, '#', ' -- ')) ELSE 'Group / ' || s_suppkey % 7 END AS name,
+        CASE WHEN s_suppkey % 5 <> 1 THEN 3.0 END AS eta, (s_suppkey * 37) % 1009 AS came FROM supplier WHERE s_suppkey % 4 <> 0),
+    slugged AS (SELECT *, trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '_') AS slug FROM new),
+    last AS (SELECT slug, name, eta FROM slugged QUALIFY row_number() OVER (PARTITION BY slug ORDER BY came DESC, name DESC) = 1)
+    SELECT slug, name, eta, CAST(1 AS BIGINT) AS fresh FROM last UNION ALL
+    SELECT s, name, eta, 0 FROM (SELECT *, trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '_') AS s FROM old) WHERE s NOT IN (SELECT slug FROM last)""")
+def library_upsert(spark, sf):
+    """Systems written over a library in order of arrival: some keep their names, some spell them otherwise, and many share
+    a few names of which the last written stays."""
+    key = F.col("s_suppkey")
+    stored = supplier_systems(spark, sf)
+    name = F.when(key % 3 == 0, F.col("name")).when(key % 3 == 1, F.lower(F.replace("name", F.lit("#"), F.lit(" -- ")))).otherwise(
+        F.concat(F.lit("Group / "), (key % 7).cast("string")))
+    mark = F.map_concat("metadata", F.create_map(F.lit("fresh"), F.lit("1")))
+    incoming = supplier_systems(spark, sf, bump=1.0).where(key % 4 != 0).withColumns({"name": name, "metadata": mark, "at": (key * 37) % 1009})
+    out = library.upsert(stored, incoming, "at")
+    return out.select(library.slug(F.col("name")).alias("slug"), "name", F.get("curves", 1)["eta"].alias("eta"),
+                      F.map_contains_key("metadata", "fresh").cast("long").alias("fresh"))
+
+
 @query(lambda: """SELECT s_suppkey, s_name || ' variant' AS name, CAST(CASE WHEN s_suppkey % 4 = 3 THEN 3 ELSE 2 END AS BIGINT) AS curves,
     CASE s_suppkey % 4 WHEN 0 THEN '0,1' WHEN 1 THEN '0,1' WHEN 2 THEN '0,1' ELSE '0,1,2' END AS day,
     CASE s_suppkey % 4 WHEN 0 THEN '0,4,1' WHEN 1 THEN '4,1' WHEN 2 THEN '1,4' ELSE '1,5,2' END AS night,

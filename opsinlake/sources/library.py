@@ -145,12 +145,66 @@ def slug(name: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "_")), F.lit("_"))
 
 
-def write_library(systems: DataFrame, path: str) -> None:
-    """One document folder per system, named by slug; a system of the same name is replaced, others stay."""
-    docs = systems.select(slug(F.col("name")).alias("slug"), system_json().alias("value"))
+def last_per_slug(systems: DataFrame, order: str | None = None) -> DataFrame:
+    """One system a document name: of systems whose names give the same slug the one with the largest ``order`` stays. Without
+    an order, or between equals, it is the one with the largest name and then content, so that the choice repeats."""
+    arrival = [F.col(order).alias("at")] if order else []
+    rank = F.struct(*arrival, F.col("name").alias("name"), content_hash().alias("hash"))
+    rows = systems.select(slug(F.col("name")).alias("slug"), F.struct(*systems.columns).alias("_s"), rank.alias("_k"))
+    return rows.groupBy("slug").agg(F.max_by("_s", "_k").alias("_s")).select("slug", "_s.*")
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """A library after ``incoming`` was written to it: the last written system of every slug replaces the stored one of that
+    slug, whatever its name; the others stay. ``order`` is a column of ``incoming`` that grows with time."""
+    cols = S.SYSTEM.fieldNames()
+    new = last_per_slug(incoming.select(*cols, *([order] if order else [])), order)
+    kept = stored.select(*cols).join(new.select(F.col("slug").alias("_slug")), slug(F.col("name")) == F.col("_slug"), "left_anti")
+    return kept.unionByName(new.select(*cols))
+
+
+def write_library(systems: DataFrame, path: str, order: str | None = None) -> None:
+    """One document folder per system, named by slug; a system of the same slug is replaced, others stay. Of several
+    in ``systems`` the last by ``order`` is written."""
+    docs = last_per_slug(systems, order).select("slug", system_json().alias("value"))
     docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").text(path)
 
 
+# ------------------------------------------------------------------ snapshots: readers see a whole version or the one before
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest complete snapshot under ``path``; 0 if there is none."""
+    try:
+        return spark.read.schema("version bigint").parquet(f"{path}/log").agg(F.max("version")).first()[0] or 0
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+
+
+def publish(systems: DataFrame, path: str) -> int:
+    """Write a whole library as the next snapshot and return its number. The log names it only once all of it is written, so
+    a writer that fails leaves no trace for readers, and of two writers of one number the second fails."""
+    version = latest_version(systems.sparkSession, path) + 1
+    systems.select(system_json().alias("value")).write.mode("error").text(f"{path}/version={version}")
+    systems.sparkSession.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(f"{path}/log")
+    return version
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The systems of a snapshot, of the newest one if none is named; none where nothing was published."""
+    version = latest_version(spark, path) if version is None else version
+    if not version:
+        return spark.createDataFrame([], S.SYSTEM)
+    return parse_systems(spark.read.text(f"{path}/version={version}").withColumnRenamed("value", "text"))
+
+
+def upsert_library(incoming: DataFrame, path: str, order: str | None = None) -> int:
+    """``upsert`` into the newest snapshot, published as the next."""
+    return publish(upsert(read_version(incoming.sparkSession, path), incoming, order), path)
+
+
 def delete_system(systems: DataFrame, name: str) -> DataFrame:
     return systems.where(F.col("name") != name)
 
@@ -183,7 +237,8 @@ def restore_defaults(stored: DataFrame, shipped: DataFrame) -> DataFrame:
 
 
 def open_library(spark: SparkSession, path: str) -> DataFrame:
-    """Load a library folder, filling an empty one with the defaults and reconciling a filled one."""
+    """Load a library folder, filling an empty one with the defaults and reconciling a filled one. Defaults that were brought up to date
+    are written back, so the next reader finds them."""
     try:
         stored = load_library(spark, path)
         empty = stored.isEmpty()
@@ -194,7 +249,10 @@ def open_library(spark: SparkSession, path: str) -> DataFrame:
     if empty:
         write_library(stamped(shipped_systems(spark)), path)
         return load_library(spark, path)
-    return reconcile(stored, shipped_systems(spark)).drop("updated")
+    stale = reconcile(stored, shipped_systems(spark)).where("updated")
+    if not stale.isEmpty():
+        write_library(stale.select(*S.SYSTEM.fieldNames()), path)
+    return load_library(spark, path)
 
 
 def fork(systems: DataFrame, variants: DataFrame) -> DataFrame:

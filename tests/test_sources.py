@@ -96,6 +96,43 @@ def test_curve_and_table_export(spark, tmp_path):
     assert out == ["Stimulus,Human L,d", '"a ""b"", c",1.0,']
 
 
+def test_of_two_names_with_one_slug_the_last_stays(spark, tmp_path):
+    dog = library.shipped_systems(spark).where("name like 'Dog%'")
+    both = dog.withColumns({"name": F.lit("Mine / 2"), "at": F.lit(1)}).unionByName(dog.withColumns({"name": F.lit("mine 2"), "at": F.lit(2)}))
+    library.write_library(both, str(tmp_path / "a"), "at")
+    assert [r["name"] for r in library.load_library(spark, str(tmp_path / "a")).collect()] == ["mine 2"]
+    library.write_library(both.withColumn("at", -F.col("at")), str(tmp_path / "a"), "at")
+    assert [r["name"] for r in library.load_library(spark, str(tmp_path / "a")).collect()] == ["Mine / 2"]
+
+
+def test_snapshots(spark, tmp_path):
+    path, shipped = str(tmp_path / "lib"), library.shipped_systems(spark)
+    assert library.read_version(spark, path).count() == 0 and library.latest_version(spark, path) == 0
+    assert library.upsert_library(shipped, path) == 1
+    old = library.read_version(spark, path)
+    mine = shipped.where("name like 'Dog%' or name like 'Cat%'").withColumns({"name": F.upper("name"), "at": F.lit(1)})
+    assert library.upsert_library(mine, path, "at") == 2
+    assert old.count() == 11 and old.where("name = upper(name)").isEmpty()  # a reader keeps its version
+    assert library.read_version(spark, path).count() == 11 and library.read_version(spark, path).where("name = upper(name)").count() == 2
+    (tmp_path / "lib" / "version=3").mkdir()  # a writer that died
+    assert library.latest_version(spark, path) == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        library.upsert_library(mine, path, "at")
+    back = {x.name: x for x in library.systems_of(library.read_version(spark, path, 1))}
+    assert set(back) == set(builtin_systems())
+
+
+def test_reconciled_defaults_are_written_back(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    cols = library.shipped_systems(spark).columns
+    dated = library.stamped(library.shipped_systems(spark).withColumn("illumination_max", F.lit(5.0)))
+    edited = F.when(F.col("name").like("Cat%"), F.lit(7.0)).otherwise(F.col("illumination_max"))
+    library.write_library(dated.withColumn("illumination_max", edited).where("name not like 'Dog%'").select(*cols), path)
+    assert library.open_library(spark, path).count() == 10
+    found = {r["name"][:3]: r["illumination_max"] for r in library.load_library(spark, path).collect()}
+    assert found.pop("Cat") == 7.0 and set(found.values()) == {None} and "Dog" not in found
+
+
 def test_library_round_trip(spark, tmp_path):
     path = str(tmp_path / "lib")
     first = library.open_library(spark, path)

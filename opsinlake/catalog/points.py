@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsinlake.catalog.base import BANDS, SOLAR, mul, num, nums, query, rnd, rsql, spectra
 from opsinlake.functions.monotone import Bundle
-from opsinlake.operators import compare
+from opsinlake.operators import compare, opponent
 from opsinlake.operators.cubes import quantity
 from opsinlake.plans import kernel as K
 from opsinlake.plans import observers as O
@@ -243,3 +243,36 @@ def point_species_summary(spark, sf):
     coords = compare.panel_coordinates(_first_of_labels(own_points(spark, sf)), everyone())
     df = compare.species_summary(coords, everyone().observers, "vec_id")
     return df.select("a_id", "b_id", "system", "regime", F.col("has_complete_noise_data").cast("long").alias("complete"), rnd("delta_s").alias("delta_s"))
+
+
+# ------------------------------------------------------------------ corpora
+
+
+def _covariance_sql() -> str:
+    parts, first, ks = [], 0, everyone().observers
+    for k in ks:
+        rows = []
+        for n, cap in enumerate(k.caps):
+            q = f"list_inner_product(v, (SELECT w FROM sense WHERE id = {first + n}))"
+            rows.append(f"least({q}, {num(cap)})" if np.isfinite(cap) else q)
+        parts.append(f"SELECT id, '{k.system}' AS system, [{', '.join(rows)}] AS q FROM whole")
+        first += len(k.receptors)
+    return f"""WITH RECURSIVE {seen_ctes(_OWN, [r for k in ks for r in k.receptors])},
+    r AS (SELECT system, id % 3 + 1 AS w, q FROM ({" UNION ALL ".join(parts)})),
+    l AS (SELECT system, w, i, q[i] AS x, q FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM r)),
+    m AS (SELECT system, i, sum(w * x) / sum(w) AS mean FROM l GROUP BY system, i),
+    p AS (SELECT l.system, l.w, l.i, j, x, q[j] AS y FROM (SELECT *, unnest(range(i, len(q) + 1)) AS j FROM l) l)
+    SELECT p.system, p.i - 1 AS i, p.j - 1 AS j, count(*) AS n, CAST(sum(w) AS DOUBLE) AS weight, {rsql('any_value(a.mean)')} AS mean,
+        {rsql('sum(w * (x - a.mean) * (y - b.mean)) / sum(w)')} AS cov
+    FROM p JOIN m a ON a.system = p.system AND a.i = p.i JOIN m b ON b.system = p.system AND b.i = p.j GROUP BY ALL"""
+
+
+@query(_covariance_sql)
+def point_corpus_covariance(spark, sf):
+    """Response covariance of every system over a weighted corpus of curves with their own knots, in one scan."""
+    corpus = own_points(spark, sf).where("quantity.kind <> 'Absorption'")
+    df = opponent.panel_covariance(corpus, everyone(), F.col("vec_id") % 3 + 1)
+    size = F.size("mean")
+    long = F.flatten(F.transform("mean", lambda m, i: F.transform(F.sequence(i, size - 1), lambda j: F.struct(
+        i.cast("long").alias("i"), j.cast("long").alias("j"), m.alias("m"), F.get("cov", i * size - (i * (i - 1) / 2).cast("int") + j - i).alias("c")))))
+    return df.select("system", "n", "weight", F.inline(long)).select("system", "i", "j", "n", "weight", rnd("m").alias("mean"), rnd("c").alias("cov"))

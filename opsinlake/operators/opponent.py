@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,9 +13,11 @@ from pyspark.sql import types as T
 from opsinlake import constants as C
 from opsinlake.functions.arrays import ragged
 from opsinlake.operators import curves
-from opsinlake.operators.compare import coordinate_rows
+from opsinlake.operators.compare import coordinate_rows, panel_rows
+from opsinlake.operators.moments import co_moments
 from opsinlake.plans.adaptation import common_grid, sharpen
 from opsinlake.plans.kernel import CurveKernel
+from opsinlake.plans.observers import Panel
 from opsinlake.session import block_pairs
 
 
@@ -66,8 +70,20 @@ def corpus_covariance(corpus: DataFrame, kernel: CurveKernel, weight: Column, sp
 
 def ungated(kernel: CurveKernel) -> CurveKernel:
     """The same receptors without gains, adaptation and opponent rows."""
-    return CurveKernel(kernel.system, None, kernel.axis, kernel.value_weights, kernel.slope_weights,
-                       np.ones(len(kernel.gains)), kernel.caps, None, None, None, 1.0, kernel.receptor_names)
+    return replace(kernel, regime=None, gains=np.ones(len(kernel.gains)), adaptation=None, opponent=None, noise=None, regime_gain=1.0)
+
+
+def panel_covariance(corpus: DataFrame, panel: Panel, weight: Column, points="points", kind="quantity.kind") -> DataFrame:
+    """(system, n, weight, mean, cov): covariance of the ungated, capped responses of every observer of a panel to a weighted corpus
+    of curves with points of their own, reflectances lit first. One scan for all systems; ``cov`` is the upper triangle by
+    rows, in the order of the observer's receptors."""
+    bare = Panel(tuple(replace(o, regime=None, gains=np.ones(len(o.gains)), adaptation=None, opponent=None) for o in panel.observers), panel.light, panel.step)
+    seen = corpus.select(weight.alias("_w"), panel_rows(F.col(points), F.col(kind).eqNullSafe("Reflectance"), bare).alias("_r"))
+    cells, at = [], 1
+    for o in bare.observers:
+        cells.append(F.struct(F.lit(o.system).alias("system"), F.slice("_r", at, len(o.gains)).alias("v")))
+        at += len(o.gains)
+    return co_moments(seen.select("_w", F.explode(F.array(*cells)).alias("_c")).select("_w", "_c.*"), "v", "_w", ["system"])
 
 
 def corpus_contrasts(corpus: DataFrame, kernel: CurveKernel, weight: Column, spectrum="spectrum") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from opsinlake.catalog.base import SOLAR, UNIFORM
 from opsinlake.functions.monotone import Bundle, tangents
-from opsinlake.operators import compare
+from opsinlake.operators import compare, moments, opponent
 from opsinlake.operators.cubes import quantity
 from opsinlake.plans import kernel as K
 from opsinlake.plans import observers as O
@@ -115,3 +115,45 @@ def test_species_summary_names_regime_and_completeness(spark):
     for r in got:
         assert r.has_complete_noise_data == complete[r.system] == (r.delta_s is not None)
         assert r.regime == next(o.regime for o in panel.observers if o.system == r.system)
+
+
+# ------------------------------------------------------------------ moments
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e6, 1e9])
+def test_moments_of_large_means(spark, mean):
+    rng = np.random.default_rng(4)
+    x = mean + rng.normal(size=(2000, 3)) @ rng.normal(size=(3, 3))
+    w, g = rng.integers(0, 4, 2000).astype(float), rng.integers(0, 3, 2000)
+    rows = [(int(a), float(b), c.tolist()) for a, b, c in zip(g, w, x)] + [(9, 1.0, [1.0, 2.0, 3.0]), (8, 0.0, [1.0] * 3), (8, 0.0, [2.0] * 3), (7, None, None), (None, 1.0, [1.0] * 3), (None, 1.0, [3.0] * 3)]
+    df = spark.createDataFrame(rows, "g int, w double, v array<double>").repartition(7)
+    got = {r.g: r for r in moments.co_moments(df, "v", "w", ["g"]).collect()}
+    assert set(got) == {0, 1, 2, 8, 9, None} and got[9].mean is None and got[8].cov is None and got[9].n == 1
+    assert got[None].mean == [2.0] * 3 and got[None].cov == [1.0] * 6
+    for k in range(3):
+        a, b = x[g == k], w[g == k]
+        cov = np.cov(a.T, aweights=b, bias=True)[np.triu_indices(3)]
+        assert got[k].n == len(a) and got[k].weight == b.sum()
+        assert np.allclose(got[k].mean, np.average(a, axis=0, weights=b), rtol=1e-12) and np.allclose(got[k].cov, cov, rtol=1e-6)
+    all_of = moments.co_moments(df.where("g < 3"), "v", "w").first()
+    assert np.allclose(all_of.cov, np.cov(x.T, aweights=w, bias=True)[np.triu_indices(3)], rtol=1e-6)
+    assert moments.co_moments(df.limit(0), "v", "w", ["g"]).count() == 0
+
+
+def test_panel_covariance_scans_once(spark, capsys):
+    s = table_of(spark, [(i, "Reflectance", [(400.0, 0.1 * i), (550.0, 0.5), (700.0, 0.9 - 0.1 * i)]) for i in range(6)])
+    panel = O.panel([builtin("Human"), builtin("Honeybee")], SOLAR)
+    df = opponent.panel_covariance(s, panel, F.col("id") + 1)
+    df.explain()
+    assert capsys.readouterr().out.count("Scan") == 1
+    got = {r.system: r for r in df.collect()}
+    for o in panel.observers:
+        q = np.array([[product_integral(p, lit_points([400.0, 550.0, 700.0], [0.1 * i, 0.5, 0.9 - 0.1 * i], SOLAR)) for p in o.receptors] for i in range(6)])
+        q = np.fmin(q, o.caps)
+        n = len(o.receptors)
+        assert np.allclose(got[o.system].cov, np.cov(q.T, aweights=np.arange(6) + 1.0, bias=True)[np.triu_indices(n)])
+
+
+def test_ungated_kernels_still_resample():
+    k = opponent.ungated(K.compile_curves(builtin("Human"), 0, AXES["sensor"], SOLAR))
+    assert k.lit is not None and k.opponent is None and (k.gains == 1).all()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opsinlake import constants as C
@@ -602,6 +603,32 @@ _VARIABLES = """SELECT l_orderkey AS file, 'v' || l_partkey AS name, l_partkey *
          WHEN l_returnflag = 'N' THEN [1, l_partkey % 4 + 1] ELSE [l_suppkey % 4 + 1, 1] END AS shape FROM lineitem"""
 
 
+def _chunked_sql():
+    at = {"band": ("f // (lines * 4)", "f % (lines * 4) // 4", "f % 4"), "chunky": ("f % 4", "f // 16", "f // 4 % 4"),
+          "column": ("f // (lines * 4)", "f % lines", "f % (lines * 4) // lines")}
+    flat = """SELECT vec_id // 20 AS cube_id, 4 * count(*) OVER w AS lines, 64 * (row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) - 1) AS first, embedding
+        FROM embeddings WINDOW w AS (PARTITION BY vec_id // 20)"""
+    long = f"SELECT cube_id, lines, first + i AS f, v FROM (SELECT cube_id, lines, first, unnest(range(64)) AS i, unnest(embedding) AS v FROM ({flat}))"
+    bands = ", ".join(f"{rsql(f'max(v) FILTER (band = {b})')} AS b{b}" for b in range(4))
+    return " UNION ALL ".join(f"SELECT cube_id, '{name}' AS layout, line, sample, {bands} FROM (SELECT cube_id, {b} AS band, {l} AS line, {s} AS sample, v FROM ({long})) "
+                              "GROUP BY cube_id, line, sample" for name, (b, l, s) in at.items())
+
+
+@query(_chunked_sql)
+def flat_cubes_chunked(spark, sf):
+    """Cubes of twenty embeddings each, given in pieces of one embedding, in all three layouts."""
+    e = table(spark, sf, "embeddings").select(F.expr("vec_id div 20").alias("cube_id"), "vec_id", F.col("embedding").alias("values"))
+    nth = F.row_number().over(Window.partitionBy("cube_id").orderBy("vec_id"))
+    pieces = e.withColumn("offset", 64 * (nth - 1)).drop("vec_id")
+    sizes = e.groupBy("cube_id").agg((4 * F.count("*")).alias("lines")).withColumns({"samples": F.lit(4), "bands": F.lit(4)})
+    out = None
+    for layout in ("band", "chunky", "column"):
+        part = cubes.from_chunks(pieces, sizes, layout, block_values=256).select(
+            "cube_id", F.lit(layout).alias("layout"), "line", "sample", *[rnd(F.col("spectrum")[b]).alias(f"b{b}") for b in range(4)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     lambda: f"""WITH v AS ({_VARIABLES}),
     u AS (SELECT *, row_number() OVER (PARTITION BY file, len(shape) ORDER BY pos) AS rn FROM v),

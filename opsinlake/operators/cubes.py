@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,74 @@ def from_flat(cubes: DataFrame, layout: str, values="values") -> DataFrame:
     return cubes.select("cube_id", F.inline(cells))
 
 
+BLOCK_VALUES = 1 << 18  # values of the pixels that are put together in one place
+
+
+def from_chunks(chunks: DataFrame, cubes: DataFrame, layout: str, values="values", block_values: int = BLOCK_VALUES) -> DataFrame:
+    """Flat arrays in pieces (``cube_id, offset, values``) to pixel rows ``cube_id, line, sample, spectrum``, for cubes of any
+    size; ``cubes`` has ``cube_id, lines, samples, bands`` and ``layout`` is as in ``from_flat``.
+
+    Every piece is dealt to blocks of consecutive pixels; a block is put together where its parts meet, so a task holds
+    ``block_values`` values (or one pixel) however large a cube is. A cube whose pieces do not hold each value exactly once is an error;
+    one without pieces or without an entry in ``cubes`` gives no rows.
+    """
+    if layout not in ("band", "chunky", "column"):
+        raise ValueError(f"unknown layout {layout!r}")
+    message = F.lit("a flat cube needs one value for every band, line and sample")
+    held = chunks.groupBy("cube_id").agg(F.sum(F.size(values)).alias("_held"))
+    sizes = [F.col(c).cast("bigint") for c in ("lines", "samples", "bands")]
+    sized = cubes.join(held, "cube_id").where("_held > 0").select("cube_id", *sizes, "_held")
+    fits = F.col("_held") == F.col("lines") * F.col("samples") * F.col("bands")
+    sized = sized.select("cube_id", F.when(fits, F.col("lines")).otherwise(F.raise_error(message).cast("bigint")).alias("lines"), "samples", "bands")
+    placed = chunks.select("cube_id", F.col("offset").cast("bigint").alias("offset"), F.col(values).cast("array<float>").alias("v")).join(sized, "cube_id")
+    key = placed.schema["cube_id"].dataType.simpleString()
+
+    def deal(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("offset", "lines", "samples", "bands")))
+            for i, (offset, lines, samples, bands) in enumerate(rows):
+                v = batch.column("v")[i].values.to_numpy(zero_copy_only=False)
+                at, plane = offset + np.arange(len(v)), lines * samples
+                if len(v) and not 0 <= offset <= plane * bands - len(v):
+                    raise ValueError(f"values at {offset} lie outside a cube of {plane * bands}")
+                if layout == "chunky":
+                    pixel, band = at // bands, at % bands
+                else:
+                    band, pixel = at // plane, at % plane
+                    if layout == "column":
+                        pixel = pixel % lines * samples + pixel // lines
+                step = max(block_values // bands, 1)
+                block = pixel // step
+                order = np.argsort(block, kind="stable")
+                block, place = block[order], ((pixel - block * step) * bands + band)[order].astype(np.int32)
+                head = np.flatnonzero(np.diff(block, prepend=-1))
+                edge = pa.array(np.append(head, len(v)).astype(np.int32))
+                n = len(head)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("cube_id").take(pa.array(np.full(n, i))), pa.array(block[head]), *(pa.array(np.full(n, d)) for d in (lines, samples, bands)),
+                    pa.ListArray.from_arrays(edge, pa.array(place)), pa.ListArray.from_arrays(edge, pa.array(v[order].astype(np.float32))),
+                ], ["cube_id", "block", "lines", "samples", "bands", "place", "v"])
+
+    def together(part: pa.Table) -> pa.Table:
+        block, lines, samples, bands = (part.column(c)[0].as_py() for c in ("block", "lines", "samples", "bands"))
+        step = max(block_values // bands, 1)
+        first = block * step
+        n = min(step, lines * samples - first)
+        place, v = (pa.concat_arrays(part.column(c).chunks).flatten().to_numpy() for c in ("place", "v"))
+        if (np.bincount(place, minlength=n * bands) != 1).any():
+            raise ValueError(f"cube {part.column('cube_id')[0].as_py()}: values from pixel {first} on are missing or given twice")
+        cells = np.empty(n * bands, np.float32)
+        cells[place] = v
+        pixel = first + np.arange(n)
+        return pa.Table.from_arrays([
+            part.column("cube_id").combine_chunks().take(pa.array(np.zeros(n, np.int64))), pa.array(pixel // samples), pa.array(pixel % samples),
+            pa.ListArray.from_arrays(np.arange(0, (n + 1) * bands, bands, dtype=np.int32), pa.array(cells)),
+        ], ["cube_id", "line", "sample", "spectrum"])
+
+    parts = placed.mapInArrow(deal, f"cube_id {key}, block bigint, lines bigint, samples bigint, bands bigint, place array<int>, v array<float>")
+    return parts.groupBy("cube_id", "block").applyInArrow(together, f"cube_id {key}, line bigint, sample bigint, spectrum array<float>")
+
+
 def guess_roles(variables: DataFrame) -> DataFrame:
     """Which array of a file is the cube and which the wavelength axis (``file, name, shape, pos``), in one aggregate: a
     file has few arrays."""

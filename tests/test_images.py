@@ -161,6 +161,31 @@ def test_flat_cube_layouts(spark):
         cubes.from_flat(short, "band").collect()
 
 
+@pytest.mark.parametrize("layout", ["band", "chunky", "column"])
+@pytest.mark.parametrize("piece,block", [(7, 1), (50, 30), (1000, 64), (13, 10**6)])
+def test_cubes_in_pieces(spark, layout, piece, block):
+    rng = np.random.default_rng(0)
+    want = {f"c{i}": rng.random(shape).astype(np.float32) for i, shape in enumerate([(5, 7, 3), (1, 1, 4), (9, 2, 1)])}  # lines, samples, bands
+    rows = []
+    for name, cube in want.items():
+        flat = {"band": cube.transpose(2, 0, 1).ravel(), "chunky": cube.ravel(), "column": cube.ravel(order="F")}[layout]
+        rows += [(name, a, flat[a : a + piece].tolist()) for a in range(0, len(flat), piece)] + [(name, 0, [])]
+    sizes = spark.createDataFrame([(n, *c.shape) for n, c in want.items()] + [("none", 2, 2, 2)], "cube_id string, lines int, samples int, bands int")
+    pieces = spark.createDataFrame(rows, "cube_id string, offset int, values array<float>")
+    got = {(r.cube_id, r.line, r.sample): r.spectrum for r in cubes.from_chunks(pieces, sizes, layout, block_values=block).collect()}
+    assert len(got) == sum(c.shape[0] * c.shape[1] for c in want.values())
+    assert all(np.array_equal(np.float32(v), want[n][ln, s]) for (n, ln, s), v in got.items())
+
+
+def test_pieces_must_hold_every_value_once(spark):
+    sizes = spark.createDataFrame([(1, 2, 2, 2)], "cube_id int, lines int, samples int, bands int")
+    for rows in ([(1, 0, [1.0] * 7)], [(1, 0, [1.0] * 4), (1, 2, [1.0] * 4)], [(1, 4, [1.0] * 8)]):
+        with pytest.raises(Exception, match="one value for every band|missing or given twice|outside a cube"):
+            cubes.from_chunks(spark.createDataFrame(rows, "cube_id int, offset int, values array<float>"), sizes, "band").collect()
+    with pytest.raises(ValueError, match="layout"):
+        cubes.from_chunks(spark.createDataFrame(rows, "cube_id int, offset int, values array<float>"), sizes, "rows")
+
+
 def test_labels_and_axes(spark):
     df = spark.createDataFrame([("/d/My.Scene.HDR", 3, [1.0, 2.0, 3.0]), ("x.TIFF", 2, None), ("/d/raw", 2, [2.0, 2.0])],
                                "path string, bands int, wl array<double>")

@@ -3,7 +3,7 @@
 A source's rate is its target share of the corpus over its present share. Every document draws its number of copies from a
 Poisson distribution with that mean, by inverting the distribution at a uniform number taken from a hash of seed and
 doc_id, so the draw needs no state, is the same on every run and survives lost executors. Copies are then spread over the
-whole corpus by a sort on another hash.
+whole corpus by a sort on another hash, whose first digits name the partition.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from opsinlake.llm.scratch import cut
 
 SEED = "mix-1"
-SOURCE_ROWS = 100_000  # a rate table of up to this many sources is broadcast
+BROADCAST_BYTES = 16 << 20  # a table of rates up to this size is broadcast, a larger one joins by shuffle
 TAIL = 40  # inverted as far as rate + 12 sqrt(rate) + TAIL copies; beyond lie fewer than 1e-16 of the draws
 
 
@@ -61,17 +61,30 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default:
     table = rates(docs, weights, default).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / 500)).cast("int"))
     table = cut(table.select(F.col("source").alias("mix_source"), "parts", _table(F.col("rate") / F.col("parts")).alias("cdf")))
     table = table.select("mix_source", F.struct("parts", "cdf").alias("mix_draw"))
-    table = F.broadcast(table) if table.limit(SOURCE_ROWS + 1).count() <= SOURCE_ROWS else table
+    size = table.agg(F.sum(F.size("mix_draw.cdf") * 8 + F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 64)).first()[0] or 0
+    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
     name = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_draw.parts")), F.lit(0),
-        lambda acc, i: acc + F.size(F.filter("mix_draw.cdf", lambda c: c <= uniform(F.lit(seed), name, i))),
-    )
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("mix_draw.parts")), lambda i: uniform(F.lit(seed), name, i))
+    drawn = F.aggregate(uniforms, F.lit(0), lambda acc, u: acc + _copies("mix_draw.cdf", u))
     rows = docs.select(F.struct("*").alias("row")).join(table, F.col("row.source").eqNullSafe(F.col("mix_source")))
     rows = rows.select("row", drawn.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), name, F.col("mix_copy").cast("string")))
-    placed = rows.withColumn("mix_key", key).orderBy("mix_key", "row.doc_id", "mix_copy")
-    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_copy", "mix_key")), "mix_copy", "mix_key")
+    kept = (F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_copy", "mix_key"))
+    return in_key_order(rows.withColumn("mix_key", key)).select(*kept, "mix_copy", "mix_key")
+
+
+def _copies(cdf: str, u: Column) -> Column:
+    """How many of the cumulative probabilities are at most ``u``, by bisection."""
+    steps = F.lit([2**k for k in range(9, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: lo + F.when(F.get(cdf, lo + step - 1) <= u, step).otherwise(0))
+
+
+def in_key_order(rows: DataFrame) -> DataFrame:
+    """The rows in the global order of mix_key. Keys are evenly spread, so the first digits of a key tell its partition,
+    and no pass over the rows is needed to find the borders."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.conv(F.substring("mix_key", 1, 7), 16, 10).cast("bigint")
+    return rows.repartitionById(parts, (first * parts / F.lit(16**7)).cast("int")).sortWithinPartitions("mix_key", "row.doc_id", "mix_copy")
 
 
 def sql(weights: dict[str, float] | None = None, default: float = 1.0, seed: str = SEED) -> str:

@@ -16,7 +16,7 @@ from opsinlake.llm.words import blocks, utf8
 
 WINDOW = 256
 TRAIN_ROWS = 4_000  # bound of the labelled sample
-TRAIN_CHARS = 2_048  # characters of each sampled text that come to the driver, from a hashed place
+TRAIN_PIECES = 8  # pieces of a window's length from each sampled text, at hashed places over the whole of it
 STEPS, BATCH = 500, 64
 UNKNOWN = "und"
 
@@ -64,12 +64,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """Learns from at most ``train_rows`` rows outside the held-out quarter, taken by a hash of doc_id."""
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)) + 1
-    usable = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    pieces = usable.where("text is not null and text <> ''").select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(TRAIN_CHARS)).alias("piece"))
-    rows = sorted(hashed_sample(pieces, train_rows, usable.count()).collect(), key=lambda r: (r["doc_id"], r["piece"]))
-    return train([r["piece"] for r in rows], [r["lang"] for r in rows])
+    """Learns from at most ``train_rows`` rows outside the held-out quarter, taken by a hash of doc_id. Of a text, windows at hashed
+    places anywhere in it come to the driver, as many as cover it but at most ``TRAIN_PIECES``."""
+    usable = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).where("text is not null and text <> ''")
+    size = F.length("text")
+    places = F.sequence(F.lit(1), F.least(F.lit(TRAIN_PIECES), F.ceil(size / WINDOW)).cast("int"))
+    pieces = F.transform(places, lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", i), F.greatest(F.lit(1), size - WINDOW + 1)) + 1).cast("int"), F.lit(WINDOW)))
+    sampled = hashed_sample(usable.select("doc_id", "lang", pieces.alias("pieces")), train_rows, usable.count()).collect()
+    rows = sorted((r["doc_id"], piece, r["lang"]) for r in sampled for piece in r["pieces"])
+    return train([r[1] for r in rows], [r[2] for r in rows])
 
 
 def _has_letter(text: str) -> bool:

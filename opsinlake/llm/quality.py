@@ -19,8 +19,7 @@ from opsinlake.llm.words import blocks, utf8
 
 CHUNK, STRIDE = 256, 208
 TRAIN_ROWS = 3_000  # bound of the labelled sample
-TRAIN_CHARS = 16_384  # longer texts are not learned from
-TRAIN_CHUNKS = 10  # chunks of a text in a training step, spread evenly over it
+TRAIN_CHUNKS = 64  # a text of more chunks is learned from that many, at hashed places anywhere in it
 STEPS, BATCH, HIDDEN = 400, 48, 16
 THRESHOLD = 0.3
 
@@ -40,10 +39,12 @@ class Model:
         return 1 / (1 + np.exp(-(top @ self.w2 + self.b2[0]).astype(np.float64)))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
-    """None unless there are texts of both labels. Both labels weigh the same."""
+def train(texts: list[list[str]], labels: list[int], seed: int = 3) -> Model | None:
+    """From texts given as pieces; a step sees all chunks of its texts. None unless there are texts of both labels. Both labels
+    weigh the same."""
     y = np.array(labels, np.float32)
-    row, x = windows(pa.array(texts, pa.large_string()), CHUNK, STRIDE)
+    piece, x = windows(pa.array([p for t in texts for p in t], pa.large_string()), CHUNK, STRIDE)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[piece]
     first = np.searchsorted(row, np.arange(len(y) + 1))
     usable = [np.flatnonzero((y == v) & (np.diff(first) > 0)) for v in (0, 1)]
     if not len(usable[0]) or not len(usable[1]):
@@ -57,7 +58,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
     adam = Adam([*filters.tables, w1, b1, w2, b2], 0.005)
     for _ in range(STEPS):
         docs = np.concatenate([rng.choice(u, BATCH // 2) for u in usable])
-        take = [np.unique(np.linspace(first[d], first[d + 1] - 1, TRAIN_CHUNKS).astype(int)) for d in docs]
+        take = [np.arange(first[d], first[d + 1]) for d in docs]
         own = np.repeat(np.arange(len(docs)), [len(t) for t in take])
         chunks = x[np.concatenate(take)]
         top, where = filters.pooled(chunks)
@@ -84,9 +85,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     with both labels counts as 0."""
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     sample = hashed_sample(marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")), train_rows)
-    rows = docs.where(f"length(text) between 1 and {TRAIN_CHARS}").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).collect()
+    size = F.length("text")
+    places = F.transform(F.sequence(F.lit(1), F.lit(TRAIN_CHUNKS)), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", i), size - CHUNK + 1) + 1).cast("int"), F.lit(CHUNK)))
+    pieces = F.when(size <= TRAIN_CHUNKS * STRIDE, F.array("text")).otherwise(places)
+    rows = docs.where("text is not null and text <> ''").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", pieces.alias("pieces"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("pieces").alias("pieces")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [int(r["quality"] == 1) for r in rows])
+    return train([r["pieces"] for r in rows], [int(r["quality"] == 1) for r in rows])
 
 
 def _score(model: Model | None):

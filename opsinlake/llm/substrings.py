@@ -26,7 +26,8 @@ from opsinlake.llm.words import Words, blocks, grams, mix, split_words, utf8, wo
 WINDOW = 13
 GRAM = 3
 BLOCK = 4 << 20
-BUCKETS_PER_PARTITION = 4
+BUCKET_BYTES = 2 << 20  # text of the input for each bucket
+PARTITION_BUCKETS = 4
 
 _RANGES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 _PACKED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
@@ -210,11 +211,14 @@ def _count(k: int):
 
 def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = GRAM, buckets: int | None = None) -> DataFrame:
     """(doc_id, text_key, start, stop): word ranges covered by windows that also start under a smaller doc_id. Ranges of
-    one document may overlap. ``docs`` has doc_id, text_key, text."""
+    one document may overlap. ``docs`` has doc_id, text_key, text. The number of buckets, and of the tasks that count them, follows the bytes
+    of all texts."""
+    kept = docs.where("doc_id is not null and text is not null")
     if buckets is None:
-        buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.where("doc_id is not null and text is not null").mapInArrow(_split(k, m, buckets), "bucket bigint, packed binary")
-    placed = packed.repartition("bucket").sortWithinPartitions("bucket")
+        size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTITION_BUCKETS, -(-size // BUCKET_BYTES))
+    packed = kept.mapInArrow(_split(k, m, buckets), "bucket bigint, packed binary")
+    placed = packed.repartition(-(-buckets // PARTITION_BUCKETS), "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(_count(k), "doc_id bigint, text_key bigint, start int, stop int")
 
 

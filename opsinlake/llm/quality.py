@@ -21,6 +21,7 @@ CHUNK, STRIDE = 256, 208
 TRAIN_ROWS = 3_000  # bound of the labelled sample
 TRAIN_CHUNKS = 64  # a text of more chunks is learned from that many, at hashed places anywhere in it
 STEPS, BATCH, HIDDEN = 400, 48, 16
+STEP_CHUNKS = 480  # a step takes fewer texts if they have more chunks in all, two at least
 THRESHOLD = 0.3
 
 
@@ -57,7 +58,9 @@ def train(texts: list[list[str]], labels: list[int], seed: int = 3) -> Model | N
     b2 = np.zeros(1, np.float32)
     adam = Adam([*filters.tables, w1, b1, w2, b2], 0.005)
     for _ in range(STEPS):
-        docs = np.concatenate([rng.choice(u, BATCH // 2) for u in usable])
+        docs = np.stack([rng.choice(u, BATCH // 2) for u in usable], axis=1).ravel()  # labels in turn
+        fit_in = int(np.searchsorted(np.cumsum(first[docs + 1] - first[docs]), STEP_CHUNKS, side="right"))
+        docs = docs[: max(2, fit_in // 2 * 2)]
         take = [np.arange(first[d], first[d + 1]) for d in docs]
         own = np.repeat(np.arange(len(docs)), [len(t) for t in take])
         chunks = x[np.concatenate(take)]

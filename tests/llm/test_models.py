@@ -1,6 +1,7 @@
 """Byte networks and the personal-data field: gradients, held-out accuracy, plain regexes and full search."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -181,3 +182,66 @@ def test_spans_count_characters(spark, field):
     spans = [s.split(":") for s in r.spans.split(",")]
     assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == [("email", "jo.12@mail1.example.com"), ("ip", "4.3.2.1"), ("secret", "password=3da3a2ce706927ddf6")]
     assert r.base_spans == "email:10:33,ip:66:73"
+
+
+# ------------------------------------------------------------------ forward passes by plain loops
+
+
+def maxima(filters, window):
+    """Largest response of every filter over the places of a padded window."""
+    padded = list(window) + [0] * (max(filters.widths) - 1)
+    return [max(sum(float(t[j][padded[p + j]][f]) for j in range(len(t))) for p in range(len(window))) for t in filters.tables for f in range(filters.each)]
+
+
+def pieces(text, length, stride):
+    raw = text.encode()
+    if not raw:
+        return []
+    if len(raw) <= length:
+        return [raw.ljust(length, b"\0")]
+    count = 1 + -(-(len(raw) - length) // stride)
+    return [raw[b : b + length] for b in (min(k * stride, len(raw) - length) for k in range(count))]
+
+
+TEXTS = ["", "a", "short é text", "über " * 70, "x1 " * 250 + "end"]
+
+
+def test_language_forward_pass_by_loops():
+    rng, f = np.random.default_rng(1), bytecnn.Filters(each=2, seed=4)
+    model = language.Model(["a", "b", "c"], f, rng.normal(size=(f.size, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    got = model.probabilities(pa.array(TEXTS, pa.large_string()))
+    for text, p in zip(TEXTS, got):
+        each = []
+        for w in pieces(text, language.WINDOW, language.WINDOW - 3):
+            z = np.array(maxima(f, w)) @ model.weights + model.bias
+            each.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        assert np.allclose(p, np.mean(each, axis=0) if each else 1 / 3, atol=1e-4)
+
+
+def test_quality_forward_pass_by_loops():
+    rng, f, h = np.random.default_rng(2), bytecnn.Filters(widths=(2, 3, 5), each=2, seed=6), quality.HIDDEN
+    model = quality.Model(f, rng.normal(size=(f.size, h)).astype(np.float32), np.zeros(h, np.float32), rng.normal(size=h).astype(np.float32), np.array([0.3], np.float32))
+    got = model.probabilities(pa.array(TEXTS, pa.large_string()))
+    for text, p in zip(TEXTS, got):
+        top = np.zeros(h)
+        for w in pieces(text, quality.CHUNK, quality.STRIDE):
+            top = np.maximum(top, np.array(maxima(f, w)) @ model.w1 + model.b1)
+        assert p == pytest.approx(1 / (1 + math.exp(-(top @ model.w2 + 0.3))), abs=1e-4)
+
+
+def test_texts_of_any_length_are_learned_from(spark):
+    """Long texts only, whose label shows in a part of them."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(60):
+        body = [rng.choice(words) for _ in range(4000)]
+        if i % 2:
+            for at in range(1000, 3000, 5):
+                body[at] = "ZZZZZ"
+        rows.append((i, " ".join(body), "up" if i % 2 else "low"))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.9
+    assert len(language.fit(docs, 40).names) == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import lru_cache
 
@@ -15,7 +16,8 @@ from opsinlake.catalog.base import (
 from opsinlake.operators import cubes, display, regions, render, spans
 from opsinlake.plans import kernel as K
 from opsinlake.plans.systems import VisualSystem, builtin
-from opsinlake.sources import presets
+from opsinlake.session import shared_folder
+from opsinlake.sources import envi, presets
 
 KEEP = "vec_id, line, sample"
 
@@ -598,6 +600,21 @@ def flat_cubes(spark, sf):
     return out
 
 
+@query(lambda: f"SELECT 'c' || vec_id // 100 AS cube_id, vec_id, (row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1) AS line, {rsql('embedding[1]')} AS first_band, {rsql('embedding[64]')} AS last_band FROM embeddings")
+def envi_scan(spark, sf):
+    """Embeddings written as cubes of a hundred pixels in the three cell orders, then found and read back from their headers. The
+    files lie in the folder that driver and executors share."""
+    folder = f"{shared_folder(spark)}/envi-{uuid.uuid4().hex}"
+    nth = F.row_number().over(Window.partitionBy("cube").orderBy("vec_id")) - 1
+    e = table(spark, sf, "embeddings").select("vec_id", F.expr("vec_id div 100").alias("cube"), F.col("embedding").alias("spectrum"))
+    e = e.select("vec_id", "cube", F.concat(F.lit("c"), F.col("cube").cast("string")).alias("cube_id"), nth.cast("long").alias("line"), F.lit(0).cast("long").alias("sample"), "spectrum")
+    for k, order in enumerate(("bsq", "bil", "bip")):
+        envi.write_cubes(e.where(F.col("cube") % 3 == k).drop("vec_id", "cube"), folder, order).count()
+    found = envi.scan(envi.cube_table(spark, folder))
+    named = e.select("cube_id", "line", "vec_id")
+    return found.join(named, ["cube_id", "line"]).select("cube_id", "vec_id", "line", rnd(F.col("spectrum")[0]).alias("first_band"), rnd(F.col("spectrum")[63]).alias("last_band"))
+
+
 _VARIABLES = """SELECT l_orderkey AS file, 'v' || l_partkey AS name, l_partkey * 100000 + l_suppkey AS pos,
     CASE WHEN l_returnflag = 'A' THEN [l_linenumber, 4, l_suppkey % 4 + 1]
          WHEN l_returnflag = 'N' THEN [1, l_partkey % 4 + 1] ELSE [l_suppkey % 4 + 1, 1] END AS shape FROM lineitem"""

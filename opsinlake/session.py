@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for files between the steps of a job: the session's
+    ``spark.checkpoint.dir``. A session on one machine without one gets a temporary folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="opsinlake-")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for work that is heavy per row: a table read as fewer partitions than the session has cores is
     repartitioned. Larger tables are left as they are, so this never shuffles data that is already spread. Meant for plain

@@ -50,6 +50,50 @@ def test_envi_layouts(spark, tmp_path):
         assert r["wavelengths"] == ([400.0, 450.0, 500.0, 550.0, 600.0] if even else None)
 
 
+def test_envi_scan_as_a_job(spark, tmp_path):
+    cube = cube_of()
+    cases = [("bsq", 4, 0, 0), ("bil", 2, 1, 16), ("bip", 5, 1, 0), ("bsq", 12, 0, 7), ("bil", 13, 1, 0), ("bip", 3, 0, 0)]
+    for i, (inter, code, order, offset) in enumerate(cases):
+        write_envi(tmp_path, f"c{i}", cube, inter, code, order, offset, axis=i % 2 == 0, ext=".img" if i == 2 else ".dat", header=".img.hdr" if i == 2 else ".hdr")
+    write_envi(tmp_path, "plain", cube, ext="", header=".hdr")
+    write_envi(tmp_path, "short", cube, cut=1)
+    (tmp_path / "alone.hdr").write_text("ENVI\n")
+    (tmp_path / "odd.hdr").write_text("ENVI\nsamples = x\n")
+    (tmp_path / "odd.dat").write_bytes(b"1")
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        cubes = envi.cube_table(spark, folder)
+        found = {r["cube_id"]: r for r in cubes.collect()}
+        assert "bytes expected" in found["short"]["error"] and "without a data file" in found[None]["error"] and "whole number" in found["odd"]["error"]
+        assert found["c0"]["wavelengths"] == [400.0, 450.0, 500.0, 550.0, 600.0] and found["c1"]["wavelengths"] is None
+        rows = envi.scan(cubes, block_values=25).collect()
+        assert len(rows) == 7 * 12 and all(list(r["spectrum"]) == cube[r["line"], r["sample"]].tolist() for r in rows)
+    assert envi.blocks_of(cubes.where("cube_id = 'c1'"), (1, 2), 25).select("first", "last").collect() == [(1, 2)]
+    some = envi.scan(cubes, (1, 3), block_values=25).collect()
+    assert {r["line"] for r in some} == {1, 2} and len(some) == 7 * 8
+    assert envi.scan(cubes, (5, 9)).count() == 0
+
+
+def test_envi_filters_leave_out_blocks(spark, tmp_path):
+    for name in ("a", "b"):
+        write_envi(tmp_path, name, cube_of(lines=12))
+    envi.register(spark)
+    df = spark.read.format("envi").option("blockValues", 20).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 24
+    for text_, parts, rows in (("line = 3", 2, 8), ("line >= 10 and cube_id = 'a'", 2, 8), ("line < 2", 4, 16), ("cube_id in ('b', 'z') and line > 9 and line <= 10", 1, 4), ("line = 50", 1, 0)):
+        some = df.where(text_)
+        assert some.rdd.getNumPartitions() == parts and some.count() == rows
+
+
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_envi_round_trip(spark, tmp_path, interleave):
+    pixels = spark.createDataFrame([(f"c{c}", ln, s, [float(c), float(ln), float(s)]) for c in range(3) for ln in range(c + 1) for s in range(4)], "cube_id string, line long, sample long, spectrum array<float>")
+    assert envi.write_cubes(pixels, str(tmp_path / "out"), interleave).count() == 3
+    back = envi.scan(envi.cube_table(spark, str(tmp_path / "out"))).collect()
+    assert sorted(back) == sorted(pixels.collect())
+    with pytest.raises(Exception, match="pixels expected"):
+        envi.write_cubes(pixels.where("line <> 0 or sample <> 1"), str(tmp_path / "bad"), interleave).count()
+
+
 def test_envi_pairs_and_errors(tmp_path):
     cube = cube_of()
     write_envi(tmp_path, "plain", cube, ext="", header=".hdr")

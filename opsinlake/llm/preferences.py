@@ -81,20 +81,50 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
     return both.select(F.col("conv_id").alias("chosen_id"), "rejected_id", F.concat(before, F.array(final)).alias("chosen_turns"), F.concat(before, F.array(other)).alias("rejected_turns"))
 
 
+def divergence(conv_id: Column, size: Column) -> Column:
+    """Turn from 0 at which a conversation of ``size`` turns is left, by a hash of its id that any SQL engine can repeat."""
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", conv_id.cast("string"), F.lit("turn"))), 1, 7), 16, 10).cast("bigint")
+    return F.when(size > 0, F.pmod(number, size)).otherwise(F.lit(0)).cast("int")
+
+
+def diverging(turns: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id, chosen_turns, rejected_turns): preference pairs from plain conversations, one for each.
+
+    Conversations 2i and 2i + 1 are partners. The chosen side is the whole conversation. The rejected side follows it up to a
+    hashed turn and goes on with the turns of the partner from that place, so sides part at any turn and end with any role.
+    Where the partner is missing, or has no turn there, the rejected side ends at that turn, so its completion is empty; rejected_id is
+    null without a partner. No turns, no rows.
+    """
+    ready = gather(turns)
+    other = ready.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("theirs"))
+    both = ready.join(other, F.col("rejected_id") == F.col("conv_id").bitwiseXOR(F.lit(1).cast("bigint")), "left")
+    both = both.withColumn("at", divergence(F.col("conv_id"), F.size("turns")))
+    rest = F.slice("theirs", F.col("at") + 1, F.greatest(F.size("theirs") - F.col("at"), F.lit(0)))
+    rejected = F.concat(F.slice("turns", 1, F.col("at")), F.coalesce(rest, F.slice("turns", 1, 0)))
+    return both.select(F.col("conv_id").alias("chosen_id"), "rejected_id", F.col("turns").alias("chosen_turns"), rejected.alias("rejected_turns"))
+
+
 def sql() -> str:
     turn = f"'{OPEN}' || role || chr(10) || text || '{CLOSE[:-1]}' || chr(10)"
+
+    def side(rows: str, name: str) -> str:
+        ranges = f"CASE WHEN role = '{TRAINED}' THEN (before + {len(OPEN) + len(MIDDLE)} + length(role)) || ':' || (before + length({turn})) END"
+        return f"""
+    {name}_t AS (SELECT chosen_id, i, {turn} AS turn, role, text, i >= n_common AS own,
+        coalesce(sum(CASE WHEN i >= n_common THEN length({turn}) END) OVER (PARTITION BY chosen_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {rows} JOIN n USING (chosen_id)),
+    {name}_s AS (SELECT chosen_id, string_agg(turn, '' ORDER BY i) FILTER (NOT own) AS prompt, string_agg(turn, '' ORDER BY i) FILTER (own) AS rest,
+        string_agg({ranges}, ',' ORDER BY i) FILTER (own) AS mask FROM {name}_t GROUP BY chosen_id)"""
+
     return f"""
-    WITH v AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
-    l AS (SELECT conv_id, max(i) AS last FROM v WHERE role = '{TRAINED}' GROUP BY conv_id),
-    reply AS (SELECT conv_id, text AS reply FROM v JOIN l USING (conv_id) WHERE i = last),
-    p AS (SELECT l.conv_id AS chosen_id, xor(l.conv_id, 1) AS rejected_id, l.last, a.reply AS own, b.reply AS other
-          FROM l JOIN reply a ON a.conv_id = l.conv_id JOIN reply b ON b.conv_id = xor(l.conv_id, 1)),
-    n AS (SELECT *, CASE WHEN own = other THEN last + 1 ELSE last END AS n_common FROM p),
-    q AS (SELECT chosen_id, coalesce(string_agg({turn}, '' ORDER BY i) FILTER (i < n_common), '') AS prompt FROM n JOIN v ON conv_id = chosen_id GROUP BY chosen_id),
-    r AS (SELECT *, length('{OPEN}{TRAINED}') + 1 AS begin FROM n)
-    SELECT chosen_id, rejected_id, CAST(n_common AS INTEGER) AS n_common, prompt,
-        CASE WHEN own = other THEN '' ELSE '{OPEN}{TRAINED}' || chr(10) || own || '{CLOSE[:-1]}' || chr(10) END AS chosen,
-        CASE WHEN own = other THEN '' ELSE '{OPEN}{TRAINED}' || chr(10) || other || '{CLOSE[:-1]}' || chr(10) END AS rejected,
-        CASE WHEN own = other THEN '' ELSE begin || ':' || (begin + length(own) + {len(CLOSE)}) END AS chosen_mask,
-        CASE WHEN own = other THEN '' ELSE begin || ':' || (begin + length(other) + {len(CLOSE)}) END AS rejected_mask
-    FROM r JOIN q USING (chosen_id)"""
+    WITH v AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
+    k AS (SELECT conv_id AS chosen_id, count(*) AS turns, CAST('0x' || substr(md5(conv_id || ':turn'), 1, 7) AS BIGINT) % count(*) AS place FROM v GROUP BY conv_id),
+    a AS (SELECT conv_id AS chosen_id, i, role, text FROM v),
+    b AS (SELECT chosen_id, i, role, text FROM v JOIN k ON conv_id = chosen_id WHERE i < place
+        UNION ALL SELECT chosen_id, i, role, text FROM v JOIN k ON conv_id = xor(chosen_id, 1) WHERE i >= place),
+    d AS (SELECT a.chosen_id, min(a.i) FILTER (b.i IS NULL OR a.role <> b.role OR a.text <> b.text) AS first FROM a LEFT JOIN b ON a.chosen_id = b.chosen_id AND a.i = b.i GROUP BY a.chosen_id),
+    n AS (SELECT chosen_id, coalesce(first, turns) AS n_common FROM d JOIN k USING (chosen_id)),
+    {side('a', 'c')}, {side('b', 'r')},
+    o AS (SELECT DISTINCT conv_id FROM v)
+    SELECT n.chosen_id, o.conv_id AS rejected_id, CAST(n_common AS INTEGER) AS n_common, coalesce(c_s.prompt, '') AS prompt, coalesce(c_s.rest, '') AS chosen,
+        coalesce(r_s.rest, '') AS rejected, coalesce(c_s.mask, '') AS chosen_mask, coalesce(r_s.mask, '') AS rejected_mask
+    FROM n JOIN c_s USING (chosen_id) LEFT JOIN r_s USING (chosen_id) LEFT JOIN o ON o.conv_id = xor(n.chosen_id, 1)"""

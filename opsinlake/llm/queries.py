@@ -39,7 +39,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op3_preference_format", preferences.sql())
 def op3(spark: SparkSession, sf: str) -> DataFrame:
-    return preferences.format_pairs(preferences.swapped_replies(table(spark, sf, "conversations")))
+    return preferences.format_pairs(preferences.diverging(table(spark, sf, "conversations")))
 
 
 @register("op4_poisson_mixing", mixing.sql(MIX))

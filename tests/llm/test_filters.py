@@ -1,6 +1,7 @@
 """Quality rules, decontamination, mixing, preference formatting and the pipeline."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
@@ -199,6 +200,30 @@ def test_preferences_messy(spark):
     assert preferences.format_pairs(empty).first().prompt == ""
 
 
+def test_diverging_pairs_by_a_loop(spark):
+    """Partners of unlike lengths, a missing partner, equal conversations and one of three thousand turns."""
+    rng = random.Random(3)
+    talks = {c: [(rng.choice(["user", "assistant", "system"]), rng.choice("abc") * rng.randrange(3)) for _ in range(rng.randrange(1, 9))] for c in range(30)}
+    talks[9], talks[30], talks[41] = talks[8], [("assistant", f"t{i}") for i in range(3000)], [("user", "alone")]
+    turns = spark.createDataFrame([(c, i, r, x) for c, talk in talks.items() for i, (r, x) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    got = {r.chosen_id: r for r in preferences.format_pairs(preferences.diverging(turns)).collect()}
+    assert set(got) == set(talks)
+    shown = lambda side: show([(0, *x) for x in side])
+    parted = set()
+    for c, chosen in talks.items():
+        k = int(hashlib.md5(f"{c}:turn".encode()).hexdigest()[:7], 16) % len(chosen)
+        rejected = chosen[:k] + talks.get(c ^ 1, [])[k:]
+        n = next((i for i, (x, y) in enumerate(zip(chosen, rejected)) if x != y), min(len(chosen), len(rejected)))
+        r = got[c]
+        assert (r.rejected_id, r.n_common) == (c ^ 1 if c ^ 1 in talks else None, n)
+        assert r.prompt == shown(chosen[:n]) and r.chosen == shown(chosen[n:]) and r.rejected == shown(rejected[n:])
+        for text, mask, side in ((r.chosen, r.chosen_mask, chosen[n:]), (r.rejected, r.rejected_mask, rejected[n:])):
+            spans = [tuple(map(int, m.split(":"))) for m in mask.split(",") if m]
+            assert [text[a:b] for a, b in spans] == [x + "<|im_end|>\n" for role, x in side if role == "assistant"]
+        parted.add((n, len(chosen) - n))
+    assert len(parted) > 8 and got[8].chosen == "" == got[9].rejected
+
+
 # ------------------------------------------------------------------ queries and pipeline
 
 

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Only where none is set (a session on one machine, as in tests) a new
-    temporary folder becomes the checkpoint folder."""
+    """The checkpoint folder of the session. Only where none is set in a session on one machine (as in tests) a new
+    temporary folder becomes the checkpoint folder; on a cluster executors could not read each other's files there, so that is an
+    error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -694,3 +694,32 @@ def sensor_axes(spark, sf):
         "s_suppkey", "axis_error", cubes.axis_error(wl, F.col("bands")).alias("render_error"),
         cubes.describe_cube(label, F.col("bands"), wl).alias("description"),
     )
+
+
+@query(lambda: f"""SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 IN (1, 2) THEN 'not a list of numbers'
+        WHEN p_partkey % 4 + 1 <> p_size % 4 + 1 THEN 'count mismatch' END AS axis_error,
+    CASE WHEN p_partkey % 6 > 2 AND p_partkey % 4 = p_size % 4 THEN 400.5 + 7 * (p_partkey % 4) WHEN p_partkey % 5 = 0 THEN 300.0 END AS last_nm FROM part""")
+def typed_axes(spark, sf):
+    """Wavelengths typed for cubes of one to four bands: lists, lists of another length, text that is none, and nothing."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    listed = F.array_join(F.transform(F.sequence(F.lit(0), (key % 4).cast("int")), lambda i: F.concat(F.lit(" "), (400 + 7 * i).cast("string"), F.lit(".5"))), ",")
+    typed = F.when(key % 6 == 1, "400, 4x0").when(key % 6 == 2, "").when(key % 6 > 2, listed)
+    given = F.when(key % 5 == 0, F.array(F.lit(300.0)))
+    done = cubes.assign_typed(p.select("p_partkey", (F.col("p_size") % 4 + 1).alias("bands"), given.alias("wavelengths"), typed.alias("typed")), F.col("typed"))
+    return done.select("p_partkey", "axis_error", F.try_element_at("wavelengths", F.lit(-1)).alias("last_nm"))
+
+
+@query(lambda: "SELECT p_partkey, 'a.b ' || p_brand AS label, CASE WHEN p_partkey % 4 < 2 THEN 'geotiff' ELSE 'envi' END AS format FROM part")
+def source_formats(spark, sf):
+    """How a file would be read, and its label, from its name."""
+    end = F.element_at(F.array(*map(F.lit, (".tif", ".TIFF", ".hdr", ".Tif.dat"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/data/x.y/a.b "), "p_brand", F.when(F.col("p_partkey") % 4 == 3, F.lit(".img")).otherwise(end))
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", cubes.source_label(path).alias("label"), cubes.source_format(path).alias("format"))
+
+
+@query(lambda: f"SELECT vec_id, i AS band, {rsql('px[i + 1]')} AS value FROM ({PIXELS}), range({BANDS}) t(i) WHERE line = CAST({HEIGHT} AS BIGINT) // 2 AND sample = 12")
+def one_pixel(spark, sf):
+    """The spectrum in the middle of the image."""
+    one = cubes.pixel(pixels(spark, sf), height(spark, sf) // 2, 12)
+    return one.select("vec_id", F.posexplode("spectrum").alias("band", "v")).select("vec_id", F.col("band").cast("long").alias("band"), rnd("v").alias("value"))

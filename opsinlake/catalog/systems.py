@@ -299,3 +299,20 @@ def regime_members(spark, sf):
     key = F.regexp_extract("system", r"(\d+)$", 1).cast("long")
     return m.select(key.alias("s_suppkey"), "regime", F.col("slot").cast("long").alias("slot"),
                     F.col("receptor").cast("long").alias("receptor"), F.col("luminance_weight").alias("weight"), "set_min")
+
+
+@query(lambda: """SELECT s_suppkey, 'night' AS regime FROM supplier WHERE s_suppkey % 3 < 2 UNION ALL SELECT s_suppkey, 'day' FROM supplier WHERE s_suppkey % 3 = 0""")
+def empty_regimes(spark, sf):
+    """Regimes that have lost all their members, in systems whose pools were cut to none, one or two receptors."""
+    s = supplier_systems(spark, sf)
+    pool = F.slice("curves", 1, (F.col("s_suppkey") % 3).cast("int"))
+    found = validate.empty_regimes(validate.regime_rows(s.withColumn("curves", pool).drop("s_suppkey")))
+    return found.select(F.regexp_extract("system", r"(\d+)$", 1).cast("long").alias("s_suppkey"), "regime")
+
+
+@query(lambda: "SELECT s_suppkey, s_name AS name FROM supplier WHERE s_suppkey <> (SELECT min(s_suppkey) FROM supplier)")
+def library_delete(spark, sf):
+    """A library without one system, named exactly."""
+    s = supplier_systems(spark, sf)
+    name = s.agg(F.min_by("name", "s_suppkey")).first()[0]
+    return library.delete_system(library.delete_system(s, name), name.lower()).select("s_suppkey", "name")

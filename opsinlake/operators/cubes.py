@@ -184,6 +184,24 @@ def assign_wavelengths(cubes: DataFrame, presets: DataFrame, preset: Column) ->
     )
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def assign_typed(cubes: DataFrame, typed: Column) -> DataFrame:
+    """Give cubes the axis typed for each as numbers separated by commas. Text that is not such a list, or has another count than the
+    cube has bands, goes to ``axis_error`` and leaves the axis alone; so does a null, which is no request and no error."""
+    entries = F.transform(F.split(typed, ","), lambda t: F.trim(t))
+    numeric = F.forall("_typed", lambda t: t.rlike(_NUMBER))
+    asked = cubes.withColumn("_typed", entries)
+    problem = F.when(F.col("_typed").isNull(), F.lit(None)).when(~numeric, F.lit("not a list of numbers")).when(F.size("_typed") != F.col("bands"), F.lit("count mismatch"))
+    values = F.transform("_typed", lambda t: t.try_cast("double"))
+    return (
+        asked.withColumn("axis_error", problem.cast("string"))
+        .withColumn("wavelengths", F.when(F.col("_typed").isNotNull() & F.col("axis_error").isNull(), values).otherwise(F.col("wavelengths")))
+        .drop("_typed")
+    )
+
+
 def sort_bands(pixels: DataFrame, wavelengths, spectrum="spectrum"):
     """Increasing axis and the pixels with their bands in that order, for sensors listed out of order."""
     order = sorted(range(len(wavelengths)), key=lambda i: wavelengths[i])

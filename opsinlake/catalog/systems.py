@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsinlake import constants as C
 from opsinlake import schema as S
 from opsinlake.catalog.base import query, rnd, rsql, table
+from opsinlake.catalog.lights import template_sql
 from opsinlake.functions import pigment
 from opsinlake.operators import opponent, validate
+from opsinlake.plans.adaptation import MAX_ITERATIONS
 from opsinlake.session import spread
 from opsinlake.sources import library
 
@@ -126,6 +129,48 @@ def adaptation_sweep(spark, sf):
                          F.inline(F.transform("r.matrix", lambda v, i: F.struct(i.alias("cell"), v.alias("value")))))
 
 
+_PEAKS = {"p": ("420.0 + s_nationkey", lambda: 420.0 + F.col("s_nationkey")), "q": ("480.0 + (s_suppkey * 7) % 90", lambda: 480.0 + F.col("s_suppkey") * 7 % 90)}
+
+
+def _pairs_sql():
+    """Gradient descent with step halving as a recursion: a row is one trial step of one receptor pair at one strength. The
+    free cells are a and b of [[1, a], [b, 1]]; the overlap is o = [1, a] G [b, 1]'."""
+    tops = ", ".join(f"(SELECT max({template_sql('A1', peak, f'({peak}) - 5 + 0.05 * i')}) FROM range(201) t(i)) AS top_{x}" for x, (peak, _) in _PEAKS.items())
+    value = {x: f"{template_sql('A1', peak, '(300.0 + 5.0 * i)')} / top_{x}" for x, (peak, _) in _PEAKS.items()}
+    o = lambda a, b: f"(g11 * ({b}) + g12 + ({a}) * (g12 * ({b}) + g22))"
+    cost = lambda a, b: f"({o(a, b)} ** 2 + lam * (({a}) ** 2 + ({b}) ** 2))"
+    grads = f"2 * ({o('a', 'b')} * (g12 * b + g22) + lam * a) AS ga, 2 * ({o('a', 'b')} * (g11 + a * g12) + lam * b) AS gb"
+    keep = "s_suppkey, g11, g12, g22, lam"
+    return f"""WITH RECURSIVE s AS (SELECT s_suppkey, s_nationkey, {tops} FROM supplier),
+    v AS (SELECT s_suppkey, {value['p']} AS x, {value['q']} AS y FROM s, range(91) t(i)),
+    g AS (SELECT s_suppkey, 5.0 * sum(x * x) AS g11, 5.0 * sum(x * y) AS g12, 5.0 * sum(y * y) AS g22 FROM v GROUP BY s_suppkey),
+    w({keep}, n, step, a, b, f, ga, gb, moving) AS (
+        SELECT {keep}, 0, 0.5::DOUBLE, a, b, {cost('a', 'b')}, {grads}, TRUE FROM (SELECT *, unnest({list(C.SHARPEN_LAMBDAS)}::DOUBLE[]) AS lam, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM g)
+        UNION ALL
+        SELECT {keep}, n, step, a, b, f, ga, gb, n < {MAX_ITERATIONS} AND sqrt(ga ** 2 + gb ** 2) >= 1e-10 FROM (
+            SELECT {keep}, n + CAST(taken AS INT) AS n, CASE WHEN taken THEN step * 1.2 ELSE step * 0.5 END AS step, a, b, f, {grads} FROM (
+                SELECT {keep}, n, step, taken, CASE WHEN taken THEN a2 ELSE a END AS a, CASE WHEN taken THEN b2 ELSE b END AS b, CASE WHEN taken THEN f2 ELSE f END AS f FROM (
+                    SELECT *, f2 < f OR step < 1e-8 AS taken FROM (
+                        SELECT *, {cost('a2', 'b2')} AS f2 FROM (SELECT *, a - step * ga AS a2, b - step * gb AS b2 FROM w WHERE moving)))))),
+    e AS (SELECT *, greatest(abs(a), abs(b)) AS worst FROM w WHERE NOT moving),
+    r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY worst >= 1, CASE WHEN worst < 1 THEN lam ELSE worst END, lam) AS k FROM e)
+    SELECT s_suppkey, lam AS strength, CAST(worst < 1 AS BIGINT) AS dominant, {rsql('a', 5)} AS a, {rsql('b', 5)} AS b,
+        {rsql('1 / (1 - a * b)', 5)} AS inverse_first, {rsql('-b / (1 - a * b)', 5)} AS inverse_third FROM r WHERE k = 1"""
+
+
+@query(_pairs_sql)
+def adaptation_pairs(spark, sf):
+    """Sharpening matrix of one dichromat per supplier, against a descent that SQL makes itself."""
+    s = spread(table(spark, sf, "supplier")).select("s_suppkey", *[peak().alias(x) for x, (_, peak) in _PEAKS.items()])
+    grid = [300.0 + 5.0 * i for i in range(91)]
+    for x in _PEAKS:
+        s = s.withColumn(f"v_{x}", pigment.template_values("A1", F.col(x), grid))
+    r = s.select("s_suppkey", opponent.sharpen_column(opponent.gram_column(F.array("v_p", "v_q"), 5.0)).alias("r"))
+    cell = [rnd(F.get(F.col(f"r.{m}"), i), 5) for m, i in (("matrix", 1), ("matrix", 2), ("inverse", 0), ("inverse", 2))]
+    return r.select("s_suppkey", F.col("r.lambda").alias("strength"), F.col("r.dominant").cast("long").alias("dominant"),
+                    *(c.alias(n) for c, n in zip(cell, ("a", "b", "inverse_first", "inverse_third"))))
+
+
 # ------------------------------------------------------------------ library documents
 
 

@@ -331,6 +331,38 @@ def field_spans(texts: pa.Array, field: Field) -> dict[int, list[tuple[str, int,
     return out
 
 
+_QUOTE = re.compile("[\"'`<>]")
+_WORD = re.compile(r"[^ \t-\r]+")
+
+
+def _cards(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """The card numbers among the words of a span: neighbouring words that hold 13 to 19 digits together and pass Luhn."""
+    out, begin, digits = [], None, ""
+    for m in _WORD.finditer(text, start, end):
+        begin, digits = m.start() if begin is None else begin, digits + "".join(_DIGIT.findall(m.group()))
+        if len(digits) > 19:
+            begin, digits = m.start(), "".join(_DIGIT.findall(m.group()))
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", begin, m.end()))
+            begin, digits = None, ""
+    return out
+
+
+def checked(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of the field after what a rule can tell: a card must pass Luhn, and is divided where it holds several; a secret
+    ends before a quote inside it."""
+    out = []
+    for kind, s, e in spans:
+        quote = _QUOTE.search(text, s, e) if kind == "secret" else None
+        if kind == "card":
+            out += _cards(text, s, e)
+        elif quote is None:
+            out.append((kind, s, e))
+        elif quote.start() > s:
+            out.append((kind, s, quote.start()))
+    return out
+
+
 def merge(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those of the field that overlap none of them, by kind as listed in ``TAGS``, then start."""
     taken = sorted((s, e) for _, s, e in base)
@@ -359,7 +391,7 @@ def _find(field: Field):
                 rows = []
                 for row, text in enumerate(texts.to_pylist()):
                     base = base_spans(text)
-                    spans, joined = merge(base, more.get(row, [])), _join(base)
+                    spans, joined = merge(base, checked(text, more.get(row, []))), _join(base)
                     rows.append([*(sum(k == kind for k, _, _ in base) for kind in KINDS), len(spans) - len(base), joined, hashlib.sha256(joined.encode()).hexdigest(), _join(spans)])
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -374,7 +406,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     """One row per row of ``docs``: counts of the pattern spans by kind, n_added by the field, base_spans and all spans as
     ``kind:start:end`` (characters, end exclusive) joined by commas, base_sha256 the hash of base_spans.
 
-    Both are ordered by kind, then start, with the kinds that only the field knows last. Null and empty texts have no spans; a null doc_id is kept;
+    Cards that the field adds pass Luhn, and its secrets end before an inner quote. Both are ordered by kind, then start, with the kinds that only the field knows last. Null and empty texts have no spans; a null doc_id is kept;
     repeated rows give equal rows; other columns are ignored. Lines are decoded whole, however long.
     """
     field = field or train(examples())

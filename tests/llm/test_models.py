@@ -184,6 +184,25 @@ def test_spans_count_characters(spark, field):
     assert r.base_spans == "email:10:33,ip:66:73"
 
 
+def test_spans_of_the_field_are_checked():
+    text = 'card 4539 5787 6362 1486 4539578763621486 x 4539578763621487 key ab12cd34ab12cd34"### "q'
+    cards = pii.checked(text, [("card", 5, 41), ("card", 44, 60), ("card", 5, 24)])
+    assert [text[s:e] for _, s, e in cards] == ["4539 5787 6362 1486", "4539578763621486", "4539 5787 6362 1486"]
+    assert pii.checked(text, [("secret", 65, 85), ("secret", 81, 83), ("phone", 65, 85)]) == [("secret", 65, 81), ("phone", 65, 85)]
+
+
+def test_added_cards_of_documents_pass_luhn(spark, field):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = pii.find_personal_data(docs, field).join(docs.select("doc_id", "text"), "doc_id").collect()
+    for r in rows:
+        for kind, s, e in (x.split(":") for x in r.spans.split(",") if x):
+            found = r.text[int(s) : int(e)]
+            if kind == "card":
+                digits = re.sub("[^0-9]", "", found)
+                assert 13 <= len(digits) <= 19 and pii.luhn(digits)
+            assert kind != "secret" or '"' not in found
+
+
 # ------------------------------------------------------------------ forward passes by plain loops
 
 

@@ -350,8 +350,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     class_id is the smallest doc_id of the group, groups being what exact copies and near copies connect. Near copies are
     texts whose word ``k``-shingles have a probability Jaccard similarity of ``threshold`` or more, either weighted by
     1 + log2 of their occurrences or all alike (then it is the Jaccard similarity of the sets); copies_of is the smallest
-    doc_id with the same text. A row without words (null, empty, blanks only) is alike to no other; a row with a null doc_id
-    is a class of its own (class_id null). Every distinct text is compared, also where a doc_id has several; rows that share a
+    doc_id with the same text. A row without words (null, empty, blanks only) is alike to no other; a row with a null doc_id takes no part
+    and only shows the class of its text, if the text has one (else class_id is null). Every distinct text is compared, also where a doc_id has several; rows that share a
     doc_id are one document, in the group of each of its texts. Every input row gives one output row. Texts are read whole. Other columns are
     ignored, whatever their names. An empty table gives no rows.
 
@@ -359,10 +359,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     of the table is one row from there on.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
-    keyed = docs.where(worded).select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text")
+    worded = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    keyed = docs.where(worded & F.col("doc_id").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text")
     rows = cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), worded.alias("worded")))
-    known = rows.where("worded").select("doc_id", "copy_key")
+    known = rows.where("worded and doc_id is not null").select("doc_id", "copy_key")
+    nameless = rows.where("worded and doc_id is null").select("doc_id", "copy_key")
     signed = keyed.mapInArrow(_sign(k), "doc_id bigint, copy_key binary, bands array<bigint>, bits array<bigint>")
     distinct = signed.groupBy("copy_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))  # written, so a text has one number from here on
@@ -381,5 +382,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     named = lookup(grouped.withColumnRenamed("n", "rows"), cut(classes), ["root"])
     classes = cut(named.select("copy_key", "first_id", "class_id", F.col("rows").alias("n")))
     out = lookup(known, classes, ["copy_key"]).select("doc_id", "class_id", F.col("first_id").alias("copies_of"))
+    held = nameless.groupBy("copy_key").agg(F.count("*").alias("n")).join(classes.drop("n"), "copy_key", "left")
+    named = lookup(nameless, cut(held), ["copy_key"]).select("doc_id", "class_id", F.col("first_id").alias("copies_of"))
+    out = out.unionByName(named)
     rest = rows.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))
     return out.unionByName(rest)

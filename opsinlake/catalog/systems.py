@@ -290,11 +290,24 @@ def library_restore(spark, sf):
     return out.select("name", marked.alias("marked"), F.get("curves", 1)["eta"].alias("eta"))
 
 
-@query(lambda: """WITH old AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 5 <> 1 THEN 2.0 END AS eta FROM supplier),
-    new AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN lower(replace(s_name, '#', ' -- ')) ELSE 'Group / ' || s_suppkey % 7 END AS name,
+def _document_sql():
+    """Text of an incoming system as ``library.system_json`` writes it, from columns ``name``, ``k`` and ``nation``."""
+    def curve(i):
+        kind = r'"{\"radiance\":{\"unit\":\"W/m2/nm\"}}"' if i == 2 else '"sensitivity"'
+        return (f"""'{{"name":"receptor {i}","curve_type":"sensitivity","quantity":{kind},"points":[[380.0,0.0],[' || ({430 + 60 * i} + nation) || '.0,1.0],[720.0,0.0]],'
+        || '"metadata":{{}},"omega":0.05' || CASE WHEN k % 5 <> {i} THEN ',"eta":{i + 2}.0' ELSE '' END || CASE WHEN k % 7 = {i} THEN ',"illumination_min":0.001' ELSE '' END || '}}'""")
+
+    return r"""'{"name":"' || replace(replace(name, '\', '\\'), '"', '\"') || '","curves":[' || """ + " || ',' || ".join(curve(i) for i in range(3)) + """
+        || '],"metadata":{"fresh":"1","nation":"' || nation || '"},"regimes":[{"name":"day","curves":[0,1,2]' || CASE WHEN k % 2 = 0 THEN ',"luminance_weights":[0.2,0.3,0.5]' ELSE '' END
+        || CASE WHEN k % 3 = 0 THEN ',"opponent_contrasts":[{"name":"c","weights":[1.0,-1.0,0.0]}]' ELSE '' END || '},{"name":"night","curves":[1,5,2]}]}'"""
+
+
+# of systems that came at one time the largest name stays, then the largest fingerprint of the content
+@query(lambda: f"""WITH old AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 5 <> 1 THEN 2.0 END AS eta FROM supplier),
+    new AS (SELECT s_suppkey AS k, s_nationkey AS nation, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN lower(replace(s_name, '#', ' -- ')) ELSE 'Group / ' || s_suppkey % 7 END AS name,
         CASE WHEN s_suppkey % 5 <> 1 THEN 3.0 END AS eta, (s_suppkey * 37) % 1009 AS came FROM supplier WHERE s_suppkey % 4 <> 0),
-    slugged AS (SELECT *, trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '_') AS slug FROM new),
-    last AS (SELECT slug, name, eta FROM slugged QUALIFY row_number() OVER (PARTITION BY slug ORDER BY came DESC, name DESC) = 1)
+    slugged AS (SELECT *, trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '_') AS slug, sha256({_document_sql()}) AS content FROM new),
+    last AS (SELECT slug, name, eta FROM slugged QUALIFY row_number() OVER (PARTITION BY slug ORDER BY came DESC, name DESC, content DESC) = 1)
     SELECT slug, name, eta, CAST(1 AS BIGINT) AS fresh FROM last UNION ALL
     SELECT s, name, eta, 0 FROM (SELECT *, trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '_') AS s FROM old) WHERE s NOT IN (SELECT slug FROM last)""")
 def library_upsert(spark, sf):

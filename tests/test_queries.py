@@ -19,6 +19,15 @@ def test_query(spark, con, name):
     assert problem is None, problem
 
 
+def test_upsert_of_systems_that_came_at_one_time(spark, tmp_path):
+    """Times of arrival repeat every 1,009 keys, those of a shared name every 21,189: content decides."""
+    con = connect(SF)
+    con.execute(f"""CREATE OR REPLACE VIEW supplier AS SELECT s.* REPLACE (s_suppkey + 21189 * i AS s_suppkey, CAST((s_nationkey + 3 * i) % 25 AS INTEGER) AS s_nationkey)
+        FROM '{SF}/supplier.parquet' s, range(12) t(i) ORDER BY hash(s_suppkey * 31 + i)""")
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+    assert compare(spark, con, str(tmp_path), "library_upsert")[0] is None
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

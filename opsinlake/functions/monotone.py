@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+AT_ONCE = 1 << 17  # places evaluated at once
+
 
 class Bundle:
     """Curves as padded rows: ``x`` ascending, ``y`` values, ``m`` tangents, ``n`` knots per row."""
@@ -77,9 +79,16 @@ class Bundle:
         return lo
 
     def at(self, rows, xs):
-        """Values at ``xs`` of the curves ``rows``; NaN outside a curve's own domain."""
-        rows = np.asarray(rows, dtype=np.int64)
+        """Values at ``xs`` of the curves ``rows`` (one for all, or one each); NaN outside a curve's own domain. Worked out in
+        slices, so that only the result is as long as ``xs``."""
         xs = np.asarray(xs, dtype=float)
+        rows = np.broadcast_to(np.asarray(rows, dtype=np.int64), xs.shape)
+        out = np.empty(len(xs))
+        for a in range(0, len(xs), AT_ONCE):
+            out[a : a + AT_ONCE] = self._at(rows[a : a + AT_ONCE], xs[a : a + AT_ONCE])
+        return out
+
+    def _at(self, rows, xs):
         i = self.segment(rows, xs)
         j = np.minimum(i + 1, np.maximum(self.n[rows] - 1, 0))
         x0, x1, y0, y1 = self.x[rows, i], self.x[rows, j], self.y[rows, i], self.y[rows, j]

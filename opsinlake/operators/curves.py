@@ -21,15 +21,15 @@ from opsinlake.functions.bind import let
 from opsinlake.functions.monotone import Bundle
 from opsinlake.operators.cubes import quantity
 
-BATCH_CELLS = 4_000_000  # padded knots fitted at once, so one very long curve cannot blow up a batch
-BATCH_ROWS = 4_000
+BATCH_CELLS = 500_000  # padded knots fitted at once, so one very long curve cannot blow up a batch
+BATCH_ROWS = 1_000  # curves fitted at once: a worker's memory follows these, not the rows of an Arrow batch
 
 
 def _unpack(points: pa.Array):
     """Knots of a batch: flat wavelengths, flat values, knots per row (0 for null rows)."""
     flat = points.flatten()
     sizes = pc.fill_null(points.value_lengths(), 0).to_numpy(zero_copy_only=False)
-    wl, v = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+    wl, v = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(float, copy=False) for i in (0, 1))
     return wl, v, sizes
 
 
@@ -53,12 +53,12 @@ def bundles(points: pa.Array):
 def _evaluate(points: pa.Array, grid: pa.Array) -> pa.Array:
     ok = np.asarray(points.is_valid()) & np.asarray(grid.is_valid())
     steps = pc.fill_null(grid.value_lengths(), 0).to_numpy(zero_copy_only=False)
-    xs = grid.flatten().to_numpy(zero_copy_only=False).astype(float)
+    xs = grid.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     x_at, out = np.concatenate([[0], np.cumsum(steps)]), np.empty(len(xs))
     for a, b, curves in bundles(points):
         sel = slice(x_at[a], x_at[b])
         out[sel] = curves.at(np.repeat(np.arange(b - a), steps[a:b]), xs[sel])
-    return ragged(out[np.repeat(ok, steps)], np.where(ok, steps, 0), ok)
+    return ragged(out if ok.all() else out[np.repeat(ok, steps)], np.where(ok, steps, 0), ok)
 
 
 def _integrals(points: pa.Array, fixed: list[Bundle] | None, step: float) -> pa.Array:
@@ -81,7 +81,7 @@ def _integrals(points: pa.Array, fixed: list[Bundle] | None, step: float) -> pa.
             xs = lo[row] + (np.arange(len(row)) - first[row]) * dx[row]
             v = np.nan_to_num(curves.at(live[row], xs))
             if other is not None:
-                v = v * np.nan_to_num(other.at(np.zeros(len(xs), dtype=np.int64), xs))
+                v = v * np.nan_to_num(other.at(0, xs))
             ends = (v[first] + v[first + n]) / 2
             out[a + live, r] = (np.add.reduceat(v, first) - ends) * dx
     return lists(out[ok], ok, np.float64)
@@ -105,8 +105,7 @@ def literal_values(curve, grid: Column) -> Column:
     def lookup(xs: pa.Array) -> pa.Array:
         ok = np.asarray(xs.is_valid())
         steps = pc.fill_null(xs.value_lengths(), 0).to_numpy(zero_copy_only=False)
-        flat = xs.flatten().to_numpy(zero_copy_only=False).astype(float)
-        return ragged(fixed.at(np.zeros(len(flat), dtype=np.int64), flat), steps, ok)
+        return ragged(fixed.at(0, xs.flatten().to_numpy(zero_copy_only=False)), steps, ok)
 
     return lookup(grid)
 

@@ -1,13 +1,16 @@
 """Curves, integrals and curve algebra."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from opsinlake.functions import monotone
 from opsinlake.functions.monotone import Bundle
 from opsinlake.operators import colors, curves
 from opsinlake.plans.systems import curve_integral, product_integral
@@ -188,3 +191,25 @@ def test_filters_pass_below_curve_functions(spark, tmp_path, capfd):
         assert "EqualTo(id,3)" in plan
     with_area = df.withColumn("x", curves.curve_integral(F.col("points"))).select((F.col("x") + F.col("x")).alias("y"), "x")
     assert with_area._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_memory_of_a_worker_follows_slices(monkeypatch):
+    """Beside its result, evaluating a batch takes what one slice takes."""
+    rng, n, k, g = np.random.default_rng(5), 6000, 16, 250
+    knots = np.sort(rng.uniform(400, 700, n * k).reshape(n, k)).ravel()
+    cells = pa.StructArray.from_arrays([pa.array(knots), pa.array(rng.random(n * k))], names=["wl", "v"])
+    points = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), cells)
+    xs = np.tile(np.linspace(390, 710, g), n)
+    grid = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * g), pa.array(xs))
+    fixed, peaks, got = Bundle.of([(400.0, 0.9), (480.0, 0.2), (560.0, 0.4), (715.0, 0.7)]), [], []
+    for run in (lambda: curves._evaluate(points, grid).flatten().to_numpy(zero_copy_only=False), lambda: fixed.at(np.zeros(len(xs), dtype=np.int64), xs)):
+        tracemalloc.start()
+        got.append(run())
+        peaks.append(tracemalloc.get_traced_memory()[1] / xs.nbytes)
+        tracemalloc.stop()
+    assert max(peaks) < 6, peaks
+    monkeypatch.setattr(monotone, "AT_ONCE", 7)
+    monkeypatch.setattr(curves, "BATCH_ROWS", 3)
+    few = slice(0, 40 * g)
+    assert np.array_equal(got[0][few], curves._evaluate(points[:40], grid[:40]).flatten().to_numpy(zero_copy_only=False), equal_nan=True)
+    assert np.array_equal(got[1][few], fixed.at(np.zeros(40 * g, dtype=np.int64), xs[few]), equal_nan=True)

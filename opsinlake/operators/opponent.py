@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +20,8 @@ from opsinlake.operators.moments import co_moments
 from opsinlake.plans.adaptation import common_grid, sharpen
 from opsinlake.plans.kernel import CurveKernel
 from opsinlake.plans.observers import Panel
-from opsinlake.session import block_pairs
+
+NEAR = 256  # receptors of a system that a receptor meets where it lies
 
 
 def contrasts_from_covariance(cov) -> list[tuple[str, list[float], float]]:
@@ -134,17 +137,39 @@ def smooth_covariance(receptor_curves, light, length_nm: Column, step: float) ->
 
 def gram_pairs(samples: DataFrame, step: float, keys=("system",)) -> DataFrame:
     """Overlap of receptors on a shared grid from ``system, receptor, values`` rows: one row per pair, each receptor
-    with itself included. Receptors of a system meet by blocks, so a system may have any number of them."""
+    with itself included; receptors that repeat pair as often. A system that is null has no pairs.
+
+    Rows are shuffled once, by system, and meet the next ``NEAR`` receptors of their system by order there. Only what is further
+    apart, in larger systems, is dealt out by pairs of blocks, so a system may have any number of receptors: its rows are in one task,
+    the pairs that grow with the square of their number are not."""
     keys = list(keys)
-    one = samples.groupBy(*keys, "receptor", "values").agg(F.count(F.lit(1)).alias("n"))  # receptors that repeat pair as often
-    side = lambda x: F.struct("receptor", "values", "n").alias(x)
-    pairs = block_pairs(one.select(*keys, side("x")), one.select(*keys, side("y")), keys, "x", "y", blocks=4).select(*keys, "x", "y")
-    times = F.when(F.col("x") == F.col("y"), F.expr("x.n * (x.n + 1) div 2")).otherwise(F.col("x.n") * F.col("y.n"))
-    met = pairs.unionByName(one.select(*keys, side("x"), side("y"))).withColumn("_again", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    known = samples.where(reduce(and_, [F.col(c).isNotNull() for c in keys]))
+    # one column that is carried, sorted by and listed; a receptor without a name comes last
+    one = F.struct(F.isnull("receptor").alias("unnamed"), "receptor", "values").alias("x")
+    placed = known.select(*keys, one).repartition(*keys)
+    in_order = Window.partitionBy(*keys).orderBy("x")
+    near = placed.select(*keys, "x", F.collect_list("x").over(in_order.rowsBetween(0, NEAR - 1)).alias("_y"))
+    crowded = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > NEAR)
+    met = near.select(*keys, "x", F.explode("_y").alias("y")).unionByName(_far_pairs(placed, crowded, keys, in_order))
     overlap = _product(F.col("x.values"), F.col("y.values")) * step
     return met.select(*keys, F.col("x.receptor").alias("k"), F.col("y.receptor").alias("l"), overlap.alias("overlap"))
 
 
+def _far_pairs(placed: DataFrame, crowded: DataFrame, keys: list[str], in_order) -> DataFrame:
+    """Pairs (``x``, ``y``) of the keys in ``crowded`` (with their number of rows ``_n``) whose places in the order are ``NEAR`` or more apart:
+    every row of such a key goes to each pair of blocks that its own block is in, and only there do lists of two blocks meet."""
+    # the keys are a step of their own: its size is known before the join is chosen, and where it is empty nothing is left to do
+    numbered = placed.join(crowded.repartition("_n"), keys).withColumn("_at", F.row_number().over(in_order) - 1)
+    blocks = F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {NEAR} as int)"))
+    dealt = numbered.select(*keys, F.struct("_at", "x").alias("_s"), F.expr(f"cast(_at div {NEAR} as int)").alias("_own"), F.explode(blocks).alias("_other"))
+    own, other = F.col("_own"), F.col("_other")
+    placed_in = dealt.where(own != other).withColumns({"_i": F.least(own, other), "_j": F.greatest(own, other)}).repartition(*keys, "_i", "_j")
+    lists = placed_in.groupBy(*keys, "_i", "_j").agg(
+        F.collect_list(F.when(own < other, F.col("_s"))).alias("_x"), F.collect_list(F.when(own > other, F.col("_s"))).alias("_y"))
+    pairs = lists.select(*keys, F.explode("_x").alias("x"), "_y").select(*keys, "x", F.explode("_y").alias("y"))
+    return pairs.where(F.col("y._at") - F.col("x._at") >= NEAR).select(*keys, F.col("x.x").alias("x"), F.col("y.x").alias("y"))
+
+
 def _product(x: Column, y: Column) -> Column:
     """Scalar product of two equally long lists per row."""
 

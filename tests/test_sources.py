@@ -1,6 +1,7 @@
 """Files in and out: ENVI cubes, text spectra, libraries, exports, streams."""
 
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -394,3 +395,42 @@ def test_many_receptors_and_stimuli(spark):
     coords = spark.range(600).selectExpr("'s' AS system", "id", "0.0D AS luminance", "array(double(id)) AS chroma", "array(0.0D) AS adapted")
     m = compare.difference_matrix(coords, [], compare.CHROMA_ONLY)
     assert m.count() == 600 * 599 // 2 and m.where("distance <> b_id - a_id").count() == 0
+
+
+def _shuffled_records(spark):
+    store, gw = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gw.new_array(gw.jvm.double, 0), gw.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(params=["-1", "10m"])
+def broadcast(spark, request):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.set(key, limit)
+
+
+def test_receptors_of_small_systems_are_shuffled_once(spark, broadcast):
+    n = 40_000
+    samples = spark.range(n).selectExpr("id div 4 AS system", "id % 4 AS receptor", "array(double(id % 7), 1.0D) AS values")
+    before = _shuffled_records(spark)
+    assert len(opponent.gram_pairs(samples, 1.0).collect()) == n // 4 * 10
+    assert n <= _shuffled_records(spark) - before <= 1.5 * n  # the rows, and a count per system
+
+
+@pytest.mark.parametrize("near", [3, 4, 256])
+def test_pairs_of_crowded_systems(spark, monkeypatch, broadcast, near):
+    """Systems of 1 to 11 receptors and a large one, rows that repeat, one name with several curves, no name, no system."""
+    monkeypatch.setattr(opponent, "NEAR", near)
+    rows = [(s, i // 2 if s % 3 else i, [float(i // 2 % 5), 1.0]) for s in range(1, 12) for i in range(s)]
+    rows += [(7, 0, [9.0, 2.0]), (7, None, [3.0, 3.0]), (7, None, [4.0, 4.0]), (None, 1, [1.0, 1.0]), (None, 2, [1.0, 1.0])]
+    rows += [(99, i % 550, [float(i % 550 % 11), 2.0]) for i in range(600 if near == 256 else 60)]
+    want = Counter()
+    for s in {r[0] for r in rows} - {None}:
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        for a, x in enumerate(mine):
+            want.update((s, x[1], y[1], 2.0 * sum(p * q for p, q in zip(x[2], y[2]))) for y in mine[a:])
+    got = opponent.gram_pairs(spark.createDataFrame(rows, "system int, receptor int, values array<double>"), 2.0).collect()
+    assert Counter((r["system"], r["k"], r["l"], r["overlap"]) for r in got) == want

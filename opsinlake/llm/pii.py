@@ -4,6 +4,10 @@ Tokens are runs of characters that are not blanks, without leading and trailing
 as outside or as one of ``TAGS``; its weights are trained on the driver from a small labelled table (``EXAMPLES``, a few
 templates filled by rule), and its Viterbi decoding runs in numpy over all lines of an Arrow batch at once. Spans of
 the field that touch no pattern span are added; pattern spans always stay.
+
+No span crosses the end of a line, and a line of ordinary words has none: no pattern can match there, and the weights
+leave every word outside (``Field.quiet``). One regular expression finds the other lines, and only they are decoded,
+between the words that are outside whatever stands beside them (``decode``).
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +91,15 @@ _FORM = bytes(b"9Aa"[k] if k < 3 else c for c, k in enumerate(_CLASS.tolist()))
 _RUNS = re.compile(rb"9+|A+|a+")
 _HEX = re.compile(rb"[0-9a-f]{12,}")
 _CUES = (b"password", b"token", b"key", b"secret", b"pwd", b"tel", b"phone", b"call", b"card", b"ip", b"mail")
+#: Found (in bytes) in every line that has more than words of letters below ``_LONG`` bytes, none of them a cue, with punctuation around them.
+_LONG = 20
+_LETTER, _MARK = rb"A-Za-z\x80-\xff", rb"\"'.,;:!?()\[\]{}<>"
+_ODD = b"|".join([
+    rb"[^%b%b \t-\r]" % (_LETTER, _MARK),
+    rb"[%b][%b]+[%b]" % (_LETTER, _MARK, _LETTER),
+    rb"[^ \t-\r]{%d}" % _LONG,
+    rb"(?i:\b(?:%b)\b)" % b"|".join(_CUES),
+])
 LABELLED_LINES = 600
 EPOCHS = 10
 
@@ -213,6 +227,19 @@ class Field:
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves  # weights: 3 x features x tags
         self.known: dict[tuple[bytes, bool, bytes], np.ndarray] = {}
+        self.quiet = self._quiet()
+
+    def _quiet(self) -> bool:
+        """Whether every word of a line without ``_ODD`` is surely outside, by the scores of all such words side by side."""
+        before, own, after = self.word_scores([b"", *(_stand_in(i // 4, i % 4) for i in range(_LONG))])  # the last word is the end of a line
+        return bool(self.surely_outside(before[:, None, None] + own[None, :-1, None] + after[None, None, :]).all())
+
+    def surely_outside(self, scores: np.ndarray) -> np.ndarray:
+        """Words that are outside on the best path whatever the tags of their neighbours: outside is worth more than any other
+        tag, and by more than the moves to that tag and from it can make up for (no move is made at the ends of a line)."""
+        to, back = (self.moves - self.moves[:, :1]).max(axis=0), (self.moves - self.moves[:1]).max(axis=1)
+        other = scores + np.maximum(to, 0) + np.maximum(back, 0) + 0.01  # for rounding
+        return (scores[..., :1] > other)[..., 1:].all(axis=-1)
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """3 x words x tags: what each distinct word adds to its successor, itself and its predecessor."""
@@ -237,14 +264,15 @@ def train(lines: list[tuple[list[str], list[int]]], epochs: int = EPOCHS, rate:
     names: dict[str, int] = {}
     coded = []
     for words, y in lines:
-        ids = [[names.setdefault(f, len(names)) for f in features(*form(w.encode()))] for w in words]
-        coded.append(([[], *ids, []], np.array(y)))
+        ids = [[], *([names.setdefault(f, len(names)) for f in features(*form(w.encode()))] for w in words), []]
+        near = [ids[i : i + 3] for i in range(len(words))]
+        coded.append(([(np.repeat(range(3), [len(f) for f in x]), np.concatenate(x).astype(int)) for x in near], np.array(y)))
     weights, moves = np.zeros((3, len(names), tags)), np.zeros((tags, tags))
     seen_w, seen_m = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
     for _ in range(epochs):
-        for ids, y in coded:
+        for at, y in coded:
             n = len(y)
-            e = np.array([sum((weights[o, f] for o in range(3) for f in ids[i + o]), np.zeros(tags)) for i in range(n)])
+            e = np.array([weights[x].sum(axis=0) for x in at])
             a, b = np.zeros((n, tags)), np.zeros((n, tags))
             a[0] = e[0]
             for i in range(1, n):
@@ -260,11 +288,9 @@ def train(lines: list[tuple[list[str], list[int]]], epochs: int = EPOCHS, rate:
                 gm[y[i - 1], y[i]] -= 1
             seen_m += gm**2
             moves -= rate * gm / np.sqrt(seen_m)
-            for i in range(n):
-                for o in range(3):
-                    for f in ids[i + o]:
-                        seen_w[o, f] += g[i] ** 2
-                        weights[o, f] -= rate * g[i] / np.sqrt(seen_w[o, f])
+            for x, step in zip(at, g):
+                seen_w[x] += step**2
+                weights[x] -= rate * step / np.sqrt(seen_w[x])
     return Field(names, weights.astype(np.float32), moves.astype(np.float32))
 
 
@@ -299,6 +325,23 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> np.nda
     return out
 
 
+def decode(scores: np.ndarray, edge: np.ndarray, field: Field) -> np.ndarray:
+    """Best tags of the lines that begin at ``edge``. Lines are divided at words that are surely outside, and only the runs
+    between them are searched, with the moves from the word before a run and to the word after it."""
+    tags = np.zeros(len(scores), np.int8)
+    at = np.flatnonzero(~field.surely_outside(scores))
+    if not len(at):
+        return tags
+    line = np.searchsorted(edge, at, side="right")
+    first = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(line) > 0)])
+    last = np.append(first[1:], True)
+    scores = scores[at]
+    scores[first & ~np.isin(at, edge)] += field.moves[0]
+    scores[last & ~np.isin(at + 1, edge)] += field.moves[:, 0]
+    tags[at] = viterbi(scores, np.append(np.flatnonzero(first), len(at)), field.moves)
+    return tags
+
+
 def field_spans(texts: pa.Array, field: Field) -> dict[int, list[tuple[str, int, int]]]:
     """Row to (tag, start, end), in characters: the runs of equal tags other than outside in a line of its text."""
     whole = split_words(texts)
@@ -313,7 +356,7 @@ def field_spans(texts: pa.Array, field: Field) -> dict[int, list[tuple[str, int,
     table = field.word_scores(words)
     before, after = np.roll(code, 1), np.roll(code, -1)
     before[edge[:-1]], after[edge[1:] - 1] = len(words), len(words)
-    tags = viterbi(table[0][before] + table[1][code] + table[2][after], edge, field.moves)
+    tags = decode(table[0][before] + table[1][code] + table[2][after], edge, field)
     found = np.flatnonzero((tags > 0) & (w.end > w.start))
     character = np.concatenate([[0], np.cumsum(_HEAD[w.data])])
     base = character[offsets(texts)[1]]
@@ -372,7 +415,41 @@ def merge(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) ->
             i += 1
         if not any(a < e and s < b for a, b in taken[max(0, i - 2) : i + 2]):
             added.append((kind, s, e))
-    return sorted([*base, *added], key=lambda x: (TAGS.index(x[0]), x[1], x[2]))
+    return sorted([*base, *added], key=_by_kind)
+
+
+def odd_lines(texts: pa.Array, field: Field) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(lines that can have a span, the row of each, the character of its text that it begins with)."""
+    parts = pc.split_pattern(texts, "\n")
+    lines, row = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    size = pc.utf8_length(lines).to_numpy() + 1
+    begin = np.cumsum(size) - size
+    begin -= begin[parts.offsets.to_numpy()[row]]
+    if not field.quiet:
+        return lines, row, begin
+    at = np.flatnonzero(pc.match_substring_regex(lines.cast(pa.large_binary()), _ODD).to_numpy(zero_copy_only=False))
+    return lines.take(pa.array(at)), row[at], begin[at]
+
+
+def text_spans(texts: pa.Array, field: Field) -> dict[int, tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """Row to its pattern spans and all its spans, each by kind, then start; rows without a span are left out."""
+    lines, rows, begins = odd_lines(texts, field)
+    more = field_spans(lines, field)
+    out: dict[int, tuple[list, list]] = {}
+    for i, (line, row, begin) in enumerate(zip(lines.to_pylist(), rows.tolist(), begins.tolist())):
+        base = base_spans(line)
+        spans = merge(base, checked(line, more.get(i, [])))
+        if spans:
+            for of_row, of_line in zip(out.setdefault(row, ([], [])), (base, spans)):
+                of_row += [(k, begin + s, begin + e) for k, s, e in of_line]
+    for both in out.values():
+        for spans in both:
+            spans.sort(key=_by_kind)
+    return out
+
+
+def _by_kind(span: tuple[str, int, int]) -> tuple[int, int, int]:
+    return TAGS.index(span[0]), *span[1:]
 
 
 def _join(spans) -> str:
@@ -387,11 +464,11 @@ def _find(field: Field):
         for batch in batches:
             for part in blocks(batch, limit=2 << 20):
                 texts = utf8(part.column("text"))
-                more = field_spans(texts, field)
+                found = text_spans(texts, field)
                 rows = []
-                for row, text in enumerate(texts.to_pylist()):
-                    base = base_spans(text)
-                    spans, joined = merge(base, checked(text, more.get(row, []))), _join(base)
+                for row in range(len(texts)):
+                    base, spans = found.get(row, ([], []))
+                    joined = _join(base)
                     rows.append([*(sum(k == kind for k, _, _ in base) for kind in KINDS), len(spans) - len(base), joined, hashlib.sha256(joined.encode()).hexdigest(), _join(spans)])
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

@@ -1,12 +1,14 @@
 """Ranked lexical search over an inverted index in shards of documents, evaluated by hybrid TAAT-DAAT.
 
 Building the index needs no shuffle: every block of documents becomes a shard with one posting list a term (places of the
-documents in the shard and term frequencies) and a directory (doc_ids and lengths). Searching takes the posting
+documents in the shard and term frequencies) and a directory (doc_ids and lengths). An index for known queries leaves out
+the lists of all other terms before anything is written. Searching takes the posting
 lists of the queries' terms to where the shard is evaluated. There a query's short lists are summed term at a time into one
 accumulator list; from then on that list is one iterator with a bound, its largest sum, beside the long lists and their
-bounds. Documents are then visited in order: only those that an essential iterator holds (without the essential ones the
-bounds cannot reach the k-th best score so far) are scored, the other lists are only looked up, and a document is
-given up as soon as what is left cannot lift it there. A task keeps the best k of a query from shard to shard.
+bounds. Documents are then visited in order, a step of them in one array of sums: only those that an essential iterator holds
+(without the essential ones the bounds cannot reach the k-th best score so far) can enter, and a document is given up as soon
+as what is left cannot lift it there. The other lists are added to a step in which many documents are left, and only looked up
+for the few left of another. A task keeps the best k of a query from shard to shard.
 
 Everything is exact: a document is skipped only if its score would be below the k-th best.
 """
@@ -17,24 +19,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsinlake.llm.keyed import borders, whole_groups
 from opsinlake.llm.scratch import cut
-from opsinlake.llm.substrings import joined
-from opsinlake.llm.words import ascii_lower, blocks, split_words, utf8
+from opsinlake.llm.words import blocks, offsets, utf8
 
 TOP = 50
 SHARD_BYTES = 16 << 20  # text of a shard; a longer text is a shard of its own
 SHORT = 16  # lists of up to 1/SHORT of the shard's documents are summed into the accumulators
 STEP = 1024  # documents visited between two looks at the k-th best score
 QUERIES = 2048  # queries that are evaluated together in a shard
+TERM_BYTES = 4 << 20  # query terms that are sent to every task; beyond it the index has all terms
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-_BETWEEN = np.zeros(256, bool)
-_BETWEEN[:128] = [not chr(b).isalnum() for b in range(128)]
+_FOLD = np.arange(256, dtype=np.uint8)  # A to Z in lower case, blanks between terms
+_FOLD[:128] = [ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)]
 _SHARD = "shard bigint, term string, ids array<bigint>, doc array<int>, n array<int>"
 
 
@@ -45,39 +48,48 @@ def _lists(values: np.ndarray, head: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.append(head, len(values)).astype(np.int32), pa.array(values))
 
 
-def postings(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
-    """(terms, places of the texts that hold each, occurrences there, number of terms of every text)."""
-    w = split_words(ascii_lower(texts), _BETWEEN)
-    text, at = joined(w)
-    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(text)])
-    coded = spans.dictionary_encode()
-    key = coded.indices.to_numpy().astype(np.int64) * max(len(texts), 1) + w.row
+def postings(texts: pa.Array, wanted: pa.Array | None = None) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """(terms, places of the texts that hold each, occurrences there, number of terms of every text). Only the ``wanted`` terms
+    have lists; all are counted."""
+    data, at = offsets(texts)
+    folded = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(_FOLD[data]))
+    parts = pc.ascii_split_whitespace(folded)
+    term, row = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    full = pc.not_equal(term, "")  # a text that begins or ends with a blank has an empty part there
+    size = np.bincount(row[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    wanted = term.filter(full).unique() if wanted is None else wanted
+    code = pc.index_in(term, wanted)
+    known = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+    key = code.drop_null().to_numpy().astype(np.int64) * max(len(texts), 1) + row[known]
     key, times = np.unique(key, return_counts=True)
-    term, doc = np.divmod(key, max(len(texts), 1))
-    head = borders([term])
-    terms = pa.array([x[:-1] for x in coded.dictionary.take(pa.array(term[head])).to_pylist()], pa.binary()).cast(pa.string())  # a blank ends each
-    return terms, _lists(doc.astype(np.int32), head), _lists(times.astype(np.int32), head), np.diff(w.first)
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for part in blocks(batch, limit=SHARD_BYTES):
-            terms, doc, times, size = postings(utf8(part.column("text")))
-            m = len(terms)
-            one = pa.ListArray.from_arrays(np.array([0, part.num_rows], np.int32), pa.array(size.astype(np.int32)))
-            ids = pa.ListArray.from_arrays(np.array([0, part.num_rows], np.int32), part.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(m + 1, shard)), pa.concat_arrays([pa.nulls(1, pa.string()), terms]), pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
-                pa.concat_arrays([pa.nulls(1, doc.type), doc]), pa.concat_arrays([one, times]),
-            ], ["shard", "term", "ids", "doc", "n"])
-            shard += 1
-
-
-def build_index(docs: DataFrame) -> DataFrame:
-    """(shard, term, ids, doc, n): the posting lists of every shard, and its directory where term is null. Written."""
+    of, doc = np.divmod(key, max(len(texts), 1))
+    head = borders([of])
+    return wanted.take(pa.array(of[head])).cast(pa.string()), _lists(doc.astype(np.int32), head), _lists(times.astype(np.int32), head), size
+
+
+def _build(wanted: pa.Array | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in blocks(batch, limit=SHARD_BYTES):
+                terms, doc, times, size = postings(utf8(part.column("text")), wanted)
+                m = len(terms)
+                one = pa.ListArray.from_arrays(np.array([0, part.num_rows], np.int32), pa.array(size.astype(np.int32)))
+                ids = pa.ListArray.from_arrays(np.array([0, part.num_rows], np.int32), part.column("doc_id"))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(m + 1, shard)), pa.concat_arrays([pa.nulls(1, pa.string()), terms]), pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
+                    pa.concat_arrays([pa.nulls(1, doc.type), doc]), pa.concat_arrays([one, times]),
+                ], ["shard", "term", "ids", "doc", "n"])
+                shard += 1
+
+    return run
+
+
+def build_index(docs: DataFrame, wanted: pa.Array | None = None) -> DataFrame:
+    """(shard, term, ids, doc, n): the posting lists of every shard, of the ``wanted`` terms or of all, and its directory where
+    term is null. Written."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return cut(rows.mapInArrow(_build, _SHARD))
+    return cut(rows.mapInArrow(_build(wanted), _SHARD))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -111,8 +123,9 @@ def accumulate(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 def _found(doc: np.ndarray, score: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Scores of a list at the places ``at``, 0 where it does not hold them."""
-    i = np.searchsorted(doc, at)
-    i[i == len(doc)] = 0
+    if not len(doc):
+        return np.zeros(len(at), np.int64)
+    i = np.minimum(np.searchsorted(doc, at), len(doc) - 1)
     return np.where(doc[i] == at, score[i], 0)
 
 
@@ -125,28 +138,32 @@ def evaluate(lists: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, best:
         iterators.append(accumulate(short))
     bounded = sorted(((int(score.max()), doc, score) for doc, score in iterators), key=lambda x: x[0])
     reach = np.cumsum([b for b, _, _ in bounded])  # what the first lists can give together
-    for begin in range(0, size, STEP):
+    begins = np.arange(0, size + STEP, STEP)
+    edges = [np.searchsorted(doc, begins).tolist() for _, doc, _ in bounded]
+    for i, begin in enumerate(begins[:-1].tolist()):
         least = best.least
         free = int(np.searchsorted(reach, least))  # lists that cannot lift a document to ``least`` on their own
         if free == len(bounded):
             return
-        parts = []
-        for _, doc, score in bounded[free:]:
-            a, b = np.searchsorted(doc, (begin, begin + STEP))
-            if b > a:
-                parts.append((doc[a:b], score[a:b]))
-        if not parts:
-            continue
-        at, total = accumulate(parts)
+        total = np.zeros(STEP, np.int64)  # of the documents from ``begin`` on
+        for j in range(free, len(bounded)):
+            _, doc, score = bounded[j]
+            own = slice(edges[j][i], edges[j][i + 1])
+            total[doc[own] - begin] += score[own]
+        at = np.flatnonzero(total)
         for j in range(free - 1, -1, -1):
-            alive = total + reach[j] >= least
-            at, total = at[alive], total[alive]
+            at = at[total[at] + reach[j] >= least]
             if not len(at):
                 break
-            total = total + _found(bounded[j][1], bounded[j][2], at)
-        alive = total >= least
-        if alive.any():
-            best.add(total[alive], ids[at[alive]])
+            _, doc, score = bounded[j]
+            own = slice(edges[j][i], edges[j][i + 1])
+            if len(at) * SHORT > own.stop - own.start:
+                total[doc[own] - begin] += score[own]
+            else:
+                total[at] += _found(doc[own], score[own], begin + at)
+        at = at[total[at] >= least]
+        if len(at):
+            best.add(total[at], ids[begin + at])
 
 
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,14 +225,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), terms.alias("term")).distinct()
 
 
+def few_terms(terms: DataFrame) -> pa.Array | None:
+    """The distinct query terms, unless they are too many to be sent to every task."""
+    distinct = terms.select("term").distinct()
+    size = distinct.agg(F.sum(F.octet_length("term")).alias("bytes")).first()["bytes"] or 0
+    return distinct.toArrow().column("term").combine_chunks().cast(pa.large_string()) if size <= TERM_BYTES else None
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """(item_id, rank, doc_id, score): the ``k`` best documents of every query, see ``rank``."""
+    """(item_id, rank, doc_id, score): the ``k`` best documents of every query, see ``rank``. The index has all terms."""
+    terms = cut(query_terms(queries))
+    lists = index.where("term is not null").select("shard", "term", "doc", "n").join(terms.select("term").distinct(), "term", "left_semi")
+    return _ranked(index, cut(lists), terms, k)
+
+
+def _ranked(index: DataFrame, lists: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """From the directories of an index, and ``lists`` of the terms of the queries."""
     directory = index.where("term is null")
     counts = directory.select(F.size(F.filter("n", lambda x: x > 0)).alias("docs"), F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("terms"))
     total = counts.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()  # two numbers
     documents, length = total["docs"] or 0, total["terms"] or 0
-    terms = cut(query_terms(queries))
-    lists = cut(index.where("term is not null").select("shard", "term", "doc", "n").join(terms.select("term").distinct(), "term", "left_semi"))
     df = lists.groupBy("term").agg(F.sum(F.size("doc")).alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(documents) + 2) / (2 * F.col("df") + 1))).cast("bigint").alias("weight")
     parts = -(-terms.select("item_id").distinct().count() // QUERIES) or 1
@@ -239,7 +268,12 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     with the terms of all; a null item_id is no query. A query without a match, or an empty table on either
     side, gives no rows. Other columns are ignored, whatever their names.
     """
-    return search(build_index(docs), queries, k)
+    terms = cut(query_terms(queries))
+    wanted = few_terms(terms)
+    if wanted is None:
+        return search(build_index(docs), queries, k)
+    index = build_index(docs, wanted)
+    return _ranked(index, index.where("term is not null"), terms, k)
 
 
 def sql(k: int = TOP) -> str:

@@ -109,6 +109,30 @@ def test_search_blocks_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == ranked(docs, queries, 5)
 
 
+@pytest.mark.parametrize("limit", [1 << 22, 3])
+def test_only_lists_of_query_terms_are_written(spark, monkeypatch, limit):
+    """With few query terms the index has no other; with too many of them it has all, and the answers are the same."""
+    docs, queries = texts(4, 60), [(1, "Ab3 Ab7 nowhere"), (2, "é1, AB3"), (2, "ab1")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
+    written = []
+    whole = search.build_index
+    monkeypatch.setattr(search, "TERM_BYTES", limit)
+    monkeypatch.setattr(search, "build_index", lambda *a: written.append(whole(*a)) or written[-1])
+    got = search.rank(*tables, 7).collect()
+    assert sorted(map(tuple, got)) == ranked(docs, queries, 7)
+    terms = {r.term for r in written[0].where("term is not null").collect()}
+    every = {t for _, text in docs for t in TERM.findall(text.translate(A_Z))}
+    assert terms == (every & {"ab3", "ab7", "é1", "ab1"} if limit > 3 else every) and len(terms) > 2
+    lengths = [n for r in written[0].where("term is null").collect() for n in r.n]
+    assert sum(lengths) == sum(len(TERM.findall(t)) for _, t in docs)
+    assert sorted(map(tuple, search.search(whole(tables[0]), tables[1], 7).collect())) == ranked(docs, queries, 7)
+
+
+def test_postings_of_wanted_terms():
+    found = search.postings(pa.array(["", " b A-a", "c", "é_É é\0b "], pa.large_string())[1:], pa.array(["b", "zz", "a", "é"], pa.large_string()))
+    assert [x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in found] == [["b", "a", "é"], [[0, 2], [0], [2]], [[1, 1], [2], [2]], [3, 1, 4]]
+
+
 def test_search_messy(spark, make, messy):
     from conftest import SAME, messy_rows
 

@@ -44,18 +44,24 @@ class Filters:
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, max(self.widths) - 1)), constant_values=PAD)
 
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Bytes of the padded windows, one row a place. Maxima over places are then taken of whole rows, which numpy does
+        several times faster than along an inner axis."""
+        return np.ascontiguousarray(self.padded(x).T, np.intp)
+
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(maxima, where) of every filter over each window, for training."""
+        """(maxima, first place of each) of every filter over each window, for training."""
         n, length = x.shape
-        x = self.padded(x)
+        x = self.places(x)
+        left = np.arange(length, 0, -1, dtype=np.int32)[:, None, None]  # places to the end; the first of equal maxima has most
+        z, more = np.empty((2, length, n, self.each), np.float32)
         top, where = [], []
         for table in self.tables:
-            z = table[0][x[:, :length]]
+            np.take(table[0], x[:length], axis=0, out=z, mode="clip")
             for j in range(1, len(table)):
-                z += table[j][x[:, j : j + length]]
-            at = z.argmax(axis=1)
-            where.append(at)
-            top.append(np.take_along_axis(z, at[:, None, :], axis=1)[:, 0])
+                z += np.take(table[j], x[j : j + length], axis=0, out=more, mode="clip")
+            top.append(z.max(axis=0))
+            where.append(length - ((z == top[-1]) * left).max(axis=0))
         return np.concatenate(top, axis=1), np.concatenate(where, axis=1)
 
     def infer(self, x: np.ndarray, step: int = 64) -> np.ndarray:
@@ -65,17 +71,16 @@ class Filters:
         n, length = x.shape
         out = np.empty((n, self.size), np.float32)
         for a in range(0, n, step):
-            part = self.padded(x[a : a + step])
-            two = (part[:, :-1].astype(np.int32) << 8) + part[:, 1:]
-            shape = (len(part), length, self.each)
-            z, more = np.empty(shape, np.float32), np.empty(shape, np.float32)
+            part = self.places(x[a : a + step])
+            two = (part[:-1] << 8) + part[1:]
+            z, more = np.empty((2, length, part.shape[1], self.each), np.float32)
             for i, tables in enumerate(self.pairs):
                 for k, table in enumerate(tables):
-                    index = (two if len(table) > 256 else part)[:, 2 * k : 2 * k + length]
+                    index = (two if len(table) > 256 else part)[2 * k : 2 * k + length]
                     np.take(table, index, axis=0, out=more if k else z, mode="clip")
                     if k:
                         z += more
-                out[a : a + step, i * self.each : (i + 1) * self.each] = z.max(axis=1)
+                out[a : a + step, i * self.each : (i + 1) * self.each] = z.max(axis=0)
         return out
 
     def gradients(self, x: np.ndarray, where: np.ndarray, g: np.ndarray) -> list[np.ndarray]:

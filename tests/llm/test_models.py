@@ -36,6 +36,21 @@ def test_pair_tables_give_the_same_maxima():
     assert np.allclose(f.pooled(x)[0], f.infer(x, step=16), atol=1e-5)
 
 
+def test_maxima_are_taken_over_whole_rows(monkeypatch):
+    """Places come first, so no maximum runs along an inner axis; values and first places are those of the definition."""
+    rng = np.random.default_rng(4)
+    x, f = rng.integers(97, 101, (130, 50)).astype(np.uint8), bytecnn.Filters(widths=(1, 2, 3, 5), each=4, seed=2)
+    padded = np.pad(x, ((0, 0), (0, 4)))
+    z = [sum(t[j][padded[:, j : j + 50]] for j in range(len(t))) for t in f.tables]
+    shapes = []
+    monkeypatch.setattr(bytecnn.Filters, "places", lambda f, x, of=bytecnn.Filters.places: shapes.append(of(f, x).shape) or of(f, x))
+    top, where = f.pooled(x)
+    assert np.array_equal(top, np.concatenate([v.max(axis=1) for v in z], axis=1))
+    assert np.array_equal(where, np.concatenate([v.argmax(axis=1) for v in z], axis=1))
+    assert np.allclose(f.infer(x), top, atol=1e-5) and shapes == [(54, 130), (54, 64), (54, 64), (54, 2)]
+    assert all(a.shape == (n, f.size) for n in (0, 1) for a in (f.infer(x[:n]), *f.pooled(x[:n])))
+
+
 def test_gradient_of_the_filters():
     rng = np.random.default_rng(2)
     x, f = rng.integers(0, 6, (5, 12)).astype(np.uint8), bytecnn.Filters(widths=(2, 3), each=3)

@@ -16,6 +16,7 @@ Everything is exact: a document is skipped only if its score would be below the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from opsinlake.llm.words import blocks, offsets, utf8
 TOP = 50
 SHARD_BYTES = 16 << 20  # text of a shard; a longer text is a shard of its own
 SHORT = 16  # lists of up to 1/SHORT of the shard's documents are summed into the accumulators
+MANY = 8  # lists of at least 1/MANY of the shard's documents are also kept by place
 STEP = 1024  # documents visited between two looks at the k-th best score
 QUERIES = 2048  # queries that are evaluated together in a shard
 TERM_BYTES = 4 << 20  # query terms that are sent to every task; beyond it the index has all terms
@@ -112,58 +114,87 @@ class Best:
         self.score, self.doc = score[order], doc[order]
 
 
-def accumulate(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+class Postings:
+    """A list in a shard of ``size`` documents: places ascending, scores above 0. What is needed of it is made once for all queries."""
+
+    def __init__(self, doc: np.ndarray, score: np.ndarray, size: int):
+        self.doc, self.score, self.size, self.short = doc, score, size, len(doc) * SHORT <= size
+
+    @cached_property
+    def bound(self) -> int:
+        return int(self.score.max())
+
+    @cached_property
+    def edges(self) -> list[int]:
+        """Where the steps begin."""
+        return np.searchsorted(self.doc, np.arange(0, self.size + STEP, STEP)).tolist()
+
+    @cached_property
+    def every(self) -> np.ndarray | None:
+        """The scores of all documents, if the list holds many: a step of it is a slice."""
+        if len(self.doc) * MANY < self.size:
+            return None
+        every = np.zeros(self.size, np.int64)
+        every[self.doc] = self.score
+        return every
+
+    def add(self, total: np.ndarray, step: int) -> None:
+        """To the sums of the documents of a step."""
+        begin = step * STEP
+        if self.every is not None:
+            total += self.every[begin : begin + len(total)]
+        else:
+            own = slice(self.edges[step], self.edges[step + 1])
+            total[self.doc[own] - begin] += self.score[own]
+
+    def look_up(self, total: np.ndarray, step: int, at: np.ndarray) -> None:
+        """The same for a few documents of the step."""
+        begin, own = step * STEP, slice(self.edges[step], self.edges[step + 1])
+        if self.every is not None:
+            total[at] += self.every[begin + at]
+        elif own.stop > own.start:
+            i = own.start + np.minimum(np.searchsorted(self.doc[own], begin + at), own.stop - own.start - 1)
+            total[at] += np.where(self.doc[i] == begin + at, self.score[i], 0)
+
+
+def accumulate(lists: list[Postings]) -> tuple[np.ndarray, np.ndarray]:
     """Term at a time: (places, summed scores) of all lists together."""
-    doc, score = (np.concatenate(x) for x in zip(*lists))
+    doc, score = np.concatenate([x.doc for x in lists]), np.concatenate([x.score for x in lists])
     order = np.argsort(doc, kind="stable")
     doc, score = doc[order], score[order]
     head = borders([doc])
     return doc[head], np.add.reduceat(score, head)
 
 
-def _found(doc: np.ndarray, score: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Scores of a list at the places ``at``, 0 where it does not hold them."""
-    if not len(doc):
-        return np.zeros(len(at), np.int64)
-    i = np.minimum(np.searchsorted(doc, at), len(doc) - 1)
-    return np.where(doc[i] == at, score[i], 0)
-
-
-def evaluate(lists: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, best: Best) -> None:
-    """Add the best documents of a shard. ``lists`` are (places ascending, scores above 0) of a query's terms."""
+def evaluate(lists: list[Postings | tuple[np.ndarray, np.ndarray]], ids: np.ndarray, best: Best) -> None:
+    """Add the best documents of a shard. ``lists`` are those of a query's terms, or their (places ascending, scores above 0)."""
     size = len(ids)
-    short = [x for x in lists if len(x[0]) * SHORT <= size]
-    iterators = [x for x in lists if len(x[0]) * SHORT > size]
+    lists = [x if isinstance(x, Postings) else Postings(*x, size) for x in lists]
+    iterators, short = [x for x in lists if not x.short], [x for x in lists if x.short]
     if short:
-        iterators.append(accumulate(short))
-    bounded = sorted(((int(score.max()), doc, score) for doc, score in iterators), key=lambda x: x[0])
-    reach = np.cumsum([b for b, _, _ in bounded])  # what the first lists can give together
-    begins = np.arange(0, size + STEP, STEP)
-    edges = [np.searchsorted(doc, begins).tolist() for _, doc, _ in bounded]
-    for i, begin in enumerate(begins[:-1].tolist()):
+        iterators.append(Postings(*accumulate(short), size))
+    iterators.sort(key=lambda x: x.bound)
+    reach = np.cumsum([x.bound for x in iterators])  # what the first lists can give together
+    for step in range(-(-size // STEP)):
         least = best.least
         free = int(np.searchsorted(reach, least))  # lists that cannot lift a document to ``least`` on their own
-        if free == len(bounded):
+        if free == len(iterators):
             return
-        total = np.zeros(STEP, np.int64)  # of the documents from ``begin`` on
-        for j in range(free, len(bounded)):
-            _, doc, score = bounded[j]
-            own = slice(edges[j][i], edges[j][i + 1])
-            total[doc[own] - begin] += score[own]
+        total = np.zeros(min(STEP, size - step * STEP), np.int64)
+        for x in iterators[free:]:
+            x.add(total, step)
         at = np.flatnonzero(total)
-        for j in range(free - 1, -1, -1):
-            at = at[total[at] + reach[j] >= least]
+        for x, most in zip(iterators[:free][::-1], reach[:free][::-1]):
+            at = at[total[at] + most >= least]
             if not len(at):
                 break
-            _, doc, score = bounded[j]
-            own = slice(edges[j][i], edges[j][i + 1])
-            if len(at) * SHORT > own.stop - own.start:
-                total[doc[own] - begin] += score[own]
+            if len(at) * SHORT > x.edges[step + 1] - x.edges[step]:
+                x.add(total, step)
             else:
-                total[at] += _found(doc[own], score[own], begin + at)
+                x.look_up(total, step, at)
         at = at[total[at] >= least]
         if len(at):
-            best.add(total[at], ids[begin + at])
+            best.add(total[at], ids[step * STEP + at])
 
 
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +213,7 @@ def _search(k: int, documents: int, length: int):
         lists: dict[int, list] = {}
         for t, w in enumerate(shard.column("weight").to_pylist()):
             if w > 0:
-                own = place[edge[t] : edge[t + 1]], w * shares[edge[t] : edge[t + 1]]
+                own = Postings(place[edge[t] : edge[t + 1]], w * shares[edge[t] : edge[t + 1]], len(ids))
                 for item in items[use[t] : use[t + 1]].tolist():
                     lists.setdefault(item, []).append(own)
         for item, own in lists.items():

@@ -133,6 +133,22 @@ def test_postings_of_wanted_terms():
     assert [x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in found] == [["b", "a", "é"], [[0, 2], [0], [2]], [[1, 1], [2], [2]], [3, 1, 4]]
 
 
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.6])
+def test_postings_by_place(share):
+    """A list of many documents is kept by place; steps and look-ups give the same scores either way."""
+    rng = np.random.default_rng(6)
+    doc = np.flatnonzero(rng.random(2500) < share)
+    x = search.Postings(doc, rng.integers(1, 9, len(doc)), 2500)
+    want = np.zeros(2500, np.int64)
+    want[x.doc] = x.score
+    assert (x.every is not None) == (share == 0.6) and x.short == (share == 0.01) and x.bound == want.max()
+    for step, begin in enumerate(range(0, 2500, search.STEP)):
+        sums, few, at = np.zeros(min(search.STEP, 2500 - begin), np.int64), np.zeros(search.STEP, np.int64), np.array([0, 3, 400, 451])
+        x.add(sums, step)
+        x.look_up(few, step, at)
+        assert sums.tolist() == want[begin : begin + search.STEP].tolist() and few[at].tolist() == sums[at].tolist()
+
+
 def test_search_messy(spark, make, messy):
     from conftest import SAME, messy_rows
 

@@ -45,14 +45,14 @@ class Filters:
         return np.pad(x, ((0, 0), (0, max(self.widths) - 1)), constant_values=PAD)
 
     def places(self, x: np.ndarray) -> np.ndarray:
-        """Bytes of the padded windows, one row a place. Maxima over places are then taken of whole rows, which numpy does
+        """Bytes of padded windows, one row a place. Maxima over places are then taken of whole rows, which numpy does
         several times faster than along an inner axis."""
-        return np.ascontiguousarray(self.padded(x).T, np.intp)
+        return np.ascontiguousarray(x.T, np.intp)
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(maxima, first place of each) of every filter over each window, for training."""
         n, length = x.shape
-        x = self.places(x)
+        x = self.places(self.padded(x))
         left = np.arange(length, 0, -1, dtype=np.int32)[:, None, None]  # places to the end; the first of equal maxima has most
         z, more = np.empty((2, length, n, self.each), np.float32)
         top, where = [], []
@@ -69,7 +69,7 @@ class Filters:
         if self.pairs is None:
             self.pairs = [[(t[j][:, None, :] + t[j + 1][None, :, :]).reshape(65536, -1) if j + 1 < len(t) else t[j] for j in range(0, len(t), 2)] for t in self.tables]
         n, length = x.shape
-        out = np.empty((n, self.size), np.float32)
+        x, out = self.padded(x), np.empty((n, self.size), np.float32)
         for a in range(0, n, step):
             part = self.places(x[a : a + step])
             two = (part[:-1] << 8) + part[1:]
